@@ -43,10 +43,9 @@ from .text import blocks, shingle_sets
 
 #: A pair links when PARTS * common >= LEAST * union.
 LEAST, PARTS = 3, 4
-#: Shingles that are anchors of more sets than this come last in the order ...
-CROWDED = 16
-#: ... but at most so many, the most crowded: the list that every task gets has a fixed size (1 MB).
-CROWDED_MAX = 1 << 17
+#: Shingles that are anchors of more than one row by hash order alone come last, by the logarithm of their count; at most
+#: so many, the most crowded: the list that every task gets has a fixed size (9 bytes each).
+CROWDED_MAX = 1 << 21
 #: Members and shingles of a block.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 20
 #: Document ids (8 bytes each) that are broadcast rather than joined by shuffle.
@@ -92,17 +91,17 @@ def _reordered(size: int, crowded):
     """Anchors in the order that puts the crowded shingles last."""
 
     def run(batches):
-        hot = crowded.value
+        hot, level = crowded.value
         for ids, sets in _runs(batches, size):
             flat = np.concatenate(sets)
             at = np.minimum(np.searchsorted(hot, flat), len(hot) - 1)
-            late = hot[at] == flat
+            late = np.where(hot[at] == flat, level[at], 0)
             out, i = [], 0
             for s in sets:
                 x = late[i : i + len(s)]
                 i += len(s)
                 p = _prefix(len(s))
-                out.append((np.concatenate([s[~x], s[x]]) if x[:p].any() else s)[:p])
+                out.append(s[np.argsort(x, kind="stable")[:p]] if x[:p].any() else s[:p])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(out)], names=["doc_id", "anchors"])
 
     return run
@@ -255,15 +254,15 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, size: int = 5, id_col:
     ship(spark)
     scratch = scratch or Scratch(spark, "jaccard")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    keyed = scratch.keep(texts.mapInArrow(_keyed(size), "doc_id long, n long, k1 long, k2 long, anchors array<long>"), "keyed")
+    first = scratch.keep(texts.mapInArrow(_keyed(size), "doc_id long, n long, k1 long, k2 long, anchors array<long>"), "first")
+    keyed = scratch.keep(first.drop("anchors"), "keyed")
+    counts = first.where("doc_id is not null").select(F.explode("anchors").alias("s")).groupBy("s").count().where("count > 1")
+    crowded = _crowded(scratch.keep(counts, "counts"))
+    scratch.drop(first)
 
     classes = scratch.keep(keyed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
     reps = classes.where("rep is not null").select(F.col("rep").alias("doc_id"))
-    hot = keyed.where("doc_id is not null").select(F.explode("anchors").alias("s")).groupBy("s").count().where(F.col("count") > CROWDED)
-    hot = np.array([r[0] for r in hot.orderBy(F.desc("count"), "s").limit(CROWDED_MAX).select("s").collect()], np.int64).view(np.uint64)
-    anchors = keyed.select("doc_id", "anchors")
-    if len(hot):
-        anchors = texts.mapInArrow(_reordered(size, spark.sparkContext.broadcast(np.sort(hot))), "doc_id long, anchors array<long>")
+    anchors = texts.mapInArrow(_reordered(size, spark.sparkContext.broadcast(crowded)), "doc_id long, anchors array<long>")
     anchors = _only(anchors, reps).select("doc_id", F.explode("anchors").alias("s"))
     region = Window.partitionBy("s")
     members = (
@@ -273,7 +272,9 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, size: int = 5, id_col:
     members = scratch.keep(members, "members")
     named = members.select(F.explode(F.array("cell", "member")).alias("doc_id")).distinct()
     sets = _only(texts, named).mapInArrow(_whole(size), "doc_id long, shingles binary").where(F.length("shingles") > 0)
-    sets = scratch.keep(sets.dropDuplicates(["doc_id"]), "sets")
+    if keyed.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count():
+        sets = sets.dropDuplicates(["doc_id"])
+    sets = scratch.keep(sets, "sets")
 
     measured = scratch.keep(_measure(members, sets), "measured")
     direct = F.expr(f"{PARTS} * common >= {LEAST} * (n + n_pivot - common)")
@@ -290,6 +291,22 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, size: int = 5, id_col:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _crowded(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, level) of the most crowded anchors, as many as CROWDED_MAX allows; level: 1 + log2 of the count."""
+    least, total = 2, 0
+    for r in counts.groupBy(F.floor(F.log2("count")).alias("level")).count().orderBy(F.desc("level")).collect():  # 64 rows at most
+        total += r["count"]
+        if total > CROWDED_MAX:
+            least = 1 << (r["level"] + 1)
+            break
+    found = counts.where(F.col("count") >= least).toArrow()
+    s = found["s"].to_numpy().view(np.uint64)
+    order = np.argsort(s)
+    if not len(s):
+        return np.zeros(1, np.uint64), np.zeros(1, np.uint8)
+    return s[order], (1 + np.log2(found["count"].to_numpy())).astype(np.uint8)[order]
+
+
 def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """rows whose doc_id is among ids; ids go to every task only if they are counted and few."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
