@@ -6,16 +6,47 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import winnow
 from .jaccard import jaccard_classes
+from .packing import pack
 from .store import documents
+from .tokens import count_tokens
+from .urlmodel import judge_urls
+
+
+def vocabulary(name: str) -> str:
+    """Where the public tokenizer's file lies on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(spark, documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(spark, documents(spark, sf_dir))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(spark, documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(spark, documents(spark, sf_dir, "pages"))
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.hits(spark, documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_packing": op4_packing,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_token_counts": op6_token_counts,
+    "op9_url_filters": op9_url_filters,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_benchmark_decontamination": winnow.ORACLE}
