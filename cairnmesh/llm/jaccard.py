@@ -1,13 +1,15 @@
 """Exact Jaccard join of shingle sets as a join in a metric space.
 
-Jaccard distance d is a metric, and a pair links when d <= r (r = 0.25). Two
+Jaccard distance d is a metric, and a pair links when d <= r (r = 0.25). Three
 facts make regions small without losing a link:
 
 * Sets without a common shingle are at distance 1. Each set therefore has a
   few anchors, its first n - ceil(0.75 n) + 1 shingles in one global order
   (shingles that crowd many anchors last, then by hash); linked sets have a
   common anchor. Any global order is exact, the crowded list only saves work.
-* In each anchor's region one set is the pivot. All regions of one pivot form
+* Linked sizes differ by a factor of 4/3 at most (the window of the empty set's
+  size), so an anchor's region holds sets of two neighbouring size bands only.
+* In each region one set is the pivot. All regions of one pivot form
   its Voronoi cell, whose members' distances to the pivot are computed. Members
   within r are linked to it, hence to each other's component, and need no
   comparison among themselves. The rest falls into rings by distance; by the
@@ -50,6 +52,8 @@ CROWDED_MAX = 1 << 21
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 20
 #: Document ids (8 bytes each) that are broadcast rather than joined by shuffle.
 BROADCAST_IDS = 2_000_000
+#: Sizes of a band differ by less than this factor, a little above PARTS / LEAST, so rounding can not part linked sizes by two bands.
+BAND = 1.34
 RINGS = 16
 LEAF = 96
 
@@ -102,7 +106,7 @@ def _reordered(size: int, crowded):
                 i += len(s)
                 p = _prefix(len(s))
                 out.append(s[np.argsort(x, kind="stable")[:p]] if x[:p].any() else s[:p])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(out)], names=["doc_id", "anchors"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(out)], names=["doc_id", "n", "anchors"])
 
     return run
 
@@ -262,11 +266,13 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, size: int = 5, id_col:
 
     classes = scratch.keep(keyed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
     reps = classes.where("rep is not null").select(F.col("rep").alias("doc_id"))
-    anchors = texts.mapInArrow(_reordered(size, spark.sparkContext.broadcast(crowded)), "doc_id long, anchors array<long>")
-    anchors = _only(anchors, reps).select("doc_id", F.explode("anchors").alias("s"))
-    region = Window.partitionBy("s")
+    anchors = texts.mapInArrow(_reordered(size, spark.sparkContext.broadcast(crowded)), "doc_id long, n long, anchors array<long>")
+    anchors = _only(anchors, reps).select("doc_id", F.log(BAND, F.col("n")).cast("int").alias("band"), F.explode("anchors").alias("s"))
+    # linked sizes differ by one band at most: a region holds two neighbouring bands, each set enters two regions
+    anchors = anchors.repartition("s").withColumn("sharers", F.count("*").over(Window.partitionBy("s"))).where("sharers > 1")
+    anchors = anchors.select("doc_id", "s", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
     members = (
-        anchors.withColumn("cell", F.min("doc_id").over(region)).where(F.col("doc_id") != F.col("cell"))
+        anchors.withColumn("cell", F.min("doc_id").over(Window.partitionBy("s", "band"))).where(F.col("doc_id") != F.col("cell"))
         .select("cell", F.col("doc_id").alias("member")).distinct()
     )
     members = scratch.keep(members, "members")
