@@ -134,3 +134,28 @@ def shingle_sets(run: list[bytes], k: int = 5) -> list[np.ndarray]:
         else:
             out.append(h[:0])
     return out
+
+
+def words_with_shapes(run: list[bytes], shapes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """words(run), and each word's shape below `shapes`: a hash of its last two bytes, its length up to 12 and whether it has bytes from 0x80 on."""
+    if len(run) == 1 and len(run[0]) > BLOCK:
+        found = [_shaped(p, shapes) for p in _pieces(run[0].translate(LOWER), SPACE)]
+        h = np.concatenate([f[0] for f in found])
+        return h, np.array([0, len(h)]), np.concatenate([f[1] for f in found])
+    h, shape, start = _shaped(b" ".join(run).translate(LOWER), shapes)
+    first = np.concatenate([[0], np.cumsum(np.fromiter((len(b) + 1 for b in run), np.int64, len(run)))])
+    return h, np.searchsorted(start, first), shape
+
+
+def _shaped(data: bytes, shapes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if len(data) > BLOCK + 1:  # one word
+        return np.frombuffer(hashlib.blake2b(data, digest_size=8).digest(), U), np.zeros(1, np.int64), np.zeros(1, np.int64)
+    h, start, end = _hash_block(data, SPACE)
+    if not len(h):
+        return h, np.zeros(0, np.int64), start
+    a = np.frombuffer(data, np.uint8)
+    wide = np.concatenate([[0], np.cumsum(a >= 128)])
+    last, size = a[end - 1].astype(np.int64), end - start
+    before = np.where(size > 1, a[np.maximum(end - 2, 0)], 0).astype(np.int64)
+    key = last | before << 8 | np.minimum(size, 12) << 16 | (wide[end] > wide[start]).astype(np.int64) << 24
+    return h, (mix(key.astype(U)) % U(shapes)).astype(np.int64), start
