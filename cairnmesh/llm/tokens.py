@@ -5,7 +5,8 @@ token is one token wherever it is a pre-token, since merges never cross
 pre-tokens. ``proven`` establishes this once for every vocabulary string. Texts
 are cut into pre-tokens, those in the proven table count one each, and only the
 rest is merged by the library (each distinct one once while the table of merged
-ones has room; the table starts anew when full, which costs time, not results).
+ones has room; a full table steps back behind a new one, from which what recurs
+is taken over, so that forgetting costs time, not results).
 
 The pre-token pattern is run by the ``regex`` library, whose character classes
 agree with the tokenizer's for the characters of KNOWN. Texts with any other
@@ -29,8 +30,8 @@ from .store import ship
 from .text import blocks
 
 LIMIT = 512
-#: Merged pre-tokens that a worker remembers.
-ROOM = 500_000
+#: Merged pre-tokens or chunks in the newer of the two tables that a worker keeps.
+ROOM = 700_000
 #: Characters (of ASCII, Latin, Cyrillic, punctuation and Han blocks) whose class never changed between Unicode versions.
 KNOWN = "\t\n\r\x20-\x7e\xa0-ɏЀ-ӿ‐-‧一-龥"
 #: Texts are worked on in parts of about so many characters.
@@ -86,6 +87,7 @@ class Counter:
         self.tokenizer = library(path)
         self.base = proven(self.tokenizer)
         self.merged = dict(self.base)
+        self.older: dict[str, int] = {}
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.odd = re.compile(f"[^{KNOWN}]")
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -110,8 +112,12 @@ class Counter:
     def learn(self, tokens: set[str]) -> None:
         new = [t for t in tokens if t not in self.merged]
         if len(self.merged) - len(self.base) + len(new) > ROOM:
-            self.merged = dict(self.base)
+            self.older, self.merged = self.merged, dict(self.base)
             new = [t for t in tokens if t not in self.merged]
+        known = [t for t in new if t in self.older]
+        if known:
+            self.merged.update(zip(known, map(self.older.__getitem__, known), strict=True))
+            new = [t for t in new if t not in self.older]
         for at in range(0, len(new), 10_000):
             some = new[at : at + 10_000]
             self.merged.update(zip(some, map(len, ids_of(self.tokenizer, some)), strict=True))
@@ -182,34 +188,50 @@ class Chunks(dict):
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = library(path)
+        self.older: dict[bytes, bytes] = {}
 
     def learn(self, chunks: set[bytes]) -> None:
         import numpy as np
 
         if len(self) + len(chunks) > ROOM:
+            self.older = dict(self)
             self.clear()
-        new = [c for c in chunks if c not in self]
-        cores = {}
+        older = self.older
+        new = chunks.difference(self)
+        if older:
+            known = [c for c in new if c in older]
+            self.update(zip(known, map(older.__getitem__, known), strict=True))
+            new.difference_update(known)
+        plain, marked = set(), []
         for c in new:
             core = c.rstrip(self.MARKS)
-            cores[c] = (core, c[len(core) :]) if self.BEFORE.search(core) else (c, b"")
-        ask = [p for p in {p for pair in cores.values() for p in pair if p} if p not in self]
+            if len(core) < len(c) and self.BEFORE.search(core):
+                marked.append((c, core, c[len(core) :]))
+                plain.add(core)
+                plain.add(marked[-1][2])
+            else:
+                plain.add(c)
+        ask = []
+        for c in plain.difference(self):
+            if c in older:
+                self[c] = older[c]
+            else:
+                ask.append(c)
         for at in range(0, len(ask), 20_000):
             some = ask[at : at + 20_000]
             e = self.tokenizer.encode([s.decode("utf-8", "replace") for s in some], is_pretokenized=True, add_special_tokens=False)
             ids = np.array(e.ids, "<u4")
-            word = np.array([-1 if w is None else w for w in e.word_ids])
+            word = e.word_ids
+            word = np.array([-1] if None in word else word)
             if (word < 0).any() or (np.diff(word) < 0).any():  # special strings: one by one
                 for s, got in zip(some, ids_of(self.tokenizer, [s.decode("utf-8", "replace") for s in some]), strict=True):
                     self[s] = np.array(got, "<u4").tobytes()
                 continue
-            first = np.searchsorted(word, np.arange(len(some) + 1))
+            first = (4 * np.searchsorted(word, np.arange(len(some) + 1))).tolist()
             raw = ids.tobytes()
-            for i, s in enumerate(some):
-                self[s] = raw[4 * first[i] : 4 * first[i + 1]]
-        for c, (core, marks) in cores.items():
-            if core and marks:
-                self[c] = self[core] + self[marks]
+            self.update((s, raw[a:b]) for s, a, b in zip(some, first, first[1:], strict=False))
+        for c, core, marks in marked:
+            self[c] = self[core] + self[marks]
 
     def of_texts(self, run: list[bytes]) -> list[bytes]:
         """Ids of UTF-8 texts."""
