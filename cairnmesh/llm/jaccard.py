@@ -297,6 +297,27 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, size: int = 5, id_col:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """One row of docs for each class: that of the smallest doc_id, with all its columns and no others.
+
+    Of rows repeating that id one stays. Rows without an id are no class's
+    smallest: they go where a row with an id has their text, else one of each
+    text stays.
+    """
+    scratch = Scratch(spark, "one-each")
+    classes = scratch.keep(jaccard_classes(spark, docs, scratch=scratch).select("doc_id", "component_id"), "all")
+    kept = classes.where("doc_id = component_id").select("doc_id")
+    repeated = kept.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    out = _only(docs.withColumn("__id", F.col("doc_id").cast("long")), kept.distinct().withColumnRenamed("doc_id", "__id"), "__id").drop("__id").select(*docs.columns)
+    if repeated:
+        out = out.dropDuplicates(["doc_id"])
+    if not classes.where("doc_id is null").limit(1).count():
+        return out
+    texts = docs.where("doc_id is not null").select("text").distinct()
+    alone = docs.where("doc_id is null").join(texts, "text", "left_anti").select(*docs.columns)
+    return out.unionByName(alone.dropDuplicates(["text"]))
+
+
 def _crowded(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(shingles, level) of the most crowded anchors, as many as CROWDED_MAX allows; level: 1 + log2 of the count."""
     least, total = 2, 0
@@ -313,10 +334,10 @@ def _crowded(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return s[order], (1 + np.log2(found["count"].to_numpy())).astype(np.uint8)[order]
 
 
-def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """rows whose doc_id is among ids; ids go to every task only if they are counted and few."""
+def _only(rows: DataFrame, ids: DataFrame, on: str = "doc_id") -> DataFrame:
+    """rows whose id is among ids; ids go to every task only if they are counted and few."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return rows.join(F.broadcast(ids) if few else ids, on, "left_semi")
 
 
 def _measure(members: DataFrame, sets: DataFrame) -> DataFrame:

@@ -51,8 +51,8 @@ def _few(df: DataFrame) -> bool:
     return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
-def hits(spark: SparkSession, docs: DataFrame, items: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs."""
+def hits(spark: SparkSession, docs: DataFrame, items: DataFrame, scratch: Scratch | None = None, with_row: bool = False) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (and row, a hash of id and text) for each row of docs."""
     scratch = scratch or Scratch(spark, "winnow")
     tests = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words(F.col("text")).alias("w"))
     tests = scratch.keep(tests.where("size(w) > 0").withColumn("h", F.transform("w", lambda w: F.xxhash64(w))), "items")
@@ -92,10 +92,18 @@ def hits(spark: SparkSession, docs: DataFrame, items: DataFrame, scratch: Scratc
     named = found.select("rid", "item_id").distinct().groupBy("rid").agg(F.count("*").alias("items"), F.concat_ws(",", F.array_sort(F.collect_list("item_id"))).alias("list"))
     judged = covered.join(named, "rid")
     out = rows.select("doc_id", "rid", "n_words").join(judged, "rid", "left")
-    out = out.select("doc_id", "n_words", F.coalesce("hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.lit(0).cast("long")).alias("n_items"), F.sha2(F.coalesce("list", F.lit("")), 256).alias("items_sha256"))
+    out = out.select("doc_id", *(["rid"] if with_row else []), "n_words", F.coalesce("hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.lit(0).cast("long")).alias("n_items"), F.sha2(F.coalesce("list", F.lit("")), 256).alias("items_sha256"))
     return out.withColumn("contaminated", F.expr(f"n_hit > 0 and {SHARE} * n_hit >= n_words"))
 
 
+def clean(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of docs that are not contaminated, with all their columns and no others."""
+    bad = Scratch(spark, "contaminated").keep(hits(spark, docs, items, with_row=True).where("contaminated").select(F.col("rid").alias("__bad"), F.col("doc_id").alias("__id")).distinct())
+    held = docs.withColumn("__rid", F.xxhash64(F.col("doc_id"), F.col("text"))).withColumn("__doc", F.col("doc_id").cast("long"))
+    same = (F.col("__rid") == F.col("__bad")) & F.col("__doc").eqNullSafe(F.col("__id"))
+    return held.join(F.broadcast(bad) if _few(bad) else bad, same, "left_anti").drop("__rid", "__doc")
+
+
 #: The same rows in DuckDB's SQL: every window of a document against every window of an item.
 ORACLE = rf"""
 with doc as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
