@@ -175,8 +175,9 @@ class Posterior:
 
     def filtered(self, docs: DataFrame) -> DataFrame:
         """The rows of docs that are kept, with all their columns and no others."""
-        held = docs.select(F.struct("*").alias("__row"), "text", self.host, self.path)
-        return self.judge(held).where("kept").select("__row.*")
+        need = {"text", self.host, self.path}
+        names = [c if c in need else f"__c{i}" for i, c in enumerate(docs.columns)]
+        return self.judge(docs.toDF(*names)).where("kept").select(*names).toDF(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

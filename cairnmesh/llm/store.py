@@ -61,8 +61,14 @@ class Scratch:
 _shipped: set[str] = set()
 
 
+#: Arrow batches by bytes and rows: with texts of any length a worker holds a few MB at a time.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on executors that don't have it installed."""
+    """Make this package importable on executors that don't have it installed, and bound Arrow batches."""
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
