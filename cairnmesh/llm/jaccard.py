@@ -267,15 +267,18 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, size: int = 5, id_col:
     classes = scratch.keep(keyed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
     reps = classes.where("rep is not null").select(F.col("rep").alias("doc_id"))
     anchors = texts.mapInArrow(_reordered(size, spark.sparkContext.broadcast(crowded)), "doc_id long, n long, anchors array<long>")
-    anchors = _only(anchors, reps).select("doc_id", F.log(BAND, F.col("n")).cast("int").alias("band"), F.explode("anchors").alias("s"))
+    anchors = _only(anchors, reps).select("doc_id", "n", F.log(BAND, F.col("n")).cast("int").alias("band"), F.explode("anchors").alias("s"))
     # linked sizes differ by one band at most: a region holds two neighbouring bands, each set enters two regions
     anchors = anchors.repartition("s").withColumn("sharers", F.count("*").over(Window.partitionBy("s"))).where("sharers > 1")
-    anchors = anchors.select("doc_id", "s", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
-    members = (
-        anchors.withColumn("cell", F.min("doc_id").over(Window.partitionBy("s", "band"))).where(F.col("doc_id") != F.col("cell"))
-        .select("cell", F.col("doc_id").alias("member")).distinct()
-    )
+    anchors = anchors.select("doc_id", "n", "s", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
+    pivot = F.min(F.struct("doc_id", "n")).over(Window.partitionBy("s", "band"))
+    members = anchors.withColumn("pivot", pivot).where(F.col("doc_id") != F.col("pivot.doc_id"))
+    members = members.select(F.col("pivot.doc_id").alias("cell"), F.col("doc_id").alias("member"), "n", F.col("pivot.n").alias("n_pivot")).distinct()
     members = scratch.keep(members, "members")
+    # a cell of one member whose size alone rules the link out has nothing to find
+    more = members.groupBy("cell").agg(F.count("*").alias("others"))
+    members = members.join(more, "cell").where(f"others > 1 or {PARTS} * least(n, n_pivot) >= {LEAST} * greatest(n, n_pivot)").select("cell", "member")
+    members = scratch.keep(members, "compared")
     named = members.select(F.explode(F.array("cell", "member")).alias("doc_id")).distinct()
     sets = _only(texts, named).mapInArrow(_whole(size), "doc_id long, shingles binary").where(F.length("shingles") > 0)
     if keyed.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count():
@@ -356,7 +359,7 @@ def _block_rows(measured: DataFrame, sets: DataFrame) -> DataFrame:
     far = measured.where(~F.col("direct")).groupBy("cell").agg(F.min(d).alias("nearest_far"))
     # of the members linked to the pivot only the boundary can link to the rest
     rows = measured.join(far, "cell").withColumn("d", d).where(~F.col("direct") | (F.col("d") >= F.col("nearest_far") - (1 - LEAST / PARTS) - 1e-9))
-    whole = rows.groupBy("cell").agg(F.count("*").alias("members"), F.sum("n").alias("volume"))
+    whole = rows.groupBy("cell").agg(F.count("*").alias("members"), F.sum("n").alias("volume")).where("members > 1")
     small = f"members <= {BLOCK_SETS} and volume <= {BLOCK_SHINGLES}"
     rows = rows.join(whole.withColumn("small", F.expr(small)), "cell")
     rows = rows.withColumn("ring", F.expr(f"case when small then 0 when direct then -1 - least({RINGS - 1}, floor(d * {RINGS})) else 1 + least({RINGS - 1}, floor(d * {RINGS})) end"))

@@ -25,6 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Shuffle files of a finished job are removed at once instead of when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Parquet tables in the shared folder.
 
@@ -42,7 +46,13 @@ class Scratch:
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
-        df.write.parquet(path)
+        conf = self.spark.conf
+        before = conf.get(CLEANUP, "false")
+        conf.set(CLEANUP, "true")  # the table is all that is needed of this job
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, table: DataFrame | None = None) -> None:
