@@ -134,14 +134,15 @@ class Posterior:
         marks = marks.where("doc_id is not null")
         learn = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(learn), "doc_id").select("doc_id", "label", measured("text").alias("x"))
-        got = rows.orderBy("doc_id", "x").toArrow()
-        y = got["label"].to_numpy()
+        got = rows.toArrow()
+        x = np.array(got["x"].to_pylist(), float).reshape(-1, MEASURES)
+        order = np.lexsort([*x.T, got["doc_id"].to_numpy()])  # rows come in any order: the same sums every time
+        x, y = x[order], got["label"].to_numpy()[order]
         self.fitted = len(y) > 0 and (y >= 0.5).any() and (y < 0.5).any()
         self.weights, self.mean = None, 0.5
         self.hosts = self.paths = None
         if not self.fitted:
             return
-        x = np.array(got["x"].to_pylist())
         self.weights = spark.sparkContext.broadcast(fit(x, y))
         # the label where there is one, else the evidence: what a document says about its site
         said = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("h"), F.col(path).cast("string").alias("p"), _evidence(self.weights)(F.col("text")).alias("e"))
