@@ -194,7 +194,7 @@ def test_elasticity_of_least_cost_groups(spark):
     m = mapalgebra.cell_stats(adapters.suitability_pixels(spark, sf), pipelines.KEYS).select("habitat", "grp", "row", "col", F.col("mean_suitability").alias("value"))
     m = m.where("grp = 'STANDARD'")
     full = m.select("habitat", "grp").distinct().crossJoin(mapalgebra.cells(spark, Grid(32, 32))).join(m, ["habitat", "grp", "row", "col"], "left")
-    stats = traits.dispersal_stats(adapters.species(spark, sf)).withColumn("d_m", F.lit(50.0))
+    stats = traits.dispersal_stats(adapters.species(spark, sf)).withColumn("d_m", F.lit(25.0))
     out = pipelines.group_elasticity(full, stats, adapters.group_distance(spark, sf), mapalgebra.cells(spark, Grid(32, 32)), hops=2)
     assert {r.sens for r in out.select("sens").distinct().collect()} == {"quality", "permeability"}
     assert out.where("elasticity < 0").count() == 0
