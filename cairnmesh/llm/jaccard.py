@@ -1,6 +1,6 @@
 """Exact Jaccard join of shingle sets as a join in a metric space.
 
-Jaccard distance d is a metric, and a pair links when d <= r (r = 0.25). Three
+Jaccard distance d is a metric, and a pair links when d <= r (r = 0.25). Four
 facts make regions small without losing a link:
 
 * Sets without a common shingle are at distance 1. Each set therefore has a
@@ -9,6 +9,8 @@ facts make regions small without losing a link:
   common anchor. Any global order is exact, the crowded list only saves work.
 * Linked sizes differ by a factor of 4/3 at most (the window of the empty set's
   size), so an anchor's region holds sets of two neighbouring size bands only.
+* Of a pair's first common anchor, both sets have only what follows it left to
+  share; a set that no other set of the region can then reach leaves it.
 * In each region one set is the pivot. All regions of one pivot form
   its Voronoi cell, whose members' distances to the pivot are computed. Members
   within r are linked to it, hence to each other's component, and need no
@@ -267,10 +269,17 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, size: int = 5, id_col:
     classes = scratch.keep(keyed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
     reps = classes.where("rep is not null").select(F.col("rep").alias("doc_id"))
     anchors = texts.mapInArrow(_reordered(size, spark.sparkContext.broadcast(crowded)), "doc_id long, n long, anchors array<long>")
-    anchors = _only(anchors, reps).select("doc_id", "n", F.log(BAND, F.col("n")).cast("int").alias("band"), F.explode("anchors").alias("s"))
+    anchors = _only(anchors, reps).select("doc_id", "n", F.posexplode("anchors").alias("i", "s"))
+    # if s is a pair's first common anchor, the set x at place i has n - i shingles left to share, so 3 * n(y) <= 4 * n(x) - 7 * i
+    anchors = anchors.withColumn("room", F.expr(f"{PARTS} * n - {LEAST + PARTS} * i")).repartition("s")
+    region = Window.partitionBy("s")
+    told = {"sharers": F.count("*"), "all_n": F.sum("n"), "all_room": F.sum("room"), "least_n": F.min("n"), "most_room": F.max("room")}
+    anchors = anchors.select("doc_id", "n", "s", "room", *[f.over(region).alias(k) for k, f in told.items()])
+    pair = f"sharers = 2 and {LEAST} * (all_n - n) <= room and {LEAST} * n <= all_room - room"
+    anchors = anchors.where(f"({pair}) or (sharers > 2 and {LEAST} * least_n <= room and {LEAST} * n <= most_room)")
     # linked sizes differ by one band at most: a region holds two neighbouring bands, each set enters two regions
-    anchors = anchors.repartition("s").withColumn("sharers", F.count("*").over(Window.partitionBy("s"))).where("sharers > 1")
-    anchors = anchors.select("doc_id", "n", "s", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
+    band = F.log(BAND, F.col("n")).cast("int")
+    anchors = anchors.select("doc_id", "n", "s", F.explode(F.array(band, band + 1)).alias("band"))
     pivot = F.min(F.struct("doc_id", "n")).over(Window.partitionBy("s", "band"))
     members = anchors.withColumn("pivot", pivot).where(F.col("doc_id") != F.col("pivot.doc_id"))
     members = members.select(F.col("pivot.doc_id").alias("cell"), F.col("doc_id").alias("member"), "n", F.col("pivot.n").alias("n_pivot")).distinct()
