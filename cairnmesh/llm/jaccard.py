@@ -292,7 +292,7 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, size: int = 5, id_col:
     sets = _only(texts, named).mapInArrow(_whole(size), "doc_id long, shingles binary").where(F.length("shingles") > 0)
     if keyed.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count():
         sets = sets.dropDuplicates(["doc_id"])
-    sets = scratch.keep(sets, "sets")
+    # both uses make the sets anew from the texts: cheaper than a table of them, which would be as large as its input
 
     measured = scratch.keep(_measure(members, sets), "measured")
     direct = F.expr(f"{PARTS} * common >= {LEAST} * (n + n_pivot - common)")
