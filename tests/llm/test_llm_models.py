@@ -83,6 +83,34 @@ def test_toxic_words_are_learned(spark):
     assert kept.columns == docs.columns and kept.count() == toxic.score(spark, docs, net).where("not flagged").count()
 
 
+def test_toxic_passages_late_in_long_texts_are_learned(spark):
+    r = np.random.default_rng(9)
+    rows, labels = [], []
+    for i in range(240):
+        bad = i % 2
+        w = [f"w{x}" for x in r.integers(0, 200, 4100)]
+        rows.append((i, " ".join([*w, *(["vile", "scum"] if bad else ["kind", "folk"])]), "en"))
+        labels.append((i, bad))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxic.score(spark, docs, toxic.train(spark, docs, labels)).join(labels, "doc_id").where("held_out").collect()
+    assert len(got) > 40 and sum((x.score >= 0.7) == (x.toxic == 1) for x in got) / len(got) > 0.95
+
+
+def test_maxima_over_windows_are_those_of_the_whole_text(monkeypatch):
+    r = np.random.default_rng(4)
+    net = toxic.ConvNet()
+    net.table = r.normal(0, 1, (50, toxic.WIDTH)).astype(np.float32)
+    for n in (0, 1, 6, 7, 8, 9, 100):
+        x = r.integers(2, 50, n)
+        monkeypatch.setattr(toxic, "WINDOW", 1 << 16)
+        whole = net._pooled(x)
+        monkeypatch.setattr(toxic, "WINDOW", 5)
+        parts = net._pooled(x)
+        assert np.allclose(whole[0], parts[0], atol=1e-5)
+        for k, a, b in zip(toxic.WIDTHS, whole[1], parts[1], strict=True):  # a run of words that comes again may be found at either place
+            assert all((whole[3][a + j] == parts[3][b + j]).all() for j in range(k))
+
+
 def test_toxicity_edges(spark, docs, none):
     labels = spark.createDataFrame([(i, None if i == 3 else i % 2) for i in range(60)], "doc_id long, toxic int")
     net = toxic.train(spark, docs, labels)
