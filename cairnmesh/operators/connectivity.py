@@ -28,6 +28,8 @@ from ..config import DEFAULT, LEAST_COST, Config, Grid
 from ..functions.columns import Kernel, proximity
 
 TILE = 64
+#: Pairs of cells that are held as one matrix at most.
+PAIRS = 1 << 22
 _STEPS = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
 
 
@@ -55,12 +57,22 @@ def _tiled(df: DataFrame, halo: str | int, tile: int) -> DataFrame:
     return df.select("*", span("row").alias("tr")).select("*", span("col").alias("tc"))
 
 
-def _arrays(pdf: pd.DataFrame, columns: Sequence[str], halo: int, tile: int):
-    r0, c0 = int(pdf["tr"].iloc[0]) * tile - halo, int(pdf["tc"].iloc[0]) * tile - halo
-    side = tile + 2 * halo
+def _by_tile(tiles: DataFrame, names: Sequence[str]):
+    """Tiles grouped; few rows are much work, so they are spread by number and not put together by size."""
+    return tiles.repartition(int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")), *names, "tr", "tc").groupBy(*names, "tr", "tc")
+
+
+def _own(pdf: pd.DataFrame, tile: int) -> pd.DataFrame:
+    """The tile's own cells, without its halo."""
+    return pdf[(pdf["row"] // tile == pdf["tr"]) & (pdf["col"] // tile == pdf["tc"])]
+
+
+def _arrays(pdf: pd.DataFrame, columns: Sequence[str]):
+    """Arrays over the smallest rectangle that holds the rows, and its first row and column; beyond it all is missing."""
+    r0, c0 = int(pdf["row"].min()), int(pdf["col"].min())
     out = []
     for c in columns:
-        a = np.full((side, side), np.nan)
+        a = np.full((int(pdf["row"].max()) - r0 + 1, int(pdf["col"].max()) - c0 + 1), np.nan)
         a[pdf["row"].to_numpy() - r0, pdf["col"].to_numpy() - c0] = pdf[c].to_numpy()
         out.append(a)
     return out, r0, c0
@@ -70,6 +82,8 @@ def _shift(a: np.ndarray, dr: int, dc: int, fill: float) -> np.ndarray:
     """out[i, j] = a[i + dr, j + dc], `fill` beyond the array."""
     out = np.full_like(a, fill)
     n, m = a.shape
+    if abs(dr) >= n or abs(dc) >= m:
+        return out
     out[max(0, -dr) : n - max(0, dr), max(0, -dc) : m - max(0, dc)] = a[max(0, dr) : n + min(0, dr), max(0, dc) : m + min(0, dc)]
     return out
 
@@ -96,7 +110,8 @@ def step_costs(p: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
 def lcp_distances(p: np.ndarray, radius: int, hops: int | None = None) -> dict[tuple[int, int], np.ndarray]:
     """Least cost from each cell to the cell at each offset of the window, by at most `hops` steps (None: until nothing improves)."""
     costs = step_costs(p)
-    offsets = [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1)]
+    high, wide = (min(radius, n - 1) for n in p.shape)  # farther ones lie outside the array
+    offsets = [(a, b) for a in range(-high, high + 1) for b in range(-wide, wide + 1)]
     d = {o: np.full(p.shape, np.inf) for o in offsets}
     d[0, 0] = np.where(np.isnan(p), np.inf, 0.0)
     moved = {(n, o): _shift(costs[n], o[0], o[1], np.inf) for o in offsets for n in _STEPS}
@@ -127,6 +142,8 @@ def lcp_permeability(q: np.ndarray, p: np.ndarray, radius: int, scale: float, ho
     """A step (u, v) lies on a shortest s-t path if d_su + cost_uv + d_vt equals d_st within eps."""
     q0 = np.nan_to_num(q)
     d = lcp_distances(p, radius, hops)
+    if p.size <= PAIRS**0.5:
+        return _permeability_by_step(q0, p, d, radius, scale, eps)
     costs = step_costs(p)
     slope = {n: np.where(np.isfinite(costs[n]), 2 * math.hypot(*n) / (p + _shift(p, *n, np.nan)) ** 2, 0.0) for n in _STEPS}
     total = np.zeros_like(q0)
@@ -149,6 +166,35 @@ def lcp_permeability(q: np.ndarray, p: np.ndarray, radius: int, scale: float, ho
     return total
 
 
+def _permeability_by_step(q0: np.ndarray, p: np.ndarray, d: dict[tuple[int, int], np.ndarray], radius: int, scale: float, eps: float) -> np.ndarray:
+    """The same sum step by step over the pairs of cells in reach: few, large operations where the array is small."""
+    n, m = p.shape
+    far = np.full((n, m, n, m), np.inf)
+    row, col = np.indices((n, m))
+    for (a, b), x in d.items():
+        there = (row + a >= 0) & (row + a < n) & (col + b >= 0) & (col + b < m)
+        r, c = row[there], col[there]
+        far[r, c, r + a, c + b] = x[there]
+    weight = np.where(np.isfinite(far), q0[:, :, None, None] * q0 * np.exp(-far * scale) * scale, 0.0)
+    weight[row, col, row, col] = 0.0
+    total = np.zeros((n, m))
+
+    def around(*cells):
+        return tuple(slice(max(0, max(x) - radius), min(x) + radius + 1) for x in zip(*cells, strict=True))
+
+    for (a, b), cost in step_costs(p).items():
+        for u in zip(*np.nonzero(np.isfinite(cost)), strict=True):
+            v = (u[0] + a, u[1] + b)
+            pairs = around(u, v) + around(v)
+            with np.errstate(invalid="ignore"):  # no path less no path
+                through = (far[around(u, v) + u] + cost[u])[:, :, None, None] + far[v + around(v)]
+                on = np.abs(through - far[pairs]) < eps
+            gain = weight[pairs][on].sum() * 2 * math.hypot(a, b) / (p[u] + p[v]) ** 2
+            total[u] += gain
+            total[v] += gain
+    return total
+
+
 def sensitivity(df: DataFrame, keys: Sequence[str], how: str, hops: int | None = None, eps: float = 1e-9, tile: int = TILE) -> DataFrame:
     """(keys..., row, col, sensitivity) of rasters (keys..., row, col, q, radius, alpha, d_m).
 
@@ -161,23 +207,24 @@ def sensitivity(df: DataFrame, keys: Sequence[str], how: str, hops: int | None =
     schema = f"{fields + ', ' if fields else ''}row int, col int, sensitivity double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = _own(pdf, tile)
+        got = own[[*names, "row", "col"]].copy()
+        if got.empty:  # a tile that is nothing but halo
+            return got.assign(sensitivity=0.0)
         radius = int(pdf["radius"].iloc[0])
-        halo = radius * twice
         scale = float(pdf["alpha"].iloc[0]) / float(pdf["d_m"].iloc[0])
-        (q,), r0, c0 = _arrays(pdf, ["q"], halo, tile)
+        (q,), r0, c0 = _arrays(pdf, ["q"])
         if how == "euclid":
             out = euclid_sensitivity(q, radius, scale)
         elif how == "lcp_quality":
             out = lcp_quality(q, q, radius, scale, hops)
         else:
             out = lcp_permeability(q, q, radius, scale, hops, eps)
-        own = pdf[(pdf["row"] - r0).between(halo, halo + tile - 1) & (pdf["col"] - c0).between(halo, halo + tile - 1)]
-        got = own[[*names, "row", "col"]].copy()
         got["sensitivity"] = out[own["row"].to_numpy() - r0, own["col"].to_numpy() - c0]
         return got
 
     tiles = _tiled(df.withColumn("__halo", F.col("radius") * twice), "__halo", tile).drop("__halo")
-    return tiles.groupBy(*names, "tr", "tc").applyInPandas(run, schema)
+    return _by_tile(tiles, names).applyInPandas(run, schema)
 
 
 def lcp_sums(df: DataFrame, keys: Sequence[str], hops: int | None = None, tile: int = TILE) -> DataFrame:
@@ -187,18 +234,19 @@ def lcp_sums(df: DataFrame, keys: Sequence[str], hops: int | None = None, tile:
     schema = f"{fields + ', ' if fields else ''}row int, col int, reached long, distance_sum double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        radius = int(pdf["radius"].iloc[0])
-        (p,), r0, c0 = _arrays(pdf, ["q"], radius, tile)
-        d = lcp_distances(p, radius, hops)
+        own = _own(pdf, tile)
+        got = own[[*names, "row", "col"]].copy()
+        if got.empty:
+            return got.assign(reached=0, distance_sum=0.0)
+        (p,), r0, c0 = _arrays(pdf, ["q"])
+        d = lcp_distances(p, int(pdf["radius"].iloc[0]), hops)
         count = sum(np.isfinite(x).astype(np.int64) for x in d.values())
         total = sum(np.where(np.isfinite(x), x, 0.0) for x in d.values())
-        own = pdf[(pdf["row"] - r0).between(radius, radius + tile - 1) & (pdf["col"] - c0).between(radius, radius + tile - 1)]
-        got = own[[*names, "row", "col"]].copy()
         at = own["row"].to_numpy() - r0, own["col"].to_numpy() - c0
         got["reached"], got["distance_sum"] = count[at], total[at]
         return got
 
-    return _tiled(df, "radius", tile).groupBy(*names, "tr", "tc").applyInPandas(run, schema)
+    return _by_tile(_tiled(df, "radius", tile), names).applyInPandas(run, schema)
 
 
 def elasticity(sens: DataFrame, fine: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, FRAME, GROUPS, Grid
+from ..config import DEFAULT, FRAME, GROUPS, LEAST_COST, Grid
 from ..functions.columns import NUDGE, quality_floor, r6
 from ..operators import connectivity, mapalgebra, spatial, traits
 from ..sources import adapters
@@ -16,6 +16,8 @@ from . import pipelines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Whole jobs that SQL is too slow for: they are what is registered under the name, without SQL. QUERIES holds the part that SQL can check.
+WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 KEYS = pipelines.KEYS
 RADIUS, HOPS = 3, 3
 BUFFER = 100.0
@@ -30,6 +32,14 @@ def query(oracle: str):
     return add
 
 
+def whole(name: str):
+    def add(f):
+        WHOLE[name] = f
+        return f
+
+    return add
+
+
 def _means(spark, d) -> DataFrame:
     return mapalgebra.cell_stats(adapters.suitability_pixels(spark, d), KEYS)
 
@@ -347,6 +357,34 @@ def sensitivity_lcp_permeability(spark, d):
     return connectivity.sensitivity(_small(spark, d, "PROMO"), [], "lcp_permeability", HOPS, tile=16).select("row", "col", r6("sensitivity").alias("sensitivity"))
 
 
+def _full(spark, d) -> DataFrame:
+    """Every group's and habitat's mean raster on the whole frame."""
+    m = _means(spark, d).select(*KEYS, "row", "col", F.col("mean_suitability").alias("value"))
+    return m.select(*KEYS).distinct().crossJoin(mapalgebra.cells(spark, FRAME)).join(m, [*KEYS, "row", "col"], "left")
+
+
+def _paths(spark, d) -> DataFrame:
+    """The coarse quality rasters of all least-cost groups and habitats, each with its own radius, alpha and distance."""
+    ready = pipelines.prepared(_full(spark, d), traits.dispersal_stats(adapters.species(spark, d)), adapters.group_distance(spark, d))
+    return ready.where(F.col("distance") == LEAST_COST).select(*KEYS, "row", "col", "q", "radius", "alpha", "d_m")
+
+
+@whole("lcp_distance")
+def lcp_distance_whole(spark, d):
+    s = connectivity.lcp_sums(_paths(spark, d), KEYS)
+    return s.select(*KEYS, "row", "col", "reached", r6("distance_sum").alias("distance_sum"))
+
+
+@whole("sensitivity_lcp_quality")
+def sensitivity_lcp_quality_whole(spark, d):
+    return connectivity.sensitivity(_paths(spark, d), KEYS, "lcp_quality").select(*KEYS, "row", "col", r6("sensitivity").alias("sensitivity"))
+
+
+@whole("sensitivity_lcp_permeability")
+def sensitivity_lcp_permeability_whole(spark, d):
+    return connectivity.sensitivity(_paths(spark, d), KEYS, "lcp_permeability").select(*KEYS, "row", "col", r6("sensitivity").alias("sensitivity"))
+
+
 # --- composites -----------------------------------------------------------------------------------------
 
 

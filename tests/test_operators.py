@@ -1,5 +1,7 @@
 """Hand-computed grids and properties of the operators."""
 
+import heapq
+import importlib
 import math
 
 import numpy as np
@@ -11,9 +13,11 @@ from pyspark.sql import functions as F
 from cairnmesh.config import Grid
 from cairnmesh.functions import columns
 from cairnmesh.operators import connectivity, mapalgebra, spatial, traits
-from cairnmesh.plans import pipelines
+from cairnmesh.plans import catalog, pipelines
 from cairnmesh.sources import adapters, rasters
 
+SMOKE = "/root/testdata/sf0.001"
+
 
 def raster(spark, values):
     return spark.createDataFrame([(r, c, v) for r, row in enumerate(values) for c, v in enumerate(row)], "row int, col int, value double")
@@ -206,3 +210,71 @@ def test_elasticity_of_least_cost_groups(spark):
 def test_trait_file(spark, tmp_path):
     (tmp_path / "t.csv").write_text("id,species,Dispersal_km,CH3Div.group,CH3Div.scheme\n0,a b,1.5,g/h,aquatic\n")
     assert rasters.read_traits(spark, str(tmp_path / "t.csv")).first().asDict() == {"species_id": 0, "species": "a b", "dispersal_km": 1.5, "grp": "g/h", "habitat": "aquatic"}
+
+
+def brute_paths(q, radius, sources=None):
+    """{(s, t): least cost} by Dijkstra from each cell, inside its window."""
+    out, steps = {}, [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
+    for s in sources or q:
+        heap, done = [(0.0, s)], {}
+        while heap:
+            d, u = heapq.heappop(heap)
+            if u in done:
+                continue
+            done[u] = d
+            for a, b in steps:
+                v = (u[0] + a, u[1] + b)
+                if v in q and v not in done and max(abs(v[0] - s[0]), abs(v[1] - s[1])) <= radius:
+                    heapq.heappush(heap, (d + math.hypot(a, b) * 2 / (q[u] + q[v]), v))
+        out.update({(s, t): d for t, d in done.items()})
+    return out
+
+
+def brute_permeability(q, radius, scale):
+    far, total = brute_paths(q, radius), dict.fromkeys(q, 0.0)
+    for u in q:
+        for v in q:
+            if u == v or max(abs(u[0] - v[0]), abs(u[1] - v[1])) > 1:
+                continue
+            cost, slope = math.hypot(u[0] - v[0], u[1] - v[1]) * 2 / (q[u] + q[v]), 2 * math.hypot(u[0] - v[0], u[1] - v[1]) / (q[u] + q[v]) ** 2
+            for s in [s for s in q if (s, u) in far and (s, v) in far]:
+                for t in q:
+                    if s != t and (s, t) in far and (v, t) in far and abs(far[s, u] + cost + far[v, t] - far[s, t]) < 1e-9:
+                        gain = q[s] * q[t] * math.exp(-far[s, t] * scale) * scale * slope
+                        total[u] += gain
+                        total[v] += gain
+    return total
+
+
+def test_whole_least_cost_queries_against_brute_force(spark):
+    """Every least-cost raster is there, with its own radius and paths of any number of steps."""
+    queries = importlib.import_module("__spark_entry__").queries()
+    got = {n: {(r.habitat, r.grp, r.row, r.col): r for r in queries[n](spark, SMOKE).collect()} for n in ("lcp_distance", "sensitivity_lcp_quality", "sensitivity_lcp_permeability")}
+    rasters = {}
+    for r in catalog._paths(spark, SMOKE).collect():
+        rasters.setdefault((r.habitat, r.grp), (r.radius, r.alpha / r.d_m, {}))[2][r.row, r.col] = r.q
+    assert {g for _, g in rasters} == {"LARGE", "MEDIUM", "SMALL", "STANDARD"} and len(rasters) == 8 and {r for r, _, _ in rasters.values()} <= {15, 16}
+    assert all(len(rows) == sum(len(q) for _, _, q in rasters.values()) for rows in got.values())
+    small = min(rasters, key=lambda k: len(rasters[k][2]))
+    for key, (radius, scale, q) in rasters.items():
+        some = sorted(q)[::37]
+        of = {s: [] for s in some}
+        for (s, t), d in brute_paths(q, radius, some).items():
+            of[s].append((t, d))
+        for s in some:
+            assert got["lcp_distance"][*key, *s].reached == len(of[s])
+            assert got["lcp_distance"][*key, *s].distance_sum == pytest.approx(sum(d for _, d in of[s]), rel=1e-9, abs=1e-5)
+            assert got["sensitivity_lcp_quality"][*key, *s].sensitivity == pytest.approx(2 * sum(q[t] * math.exp(-d * scale) for t, d in of[s]), abs=1e-5)
+        if key == small:
+            for s, v in brute_permeability(q, radius, scale).items():
+                assert got["sensitivity_lcp_permeability"][*key, *s].sensitivity == pytest.approx(v, rel=1e-7, abs=1e-5)
+
+
+@pytest.mark.parametrize("hops", [2, None])
+def test_permeability_by_step_is_that_by_offset(hops, monkeypatch):
+    monkeypatch.setattr(connectivity, "PAIRS", 0)
+    p = np.random.default_rng(3).uniform(0.2, 1, (7, 6))
+    p[2, 3] = np.nan
+    for radius in (3, 5):
+        step = connectivity._permeability_by_step(np.nan_to_num(p), p, connectivity.lcp_distances(p, radius, hops), radius, 0.2, 1e-9)
+        assert np.allclose(step, connectivity.lcp_permeability(p, p, radius, 0.2, hops, 1e-9))
