@@ -450,3 +450,10 @@ def group_elasticity(spark, d):
     stats = traits.dispersal_stats(adapters.species(spark, d))
     out = pipelines.group_elasticity(full, stats, straight, _border(spark), sens=("quality",))
     return out.where("elasticity is not null").select(*KEYS, "sens", "row", "col", r6("elasticity").alias("elasticity"))
+
+
+@whole("group_elasticity")
+def group_elasticity_whole(spark, d):
+    """All groups with every sensitivity that their distance has."""
+    out = pipelines.group_elasticity(_full(spark, d), traits.dispersal_stats(adapters.species(spark, d)), adapters.group_distance(spark, d), _border(spark))
+    return out.where("elasticity is not null").select(*KEYS, "sens", "row", "col", r6("elasticity").alias("elasticity"))

@@ -278,3 +278,26 @@ def test_permeability_by_step_is_that_by_offset(hops, monkeypatch):
     for radius in (3, 5):
         step = connectivity._permeability_by_step(np.nan_to_num(p), p, connectivity.lcp_distances(p, radius, hops), radius, 0.2, 1e-9)
         assert np.allclose(step, connectivity.lcp_permeability(p, p, radius, 0.2, hops, 1e-9))
+
+
+def test_whole_group_elasticity(spark):
+    """Every group and sensitivity is there; straight-line groups as SQL has them, a least-cost raster against brute force."""
+    whole = importlib.import_module("__spark_entry__").queries()["group_elasticity"](spark, SMOKE).collect()
+    kinds = {(r.grp, r.sens) for r in whole}
+    assert kinds == {(g, "quality") for g in ("ECONOMY", "PROMO", "LARGE", "MEDIUM", "SMALL", "STANDARD")} | {(g, "permeability") for g in ("LARGE", "MEDIUM", "SMALL", "STANDARD")}
+    assert {tuple(r) for r in whole if r.grp in ("ECONOMY", "PROMO")} == {tuple(r) for r in catalog.QUERIES["group_elasticity"](spark, SMOKE).collect()}
+    rasters = {}
+    for r in catalog._paths(spark, SMOKE).collect():
+        rasters.setdefault((r.habitat, r.grp), (r.radius, r.alpha / r.d_m, {}))[2][r.row, r.col] = r.q
+    key = min(rasters, key=lambda k: len(rasters[k][2]))
+    radius, scale, q = rasters[key]
+    want = {"permeability": brute_permeability(q, radius, scale), "quality": dict.fromkeys(q, 0.0)}
+    for (s, t), x in brute_paths(q, radius).items():
+        want["quality"][s] += 2 * q[t] * math.exp(-x * scale)
+    f = 32 // round(len(q) ** 0.5)
+    border = {(r.row, r.col) for r in catalog._border(spark).collect()}
+    fine = {(r.row, r.col): r.value for r in catalog._full(spark, SMOKE).where((F.col("habitat") == key[0]) & (F.col("grp") == key[1]) & F.col("value").isNotNull()).collect()}
+    for sens, of in want.items():
+        got = {(r.row, r.col): r.elasticity for r in whole if (r.habitat, r.grp, r.sens) == (*key, sens)}
+        expected = {x: v * of[x[0] // f, x[1] // f] for x, v in fine.items() if x in border and (x[0] // f, x[1] // f) in of}
+        assert got == pytest.approx(expected, rel=1e-7, abs=1e-5)
