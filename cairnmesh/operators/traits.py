@@ -57,7 +57,9 @@ def match_files(traits: DataFrame, files: DataFrame, name: str = "species", suff
     # only endings as long as a wanted name's can match: names go first, lengths prune the explode
     lengths = wanted.select(F.length("ending").alias("size")).distinct()
     endings = endings.withColumn("size", F.length("ending")).join(F.broadcast(lengths), "size", "left_semi").drop("size")
-    found = wanted.join(endings, "ending", "left").groupBy("species_id", "species").agg(F.count("file").alias("n_files"), F.min("file").alias("file"))
+    # files are counted by ending before they meet names: a name that repeats in both makes no pairs
+    endings = endings.groupBy("ending").agg(F.count("*").alias("n"), F.min("file").alias("file"))
+    found = wanted.join(endings, "ending", "left").groupBy("species_id", "species").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_files"), F.min("file").alias("file"))
     return found.withColumn("file", F.when(F.col("n_files") == 1, F.col("file")))
 
 

@@ -91,13 +91,23 @@ def species_file_match(spark, d):
     return traits.match_files(adapters.species(spark, d), adapters.file_names(spark, d))
 
 
-@query(sql.AVAILABLE_SPECIES)
-def available_species(spark, d):
+def _available(spark, d, bare: DataFrame) -> DataFrame:
+    """Species with exactly one file, of bare names and of names with their number in front."""
     files = adapters.table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit("_"), F.replace("p_name", F.lit(" "), F.lit(".")), F.lit("_reg_covariate_ensemble.tif")).alias("file"))
-    wanted = _repeated(spark, d).select("species_id", "species").where("species_id % 3 = 0").unionByName(adapters.species(spark, d).select("species_id", F.concat(F.lit("p"), "species_id", F.lit("_"), F.regexp_replace("species", r" \d+$", "")).alias("species")))
+    wanted = bare.select("species_id", "species").unionByName(adapters.species(spark, d).select("species_id", F.concat(F.lit("p"), "species_id", F.lit("_"), F.regexp_replace("species", r" \d+$", "")).alias("species")))
     return traits.available(traits.match_files(wanted, files)).select("species_id", "species", "file")
 
 
+@query(sql.AVAILABLE_SPECIES)
+def available_species(spark, d):
+    return _available(spark, d, _repeated(spark, d).where("species_id % 3 = 0"))
+
+
+@whole("available_species")
+def available_species_whole(spark, d):
+    return _available(spark, d, _repeated(spark, d))
+
+
 @query(sql.DISPERSAL_STATS)
 def dispersal_stats(spark, d):
     s = traits.dispersal_stats(adapters.species(spark, d))

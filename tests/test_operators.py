@@ -301,3 +301,19 @@ def test_whole_group_elasticity(spark):
         got = {(r.row, r.col): r.elasticity for r in whole if (r.habitat, r.grp, r.sens) == (*key, sens)}
         expected = {x: v * of[x[0] // f, x[1] // f] for x, v in fine.items() if x in border and (x[0] // f, x[1] // f) in of}
         assert got == pytest.approx(expected, rel=1e-7, abs=1e-5)
+
+
+def test_whole_available_species_against_brute_force(spark, tmp_path):
+    """Bare names of every id are matched, also those that only one file ends in."""
+    names = ["red moss", "red moss", "blue fern", "tall oak", "old tall oak", "grey ash", "grey ash"]
+    rows = [(i, n, "SMALL", 10) for i, n in enumerate(names, 1)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = {tuple(r) for r in importlib.import_module("__spark_entry__").queries()["available_species"](spark, str(tmp_path)).collect()}
+    files = [f"p{i}_{n.replace(' ', '.')}_reg_covariate_ensemble.tif" for i, n in enumerate(names, 1)]
+    want = set()
+    for i, n in enumerate(names, 1):
+        for name in (n, f"p{i}_{n}"):
+            fits = [f for f in files if f.endswith(name.replace(" ", ".") + "_reg_covariate_ensemble.tif")]
+            if len(fits) == 1:
+                want.add((i, name, fits[0]))
+    assert got == want and (5, "old tall oak", files[4]) in got and (4, "tall oak") not in {r[:2] for r in got}
