@@ -9,7 +9,9 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -97,5 +99,35 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(path)
 
 
+#: A table is broadcast only where it is measured to take no more memory than this; beyond it the join is shuffled.
+BROADCAST_BYTES = 16 << 20
+
+
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 16
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.aggregate(value, F.lit(24).cast("long"), lambda n, x: n + _bytes(x, kind.elementType)), F.lit(8).cast("long"))
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(16).cast("long"))
+    return F.lit(8).cast("long")
+
+
+def fits(table: DataFrame, limit: int | None = None) -> bool:
+    """Whether all rows of a written table take at most `limit` bytes (BROADCAST_BYTES), 32 for each row besides its values."""
+    size = sum((_bytes(F.col(f.name), f.dataType) for f in table.schema.fields), F.lit(32).cast("long"))
+    return (table.agg(F.sum(size)).first()[0] or 0) <= (BROADCAST_BYTES if limit is None else limit)
+
+
+def small(table: DataFrame) -> DataFrame:
+    """The table, marked for broadcast where it fits."""
+    return F.broadcast(table) if fits(table) else table
+
+
+def packed(docs: DataFrame) -> Column:
+    """All columns of docs as one struct, `row`: whatever their names, they can't clash with an operator's own. `row.*` gives them back."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row")
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

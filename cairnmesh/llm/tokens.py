@@ -180,6 +180,8 @@ class Chunks(dict):
     of a text are those of its chunks, one after the other. ASCII marks at a
     chunk's end are a pre-token of their own when a letter or digit (ASCII, or
     U+00C0 to U+00FF but the signs for times and division) stands before them.
+    The library finds special strings before it lower-cases, so a chunk that
+    holds one in any case keeps its case and goes to the library as it is.
     """
 
     MARKS = b".,!?;:#$%&*|"
@@ -189,6 +191,16 @@ class Chunks(dict):
         super().__init__()
         self.tokenizer = library(path)
         self.older: dict[bytes, bytes] = {}
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def _has_special(self, low: bytes) -> bool:
+        return any(s in low for s in self.special)
+
+    def chunks_of(self, text: bytes) -> list[bytes]:
+        low = text.lower()
+        if not self._has_special(low):
+            return low.split()
+        return [c if self._has_special(c.lower()) else c.lower() for c in text.split()]
 
     def learn(self, chunks: set[bytes]) -> None:
         import numpy as np
@@ -204,6 +216,9 @@ class Chunks(dict):
             new.difference_update(known)
         plain, marked = set(), []
         for c in new:
+            if self._has_special(c.lower()):
+                self[c] = np.array(ids_of(self.tokenizer, [c.decode("utf-8", "replace")])[0], "<u4").tobytes()
+                continue
             core = c.rstrip(self.MARKS)
             if len(core) < len(c) and self.BEFORE.search(core):
                 marked.append((c, core, c[len(core) :]))
@@ -221,12 +236,7 @@ class Chunks(dict):
             some = ask[at : at + 20_000]
             e = self.tokenizer.encode([s.decode("utf-8", "replace") for s in some], is_pretokenized=True, add_special_tokens=False)
             ids = np.array(e.ids, "<u4")
-            word = e.word_ids
-            word = np.array([-1] if None in word else word)
-            if (word < 0).any() or (np.diff(word) < 0).any():  # special strings: one by one
-                for s, got in zip(some, ids_of(self.tokenizer, [s.decode("utf-8", "replace") for s in some]), strict=True):
-                    self[s] = np.array(got, "<u4").tobytes()
-                continue
+            word = np.array(e.word_ids)
             first = (4 * np.searchsorted(word, np.arange(len(some) + 1))).tolist()
             raw = ids.tobytes()
             self.update((s, raw[a:b]) for s, a, b in zip(some, first, first[1:], strict=False))
@@ -235,9 +245,8 @@ class Chunks(dict):
 
     def of_texts(self, run: list[bytes]) -> list[bytes]:
         """Ids of UTF-8 texts."""
-        lists = [b.lower().split() for b in run]
-        need = set().union(*lists)
-        self.learn(need)
+        lists = [self.chunks_of(b) for b in run]
+        self.learn(set().union(*lists))
         get = self.__getitem__
         return [b"".join(map(get, some)) for some in lists]
 

@@ -1,3 +1,4 @@
+import functools
 import zlib
 
 import numpy as np
@@ -10,10 +11,15 @@ from cairnmesh.llm.packing import SIZE, pack, places, shortest_pack_first
 from cairnmesh.llm.queries import vocabulary
 
 
-def ids(path, text):
+@functools.cache
+def library(path):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(path)
+
+
+def ids(path, text):
+    return library(path).encode(text or "", add_special_tokens=False).ids
 
 
 def test_counts_are_the_librarys(spark, docs, none):
@@ -34,6 +40,14 @@ def test_any_text(text):
     assert np.frombuffer(table.of_texts([text.encode()])[0], "<u4").tolist() == ids(vocabulary("word_bpe_49k.json"), text)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|StartOfText|>", "<|endoftext", "|>", " ", "\n", "Word", "é,", "A.B", "1"]), max_size=12).map("".join))
+def test_special_strings_in_any_case(text):
+    table = tokens.chunk_table(vocabulary("word_bpe_49k.json"))
+    assert np.frombuffer(table.of_texts([text.encode()])[0], "<u4").tolist() == ids(vocabulary("word_bpe_49k.json"), text)
+    assert tokens._counter(vocabulary("byte_bpe_50k.json")).of_texts([text]) == [len(ids(vocabulary("byte_bpe_50k.json"), text))]
+
+
 def test_tables_start_anew(monkeypatch):
     monkeypatch.setattr(tokens, "ROOM", 5)
     monkeypatch.setattr(tokens, "PART", 40)
