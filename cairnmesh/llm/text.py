@@ -101,13 +101,13 @@ def blocks(texts: list, limit: int = BLOCK) -> Iterator[tuple[int, list[bytes]]]
         yield at, run
 
 
-def words(run: list[bytes], ends: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words of these texts, place of each text's first word and the end)."""
+def words(run: list[bytes], ends: np.ndarray = SPACE, gap: bytes = b" ") -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words of these texts, place of each text's first word and the end). `gap` is one of `ends`."""
     if len(run) == 1:
         h = word_hashes(run[0], ends)
         return h, np.array([0, len(h)])
     sizes = np.fromiter((len(b) + 1 for b in run), np.int64, len(run))
-    h, start, _ = _hash_block(b" ".join(run).translate(LOWER), ends)
+    h, start, _ = _hash_block(gap.join(run).translate(LOWER), ends)
     first = np.concatenate([[0], np.cumsum(sizes)])
     return h, np.searchsorted(start, first)
 

@@ -18,7 +18,7 @@ from cairnmesh.llm.store import Scratch, documents
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior quality is at least one half stay."""
-    return Posterior(spark, docs, documents(spark, sf_dir, "labels")).filtered(docs)
+    return Posterior(spark, docs, documents(spark, sf_dir, "labels")).filtered()
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

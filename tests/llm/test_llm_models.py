@@ -79,8 +79,11 @@ def test_toxic_words_are_learned(spark):
     net = toxic.train(spark, docs, labels)
     got = toxic.score(spark, docs, net).join(labels, "doc_id").where("held_out").collect()
     assert len(got) > 80 and sum((r.score >= 0.7) == (r.toxic == 1) for r in got) / len(got) > 0.95
-    kept = toxic.filtered(spark, docs, net)
-    assert kept.columns == docs.columns and kept.count() == toxic.score(spark, docs, net).where("not flagged").count()
+    more = docs.withColumns({c: F.lit("keepme") for c in ("__score", "__lang", "row", "score")})
+    kept = toxic.filtered(spark, more, net)
+    assert kept.columns == more.columns and {tuple(r[-4:]) for r in kept.collect()} == {("keepme",) * 4}
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in toxic.score(spark, docs, net).where("not flagged").collect()}
+    assert toxic.train(spark, docs.union(docs).union(docs), labels).thresholds == net.thresholds  # repeated rows are learned from once
 
 
 def test_toxic_passages_late_in_long_texts_are_learned(spark):
@@ -140,16 +143,66 @@ def test_quality_shrinks_sparse_sites(spark, docs, none):
         labels.append((i, int(good)))
     d, lab = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), spark.createDataFrame(labels, "doc_id long, quality int")
     p = quality.Posterior(spark, d, lab.where("doc_id % 3 <> 0"))
-    got = {x.doc_id: x for x in p.judge(d).collect()}
+    got = {x.doc_id: x for x in p.judged().collect()}
     assert sum(got[i].kept == bool(q) for i, q in labels) / len(labels) > 0.97
     assert got[3].host_rate > got[2].host_rate and got[2].host_rate < got[0].host_rate < got[3].host_rate
     judged = quality.quality(spark, docs, lab)
     assert judged.count() == docs.count() and judged.where("quality_p is null").count() == 0
-    assert p.filtered(docs).columns == docs.columns
+    more = docs.withColumns({c: F.lit("keepme") for c in ("e", "h", "kept", "row", "pn", "label", "__c0")})
+    kept = quality.Posterior(spark, more, lab).filtered()
+    assert kept.columns == more.columns and {r.e for r in kept.collect()} <= {"keepme"}
+    assert kept.count() == judged.where("kept").count()
     assert quality.quality(spark, none, lab).count() == 0
     assert quality.quality(spark, docs, lab.where("doc_id < 0")).where("kept").count() == docs.count()
 
 
+def test_quality_posteriors_against_brute_force(spark):
+    """Sums over sites in which a document leaves out exactly what it added, twins with different labels and repeated rows included."""
+    r = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{x}" for x in r.integers(0, 300, 25)) if r.random() < 0.6 else "## && " * 9, f"p{i % 3}", f"s{i % 5}") for i in range(120)]
+    rows += [(500, "same words in both", "p", "twin0"), (501, "same words in both", "p", "twin1"), rows[4], rows[4], (4, "another text of that id", "p0", "s4"), (None, "no id", None, None), (None, "no id", None, None), (7, None, None, "s2")]
+    labels = [(i, int(r.random() < 0.7)) for i in range(0, 120, 2)] + [(500, 1), (501, 0), (4, 1), (9, None), (None, 1)]
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    post = quality.Posterior(spark, docs, lab)
+    of = {}
+    for i, q in labels:
+        if i is not None and q is not None:
+            of.setdefault(i, []).append(q)
+    of = {i: sum(x) / len(x) for i, x in of.items()}
+    e = dict(zip(range(len(rows)), quality.log_odds([t.encode() if t is not None else None for _, t, _, _ in rows], post.weights.value), strict=True))
+    prob = {k: 1 / (1 + math.exp(-x)) for k, x in e.items()}
+    adds = [of.get(i, prob[k]) for k, (i, *_) in enumerate(rows)]
+    mean = sum(adds) / len(rows)
+    want = []
+    for k, (i, _, lang, source) in enumerate(rows):
+        mine = [j for j, x in enumerate(rows) if j == k or (x[0] == i and i in of)]
+        host = [adds[j] for j, x in enumerate(rows) if x[3] == source and j not in mine]
+        path = [adds[j] for j, x in enumerate(rows) if x[3] == source and x[2] == lang and j not in mine]
+        host_rate = (sum(host) + post.host_strength * mean) / (len(host) + post.host_strength)
+        path_rate = (sum(path) + post.path_strength * host_rate) / (len(path) + post.path_strength)
+        odds = e[k] + math.log(path_rate / (1 - path_rate)) - math.log(mean / (1 - mean))
+        want.append((-1 if i is None else i, round(host_rate, 9), round(path_rate, 9), round(1 / (1 + math.exp(-odds)), 9)))
+    got = post.judged().collect()
+    assert sorted((-1 if x.doc_id is None else x.doc_id, round(x.host_rate, 9), round(x.path_rate, 9), round(x.quality_p, 9)) for x in got) == sorted(want)
+    twins = {x.doc_id: x for x in got if x.doc_id in (500, 501)}
+    assert twins[500].path_rate == pytest.approx(twins[501].path_rate)
+    assert post.filtered().count() == sum(x.kept for x in got)
+
+
+def test_measures_are_those_of_the_words():
+    texts = [b"", b"One two two\n\nThree! 4 #\n", b"a", "é ü é ü".encode(), b"x y " * 400_000]
+    got = np.concatenate([quality.measures(r) for _, r in quality.blocks(texts)])
+    for b, g in zip(texts, got, strict=True):
+        w, lines = b.lower().split(), [x for x in b.lower().split(b"\n") if x]
+        n, c = len(w), Counter(w)
+        count = lambda some: sum(b.count(bytes([x])) for x in some)  # noqa: E731, B023
+        want = [0.0] * 9 + [1.0]
+        if n:
+            pairs = len(set(zip(w, w[1:], strict=False))) if n > 1 else 1
+            want = [math.log1p(n) / 5, len(c) / n, max(c.values()) / n, 1 - pairs / max(1, n - 1), count(quality.CLASSES[0]) / len(b), count(quality.CLASSES[1]) / len(b) * 10, count(quality.CLASSES[2]) / len(b) * 10, 1 - len(set(lines)) / len(lines), b.count(b"!") / n, 0.0]
+        assert np.allclose(g, want)
+
+
 def test_url_rules(spark):
     urls = ["http://A.Example.com/en/x", "https://www.example.com/en/1?q", "http://a.www.example.com/en/", "ftp://foo.net/es/1#t", "http://net/fr/", "http://x.com", "http://x.org/a", None, "", "nonsense", "http://notexample.com/en/a", "http://h.net/en/es/"]
     pages = spark.createDataFrame([*enumerate(urls), (0, urls[0])], "page_id long, url string").withColumn("host", F.lit("clash"))
