@@ -12,8 +12,9 @@ with control strings inside roles and texts escaped by a backslash, which
 ``parse`` undoes. The loss mask is the list of spans of assistant texts.
 
 Defined cases: null texts and roles are empty strings; turns are ordered by
-turn, then role, then text, nulls first, and equal rows stay equal turns; rows
-without a conv_id are conversations of their own; a record that isn't JSON or
+turn, then role, then text, nulls first, and equal rows stay equal turns; each
+row without a conv_id is a conversation of its own, also where such rows repeat;
+roles are kept as they are but for the from/value layout's; a record that isn't JSON or
 that no mapping fits has layout null and no turns; an empty table gives an
 empty table. A conversation is one output value, so its turns meet in one task
 by nature; conversations are dealt over all tasks by their id.
@@ -39,15 +40,16 @@ _ESCAPE_ROLE = re.compile(r"\\|###|</turn>|:|\n")
 _UNESCAPE_ROLE = re.compile(r"\\(\\|###|</turn>|:|\n)")
 _END = re.compile(r"\\(?:\\|###|</turn>)|(</turn>)")
 _END_ROLE = re.compile(r"\\(?:\\|###|</turn>|:|\n)|(: )")
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant"}
+#: Role names of the from/value layout; other layouts' roles stay as they are.
+SPEAKERS = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"), ("ai", "assistant"))
 
 
 @dataclass(frozen=True)
 class Mapping:
     """Where a layout holds its turns.
 
-    `turns`: path of the list of turns, with the names of role and text in it;
-    or `parts`: (role, paths whose non-empty texts are joined by an empty line).
+    `turns`: path of the list of turns, with the names of role and text in it
+    and what roles are renamed to; or `parts`: (role, paths whose non-empty texts are joined by an empty line).
     `examples`: the field paths of records of this layout.
     """
 
@@ -56,12 +58,13 @@ class Mapping:
     turns: str = ""
     role: str = ""
     text: str = ""
+    roles: tuple[tuple[str, str], ...] = ()
     parts: tuple[tuple[str, tuple[str, ...]], ...] = field(default=())
 
 
-def _listed(name: str, turns: str, role: str, text: str) -> Mapping:
+def _listed(name: str, turns: str, role: str, text: str, roles: tuple[tuple[str, str], ...] = ()) -> Mapping:
     base = f"{turns}[]"
-    return Mapping(name, ((turns, base, f"{base}.{role}", f"{base}.{text}"),), turns, role, text)
+    return Mapping(name, ((turns, base, f"{base}.{role}", f"{base}.{text}"),), turns, role, text, roles)
 
 
 def _pair(name: str, *parts: tuple[str, tuple[str, ...]], optional: tuple[str, ...] = ()) -> Mapping:
@@ -77,7 +80,7 @@ def _pair(name: str, *parts: tuple[str, tuple[str, ...]], optional: tuple[str, .
 MAPPINGS = (
     _listed("messages", "messages", "role", "content"),
     _listed("turns", "turns", "role", "text"),
-    _listed("conversations", "conversations", "from", "value"),
+    _listed("conversations", "conversations", "from", "value", SPEAKERS),
     _pair("instruction", ("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)), optional=("system", "input")),
     _pair("instruction_context", ("user", ("instruction", "context")), ("assistant", ("response",)), optional=("context",)),
     _pair("prompt_completion", ("user", ("prompt",)), ("assistant", ("completion",))),
@@ -128,8 +131,9 @@ def canonical(record, mapping: Mapping) -> list[tuple[str, str]]:
 
     if mapping.turns:
         some = [t for t in record.get(mapping.turns) or [] if isinstance(t, dict)]
+        named = dict(mapping.roles)
         turns = [(text(t.get(mapping.role)), text(t.get(mapping.text))) for t in some]
-        return [(ROLES.get(r, r), t) for r, t in turns]
+        return [(named.get(r, r), t) for r, t in turns]
     out = []
     for role, names in mapping.parts:
         held = [text(record[n]) for n in names if n in record]
@@ -203,8 +207,9 @@ def format_chats(spark: SparkSession, records: DataFrame, record: str = "record"
 def records_of(rows: DataFrame) -> DataFrame:
     """(conv_id, record) of rows (conv_id, turn, role, text)."""
     rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text")).otherwise(0)
-    turns = rows.groupBy("conv_id", alone.alias("alone")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    turn = F.struct("turn", "role", "text")
+    turns = rows.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    turns = turns.unionByName(rows.where("conv_id is null").select("conv_id", F.array(turn).alias("turns")))
     slim = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     return turns.select("conv_id", F.to_json(F.struct(slim.alias("turns"))).alias("record"))
 

@@ -7,8 +7,9 @@ windowed-sinc filter, overlapped frames of WINDOW samples every HOP, log-mel
 energies by a triangular filterbank, and segments by hysteresis on frame energy
 (a segment begins at or above the high threshold and ends below the low one).
 ``features`` returns the log-mel frames as fixed-shape Arrow tensors with the
-time span of each, and the segments. Frames are computed in runs of RUN, so a
-very long payload needs memory for one run beside its bytes.
+time span of each, and the segments. Samples are resampled and transformed in
+runs of RUN frames; a payload's log-mel frames are held together, which takes
+about as much memory as the payload itself.
 
 Defined cases: null and empty texts are one frame of spaces; equal texts give
 equal bytes and features; repeated rows are kept; other columns are not read.

@@ -3,16 +3,22 @@
 A text's fingerprints are the smallest hash of each run of SPAN - GRAM + 1
 word-grams of GRAM words. A span of SPAN words that a document and an item
 share has the same grams in both, hence the same smallest one: no shared span
-is missed. Documents that share a fingerprint with the benchmark are extended:
-each of their windows is looked up among the benchmark's windows and compared
-word by word. Items of fewer words than a window are one window; their length's
-grams are fingerprints of their own.
+is missed. Fingerprints that a document shares with the benchmark are extended:
+the windows of SPAN words around each place of such a gram, and only those, are
+looked up among the benchmark's windows. Items of fewer words than a window are
+one window, whose first gram (GRAM words, or all if fewer) is its fingerprint;
+documents then look up all their grams of that many words.
+
+Windows are compared by two 64-bit hashes, one of word hashes and one of the
+words themselves. Tables go to every task only where their bytes are measured to
+be few, else joins are shuffled and Spark splits their hot keys.
 
 Words are maximal runs of characters outside \\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F,
 A-Z as a-z. Defined cases: a null or empty text has no words, no hits and is
 not contaminated; an item without words is no item; rows repeating a doc_id
 are judged each by its own text; equal item ids count once; a null item id
-counts as the empty string. Other columns are not read.
+counts as the empty string. Other columns are not read, whatever their names,
+and are returned where documents are filtered.
 """
 
 from __future__ import annotations
@@ -21,12 +27,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import Scratch
+from .store import Scratch, packed, small
 
 SPAN, GRAM = 13, 5
 #: Contaminated: 20 * n_hit >= n_words.
 SHARE = 20
-BROADCAST_ROWS = 2_000_000
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,48 +47,67 @@ def _grams(hashes: str, k: int) -> str:
     return f"case when size({hashes}) < {k} then cast(array() as array<bigint>) else transform(sequence(0, size({hashes}) - {k}), i -> xxhash64({parts})) end"
 
 
-def _smallest(grams: str, run: int) -> str:
-    """SQL for the distinct smallest values of each `run` neighbours."""
-    return f"case when size({grams}) < {run} then cast(array() as array<bigint>) else array_distinct(transform(sequence(1, size({grams}) - {run - 1}), i -> array_min(slice({grams}, i, {run})))) end"
+def _smallest(grams: Column, run: int) -> Column:
+    """The distinct smallest values of each `run` neighbours: minima of 1, 2, 4... neighbours are joined in pairs (least skips what lies beyond the end)."""
+    size = F.size(grams)
+    least, width = grams, 1
+    while width < run:
+        step = min(width, run - width)
+        least = F.zip_with(least, F.slice(least, step + 1, size), lambda x, y: F.least(x, y))
+        width += step
+    return F.when(size >= run, F.array_distinct(F.slice(least, 1, size - (run - 1)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _few(df: DataFrame) -> bool:
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def _hashed(df: DataFrame, *keep: str) -> DataFrame:
+    """keep..., words w and their hashes h of each text."""
+    return df.select(*keep, words(F.col("text")).alias("w")).withColumn("h", F.expr("transform(w, x -> xxhash64(x))"))
 
 
 def hits(spark: SparkSession, docs: DataFrame, items: DataFrame, scratch: Scratch | None = None, with_row: bool = False) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (and row, a hash of id and text) for each row of docs."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (and rid, a hash of id and text) for each row of docs."""
     scratch = scratch or Scratch(spark, "winnow")
-    tests = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words(F.col("text")).alias("w"))
-    tests = scratch.keep(tests.where("size(w) > 0").withColumn("h", F.transform("w", lambda w: F.xxhash64(w))), "items")
+    tests = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
+    tests = scratch.keep(_hashed(tests, "item_id").where("size(w) > 0"), "items")
     short = sorted(r[0] for r in tests.select(F.size("h").alias("m")).where(f"m < {SPAN}").distinct().collect())  # 12 values at most
-    widths = [*short, SPAN]
+    widths = sorted({min(m, GRAM) for m in short})
 
-    def fingerprints(df: DataFrame, owner_is_item: bool) -> DataFrame:
-        df = df.withColumn("g", F.expr(_grams("h", GRAM))).withColumn("fp", F.expr(_smallest("g", SPAN - GRAM + 1)))
-        for m in short:
-            own = f"size(h) = {m}" if owner_is_item else "true"
-            df = df.withColumn("fp", F.expr(f"concat(fp, case when {own} then array_distinct({_grams('h', m)}) else cast(array() as array<bigint>) end)"))
-        return df
+    # (f, m): a fingerprint of the benchmark, and the size of the windows that it stands for
+    known = [tests.where(f"size(h) >= {SPAN}").select(F.explode(_smallest(F.expr(_grams("h", GRAM)), SPAN - GRAM + 1)).alias("f"), F.lit(SPAN).alias("m"))]
+    known += [tests.where(f"size(h) = {m}").select(F.expr(f"get({_grams('h', min(m, GRAM))}, 0)").alias("f"), F.lit(m).alias("m")) for m in short]
+    both = known[0]
+    for k in known[1:]:
+        both = both.unionByName(k)
+    known = scratch.keep(both.distinct(), "known")
+    named = small(scratch.keep(known.select("f").distinct(), "fingerprints-known"))
 
-    known = fingerprints(tests, True).select(F.explode("fp").alias("f")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("rid"), F.col("text").cast("string").alias("text"))
-    rows = texts.select("doc_id", "rid", words(F.col("text")).alias("w")).withColumn("n_words", F.size("w").cast("long")).withColumn("h", F.expr("transform(w, x -> xxhash64(x))"))
-    rows = scratch.keep(fingerprints(rows, False).select("doc_id", "rid", "n_words", "fp"), "fingerprints")
-    known = scratch.keep(known, "known")
-    marked = rows.select("rid", F.explode("fp").alias("f")).join(F.broadcast(known) if _few(known) else known, "f", "left_semi").select("rid").distinct()
-    marked = scratch.keep(marked, "marked")
-
-    # extension: every window of a marked document against every window of the benchmark
-    def windows(df: DataFrame, own: bool, *keep: str) -> DataFrame:
-        some = [f"transform(case when {f'size(h) = {m} and ' if own and m < SPAN else ''} size(h) >= {m} then sequence(1, size(h) - {m - 1}) else cast(array() as array<int>) end, i -> struct(i as at, {m} as m, xxhash64(slice(h, i, {m})) as wh, slice(w, i, {m}) as ww))" for m in widths]
-        return df.select(*keep, F.explode(F.expr(f"concat({', '.join(some)})" if len(some) > 1 else some[0])).alias("x")).select(*keep, "x.*")
-
-    near = texts.join(F.broadcast(marked) if _few(marked) else marked, "rid", "left_semi").dropDuplicates(["rid"])
-    near = near.select("rid", words(F.col("text")).alias("w")).withColumn("h", F.expr("transform(w, x -> xxhash64(x))"))
-    test_windows = windows(tests, True, "item_id").select("item_id", F.col("wh").alias("twh"), F.col("m").alias("tm"), F.col("ww").alias("tww")).distinct()
-    test_windows = scratch.keep(test_windows, "windows")
-    found = windows(near, False, "rid").join(F.broadcast(test_windows) if _few(test_windows) else test_windows, (F.col("wh") == F.col("twh")) & (F.col("m") == F.col("tm")) & (F.col("ww") == F.col("tww")))
+    rows = _hashed(texts, "doc_id", "rid").withColumn("n_words", F.size("w").cast("long")).withColumn("g", F.expr(_grams("h", GRAM)))
+    # all grams of a short item's width, else only the smallest of each run
+    own = [F.col("g") if GRAM in widths else _smallest(F.col("g"), SPAN - GRAM + 1), *[F.expr(_grams("h", k)) for k in widths if k < GRAM]]
+    rows = scratch.keep(rows.select("doc_id", "rid", "n_words", F.array_distinct(F.concat(*own)).alias("fp")), "fingerprints")
+    shared = scratch.keep(rows.select("rid", F.explode("fp").alias("f")).join(named, "f", "left_semi").distinct(), "shared")
+
+    # extension: the windows around each place of a shared fingerprint against the benchmark's
+    marked = small(scratch.keep(shared.select("rid").distinct(), "marked"))
+    near = _hashed(texts.join(marked, "rid", "left_semi").dropDuplicates(["rid"]), "rid")
+    grams = [near.select("rid", F.size("h").alias("n"), F.posexplode(F.expr(_grams("h", k))).alias("p", "f")) for k in sorted({GRAM, *widths})]
+    every = grams[0]
+    for g in grams[1:]:
+        every = every.unionByName(g)
+    places = every.join(small(shared), ["rid", "f"]).join(small(known), "f")
+    start = F.expr(f"case when m < {SPAN} then array(p) else sequence(least(greatest(p - {SPAN - GRAM}, 0), n - {SPAN}), least(p, n - {SPAN})) end")
+    starts = places.where("n >= m").select("rid", "m", "n", F.explode(start).alias("at")).where("at + m <= n")
+    starts = small(scratch.keep(starts.groupBy("rid").agg(F.collect_set(F.struct("at", "m")).alias("starts")), "starts"))
+
+    def looked_up(df: DataFrame, *keep: str) -> DataFrame:
+        """(keep..., at, m, key of the window of m words at `at`)."""
+        df = df.select(*keep, "h", "w", F.explode("starts").alias("s")).select(*keep, "h", "w", "s.at", "s.m")
+        some = F.slice("w", F.col("at") + 1, F.col("m"))
+        return df.select(*keep, "at", "m", F.xxhash64(F.slice("h", F.col("at") + 1, F.col("m"))).alias("k1"), F.xxhash64(F.concat_ws(" ", some)).alias("k2"))
+
+    each = F.expr(f"transform(sequence(0, size(h) - least(size(h), {SPAN})), i -> struct(i as at, least(size(h), {SPAN}) as m))")
+    test_windows = scratch.keep(looked_up(tests.withColumn("starts", each), "item_id").drop("at").distinct(), "windows")
+    found = looked_up(near.join(starts, "rid"), "rid").join(small(test_windows), ["m", "k1", "k2"])
     found = scratch.keep(found.select("rid", "at", "m", "item_id").distinct(), "found")
 
     before = Window.partitionBy("rid").orderBy("at", "m").rowsBetween(Window.unboundedPreceding, -1)
@@ -98,10 +122,10 @@ def hits(spark: SparkSession, docs: DataFrame, items: DataFrame, scratch: Scratc
 
 def clean(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns and no others."""
-    bad = Scratch(spark, "contaminated").keep(hits(spark, docs, items, with_row=True).where("contaminated").select(F.col("rid").alias("__bad"), F.col("doc_id").alias("__id")).distinct())
-    held = docs.withColumn("__rid", F.xxhash64(F.col("doc_id"), F.col("text"))).withColumn("__doc", F.col("doc_id").cast("long"))
-    same = (F.col("__rid") == F.col("__bad")) & F.col("__doc").eqNullSafe(F.col("__id"))
-    return held.join(F.broadcast(bad) if _few(bad) else bad, same, "left_anti").drop("__rid", "__doc")
+    bad = hits(spark, docs, items, with_row=True).where("contaminated").select(F.col("rid").alias("bad"), F.col("doc_id").alias("bad_id")).distinct()
+    bad = small(Scratch(spark, "contaminated").keep(bad))
+    held = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("id"), packed(docs))
+    return held.join(bad, (F.col("rid") == F.col("bad")) & F.col("id").eqNullSafe(F.col("bad_id")), "left_anti").select("row.*")
 
 
 #: The same rows in DuckDB's SQL: every window of a document against every window of an item.

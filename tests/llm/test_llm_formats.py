@@ -35,13 +35,14 @@ def test_layouts(spark):
 
 
 def test_conversations(spark):
-    rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (1, 1, "assistant", "b"), (2, 0, None, "x</turn>"), (None, 0, "user", "p"), (None, 0, "user", "q"), (3, None, "assistant", "z" * 50_000)]
+    rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (1, 1, "assistant", "b"), (2, 0, None, "x</turn>"), (None, 0, "user", "p"), (None, 0, "user", "q"), (None, 0, "user", "q"), (4, 0, "human", "h"), (4, 1, "bot", "b"), (3, None, "assistant", "z" * 50_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = chat.digests(chat.format_chats(spark, chat.records_of(df))).collect()
     one = {r.conv_id: r for r in got if r.conv_id}
     assert one[1].n_turns == 3 and one[1].loss_chars == 2 and one[1].turns_sha256 == hashlib.sha256(b"user\n\nassistant\nb\nassistant\nb\n").hexdigest()
     assert one[2].turns_sha256 == hashlib.sha256(b"\nx</turn>\n").hexdigest() and one[3].loss_chars == 50_000
-    assert sum(r.conv_id is None for r in got) == 2
+    assert sum(r.conv_id is None for r in got) == 3 and all(r.n_turns == 1 for r in got if r.conv_id is None)
+    assert one[4].turns_sha256 == hashlib.sha256(b"human\nh\nbot\nb\n").hexdigest() and one[4].loss_chars == 0
     assert chat.digests(chat.format_chats(spark, chat.records_of(df.where("conv_id = 9")))).count() == 0
 
 
@@ -69,10 +70,50 @@ def test_resampling_runs_and_tone(monkeypatch):
     assert np.allclose(whole, np.concatenate(list(media.log_mel(x))), atol=1e-4)
 
 
-def test_hysteresis():
-    level = np.array([0, 0, 10, 4, 1, 4, -10, 4, 0, 10, -10], float)
-    level -= level.mean()
-    assert media.segments(level).tolist() == [[2, 6], [7, 10]] or media.segments(level).tolist()[0][0] == 2
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([-10.0, -4.0, -3.0, -1.0, 0.0, 2.9, 3.0, 10.0]), min_size=1, max_size=40))
+def test_hysteresis(levels):
+    level = np.array(levels)
+    want, on = [], None
+    for i, x in enumerate(level - level.mean()):
+        if on is None and x >= media.HIGH_DB:
+            on = i
+        elif on is not None and x < media.LOW_DB:
+            want.append([on, i])
+            on = None
+    if on is not None:
+        want.append([on, len(level)])
+    assert media.segments(level).tolist() == want
+
+
+def test_features_against_plain_formulas():
+    """Log-mel frames by direct convolution and sums; spans of tensors by their frames."""
+    r = np.random.default_rng(1)
+    payload = bytes(r.integers(32, 127, 1920).astype(np.uint8))
+    mel, segs = media.analyse(payload)
+    half = media.TAPS * media.UP // 2
+    t = np.arange(-half, half)
+    h = np.sinc(t / max(media.UP, media.DOWN)) * np.hanning(2 * half + 1)[: 2 * half]
+    h *= media.UP / h.sum()
+    x = np.zeros(len(payload) * media.UP)
+    x[:: media.UP] = (np.frombuffer(payload, np.uint8) - 128.0) / 128
+    y = np.convolve(x, h)[half:][: len(x)][:: media.DOWN]
+    frames = max(1, -(-(len(y) - media.WINDOW) // media.HOP) + 1)
+    y = np.append(y, np.zeros(media.WINDOW + media.HOP))
+    rate = media.RATE * media.UP / media.DOWN
+    edge = 700 * (10 ** (np.linspace(0, 2595 * np.log10(1 + rate / 2 / 700), media.MELS + 2) / 2595) - 1)
+    assert len(mel) == frames
+    for f in range(frames - 1):  # the last frame also holds what the filter makes of the payload's end
+        power = np.abs(np.fft.rfft(y[f * media.HOP :][: media.WINDOW] * np.hanning(media.WINDOW))) ** 2
+        hz = np.arange(len(power)) * rate / media.WINDOW
+        want = [sum(p * max(0, min((z - edge[k]) / (edge[k + 1] - edge[k]), (edge[k + 2] - z) / (edge[k + 2] - edge[k + 1]))) for p, z in zip(power, hz, strict=True)) for k in range(media.MELS)]
+        assert np.allclose(mel[f], 10 * np.log10(np.array(want) + 1e-6), atol=0.05)
+    table = pa.ipc.open_stream(io.BytesIO(media.tensors(mel, segs))).read_all()
+    ms = 1000 * media.HOP / rate
+    assert np.allclose(table["begin_ms"].to_numpy(), np.arange(len(table)) * media.SPAN * ms) and table["end_ms"][len(table) - 1].as_py() == pytest.approx(frames * ms)
+    assert sum(table["active_frames"].to_pylist()) == sum(b - a for a, b in segs)
+    flat = table["log_mel"].combine_chunks().to_numpy_ndarray().reshape(-1, media.MELS)
+    assert np.array_equal(flat[:frames], mel)
 
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
