@@ -1,22 +1,30 @@
 """Class-based bigram model by exchange clustering, and document scores.
 
 Training texts give the count of every word (by hash; grouped aggregation over
-all documents). The TOP most frequent words and the end mark are items of their
-own; every other word stands for the item of its shape (ending, length,
-script). Bigrams of items are counted over all training texts, and exchange
-clustering moves one item at a time to the class that gains most likelihood
-until nothing moves or SWEEPS are over. Then
+all documents). Words of the vocabulary (all that occur LEAST times, or the
+most frequent ones, at most VOCABULARY: what a task can hold) and the end mark
+are items of their own; every other word stands for the item of its shape
+(ending, length, script). Classes come in two steps:
+
+* The TOP most frequent words, shapes and the end mark are clustered by
+  exchange on their bigram counts: one item at a time moves to the class that
+  gains most likelihood until nothing moves or SWEEPS are over.
+* Every other word of the vocabulary begins in its shape's class. A distributed
+  pass gathers the classes before and after it over all training texts, and each
+  word moves to its best class given the class bigrams (FAR_SWEEPS times).
+
+Then
 
     P(word | before) = P(class | class before) * P(item | class) * P(word | item)
 
 with class transitions interpolated with class frequencies, and, for a shape's
 words, add-one counts over the shape's known words and one unknown word. All
 three factors sum to one, so an unseen word costs what its shape's unknown word
-costs.
+costs. Perplexity is 10 ** (-score / n_tokens).
 
-Counts of the HEAD most frequent words go to every task (a fixed size); the
-others are joined by shuffle, so nothing that grows with the corpus is
-broadcast. Words are 64-bit hashes of their lower-cased bytes.
+Counts of words beyond the vocabulary are joined by shuffle, so nothing that
+grows with the corpus is broadcast. Words are 64-bit hashes of their
+lower-cased bytes.
 
 Defined cases: a null or empty text is one end mark; rows repeating an id are
 scored each; a null id counts as the text "" where ids are hashed; without
@@ -36,13 +44,16 @@ from pyspark.sql import functions as F
 from .store import Scratch, ship
 from .text import blocks, words_with_shapes
 
-TOP, SHAPES, CLASSES, SWEEPS = 1500, 256, 64, 4
-HEAD = 200_000
+TOP, SHAPES, CLASSES, SWEEPS, FAR_SWEEPS = 1500, 256, 64, 4, 1
+#: Words with a class of their own: at least so frequent, and at most so many (25 bytes each in a task).
+LEAST, VOCABULARY = 3, 400_000
 #: Weight of class frequencies against a class's transitions, in tokens.
 KAPPA = 50.0
 END = 0x5851F42D4C957F2D
 #: Distinct entries that a worker gathers before it sends them on.
 FLUSH = 1_000_000
+#: Words whose gains are computed at once.
+SOME = 128
 
 
 def fold(doc_id: Column, modulus: int) -> Column:
@@ -86,11 +97,11 @@ def _counted(w, n, s):
     return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n), pa.array(s)], names=["w", "n", "shape"])
 
 
-def _items(h: np.ndarray, shape: np.ndarray, top: np.ndarray) -> np.ndarray:
-    """Item of each word: its place in the sorted top words, else its shape's after them, else (end mark) the last."""
-    at = np.minimum(np.searchsorted(top, h), max(len(top) - 1, 0))
-    hit = top[at] == h if len(top) else np.zeros(len(h), bool)
-    return np.where(shape < 0, len(top) + SHAPES, np.where(hit, at, len(top) + shape))
+def _items(h: np.ndarray, shape: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Item of each word: its place in the sorted words, else its shape's after them, else (end mark) the last."""
+    at = np.minimum(np.searchsorted(words, h), max(len(words) - 1, 0))
+    hit = words[at] == h if len(words) else np.zeros(len(h), bool)
+    return np.where(shape < 0, len(words) + SHAPES, np.where(hit, at, len(words) + shape))
 
 
 def _before(items: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
@@ -101,20 +112,106 @@ def _before(items: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
 
 
 def _pair_counts(table):
+    """Counts of pairs (before * m + this) of what the table says of each item: itself, or its class."""
+
     def run(batches):
-        top = table.value
-        m = len(top) + SHAPES + 1
-        total: dict | np.ndarray = np.zeros(m * m, np.int32)
+        words, kind, m = table.value
+        total = np.zeros(m * m, np.int64)
         for batch in batches:
             for _, h, first, shape in _ended(batch):
-                items = _items(h, shape, top)
-                np.add.at(total, _before(items, first, m - 1) * m + items, 1)
+                here = kind[_items(h, shape, words)]
+                key, n = np.unique(_before(here, first, kind[-1]) * m + here, return_counts=True)
+                total[key] += n
         key = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(total[key].astype(np.int64))], names=["pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(total[key])], names=["pair", "n"])
+
+    return run
+
+
+def _merged_keys(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    key, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    return key, np.bincount(place, np.concatenate([n for _, n in held])).astype(np.int64)
+
+
+def _contexts(table):
+    """(item, slots, counts) of far words: slot c counts class c before the word, slot CLASSES + c class c after it."""
+    wide = 2 * CLASSES
+
+    def batch_of(key, n):
+        item, first = np.unique(key // wide, return_index=True)
+        ends = pa.array(np.append(first, len(key)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((key % wide).astype(np.int16), n)]
+        return pa.RecordBatch.from_arrays([pa.array(item), *lists], names=["item", "slots", "counts"])
+
+    def run(batches):
+        words, cls, far = table.value
+        held: list[tuple] = []
+        size = 0
+        for batch in batches:
+            for _, h, first, shape in _ended(batch):
+                items = _items(h, shape, words)
+                here = cls[items]
+                at = np.flatnonzero(far[items])  # a far word is no end mark, so a token follows it
+                key = np.concatenate([items[at] * wide + _before(here, first, cls[-1])[at], items[at] * wide + CLASSES + here[np.minimum(at + 1, len(here) - 1)]])
+                held.append(np.unique(key, return_counts=True))
+                size += len(held[-1][0])
+                if size > 2 * FLUSH:
+                    held = [_merged_keys(held)]
+                    size = len(held[0][0])
+                    if size > FLUSH:
+                        yield batch_of(*held.pop())
+                        size = 0
+        if size:
+            yield batch_of(*_merged_keys(held))
+
+    return run
+
+
+def _moved(table):
+    """Rows sorted by item -> (item, class): the class that gains most when the word leaves its own, given the class bigrams."""
+
+    def run(batches):
+        g, cls = table.value
+        last, rest = -1, np.zeros(2 * CLASSES)
+        for batch in batches:
+            item = batch.column("item").to_numpy()
+            if not len(item):
+                continue
+            slots, counts = batch.column("slots"), batch.column("counts")
+            many = np.diff(slots.offsets.to_numpy())
+            found, place = np.unique(item, return_inverse=True)
+            dense = np.zeros((len(found), 2 * CLASSES))
+            np.add.at(dense, (np.repeat(place, many), slots.flatten().to_numpy()), counts.flatten().to_numpy())
+            if last == found[0]:
+                dense[0] += rest
+            elif last >= 0:
+                found, dense = np.concatenate([[last], found]), np.concatenate([rest[None], dense])
+            last, rest = int(found[-1]), dense[-1]
+            yield _placed(found[:-1], dense[:-1], cls, g)
+        if last >= 0:
+            yield _placed(np.array([last]), rest[None], cls, g)
 
     return run
 
 
+def _placed(item, dense, cls, g):
+    out = [best_class(dense[at : at + SOME, CLASSES:], dense[at : at + SOME, :CLASSES], cls[item[at : at + SOME]], g) for at in range(0, len(item), SOME)]
+    return pa.RecordBatch.from_arrays([pa.array(item), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))], names=["item", "class"])
+
+
+def best_class(after: np.ndarray, ahead: np.ndarray, own: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """For words with class counts after and ahead of them and their own class: the class with the greatest likelihood, g being the class bigrams with the words in their own classes."""
+    k, at = len(own), np.arange(len(own))
+    left = np.repeat(g[None].astype(float), k, 0)
+    left[at, own] = np.maximum(left[at, own] - after, 0)
+    left[at, :, own] = np.maximum(left[at, :, own] - ahead, 0)
+    rows, cols = left.sum(2) + ahead, left.sum(1) + after  # the word is in some class anyhow: pairs with it stay in the others' totals
+    gain = (_xlogx(left + after[:, None, :]) - _xlogx(left)).sum(2) + (_xlogx(left + ahead[:, :, None]) - _xlogx(left)).sum(1)
+    gain -= _xlogx(rows + after.sum(1)[:, None]) - _xlogx(rows) + _xlogx(cols + ahead.sum(1)[:, None]) - _xlogx(cols)
+    best = gain.argmax(1)
+    return np.where(gain[at, best] > gain[at, own] + 1e-9, best, own)
+
+
 def _xlogx(x):
     return x * np.log(np.maximum(x, 1e-300))
 
@@ -162,99 +259,127 @@ def exchange(pair: np.ndarray, n: np.ndarray, m: int, classes: int = CLASSES, sw
 
 
 class Model:
-    """The tables that scoring needs; of fixed size whatever the corpus."""
+    """The tables that scoring needs; of bounded size whatever the corpus."""
 
-    def __init__(self, top, pair, n, head, head_n, shape_tokens, shape_words):
-        m = len(top) + SHAPES + 1
-        self.top, self.head, self.head_log = top, head, np.log10(head_n + 1.0)
-        self.cls = exchange(pair, n, m)
-        count = np.bincount(pair % m, n, m)
-        g = np.zeros((CLASSES, CLASSES))
-        np.add.at(g, (self.cls[pair // m], self.cls[pair % m]), n)
-        size = np.bincount(self.cls, count + 1.0, CLASSES)
+    def __init__(self, words, count, cls, g, shape_tokens, shape_words, end_count):
+        """Of the vocabulary: sorted hashes and counts. cls: class of each word, shape and the end mark; g: class bigrams."""
+        self.words, self.log, self.cls = words, np.log10(count + 1.0), cls
+        own = np.concatenate([count, shape_tokens, [end_count]]) + 1.0
+        size = np.bincount(cls, own, CLASSES)
         share = size / size.sum()
         self.step = np.log10(np.maximum((g + KAPPA * share) / (g.sum(1, keepdims=True) + KAPPA), 1e-300))
-        self.emit = np.log10((count + 1.0) / size[self.cls])
-        spread = np.zeros(m)
-        spread[len(top) : len(top) + SHAPES] = np.log10(shape_tokens + shape_words + 1.0)
-        self.emit -= spread
+        self.emit = np.log10(own / size[cls])
+        self.emit[len(words) : len(words) + SHAPES] -= np.log10(shape_tokens + shape_words + 1.0)
+        self.end_log = float(np.log10(end_count + 1.0))
 
 
 def _scored(table):
     def run(batches):
         model = table.value
-        m = len(model.top) + SHAPES + 1
+        k = len(model.words)
+        m = k + SHAPES + 1
+        log_of = np.concatenate([model.log, np.zeros(SHAPES), [model.end_log]])
         for batch in batches:
             for at, h, first, shape in _ended(batch):
-                items = _items(h, shape, model.top)
-                log = model.step[model.cls[_before(items, first, m - 1)], model.cls[items]] + model.emit[items]
-                place = np.minimum(np.searchsorted(model.head, h), max(len(model.head) - 1, 0))
-                known = model.head[place] == h if len(model.head) else np.zeros(len(h), bool)
-                count_log = np.where(known, model.head_log[place] if len(model.head) else 0.0, 0.0)
-                own = (items >= len(model.top)) & (items < m - 1)  # their words' counts matter to the model
-                log += np.where(own, count_log, 0.0)
+                items = _items(h, shape, model.words)
+                here = model.cls[items]
+                log = model.step[_before(here, first, model.cls[m - 1]), here] + model.emit[items]
+                count_log = log_of[items]
+                known = (items < k) | ((items == m - 1) & (model.end_log > 0))
                 n = np.diff(first)
-                rest = ~known
-                cut = np.concatenate([[0], np.cumsum(np.add.reduceat(rest, first[:-1]))]).astype(np.int32)
+                rest = (items >= k) & (items < m - 1)
+                cut = np.concatenate([[0], np.cumsum(np.add.reduceat(rest, first[:-1], dtype=np.int64))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(at, len(n)), pa.array(n), pa.array(n - np.diff(cut)), pa.array(np.add.reduceat(count_log, first[:-1])),
+                        batch.column("doc_id").slice(at, len(n)), pa.array(n), pa.array(np.add.reduceat(known, first[:-1], dtype=np.int64)), pa.array(np.add.reduceat(count_log, first[:-1])),
                         pa.array(np.add.reduceat(log, first[:-1])), pa.ListArray.from_arrays(pa.array(cut), pa.array(h[rest].view(np.int64))),
                     ],
-                    names=["doc_id", "n_tokens", "head_known", "head_log", "head_score", "rest"],
+                    names=["doc_id", "n_tokens", "known", "count_log", "model_log", "rest"],
                 )
 
     return run
 
 
+def _vocabulary(counts: DataFrame, size: int) -> tuple[Column, object]:
+    """(whether a row of counts belongs to the vocabulary, the vocabulary's rows sorted by hash): all words above a bound on the count, at most `size`."""
+    level = F.floor(F.log2("n") * 16)
+    bins = counts.where((F.col("n") >= LEAST) & (F.col("shape") >= 0)).groupBy(level.alias("level")).count().collect()  # 1,024 rows at most
+    least, total = None, 0
+    for b in sorted(bins, key=lambda b: -b["level"]):
+        total += b["count"]
+        if total > size:
+            break
+        least = b["level"]
+    inside = (F.col("shape") >= 0) & (F.col("n") >= LEAST) & (level >= least) if least is not None else F.lit(False)
+    got = counts.where(inside).select("w", "n", "shape").toArrow()  # `size` rows at most
+    words, n, shape = got["w"].to_numpy().view(np.uint64), got["n"].to_numpy(), got["shape"].to_numpy()
+    order = np.argsort(words)
+    return inside, (words[order], n[order], shape[order])
+
+
+def _pairs(spark: SparkSession, train: DataFrame, words: np.ndarray, kind: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (before * m + this) of the kinds of all training tokens, and their counts: m * m rows at most."""
+    table = spark.sparkContext.broadcast((words, kind, m))
+    got = train.mapInArrow(_pair_counts(table), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    order = np.argsort(got["pair"].to_numpy())
+    return got["pair"].to_numpy()[order], got["n"].to_numpy()[order]
+
+
+def _classes(spark: SparkSession, train: DataFrame, words: np.ndarray, count: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each word, shape and the end mark; bigrams of classes)."""
+    k = len(words)
+    core = np.sort(np.lexsort((words, -count))[:TOP])
+    kind = np.concatenate([len(core) + shape, len(core) + np.arange(SHAPES + 1)])  # words beyond the core stand for their shapes
+    kind[core] = np.arange(len(core))
+
+    m = len(core) + SHAPES + 1
+    pair, n = _pairs(spark, train, words, kind, m)
+    of_core = exchange(pair, n, m)
+    cls = of_core[kind]
+    g = np.zeros((CLASSES, CLASSES))
+    np.add.at(g, (of_core[pair // m], of_core[pair % m]), n)
+    far = np.ones(k + SHAPES + 1, bool)
+    far[core] = False
+    far[k:] = False
+    for _ in range(FAR_SWEEPS if far.any() else 0):
+        found = train.mapInArrow(_contexts(spark.sparkContext.broadcast((words, cls, far))), "item long, slots array<short>, counts array<long>")
+        found = found.repartition("item").sortWithinPartitions("item").mapInArrow(_moved(spark.sparkContext.broadcast((g, cls))), "item long, class long").toArrow()  # the vocabulary's rows at most
+        cls = cls.copy()
+        cls[found["item"].to_numpy()] = found["class"].to_numpy()
+        pair, n = _pairs(spark, train, words, cls, CLASSES)
+        g = np.zeros((CLASSES, CLASSES))
+        np.add.at(g, (pair // CLASSES, pair % CLASSES), n)
+    return cls, g
+
+
 def score_documents(spark: SparkSession, docs: DataFrame, folds: int = 7, held: int = 2, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of each row of docs."""
     ship(spark)
     scratch = scratch or Scratch(spark, "brown")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     train = rows.where(fold(F.col("doc_id"), folds) != held)
     counts = train.mapInArrow(_word_counts, "w long, n long, shape long").groupBy("w").agg(F.sum("n").alias("n"), F.max("shape").alias("shape"))
     counts = scratch.keep(counts, "counts")
-    whole = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    total, kinds = whole["n"] or 0, whole["v"]
-
-    head = _most_frequent(counts, HEAD)
-    place = np.argsort(-head[1], kind="stable")[: TOP + 1]
-    top = np.sort(head[0][place][head[0][place] != np.uint64(END)][:TOP])
-    pairs = train.mapInArrow(_pair_counts(spark.sparkContext.broadcast(top)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # (TOP + SHAPES + 1) ** 2 rows at most
-    by_shape = counts.where(F.col("shape") >= 0).groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()  # SHAPES rows
+    whole = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("shape") < 0, F.col("n"))).alias("ends")).first()
+    total, kinds, ends = whole["n"] or 0, whole["v"], whole["ends"] or 0
+
+    inside, (words, count, shape) = _vocabulary(counts, VOCABULARY)
+    beyond = counts.where(~inside & (F.col("shape") >= 0))
+    by_shape = beyond.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toArrow()  # SHAPES rows
     tokens, known = np.zeros(SHAPES), np.zeros(SHAPES)
-    tokens[by_shape["shape"]], known[by_shape["shape"]] = by_shape["n"], by_shape["v"]
-    if len(top):  # top words are items of their own
-        at = np.searchsorted(head[0], top)
-        np.subtract.at(tokens, head[2][at], head[1][at])
-        np.subtract.at(known, head[2][at], 1)
-    model = Model(top, pairs["pair"].to_numpy(), pairs["n"].to_numpy(), head[0], head[1], tokens, known)
-
-    schema = "doc_id long, n_tokens long, head_known long, head_log double, head_score double, rest array<long>"
+    tokens[by_shape["shape"].to_numpy()], known[by_shape["shape"].to_numpy()] = by_shape["n"].to_numpy(), by_shape["v"].to_numpy()
+    cls, g = _classes(spark, train, words, count, shape)
+    model = Model(words, count, cls, g, tokens, known, ends)
+
+    schema = "doc_id long, n_tokens long, known long, count_log double, model_log double, rest array<long>"
     scored = rows.mapInArrow(_scored(spark.sparkContext.broadcast(model)), schema).withColumn("row", F.monotonically_increasing_id())
     scored = scratch.keep(scored, "scored")
-    rest = scored.select("row", F.explode("rest").alias("w")).join(counts.where(F.col("n") <= (int(head[1].min()) if len(head[1]) else 0)), "w")
+    rest = scored.select("row", F.explode("rest").alias("w")).join(beyond, "w")
     rest = rest.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1)).alias("more_log"), F.count("*").alias("more_known"))
-    zero = F.lit(0)
-    count_log = F.col("head_log") + F.coalesce("more_log", F.lit(0.0))
-    return scored.drop("rest").join(rest, "row", "left").select(
+    more = F.coalesce("more_log", F.lit(0.0))
+    out = scored.drop("rest").join(rest, "row", "left").select(
         "doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "n_tokens",
-        (F.col("head_known") + F.coalesce("more_known", zero)).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (count_log - F.col("n_tokens") * math.log10(total + kinds + 1)).alias("base_score"), (F.col("head_score") + F.coalesce("more_log", F.lit(0.0))).alias("score"),
+        (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("count_log") + more - F.col("n_tokens") * math.log10(total + kinds + 1)).alias("base_score"), (F.col("model_log") + more).alias("score"),
     )
-
-
-def _most_frequent(counts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted hashes, counts, shapes) of the words whose count is above the largest bound that leaves at most `size` of them."""
-    least, seen = 1, 0
-    bound = F.when(F.col("n") < 4096, F.col("n")).otherwise(4096)
-    for r in sorted(counts.groupBy(bound.alias("n")).count().collect(), key=lambda r: -r["n"]):  # 4096 rows at most
-        seen += r["count"]
-        if seen > size and r["n"] < 4096:
-            least = r["n"] + 1
-            break
-    got = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(size).toArrow()
-    w = got["w"].to_numpy().view(np.uint64)
-    order = np.argsort(w)
-    return w[order], got["n"].to_numpy()[order], got["shape"].to_numpy()[order]
+    return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
