@@ -18,16 +18,20 @@ facts make regions small without losing a link:
   triangle inequality a pair links only if its distances to the pivot differ by
   at most r, so rings meet only rings inside that window (boundary members are
   replicated to each). Large rings are cut into blocks; a block pair is one
-  task's unit, joined recursively by further pivots in memory, and exactly at
-  the leaves.
+  task's unit. Inside it several pivots make Voronoi regions, sets within 2 r of
+  another region's border are replicated to it, regions join recursively, and
+  exactly at the leaves.
 
 Sets are compared by 64-bit shingle hashes; equal hashes count as equal
-shingles. A document id names one document: rows repeating an id are one node.
+shingles. Rows with equal sets (128-bit hashes of them) are one node; nodes are
+linked, not ids, so a doc_id may have rows with different texts.
 
 Defined cases: a null or empty text has no shingles, n_shingles 0, and is its
-own component; a text of 1 to 4 words is one shingle; equal sets are one class
-named by the smallest doc_id; null ids get the id of their class (null if no
-row of it has one). Columns other than the id and text are not read.
+own component; a text of 1 to 4 words is one shingle; a class is named by the
+smallest doc_id of its rows; rows with a null id link like others and get the
+id of their class (null if no row of it has one). Columns other than the id and
+text are not read, whatever their names, and are returned where documents are
+filtered.
 """
 
 from __future__ import annotations
@@ -42,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import smallest_reachable
-from .store import Scratch, ship
+from .store import Scratch, packed, ship, small
 from .text import blocks, shingle_sets
 
 #: A pair links when PARTS * common >= LEAST * union.
@@ -52,12 +56,11 @@ LEAST, PARTS = 3, 4
 CROWDED_MAX = 1 << 21
 #: Members and shingles of a block.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 20
-#: Document ids (8 bytes each) that are broadcast rather than joined by shuffle.
-BROADCAST_IDS = 2_000_000
 #: Sizes of a band differ by less than this factor, a little above PARTS / LEAST, so rounding can not part linked sizes by two bands.
 BAND = 1.34
 RINGS = 16
-LEAF = 96
+#: Pivots of one level of the recursion inside a block pair, and sets that are compared without one.
+PIVOTS, LEAF = 8, 96
 
 
 def _prefix(n: int) -> int:
@@ -69,10 +72,10 @@ def _linked(common, n, m):
 
 
 def _runs(batches, size: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Rows (text, others...) -> the others of a run of texts, and their sets."""
     for batch in batches:
-        ids = batch.column(0).to_pylist()
-        for at, run in blocks(batch.column(1).cast(pa.binary()).to_pylist()):
-            yield ids[at : at + len(run)], shingle_sets(run, size)
+        for at, run in blocks(batch.column(0).cast(pa.binary()).to_pylist()):
+            yield [c.slice(at, len(run)) for c in batch.columns[1:]], shingle_sets(run, size)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -83,11 +86,11 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 def _keyed(size: int):
     def run(batches):
-        for ids, sets in _runs(batches, size):
+        for others, sets in _runs(batches, size):
             keys = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), _lists([s[: _prefix(len(s))] for s in sets])],
-                names=["doc_id", "n", "k1", "k2", "anchors"],
+                [*others, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), _lists([s[: _prefix(len(s))] for s in sets])],
+                names=["doc_id", "th", "n", "k1", "k2", "anchors"],
             )
 
     return run
@@ -98,7 +101,7 @@ def _reordered(size: int, crowded):
 
     def run(batches):
         hot, level = crowded.value
-        for ids, sets in _runs(batches, size):
+        for others, sets in _runs(batches, size):
             flat = np.concatenate(sets)
             at = np.minimum(np.searchsorted(hot, flat), len(hot) - 1)
             late = np.where(hot[at] == flat, level[at], 0)
@@ -108,15 +111,15 @@ def _reordered(size: int, crowded):
                 i += len(s)
                 p = _prefix(len(s))
                 out.append(s[np.argsort(x, kind="stable")[:p]] if x[:p].any() else s[:p])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(out)], names=["doc_id", "n", "anchors"])
+            yield pa.RecordBatch.from_arrays([*others, pa.array([len(s) for s in sets], pa.int64()), _lists(out)], names=["node", "n", "anchors"])
 
     return run
 
 
 def _whole(size: int):
     def run(batches):
-        for ids, sets in _runs(batches, size):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "shingles"])
+        for others, sets in _runs(batches, size):
+            yield pa.RecordBatch.from_arrays([*others, pa.array([s.tobytes() for s in sets], pa.binary())], names=["member", "shingles"])
 
     return run
 
@@ -201,28 +204,35 @@ class _Sets:
 
 
 def _join(sets: _Sets, a: np.ndarray, b: np.ndarray, same: bool, link) -> None:
-    """All linked pairs of a and b (same: within a), by recursive pivots; a pivot's window is the triangle inequality's."""
+    """All linked pairs of a and b (same: within a), by recursion over Voronoi regions.
+
+    Each set belongs to the region of its nearest pivot. By the triangle
+    inequality a set that links to one of region j is at most 2 r farther from
+    pivot j than from its own, so only such boundary sets of earlier regions are
+    replicated to j. Where regions would save little work, the pairs are compared.
+    """
     if not len(a) or not len(b):
         return
     both = a if same else np.concatenate([a, b])
     if len(both) > LEAF:
-        pivot = both[:1]
-        common = sets.common(pivot, both)[0]
-        d = 1 - common / (sets.n[pivot[0]] + sets.n[both] - common)
-        d[0] = 0
-        cut = float(np.median(d))
-        near = d < cut
-        r = 1 - LEAST / PARTS + 1e-9
-        low, high = near & (d >= cut - r), ~near & (d <= cut + r)
-        if near.any() and low.sum() * high.sum() < 0.7 * near.sum() * (~near).sum():
+        at = np.unique(np.linspace(0, len(both) - 1, PIVOTS).astype(int))
+        common = sets.common(both[at], both)
+        d = 1 - common / (sets.n[both[at]][:, None] + sets.n[both] - common)
+        d[np.arange(len(at)), at] = 0
+        home = d.argmin(0)
+        window = d <= d.min(0) + 2 * (1 - LEAST / PARTS) + 1e-9
+        is_a = np.arange(len(both)) < len(a)
+        parts = []
+        for j in range(len(at)):
+            here, edge = home == j, window[j] & (home < j)
             if same:
-                _join(sets, a[near], a[near], True, link)
-                _join(sets, a[~near], a[~near], True, link)
-                _join(sets, a[low], a[high], False, link)
+                parts += [(both[here], both[here], True), (both[here], both[edge], False)]
             else:
-                is_a = np.arange(len(both)) < len(a)
-                for x, y in ((near, near), (~near, ~near), (low, high), (high, low)):
-                    _join(sets, both[x & is_a], both[y & ~is_a], False, link)
+                parts += [(both[x & is_a], both[y & ~is_a], False) for x, y in ((here, here), (here, edge), (edge, here))]
+        work = sum(len(x) * len(y) / (1 + s) for x, y, s in parts)
+        if work < 0.7 * len(a) * len(b) / (1 + same):
+            for x, y, s in parts:
+                _join(sets, x, y, s, link)
             return
     common = sets.common(a, b)
     i, j = np.nonzero(_linked(common, sets.n[a][:, None], sets.n[b][None, :]) & (common > 0))
@@ -255,79 +265,94 @@ def _block_pairs(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["u", "v"])
 
 
-def jaccard_classes(spark: SparkSession, docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs."""
-    ship(spark)
-    scratch = scratch or Scratch(spark, "jaccard")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    first = scratch.keep(texts.mapInArrow(_keyed(size), "doc_id long, n long, k1 long, k2 long, anchors array<long>"), "first")
+def _texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more) -> DataFrame:
+    """(text, doc_id, th, more...): a row is known by its id and its text's hash."""
+    text = F.col(text_col).cast("string")
+    return docs.select(text.alias("text"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), *more)
+
+
+def _classed(spark: SparkSession, texts: DataFrame, size: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(keyed, named): (doc_id, th, n, k1, k2) of each row, and (c1, c2, component_id, rep) of each distinct set; rep is the one row that stands for its component."""
+    first = scratch.keep(texts.mapInArrow(_keyed(size), "doc_id long, th long, n long, k1 long, k2 long, anchors array<long>"), "first")
     keyed = scratch.keep(first.drop("anchors"), "keyed")
-    counts = first.where("doc_id is not null").select(F.explode("anchors").alias("s")).groupBy("s").count().where("count > 1")
+    counts = first.select(F.explode("anchors").alias("s")).groupBy("s").count().where("count > 1")
     crowded = _crowded(scratch.keep(counts, "counts"))
     scratch.drop(first)
 
-    classes = scratch.keep(keyed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
-    reps = classes.where("rep is not null").select(F.col("rep").alias("doc_id"))
-    anchors = texts.mapInArrow(_reordered(size, spark.sparkContext.broadcast(crowded)), "doc_id long, n long, anchors array<long>")
-    anchors = _only(anchors, reps).select("doc_id", "n", F.posexplode("anchors").alias("i", "s"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    nodes = keyed.where("n > 0").groupBy("k1", "k2").agg(F.min(row).alias("rep"), F.max("n").alias("n")).withColumn("node", F.monotonically_increasing_id())
+    nodes = scratch.keep(nodes, "nodes")
+    repeated = not keyed.groupBy("doc_id", "th").count().where("count > 1").isEmpty()
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        """(text, node) of these nodes, each from the row that stands for it."""
+        some = some.select("node", F.col("rep.doc_id").alias("rid"), F.col("rep.th").alias("rth"))
+        got = texts.join(small(some), F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth"))).select("text", "node")
+        return got.dropDuplicates(["node"]) if repeated else got
+
+    anchors = texts_of(nodes).mapInArrow(_reordered(size, spark.sparkContext.broadcast(crowded)), "node long, n long, anchors array<long>")
+    anchors = anchors.select("node", "n", F.posexplode("anchors").alias("i", "s"))
     # if s is a pair's first common anchor, the set x at place i has n - i shingles left to share, so 3 * n(y) <= 4 * n(x) - 7 * i
     anchors = anchors.withColumn("room", F.expr(f"{PARTS} * n - {LEAST + PARTS} * i")).repartition("s")
     region = Window.partitionBy("s")
     told = {"sharers": F.count("*"), "all_n": F.sum("n"), "all_room": F.sum("room"), "least_n": F.min("n"), "most_room": F.max("room")}
-    anchors = anchors.select("doc_id", "n", "s", "room", *[f.over(region).alias(k) for k, f in told.items()])
+    anchors = anchors.select("node", "n", "s", "room", *[f.over(region).alias(k) for k, f in told.items()])
     pair = f"sharers = 2 and {LEAST} * (all_n - n) <= room and {LEAST} * n <= all_room - room"
     anchors = anchors.where(f"({pair}) or (sharers > 2 and {LEAST} * least_n <= room and {LEAST} * n <= most_room)")
     # linked sizes differ by one band at most: a region holds two neighbouring bands, each set enters two regions
     band = F.log(BAND, F.col("n")).cast("int")
-    anchors = anchors.select("doc_id", "n", "s", F.explode(F.array(band, band + 1)).alias("band"))
-    pivot = F.min(F.struct("doc_id", "n")).over(Window.partitionBy("s", "band"))
-    members = anchors.withColumn("pivot", pivot).where(F.col("doc_id") != F.col("pivot.doc_id"))
-    members = members.select(F.col("pivot.doc_id").alias("cell"), F.col("doc_id").alias("member"), "n", F.col("pivot.n").alias("n_pivot")).distinct()
+    anchors = anchors.select("node", "n", "s", F.explode(F.array(band, band + 1)).alias("band"))
+    pivot = F.min(F.struct("node", "n")).over(Window.partitionBy("s", "band"))
+    members = anchors.withColumn("pivot", pivot).where(F.col("node") != F.col("pivot.node"))
+    members = members.select(F.col("pivot.node").alias("cell"), F.col("node").alias("member"), "n", F.col("pivot.n").alias("n_pivot")).distinct()
     members = scratch.keep(members, "members")
     # a cell of one member whose size alone rules the link out has nothing to find
-    more = members.groupBy("cell").agg(F.count("*").alias("others"))
+    more = small(scratch.keep(members.groupBy("cell").agg(F.count("*").alias("others")), "others"))
     members = members.join(more, "cell").where(f"others > 1 or {PARTS} * least(n, n_pivot) >= {LEAST} * greatest(n, n_pivot)").select("cell", "member")
     members = scratch.keep(members, "compared")
-    named = members.select(F.explode(F.array("cell", "member")).alias("doc_id")).distinct()
-    sets = _only(texts, named).mapInArrow(_whole(size), "doc_id long, shingles binary").where(F.length("shingles") > 0)
-    if keyed.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count():
-        sets = sets.dropDuplicates(["doc_id"])
+    used = nodes.join(members.select(F.explode(F.array("cell", "member")).alias("node")).distinct(), "node", "left_semi")
+    sets = texts_of(scratch.keep(used.select("node", "rep"), "used")).mapInArrow(_whole(size), "member long, shingles binary")
     # both uses make the sets anew from the texts: cheaper than a table of them, which would be as large as its input
 
-    measured = scratch.keep(_measure(members, sets), "measured")
+    measured = scratch.keep(_measure(scratch, members, sets), "measured")
     direct = F.expr(f"{PARTS} * common >= {LEAST} * (n + n_pivot - common)")
     measured = measured.withColumn("direct", direct)
     edges = measured.where("direct").select(F.col("cell").alias("u"), F.col("member").alias("v"))
-    edges = edges.unionByName(_block_rows(measured, sets).mapInArrow(_block_pairs, "u long, v long"))
+    edges = edges.unionByName(_block_rows(scratch, measured, sets).mapInArrow(_block_pairs, "u long, v long"))
     labels = smallest_reachable(scratch, edges)
 
-    named = (
-        classes.join(labels, classes.rep == labels.node, "left")
-        .select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.coalesce("label", "rep").alias("component_id"))
-    )
-    out = keyed.select("doc_id", "n", "k1", "k2").join(named, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
+    # a component's row is the smallest of its nodes' rows; its smallest doc_id is that row's
+    linked = labels.join(nodes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("least"))
+    linked = small(scratch.keep(linked, "linked"))
+    labels = scratch.keep(labels.join(linked, "label").select(F.col("node").alias("labelled"), "least"), "named")
+    named = nodes.join(labels, F.col("node") == F.col("labelled"), "left").withColumn("rep", F.coalesce("least", "rep"))
+    return keyed, named.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("rep.doc_id").alias("component_id"), "rep")
+
+
+def jaccard_classes(spark: SparkSession, docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs."""
+    ship(spark)
+    keyed, named = _classed(spark, _texts(docs, id_col, text_col), size, scratch or Scratch(spark, "jaccard"))
+    out = keyed.join(named, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def one_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def one_each(spark: SparkSession, docs: DataFrame, size: int = 5) -> DataFrame:
     """One row of docs for each class: that of the smallest doc_id, with all its columns and no others.
 
-    Of rows repeating that id one stays. Rows without an id are no class's
-    smallest: they go where a row with an id has their text, else one of each
-    text stays.
+    Rows without words are classes of their own. Of rows that repeat an id and
+    a text (also where the id is null) one stays. A row without an id stays only
+    where no row of its class has one.
     """
+    ship(spark)
     scratch = Scratch(spark, "one-each")
-    classes = scratch.keep(jaccard_classes(spark, docs, scratch=scratch).select("doc_id", "component_id"), "all")
-    kept = classes.where("doc_id = component_id").select("doc_id")
-    repeated = kept.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    out = _only(docs.withColumn("__id", F.col("doc_id").cast("long")), kept.distinct().withColumnRenamed("doc_id", "__id"), "__id").drop("__id").select(*docs.columns)
-    if repeated:
-        out = out.dropDuplicates(["doc_id"])
-    if not classes.where("doc_id is null").limit(1).count():
-        return out
-    texts = docs.where("doc_id is not null").select("text").distinct()
-    alone = docs.where("doc_id is null").join(texts, "text", "left_anti").select(*docs.columns)
-    return out.unionByName(alone.dropDuplicates(["text"]))
+    keyed, named = _classed(spark, _texts(docs), size, scratch)
+    kept = named.select(F.col("rep.doc_id").alias("id"), F.col("rep.th").alias("kth")).unionByName(keyed.where("n = 0").select(F.col("doc_id").alias("id"), F.col("th").alias("kth")))
+    kept = small(scratch.keep(kept.distinct(), "kept"))
+    out = _texts(docs, "doc_id", "text", packed(docs)).join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("kth")), "left_semi")
+    if not keyed.groupBy("doc_id", "th").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "th"])
+    return out.select("row.*")
 
 
 def _crowded(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -346,39 +371,56 @@ def _crowded(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return s[order], (1 + np.log2(found["count"].to_numpy())).astype(np.uint8)[order]
 
 
-def _only(rows: DataFrame, ids: DataFrame, on: str = "doc_id") -> DataFrame:
-    """rows whose id is among ids; ids go to every task only if they are counted and few."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, on, "left_semi")
-
-
-def _measure(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _measure(scratch: Scratch, members: DataFrame, sets: DataFrame) -> DataFrame:
     """Common shingles of each member and its cell's pivot. Large cells are dealt over chunks, each with a copy of the pivot."""
-    cells = members.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(2 * BLOCK_SETS)).alias("chunks"))
+    cells = small(scratch.keep(members.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(2 * BLOCK_SETS)).alias("chunks")), "cells"))
     rows = members.join(cells, "cell").select("cell", F.expr("pmod(xxhash64(member), chunks)").alias("chunk"), F.lit(True).alias("is_member"), "member")
     pivots = cells.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("is_member"), F.col("cell").alias("member"))
-    rows = rows.unionByName(pivots).join(sets.withColumnRenamed("doc_id", "member"), "member").select("cell", "chunk", "is_member", "member", "shingles")
+    rows = rows.unionByName(pivots).join(sets, "member").select("cell", "chunk", "is_member", "member", "shingles")
     rows = rows.repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", "is_member")
     return rows.mapInArrow(_to_pivot, "cell long, member long, n_pivot long, n long, common long")
 
 
-def _block_rows(measured: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members of each pair of blocks that may hold links the pivot doesn't show, sorted by the pair."""
+def _block_rows(scratch: Scratch, measured: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members of each pair of blocks that may hold links the pivot doesn't show, sorted by the pair.
+
+    What is known of a cell or ring is a written table of one row each, joined
+    back by broadcast where it is measured to be small: the members of a crowded
+    cell never meet in one task.
+    """
     d = F.expr("1 - common / cast(n + n_pivot - common as double)")
-    far = measured.where(~F.col("direct")).groupBy("cell").agg(F.min(d).alias("nearest_far"))
+    far = small(scratch.keep(measured.where(~F.col("direct")).groupBy("cell").agg(F.min(d).alias("nearest_far")), "far"))
     # of the members linked to the pivot only the boundary can link to the rest
     rows = measured.join(far, "cell").withColumn("d", d).where(~F.col("direct") | (F.col("d") >= F.col("nearest_far") - (1 - LEAST / PARTS) - 1e-9))
+    rows = scratch.keep(rows.select("cell", "member", "n", "direct", "d"), "boundary")
     whole = rows.groupBy("cell").agg(F.count("*").alias("members"), F.sum("n").alias("volume")).where("members > 1")
-    small = f"members <= {BLOCK_SETS} and volume <= {BLOCK_SHINGLES}"
-    rows = rows.join(whole.withColumn("small", F.expr(small)), "cell")
+    whole = small(scratch.keep(whole.select("cell", F.expr(f"members <= {BLOCK_SETS} and volume <= {BLOCK_SHINGLES}").alias("small")), "sizes"))
+    rows = rows.join(whole, "cell")
     rows = rows.withColumn("ring", F.expr(f"case when small then 0 when direct then -1 - least({RINGS - 1}, floor(d * {RINGS})) else 1 + least({RINGS - 1}, floor(d * {RINGS})) end"))
     rings = rows.groupBy("cell", "ring").agg(F.expr(f"case when max(small) then 1 else greatest(ceil(count(*) / {BLOCK_SETS // 2}), ceil(sum(n) / {BLOCK_SHINGLES // 2})) end").alias("chunks"))
-    rows = rows.join(rings, ["cell", "ring"]).withColumn("block", F.expr("ring * 1000000L + pmod(xxhash64(member), chunks)"))
+    rings = scratch.keep(rings, "rings")
+    rows = rows.join(small(rings), ["cell", "ring"]).withColumn("block", F.expr("ring * 1000000L + pmod(xxhash64(member), chunks)"))
     blocks_ = rings.select("cell", "ring", F.explode(F.expr("sequence(0L, chunks - 1)")).alias("chunk")).select("cell", "ring", F.expr("ring * 1000000L + chunk").alias("block"))
     window = -(-RINGS * (PARTS - LEAST) // PARTS) + 1
     b = blocks_.select("cell", F.col("ring").alias("ring2"), F.col("block").alias("block2"))
     pairs = blocks_.join(b, "cell").where(f"block <= block2 and not (ring < 0 and ring2 < 0) and abs(abs(ring) - abs(ring2)) <= {window}")
     pairs = pairs.select("cell", F.col("block").alias("left"), F.col("block2").alias("right"), F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
-    rows = rows.join(pairs, ["cell", "block"]).join(sets.withColumnRenamed("doc_id", "member"), "member")
+    pairs = small(scratch.keep(pairs, "pairs"))
+    rows = rows.join(pairs, ["cell", "block"]).join(sets, "member")
     rows = rows.select("cell", "left", "right", "block", "direct", "member", "shingles")
     return rows.repartition("cell", "left", "right").sortWithinPartitions("cell", "left", "right")
+
+
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The same rows in DuckDB's SQL: every pair of documents with a common shingle, and everything that links reach.
+ORACLE = rf"""
+with recursive doc as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x20\x09-\x0D]+') as w from documents),
+shingle as materialized (select distinct doc_id, array_to_string(w[i : i + 4], ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from doc where len(w) > 0)),
+size as (select doc_id, count(*) as n from shingle group by 1),
+pair as (select a.doc_id as u, b.doc_id as v, count(*) as c from shingle a join shingle b using (s) where a.doc_id < b.doc_id group by 1, 2),
+link as materialized (select u, v from pair join size a on a.doc_id = u join size b on b.doc_id = v where {PARTS} * c >= {LEAST} * (a.n + b.n - c)),
+either as (select u, v from link union all select v, u from link),
+reach as (select doc_id, doc_id as other from size union select reach.doc_id, v from reach join either on u = other)
+select doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, coalesce(component_id, doc_id) as component_id
+from doc left join size using (doc_id) left join (select doc_id, min(other) as component_id from reach group by 1) using (doc_id)
+"""

@@ -5,15 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, media, toxic, winnow
+from . import chat, jaccard, media, toxic, urlmodel, winnow
 from .brown import score_documents
-from .jaccard import jaccard_classes
 from .packing import pack
 from .quality import quality
 from .store import documents
 from .tokens import count_tokens
-from .urlmodel import judge_urls
 
 
 def vocabulary(name: str) -> str:
@@ -28,7 +27,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.features(spark, media.store_media(spark, documents(spark, sf_dir))).drop("tensors")
+    return media.features(spark, media.store_media(spark, documents(spark, sf_dir)))
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +42,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(spark, documents(spark, sf_dir))
+    return jaccard.jaccard_classes(spark, documents(spark, sf_dir))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +59,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(spark, documents(spark, sf_dir, "pages"))
+    judged = urlmodel.judge_urls(spark, documents(spark, sf_dir, "pages"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("score", "threshold")})
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +80,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-ORACLES: dict[str, str] = {"op10_benchmark_decontamination": winnow.ORACLE}
+ORACLES: dict[str, str] = {"op5_ngram_jaccard_join": jaccard.ORACLE, "op9_url_filters": urlmodel.ORACLE, "op10_benchmark_decontamination": winnow.ORACLE}

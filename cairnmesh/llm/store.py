@@ -100,7 +100,7 @@ def ship(spark: SparkSession) -> None:
 
 
 #: A table is broadcast only where it is measured to take no more memory than this; beyond it the join is shuffled.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 32 << 20
 
 
 def _bytes(value: Column, kind: T.DataType) -> Column:

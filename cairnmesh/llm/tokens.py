@@ -2,8 +2,9 @@
 
 ``count_tokens``: a vocabulary string that its library encodes alone as one
 token is one token wherever it is a pre-token, since merges never cross
-pre-tokens. ``proven`` establishes this once for every vocabulary string. Texts
-are cut into pre-tokens, those in the proven table count one each, and only the
+pre-tokens. ``proven`` establishes this for every vocabulary string before the
+job, on the driver; tasks get the proven strings (a vocabulary's, so bounded).
+Texts are cut into pre-tokens, those in the proven table count one each, and only the
 rest is merged by the library (each distinct one once while the table of merged
 ones has room; a full table steps back behind a new one, from which what recurs
 is taken over, so that forgetting costs time, not results).
@@ -60,8 +61,8 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def proven(tokenizer) -> dict[str, int]:
-    """{string: 1} for the vocabulary strings that the library encodes alone as their one token."""
+def proven(tokenizer) -> list[str]:
+    """The vocabulary strings that the library encodes alone as their one token."""
     letters = _byte_letters()
     strings, ids = [], []
     special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
@@ -74,18 +75,18 @@ def proven(tokenizer) -> dict[str, int]:
             continue
         strings.append(s)
         ids.append(i)
-    return {s: 1 for s, i, got in zip(strings, ids, ids_of(tokenizer, strings), strict=True) if got == [i]}
+    return [s for s, i, got in zip(strings, ids, ids_of(tokenizer, strings), strict=True) if got == [i]]
 
 
 class Counter:
-    """Counts the tokens of texts for one tokenizer file."""
+    """Counts the tokens of texts for one tokenizer file; `single` are the proven strings."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, single: list[str]):
         import public_tokenizers
         import regex
 
         self.tokenizer = library(path)
-        self.base = proven(self.tokenizer)
+        self.base = dict.fromkeys(single, 1)
         self.merged = dict(self.base)
         self.older: dict[str, int] = {}
         self.pattern = regex.compile(public_tokenizers.PATTERN)
@@ -146,14 +147,19 @@ class Counter:
         return out
 
 
-@functools.cache
-def _counter(path: str) -> Counter:
-    return Counter(path)
+_counters: dict[str, Counter] = {}
+
+
+def counter_of(path: str, single) -> Counter:
+    """The worker's counter for a file; `single` gives the proven strings when it is made."""
+    if path not in _counters:
+        _counters[path] = Counter(path, single())
+    return _counters[path]
 
 
-def _count(path: str):
+def _count(path: str, single):
     def run(batches):
-        counter = _counter(path)
+        counter = counter_of(path, lambda: single.value)
         for batch in batches:
             ids = batch.column(0)
             sizes, counts = [], []
@@ -169,7 +175,8 @@ def count_tokens(spark: SparkSession, docs: DataFrame, path: str, limit: int = L
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of each row of docs."""
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(_count(path), "doc_id long, n_bytes long, n_tokens long")
+    single = spark.sparkContext.broadcast(proven(library(path)))
+    out = rows.mapInArrow(_count(path, single), "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from cairnmesh.llm import jaccard
+from cairnmesh.llm import jaccard, store
 from cairnmesh.llm.components import smallest_reachable
 from cairnmesh.llm.store import Scratch
 from cairnmesh.llm.text import BLOCK, SPACE, word_hashes, words
@@ -48,7 +48,7 @@ def test_dense_group_in_blocks(spark, monkeypatch):
     """Sets around the threshold, in blocks of a few: rings, windows and recursion all get work."""
     monkeypatch.setattr(jaccard, "BLOCK_SETS", 8)
     monkeypatch.setattr(jaccard, "LEAF", 2)
-    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 1)
+    monkeypatch.setattr(store, "BROADCAST_BYTES", 1)
     r = np.random.default_rng(1)
     base = [f"w{i}" for i in range(40)]
     rows = []
@@ -71,6 +71,19 @@ def test_one_each_and_empty(spark, docs, none):
     assert jaccard.one_each(spark, none).count() == 0
 
 
+def test_rows_of_one_id_and_rows_without_id_link_by_their_texts(spark):
+    """Nodes are sets: an id with two texts links both, rows without an id link like others, user columns of any name come back."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    near = lambda t: t + " more"
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (None, c), (None, near(c)), (None, near(c)), (5, near(a)), (6, None), (6, None), (7, "")]
+    df = spark.createDataFrame([(*r, "keepme", "keepme", i) for i, r in enumerate(rows)], "doc_id long, text string, __id string, node string, th long")
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(spark, df).collect()}
+    assert got == {(1, 36, 1), (2, 37, 1), (3, 37, 1), (5, 37, 1), (None, 36, None), (None, 37, None), (6, 0, 6), (7, 0, 7)}
+    kept = jaccard.one_each(spark, df)
+    assert kept.columns == df.columns and {(r["__id"], r.node) for r in kept.collect()} == {("keepme", "keepme")}
+    assert sorted((r.doc_id or 0, (r.text or "")[:1]) for r in kept.collect()) == [(0, "c"), (1, "a"), (1, "b"), (6, ""), (7, "")]
+
+
 def test_components_of_a_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 101), (None, 3)], "u long, v long")
     got = {r.node: r.label for r in smallest_reachable(Scratch(spark, "t"), e).collect()}

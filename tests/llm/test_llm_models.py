@@ -1,3 +1,4 @@
+import hashlib
 import math
 import re
 import zlib
@@ -16,9 +17,10 @@ def tokens(t):
     return [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW)), "\n"]
 
 
-@pytest.mark.parametrize("head", [3, 200_000])
-def test_base_scores(spark, docs, monkeypatch, head):
-    monkeypatch.setattr(brown, "HEAD", head)
+@pytest.mark.parametrize("most", [3, 200_000])
+def test_base_scores(spark, docs, monkeypatch, most):
+    monkeypatch.setattr(brown, "VOCABULARY", most)
+    monkeypatch.setattr(brown, "TOP", 5)
     monkeypatch.setattr(brown, "FLUSH", 20)
     rows = docs.where("doc_id is not null").collect()
     held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 7 == 2 for r in rows}
@@ -29,7 +31,52 @@ def test_base_scores(spark, docs, monkeypatch, head):
         g, t = got[r.doc_id], tokens(r.text)
         assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (held[r.doc_id], len(t), sum(c[w] > 0 for w in t), n)
         assert g.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), abs=1e-6)
-        assert g.score < 0 and math.isfinite(g.score)
+        assert g.score < 0 and math.isfinite(g.score) and g.perplexity == pytest.approx(10 ** (-g.score / g.n_tokens))
+
+
+def test_counts_that_tie_beyond_the_vocabulary(spark, monkeypatch):
+    """Seven words of one count where the vocabulary has room for three: all are counted."""
+    monkeypatch.setattr(brown, "VOCABULARY", 3)
+    text = "a bb ccc dddd eeeee ffffff ggggggg"
+    doc = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 != 2)
+    got = brown.score_documents(spark, spark.createDataFrame([(doc, f"{text} {text} {text}")], "doc_id long, text string")).first()
+    assert (got.n_tokens, got.n_known, got.train_tokens) == (22, 22, 22)
+    assert got.base_score == pytest.approx(21 * math.log10(4 / 31) + math.log10(2 / 31))
+
+
+def test_far_words_move_to_the_likeliest_class():
+    """Gains from class counts are those of the whole likelihood."""
+    r = np.random.default_rng(5)
+    c, words = brown.CLASSES, 12
+    cls = r.integers(0, c, words)
+    a, b = r.integers(0, words, 600), r.integers(0, words, 600)
+    a, b = a[a != b], b[a != b]
+
+    def likelihood(cls):
+        g = np.zeros((c, c))
+        np.add.at(g, (cls[a], cls[b]), 1)
+        return brown._xlogx(g).sum() - brown._xlogx(g.sum(0)).sum() - brown._xlogx(g.sum(1)).sum(), g
+
+    _, g = likelihood(cls)
+    after = np.stack([np.bincount(cls[b[a == w]], minlength=c) for w in range(words)])
+    ahead = np.stack([np.bincount(cls[a[b == w]], minlength=c) for w in range(words)])
+    got = brown.best_class(after, ahead, cls, g)
+    for w in range(words):
+        every = [likelihood(np.where(np.arange(words) == w, k, cls))[0] for k in range(c)]
+        assert every[got[w]] == pytest.approx(max(every))
+
+
+def test_far_words_classes_lower_held_out_perplexity(spark, monkeypatch):
+    """Words of one kind follow words of the other: classes of far words are learned from their contexts, whatever their spelling."""
+    monkeypatch.setattr(brown, "TOP", 40)
+    r = np.random.default_rng(7)
+    kinds = [[f"{x:x}" for x in r.choice(1 << 40, 300, replace=False)] for _ in range(2)]
+    rows = [(i, " ".join(kinds[j % 2][r.integers(0, 300)] for j in range(120))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = brown.score_documents(spark, docs).where("held_out").selectExpr("avg(score) as model", "avg(base_score) as base").first()
+    monkeypatch.setattr(brown, "FAR_SWEEPS", 0)
+    without = brown.score_documents(spark, docs).where("held_out").selectExpr("avg(score) as model").first()
+    assert got.model > got.base + 10 and got.model > without.model + 10
 
 
 def test_scores_of_no_rows(spark, none, docs):
@@ -50,12 +97,11 @@ def test_exchange_finds_classes():
 
 def test_model_is_a_distribution():
     r = np.random.default_rng(2)
-    top = np.sort(r.integers(1, 1 << 60, 5).astype(np.uint64))
-    m = len(top) + brown.SHAPES + 1
-    pair, n = np.arange(0, m * m, 97), r.integers(1, 9, len(range(0, m * m, 97)))
-    model = brown.Model(top, pair, n, top, np.ones(5), np.full(brown.SHAPES, 10.0), np.full(brown.SHAPES, 4.0))
+    words = np.sort(r.integers(1, 1 << 60, 5).astype(np.uint64))
+    cls = r.integers(0, brown.CLASSES, 5 + brown.SHAPES + 1)
+    model = brown.Model(words, np.arange(3, 8), cls, r.integers(0, 9, (brown.CLASSES, brown.CLASSES)), np.full(brown.SHAPES, 10.0), np.full(brown.SHAPES, 4.0), 9)
     assert np.allclose((10**model.step).sum(1), 1)
-    spread = np.zeros(m)
+    spread = np.zeros(len(cls))
     spread[5 : 5 + brown.SHAPES] = math.log10(15)
     emit = 10 ** (model.emit + spread)
     assert all(np.isclose(emit[model.cls == c].sum(), 1) for c in set(model.cls))
@@ -217,42 +263,53 @@ def test_url_rules(spark):
     assert {r.verdict for r in urlmodel.judge_urls(spark, pages.where("page_id in (6, 9)")).collect()} == {"allow"}
 
 
+def brute_prob(urls, context, char):
+    """Witten-Bell over contexts from the longest to none, from the definition: followers are looked up in the urls themselves."""
+    after = Counter()
+    for u in urls:
+        t = "\x02" * urlmodel.ORDER + u
+        after.update(t[i] for i in range(urlmodel.ORDER, len(t)) if t[i - len(context) : i] == context)
+    lower = brute_prob(urls, context[1:], char) if context else 1 / urlmodel.SYMBOLS
+    total, kinds = sum(after.values()), len(after)
+    weight = kinds / (kinds + total) if total else 1.0
+    return (1 - weight) * (after[char] / total if total else 0) + weight * lower
+
+
 def brute_ratio(accepted, rejected, url):
-    """Witten-Bell interpolated probabilities, longest seen gram of each place."""
-    n = urlmodel.ORDER + 1
-    start = "\x02" * urlmodel.ORDER
-
-    def counts(urls):
-        c = Counter()
-        for u in urls:
-            t = start + u
-            for i in range(urlmodel.ORDER, len(t)):
-                for k in range(1, n + 1):
-                    c[t[i - k + 1 : i + 1]] += 1
-        return c
-
-    ca, cr = counts(accepted), counts(rejected)
-    seen = set(ca) | set(cr)
-
-    def prob(c, gram):
-        low = prob(c, gram[1:]) if len(gram) > 1 else 1 / urlmodel.SYMBOLS
-        after = {g: x for g, x in c.items() if len(g) == len(gram) and g[:-1] == gram[:-1]}
-        total, kinds = sum(after.values()), len(after)
-        return (c[gram] + kinds * low) / (total + kinds) if total else low
-
-    total, t = 0.0, start + url
-    for i in range(urlmodel.ORDER, len(t)):
-        for k in range(n, 0, -1):
-            g = t[i - k + 1 : i + 1]
-            if g in seen:
-                total += math.log10(prob(ca, g)) - math.log10(prob(cr, g))
-                break
-    return total / len(url)
-
-
-def test_url_scores_match_brute_force(spark):
-    good, bad, free = ["http://ab.com/1", "http://abc.com/2"], ["http://q.net/es/1", "http://qq.net/fr/2"], ["http://ab.org/1", "http://q.org/es/z"]
-    pages = spark.createDataFrame(list(enumerate(good + bad + free)), "page_id long, url string")
-    got = {r.page_id: r.score for r in urlmodel.judge_urls(spark, pages).where("rule is null").collect()}
-    assert got[4] == pytest.approx(brute_ratio(good, bad, free[0]), abs=1e-9)
-    assert got[5] == pytest.approx(brute_ratio(good, bad, free[1]), abs=1e-9)
+    t, k = "\x02" * urlmodel.ORDER + url, urlmodel.ORDER
+    return sum(math.log10(brute_prob(accepted, t[i - k : i], t[i])) - math.log10(brute_prob(rejected, t[i - k : i], t[i])) for i in range(k, len(t))) / len(url)
+
+
+def half(url):
+    return hashlib.md5(url.encode()).hexdigest()[0] < "8"
+
+
+@pytest.mark.parametrize("head", [3, 200_000])
+def test_url_scores_match_brute_force(spark, monkeypatch, head):
+    """Scores from the models of one half, the cut in the middle of the best ones on the other half, seen and unseen contexts and characters."""
+    monkeypatch.setattr(urlmodel, "HEAD", head)
+    r = np.random.default_rng(2)
+    name = lambda: "".join(r.choice(list("abcé"), r.integers(1, 4)))
+    urls = [f"http://{name()}.com/{name()}" for _ in range(25)] + [f"http://{name()}.net/{r.choice(['es', 'fr'])}/{name()}" for _ in range(25)]
+    urls += ["http://ab.org/1", "http://q.org/es/z", "http://zz🙂.org/fr/q", "x", "", None] + urls[:3]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {x.page_id: x for x in urlmodel.judge_urls(spark, pages).collect()}
+    good, bad = [u for u in urls if u and ".com/" in u], [u for u in urls if u and ".net/" in u]
+    learn_good, learn_bad = [u for u in good if half(u)], [u for u in bad if half(u)]
+    for i, u in enumerate(urls):
+        assert got[i].score == pytest.approx(brute_ratio(learn_good, learn_bad, u) if u else 0.0, abs=1e-9)
+    cut, score = got[0].threshold, {urls[i]: x.score for i, x in got.items()}
+    kept = lambda at: np.mean([score[u] >= at for u in good if not half(u)])
+    lost = lambda at: np.mean([score[u] < at for u in bad if not half(u)])
+    scores = [x.score for x in got.values()]
+    assert kept(cut) + lost(cut) >= max(kept(at) + lost(at) for at in np.linspace(min(scores), max(scores), 60)) - 0.05
+    for i in (50, 51, 52, 53):
+        assert got[i].verdict == ("block" if got[i].score < cut else "allow")
+    assert got[54].verdict == got[55].verdict == "allow"
+
+
+def test_url_probabilities_sum_to_one():
+    urls = ["http://ab.com/1", "http://abc.com/2"]
+    for context in ("", "a", "ab", "http", "zzzz", "zab."):
+        chars = {c for u in urls for c in u}
+        assert sum(brute_prob(urls, context, c) for c in chars) + (urlmodel.SYMBOLS - len(chars)) * brute_prob(urls, context, "☃") == pytest.approx(1)

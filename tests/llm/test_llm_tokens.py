@@ -22,6 +22,10 @@ def ids(path, text):
     return library(path).encode(text or "", add_special_tokens=False).ids
 
 
+def counter_of(path):
+    return tokens.counter_of(path, lambda: tokens.proven(tokens.library(path)))
+
+
 def test_counts_are_the_librarys(spark, docs, none):
     path = vocabulary("byte_bpe_50k.json")
     source = docs.collect()
@@ -34,7 +38,7 @@ def test_counts_are_the_librarys(spark, docs, none):
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("aeThß É'sl12.,!?%\n\t\xa0\x85\x1c中🙂Σİ́<|endoftext|>")), max_size=60))
 def test_any_text(text):
-    counter = tokens._counter(vocabulary("byte_bpe_50k.json"))
+    counter = counter_of(vocabulary("byte_bpe_50k.json"))
     assert counter.of_texts([text]) == [len(ids(vocabulary("byte_bpe_50k.json"), text))]
     table = tokens.chunk_table(vocabulary("word_bpe_49k.json"))
     assert np.frombuffer(table.of_texts([text.encode()])[0], "<u4").tolist() == ids(vocabulary("word_bpe_49k.json"), text)
@@ -45,14 +49,14 @@ def test_any_text(text):
 def test_special_strings_in_any_case(text):
     table = tokens.chunk_table(vocabulary("word_bpe_49k.json"))
     assert np.frombuffer(table.of_texts([text.encode()])[0], "<u4").tolist() == ids(vocabulary("word_bpe_49k.json"), text)
-    assert tokens._counter(vocabulary("byte_bpe_50k.json")).of_texts([text]) == [len(ids(vocabulary("byte_bpe_50k.json"), text))]
+    assert counter_of(vocabulary("byte_bpe_50k.json")).of_texts([text]) == [len(ids(vocabulary("byte_bpe_50k.json"), text))]
 
 
 def test_tables_start_anew(monkeypatch):
     monkeypatch.setattr(tokens, "ROOM", 5)
     monkeypatch.setattr(tokens, "PART", 40)
     path = vocabulary("byte_bpe_50k.json")
-    c, table = tokens.Counter(path), tokens.Chunks(vocabulary("word_bpe_49k.json"))
+    c, table = tokens.Counter(path, tokens.proven(tokens.library(path))), tokens.Chunks(vocabulary("word_bpe_49k.json"))
     for i in range(5):
         text = f"some{i} zzqx{i} and more words, more{i}! words again zzqx{i - 1} and " * 4
         assert c.of_texts([text, "x y"]) == [len(ids(path, text)), 2]
