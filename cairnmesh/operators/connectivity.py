@@ -2,22 +2,29 @@
 
     K = sum over i, j of q_i k(d_ij) q_j            |row| and |col| offsets up to R
     dK/dq_i = sum over j of (k_ij + k_ji) q_j
-    dK/dp_x = sum over s, t of q_s q_t k_st (alpha / D) times the sum of
-              2 len / (p_u + p_v)**2 over steps (u, v) on shortest s-t paths with x an end
-
-A step between neighbours (8 of them) costs len * 2 / (p_u + p_v). Self-pairs
-count and the factor 2 is kept. These are choices of this engine.
-
-The raster is cut into tiles; a tile's task gets its cells and a halo of R (2 R
-for permeability), works on arrays with one vector operation per offset, and
-returns its own cells. Rows shuffled are cells times (1 + 2 R / tile) squared,
-not cells times (2 R + 1) squared.
+    dK/dp_x = sum over s, t of q_s q_t (-k'(d_st)) times the sum of
+              2 len / (p_u + p_v)**2 over steps (u, v) on the shortest s-t path with x an end
+
+A step between neighbours (8 of them) costs len * 2 / (p_u + p_v); paths stay
+inside the source's window. Where several paths are shortest, each counts its
+share. Self-pairs count and the factor 2 is kept. k is exp(-d alpha / D), or any
+`Proximity`. These are choices of this engine.
+
+The raster is cut into tiles; a tile's task gets its cells and a halo of R.
+Distances are found for SOURCES cells at a time, each with its window of
+(2 R + 1) squared cells, by relaxing all windows at once until nothing improves,
+and what paths carry is added up backwards along the shortest-path graphs: the
+memory of a task doesn't depend on the tile. A tile of permeability adds to the
+cells around it, so tiles' sums are added by a shuffle of one row a cell and
+tile. Rows shuffled are cells times (1 + 2 R / tile) squared, not cells times
+(2 R + 1) squared.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,11 +35,37 @@ from ..config import DEFAULT, LEAST_COST, Config, Grid
 from ..functions.columns import Kernel, proximity
 
 TILE = 64
-#: Pairs of cells that are held as one matrix at most.
-PAIRS = 1 << 22
+#: Cells whose windows are held at once.
+SOURCES = 128
 _STEPS = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
 
 
+@dataclass(frozen=True)
+class Proximity:
+    """How close cells at a distance are: functions of (distances, dispersal, alpha) on arrays. Without a slope it is taken by differences."""
+
+    value: Callable[[np.ndarray, float, float], np.ndarray]
+    slope: Callable[[np.ndarray, float, float], np.ndarray] | None = None
+
+    def at(self, d: np.ndarray, dispersal: float, alpha: float) -> np.ndarray:
+        far = ~np.isfinite(d)
+        return np.where(far, 0.0, self.value(np.where(far, 0.0, d), dispersal, alpha))
+
+    def falling(self, d: np.ndarray, dispersal: float, alpha: float) -> np.ndarray:
+        """How much closer cells get for each unit of distance less."""
+        far = ~np.isfinite(d)
+        d = np.where(far, 1.0, d)
+        if self.slope:
+            fall = -self.slope(d, dispersal, alpha)
+        else:
+            h = 1e-6 * np.maximum(1.0, d)
+            fall = (self.value(d - h, dispersal, alpha) - self.value(d + h, dispersal, alpha)) / (2 * h)
+        return np.where(far, 0.0, fall)
+
+
+EXPONENTIAL = Proximity(lambda d, dispersal, alpha: np.exp(-d * alpha / dispersal), lambda d, dispersal, alpha: -alpha / dispersal * np.exp(-d * alpha / dispersal))
+
+
 def analysis_params(stats: DataFrame, config: Config = DEFAULT, grid: Grid | None = None) -> DataFrame:
     """Coarse resolution, block factor and window radius of each row with d_m."""
     fine = grid.resolution if grid else config.resolution
@@ -88,13 +121,13 @@ def _shift(a: np.ndarray, dr: int, dc: int, fill: float) -> np.ndarray:
     return out
 
 
-def euclid_sensitivity(q: np.ndarray, radius: int, scale: float) -> np.ndarray:
-    """2 * sum of q_j exp(-d scale) over the window; NaN cells give nothing."""
+def euclid_sensitivity(q: np.ndarray, radius: int, dispersal: float, alpha: float, kernel: Proximity = EXPONENTIAL) -> np.ndarray:
+    """2 * sum of q_j k(d) over the window; NaN cells give nothing."""
     q0 = np.nan_to_num(q)
     total = np.zeros_like(q0)
     for dr in range(-radius, radius + 1):
         for dc in range(-radius, radius + 1):
-            total += math.exp(-math.hypot(dr, dc) * scale) * _shift(q0, dr, dc, 0.0)
+            total += kernel.at(np.array(math.hypot(dr, dc)), dispersal, alpha) * _shift(q0, dr, dc, 0.0)
     return 2 * total
 
 
@@ -107,127 +140,135 @@ def step_costs(p: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
     return out
 
 
-def lcp_distances(p: np.ndarray, radius: int, hops: int | None = None) -> dict[tuple[int, int], np.ndarray]:
-    """Least cost from each cell to the cell at each offset of the window, by at most `hops` steps (None: until nothing improves)."""
-    costs = step_costs(p)
-    high, wide = (min(radius, n - 1) for n in p.shape)  # farther ones lie outside the array
-    offsets = [(a, b) for a in range(-high, high + 1) for b in range(-wide, wide + 1)]
-    d = {o: np.full(p.shape, np.inf) for o in offsets}
-    d[0, 0] = np.where(np.isnan(p), np.inf, 0.0)
-    moved = {(n, o): _shift(costs[n], o[0], o[1], np.inf) for o in offsets for n in _STEPS}
-    hop = 0
-    while hops is None or hop < hops:
-        new = {}
-        for a, b in offsets:
-            best = d[a, b]
-            for n in _STEPS:
-                before = (a - n[0], b - n[1])
-                if before in d:
-                    best = np.minimum(best, d[before] + moved[n, before])
-            new[a, b] = best
-        same = all(np.array_equal(new[o], d[o]) for o in offsets)
-        d, hop = new, hop + 1
-        if same:
-            break
-    return d
+def _ends(n: tuple[int, int], width: int) -> tuple[tuple, tuple]:
+    """Places, in windows of this width, of the beginnings and the ends of all steps n that stay inside."""
+    spans = [(slice(max(0, -x), width - max(0, x)), slice(max(0, x), width - max(0, -x))) for x in n]
+    return (slice(None), spans[0][0], spans[1][0]), (slice(None), spans[0][1], spans[1][1])
 
 
-def lcp_quality(q: np.ndarray, p: np.ndarray, radius: int, scale: float, hops: int | None) -> np.ndarray:
-    q0 = np.nan_to_num(q)
-    d = lcp_distances(p, radius, hops)
-    return 2 * sum(np.exp(-d[o] * scale) * _shift(q0, *o, 0.0) for o in d)
+class Windows:
+    """The windows around some cells of arrays with one shape; what lies beyond the arrays is missing."""
 
+    def __init__(self, radius: int, rows: np.ndarray, cols: np.ndarray):
+        self.radius, self.width, self.rows, self.cols = radius, 2 * radius + 1, rows, cols
 
-def lcp_permeability(q: np.ndarray, p: np.ndarray, radius: int, scale: float, hops: int | None, eps: float) -> np.ndarray:
-    """A step (u, v) lies on a shortest s-t path if d_su + cost_uv + d_vt equals d_st within eps."""
-    q0 = np.nan_to_num(q)
-    d = lcp_distances(p, radius, hops)
-    if p.size <= PAIRS**0.5:
-        return _permeability_by_step(q0, p, d, radius, scale, eps)
+    def of(self, a: np.ndarray, fill: float) -> np.ndarray:
+        padded = np.pad(a, self.radius, constant_values=fill)
+        return np.lib.stride_tricks.sliding_window_view(padded, (self.width, self.width))[self.rows, self.cols]
+
+    def distances(self, costs: dict, here: np.ndarray) -> np.ndarray:
+        """Least cost from each window's centre to its cells, by any number of steps inside the window."""
+        d = np.full((len(self.rows), self.width, self.width), np.inf)
+        d[:, self.radius, self.radius] = np.where(here[self.rows, self.cols], 0.0, np.inf)
+        while True:
+            before = d.copy()
+            for n, c in costs.items():
+                u, v = _ends(n, self.width)
+                d[v] = np.minimum(d[v], d[u] + c[u])
+            if np.array_equal(before, d):
+                return d
+
+    def add(self, total: np.ndarray, gains: np.ndarray) -> None:
+        """Add each window's gains to the cells of total that it covers."""
+        r = self.radius
+        padded = np.zeros((total.shape[0] + 2 * r, total.shape[1] + 2 * r))
+        for i, j, g in zip(self.rows, self.cols, gains, strict=True):
+            padded[i : i + self.width, j : j + self.width] += g
+        total += padded[r : r + total.shape[0], r : r + total.shape[1]]
+
+
+def _windows(shape: tuple[int, int], radius: int, sources: np.ndarray | None) -> Iterator[Windows]:
+    """Windows of all cells, or of the marked ones, SOURCES at a time. A window no wider than the array needs."""
+    rows, cols = np.nonzero(np.ones(shape, bool) if sources is None else sources)
+    for at in range(0, len(rows), SOURCES):
+        yield Windows(min(radius, max(shape) - 1), rows[at : at + SOURCES], cols[at : at + SOURCES])
+
+
+def lcp_distances(p: np.ndarray, radius: int, sources: np.ndarray | None = None) -> Iterator[tuple[Windows, dict, np.ndarray]]:
+    """(windows, their step costs, least costs from their centres), some cells at a time."""
     costs = step_costs(p)
-    slope = {n: np.where(np.isfinite(costs[n]), 2 * math.hypot(*n) / (p + _shift(p, *n, np.nan)) ** 2, 0.0) for n in _STEPS}
-    total = np.zeros_like(q0)
-    for t in d:
-        if t == (0, 0):
-            continue
-        weight = q0 * _shift(q0, *t, 0.0) * np.exp(-d[t] * scale) * scale
-        for u in d:
-            for n in _STEPS:
-                v = (u[0] + n[0], u[1] + n[1])
-                rest = (t[0] - v[0], t[1] - v[1])
-                if v not in d or rest not in d:
-                    continue
-                through = d[u] + _shift(costs[n], *u, np.inf) + _shift(d[rest], *v, np.inf)
-                with np.errstate(invalid="ignore"):  # no path less no path
-                    on = np.isfinite(d[t]) & (np.abs(through - d[t]) < eps)
-                if on.any():
-                    gain = np.where(on, weight * _shift(slope[n], *u, 0.0), 0.0)
-                    total += _shift(gain, -u[0], -u[1], 0.0) + _shift(gain, -v[0], -v[1], 0.0)
-    return total
+    for w in _windows(p.shape, radius, sources):
+        inside = {n: w.of(c, np.inf) for n, c in costs.items()}
+        yield w, inside, w.distances(inside, ~np.isnan(p))
 
 
-def _permeability_by_step(q0: np.ndarray, p: np.ndarray, d: dict[tuple[int, int], np.ndarray], radius: int, scale: float, eps: float) -> np.ndarray:
-    """The same sum step by step over the pairs of cells in reach: few, large operations where the array is small."""
-    n, m = p.shape
-    far = np.full((n, m, n, m), np.inf)
-    row, col = np.indices((n, m))
-    for (a, b), x in d.items():
-        there = (row + a >= 0) & (row + a < n) & (col + b >= 0) & (col + b < m)
-        r, c = row[there], col[there]
-        far[r, c, r + a, c + b] = x[there]
-    weight = np.where(np.isfinite(far), q0[:, :, None, None] * q0 * np.exp(-far * scale) * scale, 0.0)
-    weight[row, col, row, col] = 0.0
-    total = np.zeros((n, m))
-
-    def around(*cells):
-        return tuple(slice(max(0, max(x) - radius), min(x) + radius + 1) for x in zip(*cells, strict=True))
-
-    for (a, b), cost in step_costs(p).items():
-        for u in zip(*np.nonzero(np.isfinite(cost)), strict=True):
-            v = (u[0] + a, u[1] + b)
-            pairs = around(u, v) + around(v)
+def lcp_quality(q: np.ndarray, p: np.ndarray, radius: int, dispersal: float, alpha: float, kernel: Proximity = EXPONENTIAL, sources: np.ndarray | None = None) -> np.ndarray:
+    out, q0 = np.zeros(q.shape), np.nan_to_num(q)
+    for w, _, d in lcp_distances(p, radius, sources):
+        out[w.rows, w.cols] = 2 * (w.of(q0, 0.0) * kernel.at(d, dispersal, alpha)).sum(axis=(1, 2))
+    return out
+
+
+def lcp_permeability(q: np.ndarray, p: np.ndarray, radius: int, dispersal: float, alpha: float, kernel: Proximity = EXPONENTIAL, eps: float = 1e-9, sources: np.ndarray | None = None) -> np.ndarray:
+    """What the marked sources' paths give each cell. A step (u, v) is on a shortest path if d_su + cost_uv equals d_sv within eps."""
+    q0, total = np.nan_to_num(q), np.zeros(q.shape)
+    slopes = {n: np.where(np.isfinite(c), c * c / (2 * math.hypot(*n)), 0.0) for n, c in step_costs(p).items()}
+    for w, costs, d in lcp_distances(p, radius, sources):
+        carried = w.of(q0, 0.0) * q0[w.rows, w.cols][:, None, None] * kernel.falling(d, dispersal, alpha)
+        carried[:, w.radius, w.radius] = 0.0
+        steps = {}
+        for n in _STEPS:
+            u, v = _ends(n, w.width)
             with np.errstate(invalid="ignore"):  # no path less no path
-                through = (far[around(u, v) + u] + cost[u])[:, :, None, None] + far[v + around(v)]
-                on = np.abs(through - far[pairs]) < eps
-            gain = weight[pairs][on].sum() * 2 * math.hypot(a, b) / (p[u] + p[v]) ** 2
-            total[u] += gain
-            total[v] += gain
+                steps[n] = (u, v, (np.isfinite(d[u]) & (np.abs(d[u] + costs[n][u] - d[v]) < eps)).astype(float))
+        paths = _settled(np.where(d == 0, 1.0, 0.0), [(u, v, on) for u, v, on in steps.values()])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            shares = {n: (u, v, np.where(on > 0, paths[u] / paths[v], 0.0)) for n, (u, v, on) in steps.items()}
+        through = _settled(carried, [(v, u, share) for u, v, share in shares.values()])
+        gains = np.zeros_like(d)
+        for n, (u, v, share) in shares.items():
+            gain = share * through[v] * w.of(slopes[n], 0.0)[u]
+            gains[u] += gain
+            gains[v] += gain
+        w.add(total, gains)
     return total
 
 
-def sensitivity(df: DataFrame, keys: Sequence[str], how: str, hops: int | None = None, eps: float = 1e-9, tile: int = TILE) -> DataFrame:
+def _settled(own: np.ndarray, steps: list[tuple]) -> np.ndarray:
+    """x = own + the sum over steps (from, to, share) of share * x[from] at `to`: passed on until nothing changes, as steps make no circle."""
+    x = own
+    for _ in range(own.shape[1] * own.shape[2]):
+        new = own.copy()
+        for a, b, share in steps:
+            new[b] += share * x[a]
+        if np.array_equal(new, x):
+            break
+        x = new
+    return x
+
+
+def sensitivity(df: DataFrame, keys: Sequence[str], how: str, eps: float = 1e-9, tile: int = TILE, kernel: Proximity = EXPONENTIAL) -> DataFrame:
     """(keys..., row, col, sensitivity) of rasters (keys..., row, col, q, radius, alpha, d_m).
 
-    how: euclid, lcp_quality or lcp_permeability; the permeability is q. hops
-    bounds the steps of a path, None finds all paths inside the window.
+    how: euclid, lcp_quality or lcp_permeability; the permeability is q.
     """
-    twice = 2 if how == "lcp_permeability" else 1
     names = [f.name for f in df.schema.fields if f.name in keys]
     fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in names)
     schema = f"{fields + ', ' if fields else ''}row int, col int, sensitivity double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own = _own(pdf, tile)
-        got = own[[*names, "row", "col"]].copy()
-        if got.empty:  # a tile that is nothing but halo
-            return got.assign(sensitivity=0.0)
-        radius = int(pdf["radius"].iloc[0])
-        scale = float(pdf["alpha"].iloc[0]) / float(pdf["d_m"].iloc[0])
+        got = (pdf if how == "lcp_permeability" else own)[[*names, "row", "col"]].copy()
+        if own.empty:  # a tile that is nothing but halo
+            return got[:0].assign(sensitivity=0.0)
+        radius, dispersal, alpha_ = int(pdf["radius"].iloc[0]), float(pdf["d_m"].iloc[0]), float(pdf["alpha"].iloc[0])
         (q,), r0, c0 = _arrays(pdf, ["q"])
+        sources = np.zeros(q.shape, bool)
+        sources[own["row"].to_numpy() - r0, own["col"].to_numpy() - c0] = True
         if how == "euclid":
-            out = euclid_sensitivity(q, radius, scale)
+            out = euclid_sensitivity(q, radius, dispersal, alpha_, kernel)
         elif how == "lcp_quality":
-            out = lcp_quality(q, q, radius, scale, hops)
+            out = lcp_quality(q, q, radius, dispersal, alpha_, kernel, sources)
         else:
-            out = lcp_permeability(q, q, radius, scale, hops, eps)
-        got["sensitivity"] = out[own["row"].to_numpy() - r0, own["col"].to_numpy() - c0]
+            out = lcp_permeability(q, q, radius, dispersal, alpha_, kernel, eps, sources)
+        got["sensitivity"] = out[got["row"].to_numpy() - r0, got["col"].to_numpy() - c0]
         return got
 
-    tiles = _tiled(df.withColumn("__halo", F.col("radius") * twice), "__halo", tile).drop("__halo")
-    return _by_tile(tiles, names).applyInPandas(run, schema)
+    out = _by_tile(_tiled(df, "radius", tile), names).applyInPandas(run, schema)
+    return out.groupBy(*names, "row", "col").agg(F.sum("sensitivity").alias("sensitivity")) if how == "lcp_permeability" else out
 
 
-def lcp_sums(df: DataFrame, keys: Sequence[str], hops: int | None = None, tile: int = TILE) -> DataFrame:
+def lcp_sums(df: DataFrame, keys: Sequence[str], tile: int = TILE) -> DataFrame:
     """(keys..., row, col, reached, distance_sum): cells in the window that a least-cost path reaches, and their distances."""
     names = list(keys)
     fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in names)
@@ -239,10 +280,12 @@ def lcp_sums(df: DataFrame, keys: Sequence[str], hops: int | None = None, tile:
         if got.empty:
             return got.assign(reached=0, distance_sum=0.0)
         (p,), r0, c0 = _arrays(pdf, ["q"])
-        d = lcp_distances(p, int(pdf["radius"].iloc[0]), hops)
-        count = sum(np.isfinite(x).astype(np.int64) for x in d.values())
-        total = sum(np.where(np.isfinite(x), x, 0.0) for x in d.values())
         at = own["row"].to_numpy() - r0, own["col"].to_numpy() - c0
+        sources, count, total = np.zeros(p.shape, bool), np.zeros(p.shape, np.int64), np.zeros(p.shape)
+        sources[at] = True
+        for w, _, d in lcp_distances(p, int(pdf["radius"].iloc[0]), sources):
+            count[w.rows, w.cols] = np.isfinite(d).sum(axis=(1, 2))
+            total[w.rows, w.cols] = np.where(np.isfinite(d), d, 0.0).sum(axis=(1, 2))
         got["reached"], got["distance_sum"] = count[at], total[at]
         return got
 

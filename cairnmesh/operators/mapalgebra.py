@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,11 +15,12 @@ from ..config import Grid
 from ..functions.columns import min_max, scaled_short
 
 
-def scale_percent(df: DataFrame, keys: Sequence[str], value: str = "pct") -> DataFrame:
-    """Percent to fraction, each raster by its own range; a raster outside percents stops the run."""
+def scale_percent(df: DataFrame, keys: Sequence[str], value: str = "pct", strict: bool = True) -> DataFrame:
+    """Percent to fraction, each raster by its own range. A raster outside percents stops the run; if not strict, all its values are missing."""
     span = df.groupBy(*keys).agg(F.max(value).alias("__high"), F.min(value).alias("__low"))
     ok = (F.col("__high") > 1) & (F.col("__low") < 100)
-    scaled = F.when(ok, F.col(value) / 100).otherwise(F.raise_error(F.lit("raster values are not percents")).cast("double"))
+    wrong = F.raise_error(F.lit("raster values are not percents")).cast("double") if strict else F.lit(None).cast("double")
+    scaled = F.when(ok, F.col(value) / 100).otherwise(wrong)
     return df.join(span, list(keys)).withColumn("value", scaled).drop("__high", "__low")
 
 
@@ -34,15 +35,31 @@ def coarsen(df: DataFrame, factor: int, height: int, width: int, keys: Sequence[
     return kept.groupBy(*keys, F.floor(F.col("row") / factor).cast("int").alias("row"), F.floor(F.col("col") / factor).cast("int").alias("col")).agg(F.avg(value).alias(value))
 
 
-def coarsen_by(df: DataFrame, factor: str, grid: Grid, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """Block mean with each raster's own factor, a column of df."""
+def extents(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys..., top, left, height, width) of the smallest rectangle around each raster's cells."""
+    span = df.groupBy(*keys).agg(*[f(c).alias(f"{n}_{c}") for c in ("row", "col") for n, f in (("low", F.min), ("high", F.max))])
+    size = lambda c: (F.col(f"high_{c}") - F.col(f"low_{c}") + 1).alias({"row": "height", "col": "width"}[c])
+    return span.select(*keys, F.col("low_row").alias("top"), F.col("low_col").alias("left"), size("row"), size("col"))
+
+
+def frames(rectangles: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys..., row, col) of every cell of rectangles (keys..., top, left, height, width), dealt over tasks by row."""
+    span = lambda at, size: F.explode(F.sequence(F.col(at).cast("int"), (F.col(at) + F.col(size) - 1).cast("int")))
+    rows = rectangles.select(*keys, "left", "width", span("top", "height").alias("row")).repartition(*keys, "row")
+    return rows.select(*keys, "row", span("left", "width").alias("col"))
+
+
+def coarsen_by(df: DataFrame, factor: str, keys: Sequence[str], value: str = "value") -> DataFrame:
+    """Block mean of rasters with each one's own factor and rectangle (columns factor, top, left, height, width); blocks begin at the rectangle's corner."""
     f = F.col(factor)
-    kept = df.where((F.col("row") < grid.height - F.lit(grid.height) % f) & (F.col("col") < grid.width - F.lit(grid.width) % f))
-    return kept.groupBy(*keys, factor, F.floor(F.col("row") / f).cast("int").alias("row"), F.floor(F.col("col") / f).cast("int").alias("col")).agg(F.avg(value).alias(value))
+    r, c = F.col("row") - F.col("top"), F.col("col") - F.col("left")
+    kept = df.where((r < F.col("height") - F.col("height") % f) & (c < F.col("width") - F.col("width") % f))
+    return kept.groupBy(*keys, F.floor(r / f).cast("int").alias("row"), F.floor(c / f).cast("int").alias("col")).agg(F.avg(value).alias(value))
 
 
 def upscale(df: DataFrame, resolution: float, grid: Grid, keys: Sequence[str] = (), value: str = "value") -> DataFrame:
-    return coarsen(df, math.ceil(resolution / grid.resolution), grid.height, grid.width, keys, value)
+    """Block mean to cells of at least `resolution`; the grid's cells must be square."""
+    return coarsen(df, math.ceil(resolution / grid.square()), grid.height, grid.width, keys, value)
 
 
 def resolution(coords: DataFrame, axis: str) -> DataFrame:
@@ -68,11 +85,13 @@ def cells(spark: SparkSession, grid: Grid) -> DataFrame:
     return rows.select("row", F.explode(F.sequence(F.lit(0), F.lit(grid.width - 1))).alias("col"))
 
 
-def pad(spark: SparkSession, df: DataFrame, grid: Grid, margin: int = 0) -> DataFrame:
-    """The dense grid with `margin` more cells on each side; missing cells are NULL."""
+def pad(spark: SparkSession, df: DataFrame, grid: Grid, margin: int = 0, keys: Sequence[str] = ()) -> DataFrame:
+    """Each raster on the dense grid with `margin` more cells on each side; missing cells are NULL."""
     bigger = Grid(grid.height + 2 * margin, grid.width + 2 * margin, grid.resolution)
     frame = cells(spark, bigger).select((F.col("row") - margin).cast("int").alias("row"), (F.col("col") - margin).cast("int").alias("col"))
-    return frame.join(df, ["row", "col"], "left")
+    if keys:  # every raster on the whole grid, a product by definition
+        frame = df.select(*keys).distinct().crossJoin(frame)
+    return frame.join(df, [*keys, "row", "col"], "left")
 
 
 def rescale(df: DataFrame, keys: Sequence[str] = (), value: str = "value") -> DataFrame:
@@ -117,51 +136,95 @@ def downscale(coarse: DataFrame, fine: DataFrame, factor: int, strict: tuple[int
     return out
 
 
-def _fill_row(keys: list[str], value: str):
+def _envelope(cols: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (into cols) of the parabolas (x - col)**2 + down that are lowest somewhere, and where each begins to be; one pass from left to right."""
+    held: list[int] = []
+    begin: list[float] = []
+    base = down + cols * cols
+    for i in range(len(cols)):
+        x = -np.inf
+        while held:
+            x = (base[i] - base[held[-1]]) / (2 * (cols[i] - cols[held[-1]]))
+            if x >= begin[-1]:
+                break
+            held.pop()
+            begin.pop()
+        held.append(i)
+        begin.append(x if len(held) > 1 else -np.inf)
+    return np.array(held), np.array(begin)
+
+
+def _fill_row(keys: list[str], values: list[str]):
     """One row of a raster whose cells know the nearest value in their column: the nearest of all columns."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf[[*keys, "row", "col", value]].copy()
-        have = pdf["__at"].notna().to_numpy()
-        holes = np.flatnonzero(pdf[value].isna().to_numpy())
-        if not have.any() or not len(holes):
+        pdf = pdf.sort_values("col")
+        out = pdf[[*keys, "row", "col", *values]].copy()
+        have = np.flatnonzero(pdf["__at"].notna().to_numpy())
+        holes = np.flatnonzero(pdf[values[0]].isna().to_numpy())
+        if not len(have) or not len(holes):
             return out
-        col, own = pdf["col"].to_numpy(np.int64), int(pdf["row"].iloc[0])
-        from_col, from_row, found = col[have], pdf["__at"].to_numpy()[have].astype(np.int64), pdf["__v"].to_numpy()[have]
-        order = np.lexsort((from_col, from_row))  # of equal distances the first is the smallest row, then column
-        from_col, from_row, found = from_col[order], from_row[order], found[order]
-        down = (from_row - own) ** 2
-        values = out[value].to_numpy(copy=True)
-        for at in range(0, len(holes), 256):
-            some = holes[at : at + 256]
-            values[some] = found[((col[some][:, None] - from_col[None, :]) ** 2 + down[None, :]).argmin(axis=1)]
-        out[value] = values
+        col, at = pdf["col"].to_numpy(float), pdf["__at"].to_numpy()
+        low, begin = _envelope(col[have], (at[have] - float(pdf["row"].iloc[0])) ** 2)
+        low = have[low]
+        last = np.searchsorted(begin, col[holes], "right") - 1
+        first = np.maximum(np.searchsorted(begin, col[holes], "left") - 1, 0)
+        best = low[last]
+        for i in np.flatnonzero(first < last):  # equal distances: the smallest row, then column
+            best[i] = min(low[first[i] : last[i] + 1], key=lambda k: (at[k], col[k]))
+        for n, v in enumerate(values):
+            new = out[v].to_numpy(float, copy=True)
+            new[holes] = pdf[f"__v{n}"].to_numpy()[best]
+            out[v] = new
         return out
 
     return run
 
 
-def fill_nearest(df: DataFrame, keys: Sequence[str] = (), value: str = "value") -> DataFrame:
+def fill_nearest(df: DataFrame, keys: Sequence[str] = (), values: str | Sequence[str] = "value") -> DataFrame:
     """Missing cells take the value of the nearest cell that has one (ties: smallest row, then column).
 
+    Several bands with the same holes (those of the first) are filled at once.
     The distance transform in its two passes: down the columns every cell finds
     the nearest value above and below (two windows), then each row takes, for
-    its missing cells, the nearest of the columns' finds. Two shuffles, whatever
-    the size of the holes. A raster without any value stays missing.
+    its missing cells, the lowest of the columns' parabolas, in one pass along
+    the row. Two shuffles and work in proportion to the cells, whatever the size
+    of the holes. A raster without any value stays missing.
     """
-    known = F.when(F.col(value).isNotNull(), F.struct(F.col("row").alias("at"), F.col(value).alias("v")))
+    values = [values] if isinstance(values, str) else list(values)
+    known = F.when(F.col(values[0]).isNotNull(), F.struct(F.col("row").alias("at"), *[F.col(v).alias(f"v{n}") for n, v in enumerate(values)]))
     column = Window.partitionBy(*keys, "col")
     above = F.last(known, ignorenulls=True).over(column.orderBy("row").rowsBetween(Window.unboundedPreceding, 0))
     below = F.last(known, ignorenulls=True).over(column.orderBy(F.desc("row")).rowsBetween(Window.unboundedPreceding, 0))
-    found = df.select(*keys, "row", "col", value).withColumn("__a", above).withColumn("__b", below)
+    found = df.select(*keys, "row", "col", *values).withColumn("__a", above).withColumn("__b", below)
     up = F.col("__b").isNull() | (F.col("row") - F.col("__a.at") <= F.col("__b.at") - F.col("row"))
     best = F.when(F.col("__a").isNotNull() & up, F.col("__a")).otherwise(F.col("__b"))
-    found = found.select(*keys, "row", "col", value, best["at"].cast("double").alias("__at"), best["v"].alias("__v"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys, "row", "col", value).schema.fields)
-    return found.groupBy(*keys, "row").applyInPandas(_fill_row(list(keys), value), schema)
+    found = found.select(*keys, "row", "col", *values, best["at"].cast("double").alias("__at"), *[best[f"v{n}"].alias(f"__v{n}") for n in range(len(values))])
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys, "row", "col", *values).schema.fields)
+    return found.groupBy(*keys, "row").applyInPandas(_fill_row(list(keys), values), schema)
 
 
 def fill_in_mask(df: DataFrame, filled: DataFrame, mask: DataFrame, keys: Sequence[str] = (), value: str = "value") -> DataFrame:
     """Own value where there is one, else the filled one where the mask has the cell; cells outside the mask keep their own."""
     inside = filled.join(mask.select("row", "col"), ["row", "col"], "left_semi").select(*keys, "row", "col", F.col(value).alias("__filled"))
     return df.join(inside, [*keys, "row", "col"], "left").withColumn(value, F.coalesce(value, "__filled")).drop("__filled")
+
+
+def elementwise(rasters: Sequence[DataFrame], f: Callable[..., Column], keys: Sequence[str] = (), how: str = "inner", value: str = "value") -> DataFrame:
+    """f of the values that aligned rasters (keys..., row, col, value) have at each cell; f maps columns to a column."""
+    out = rasters[0].select(*keys, "row", "col", F.col(value).alias("__0"))
+    for n, r in enumerate(rasters[1:], 1):
+        out = out.join(r.select(*keys, "row", "col", F.col(value).alias(f"__{n}")), [*keys, "row", "col"], how)
+    return out.select(*keys, "row", "col", f(*[F.col(f"__{n}") for n in range(len(rasters))]).alias(value))
+
+
+def single_band(df: DataFrame) -> DataFrame:
+    """A raster of one band without its band column; one of several bands stays as it is."""
+    if "band" not in df.columns or df.select("band").distinct().limit(2).count() > 1:
+        return df
+    return df.drop("band")
+
+
+def narrowed(df: DataFrame, *values: str) -> DataFrame:
+    """Values as 32-bit floats, for sinks."""
+    return df.withColumns({v: F.col(v).cast("float") for v in values})

@@ -6,6 +6,7 @@ for the grid rows or cells near it, so nothing is joined to the whole grid.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,11 +78,34 @@ def touched(edges: DataFrame, grid: Grid) -> DataFrame:
 
 def buffered(edges: DataFrame, grid: Grid, radius: float) -> DataFrame:
     """Cells (layer, row, col) whose centre lies within `radius` of an edge."""
+    return _near(edges, grid, radius).where(_to_edge(F.col("px"), F.col("py")) <= radius * radius).select("layer", "row", "col").distinct()
+
+
+def _to_edge(x: Column, y: Column) -> Column:
+    """Squared distance of a point to the row's edge."""
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     size = dx * dx + dy * dy
-    t = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("px") - F.col("x1")) * dx + (F.col("py") - F.col("y1")) * dy) / F.when(size > 0, size)))).otherwise(0.0)
-    d2 = F.pow(F.col("px") - F.col("x1") - t * dx, F.lit(2)) + F.pow(F.col("py") - F.col("y1") - t * dy, F.lit(2))
-    return _near(edges, grid, radius).where(d2 <= radius * radius).select("layer", "row", "col").distinct()
+    t = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - F.col("x1")) * dx + (y - F.col("y1")) * dy) / F.when(size > 0, size)))).otherwise(0.0)
+    return F.pow(x - F.col("x1") - t * dx, F.lit(2)) + F.pow(y - F.col("y1") - t * dy, F.lit(2))
+
+
+def distances(edges: DataFrame, grid: Grid, most: float) -> DataFrame:
+    """(row, col, d2): squared distance between a closed cell and the polygons, 0 inside and where an edge touches, for cells within `most` metres.
+
+    A cell of a polygon's buffer of r metres, all touched cells included, is one
+    with d2 <= r * r. Cells beyond the grid are found too. The distance of an
+    edge and a square that don't meet is that of an end of one and the other.
+    """
+    margin = math.ceil(most / grid.resolution) + 1
+    big = Grid(grid.height + 2 * margin, grid.width + 2 * margin, grid.resolution, grid.x0 - margin * grid.resolution, grid.y0 + margin * grid.resolution)
+    half = grid.resolution / 2
+    beyond = lambda c, at: F.greatest(F.abs(F.col(c) - F.col(at)) - half, F.lit(0.0))
+    ends = [F.pow(beyond(f"x{i}", "px"), F.lit(2)) + F.pow(beyond(f"y{i}", "py"), F.lit(2)) for i in (1, 2)]
+    corners = [_to_edge(F.col("px") + a * half, F.col("py") + b * half) for a in (-1, 1) for b in (-1, 1)]
+    near = _near(edges, big, most).select("row", "col", F.least(*ends, *corners).alias("d2")).where(F.col("d2") <= most * most)
+    zero = fill(edges, big).unionByName(touched(edges, big)).select("row", "col", F.lit(0.0).alias("d2"))
+    found = near.unionByName(zero).groupBy("row", "col").agg(F.min("d2").alias("d2"))
+    return found.select((F.col("row") - margin).cast("int").alias("row"), (F.col("col") - margin).cast("int").alias("col"), "d2")
 
 
 def cells_of(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..config import EUCLIDEAN, GROUPS, HABITATS, SENSITIVITIES
+from ..config import DISPLAY_NAMES, EUCLIDEAN, GROUPS, HABITATS, SENSITIVITIES
 
 
 def clean_strings(df: DataFrame) -> DataFrame:
@@ -67,6 +67,14 @@ def available(matched: DataFrame) -> DataFrame:
     return matched.where("n_files = 1")
 
 
+def available_report(traits: DataFrame, files: DataFrame) -> DataFrame:
+    """(habitat, grp, species, dispersal_range_km) of species with exactly one file; habitat and range are those of the species' first row."""
+    first = first_rows(traits).select("species", F.col("habitat").alias("__habitat"), F.col("dispersal_km").alias("dispersal_range_km"))
+    found = available(match_files(traits, files)).select("species_id").distinct()
+    rows = traits.join(found, "species_id", "left_semi").join(first, "species")
+    return rows.select(F.col("__habitat").alias("habitat"), "grp", "species", "dispersal_range_km")
+
+
 def dispersal_stats(traits: DataFrame) -> DataFrame:
     """Count, exact median and sample deviation (metres) of dispersal by group and habitat."""
     out = traits.groupBy("habitat", "grp").agg(F.count("*").alias("n_species"), (F.median("dispersal_km") * 1000).alias("d_m"), (F.stddev_samp("dispersal_km") * 1000).alias("d_m_std"))
@@ -81,6 +89,10 @@ def group_dimension(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(GROUPS.items()), "grp string, distance string")
 
 
+def display_names(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(DISPLAY_NAMES.items()), "grp string, display_name string")
+
+
 def job_matrix(groups: DataFrame) -> DataFrame:
     """Every group with every habitat; both sides have a fixed few rows."""
     habitats = F.explode(F.array(*[F.lit(h) for h in HABITATS])).alias("habitat")

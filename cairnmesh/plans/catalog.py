@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, FRAME, GROUPS, LEAST_COST, Grid
+from ..config import DEFAULT, DISPLAY_NAMES, FRAME, GROUPS, LEAST_COST, Grid
 from ..functions.columns import NUDGE, quality_floor, r6
 from ..operators import connectivity, mapalgebra, spatial, traits
 from ..sources import adapters
+from ..sources.tables import cut
 from . import oracle as sql
 from . import pipelines
 
@@ -19,7 +20,8 @@ ORACLES: dict[str, str] = {}
 #: Whole jobs that SQL is too slow for: they are what is registered under the name, without SQL. QUERIES holds the part that SQL can check.
 WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 KEYS = pipelines.KEYS
-RADIUS, HOPS = 3, 3
+#: Window of the least-cost queries that SQL checks.
+RADIUS = 3
 BUFFER = 100.0
 
 
@@ -44,10 +46,10 @@ def _means(spark, d) -> DataFrame:
     return mapalgebra.cell_stats(adapters.suitability_pixels(spark, d), KEYS)
 
 
-def _holed(spark, d) -> DataFrame:
-    """Mean rasters on the whole frame, every seventh cell missing."""
-    means = _means(spark, d).where((F.col("row") * adapters.SIDE + F.col("col")) % 7 != 0).select(*KEYS, "row", "col", F.col("mean_suitability").alias("value"))
-    rasters = means.select(*KEYS).distinct()
+def _clipped(spark, d) -> DataFrame:
+    """Mean rasters on the whole frame, missing beyond the border."""
+    means = spatial.clip(_means(spark, d), _border(spark)).select(*KEYS, "row", "col", F.col("mean_suitability").alias("value"))
+    rasters = _means(spark, d).select(*KEYS).distinct()  # a raster that lies beyond the border is there too, all missing
     return rasters.crossJoin(mapalgebra.cells(spark, FRAME)).join(means, [*KEYS, "row", "col"], "left")
 
 
@@ -91,21 +93,23 @@ def species_file_match(spark, d):
     return traits.match_files(adapters.species(spark, d), adapters.file_names(spark, d))
 
 
-def _available(spark, d, bare: DataFrame) -> DataFrame:
+@query(sql.AVAILABLE_SPECIES)
+def available_species(spark, d):
     """Species with exactly one file, of bare names and of names with their number in front."""
     files = adapters.table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit("_"), F.replace("p_name", F.lit(" "), F.lit(".")), F.lit("_reg_covariate_ensemble.tif")).alias("file"))
-    wanted = bare.select("species_id", "species").unionByName(adapters.species(spark, d).select("species_id", F.concat(F.lit("p"), "species_id", F.lit("_"), F.regexp_replace("species", r" \d+$", "")).alias("species")))
-    return traits.available(traits.match_files(wanted, files)).select("species_id", "species", "file")
+    bare = _repeated(spark, d).select("species_id", "species")
+    numbered = adapters.species(spark, d).select("species_id", F.concat(F.lit("p"), "species_id", F.lit("_"), F.regexp_replace("species", r" \d+$", "")).alias("species"))
+    return traits.available(traits.match_files(bare.unionByName(numbered), files)).select("species_id", "species", "file")
 
 
-@query(sql.AVAILABLE_SPECIES)
-def available_species(spark, d):
-    return _available(spark, d, _repeated(spark, d).where("species_id % 3 = 0"))
+@query(sql.AVAILABLE_REPORT)
+def available_report(spark, d):
+    return traits.available_report(adapters.species(spark, d), adapters.file_names(spark, d))
 
 
-@whole("available_species")
-def available_species_whole(spark, d):
-    return _available(spark, d, _repeated(spark, d))
+@query(sql.display_values(DISPLAY_NAMES))
+def display_names(spark, d):
+    return traits.display_names(spark)
 
 
 @query(sql.DISPERSAL_STATS)
@@ -145,10 +149,7 @@ def species_list(spark, d):
 
 @query(sql.RASTER_LOAD_SCALED)
 def raster_load_scaled(spark, d):
-    # a raster of one or two pixels may lie outside the range: those have at least three
-    o = adapters.observations(spark, d)
-    wide = o.groupBy("species_id").agg(F.max("pct").alias("high"), F.min("pct").alias("low")).where("high > 1 and low < 100").select("species_id")
-    return mapalgebra.scale_percent(o.join(wide, "species_id", "left_semi"), ["species_id"]).select("species_id", "row", "col", r6("value").alias("value"))
+    return mapalgebra.scale_percent(adapters.observations(spark, d), ["species_id"], strict=False).select("species_id", "row", "col", r6("value").alias("value"))
 
 
 @query(sql.SUITABILITY.format(what="round(avg(value), 6) as mean_suitability"))
@@ -168,7 +169,7 @@ def cell_valid_count(spark, d):
 
 @query(sql.QUALITY_FLOOR)
 def quality_floor_(spark, d):
-    return _holed(spark, d).select(*KEYS, "row", "col", r6(quality_floor(F.col("value"), DEFAULT.floor)).alias("quality"))
+    return _clipped(spark, d).select(*KEYS, "row", "col", r6(quality_floor(F.col("value"), DEFAULT.floor)).alias("quality"))
 
 
 QUERIES["quality_floor"], ORACLES["quality_floor"] = QUERIES.pop("quality_floor_"), ORACLES.pop("quality_floor_")
@@ -206,8 +207,8 @@ def grid_align(spark, d):
 
 @query(sql.PAD_GRID)
 def pad_grid(spark, d):
-    one = _means(spark, d).where("habitat = 'aquatic' and grp = 'PROMO'").select("row", "col", F.col("mean_suitability").alias("value"))
-    return mapalgebra.pad(spark, one, FRAME, 3).select("row", "col", r6("value").alias("value"))
+    means = _means(spark, d).select(*KEYS, "row", "col", F.col("mean_suitability").alias("value"))
+    return mapalgebra.pad(spark, means, FRAME, 3, KEYS).select(*KEYS, "row", "col", r6("value").alias("value"))
 
 
 @query(sql.BAND_UNPIVOT)
@@ -235,7 +236,7 @@ def rescale(spark, d):
 
 @query(sql.LCP_ALPHA)
 def lcp_alpha(spark, d):
-    q = _holed(spark, d).withColumn("q", quality_floor(F.col("value"), DEFAULT.floor))
+    q = _clipped(spark, d).withColumn("q", quality_floor(F.col("value"), DEFAULT.floor))
     return q.groupBy(*KEYS).agg(r6(1 / F.avg("q")).alias("mean_step"), r6(F.avg("q") * DEFAULT.resolution).alias("alpha"))
 
 
@@ -244,12 +245,12 @@ def downscale_nearest(spark, d):
     g = _dense_grid(spark, d)
     fine = adapters.dense(spark, d)
     coarse = mapalgebra.coarsen(fine, 3, g.height, g.width)
-    return mapalgebra.downscale(coarse, fine.select("row", "col"), 3).select("row", "col", r6("value").alias("value"))
+    return mapalgebra.downscale(coarse, fine.select("row", "col"), 3, (g.height // 3, g.width // 3)).select("row", "col", r6("value").alias("value"))
 
 
 @query(sql.FILL_NEAREST)
 def fill_nearest(spark, d):
-    return mapalgebra.fill_nearest(_holed(spark, d), KEYS).select(*KEYS, "row", "col", r6("value").alias("value"))
+    return mapalgebra.fill_nearest(_clipped(spark, d), KEYS).select(*KEYS, "row", "col", r6("value").alias("value"))
 
 
 # --- vector masks ----------------------------------------------------------------------------------
@@ -271,9 +272,9 @@ def border_filter(spark, d):
 
 @query(sql.CANTON_FILTER)
 def canton_filter(spark, d):
-    cells = mapalgebra.with_xy(_border(spark), FRAME)
-    canton = F.when(F.col("x") < adapters.CANTON_SPLIT, "A").otherwise("B")
-    return cells.withColumn("name", canton).where("name = 'A'").select("name", "row", "col")
+    names = spark.createDataFrame([(g, c) for g, c in enumerate(adapters.CODES["canton"])], "geom_id int, name string")
+    one = _edges(spark, "canton").join(F.broadcast(names), "geom_id").where("name = 'A'").drop("name")  # one row a canton
+    return spatial.fill(one, FRAME).select(F.lit("A").alias("name"), "row", "col")
 
 
 @query(sql.TOTAL_BOUNDS)
@@ -306,19 +307,19 @@ def crop_border(spark, d):
     return spatial.clip(_means(spark, d), _border(spark)).select(*KEYS, "row", "col", r6("mean_suitability").alias("value"))
 
 
-@query(sql.BUFFER.format(layer="country", r=60.0))
+@query(sql.BUFFER.format(layers="'country'", r=60.0))
 def border_buffer(spark, d):
     return spatial.polygon_buffer(_edges(spark, "country"), FRAME, 60.0)
 
 
-@query(sql.BUFFER.format(layer="barrier", r=BUFFER))
+@query(sql.BUFFER.format(layers="'barrier', 'hydropower'", r=BUFFER))
 def barrier_buffer(spark, d):
-    return spatial.polygon_buffer(_edges(spark, "barrier"), FRAME, BUFFER)
+    return spatial.polygon_buffer(_edges(spark, "barrier", "hydropower"), FRAME, BUFFER)
 
 
 @query(sql.MASK_FILL)
 def mask_fill(spark, d):
-    holed = _holed(spark, d)
+    holed = _clipped(spark, d)
     filled = mapalgebra.fill_nearest(holed, KEYS)
     return mapalgebra.fill_in_mask(holed, filled, mask_aquatic(spark, d), KEYS).select(*KEYS, "row", "col", r6("value").alias("value"))
 
@@ -353,24 +354,24 @@ def sensitivity_euclid(spark, d):
 
 @query(sql.LCP_DISTANCE)
 def lcp_distance(spark, d):
-    s = connectivity.lcp_sums(_small(spark, d, "PROMO"), [], HOPS, tile=16)
+    s = connectivity.lcp_sums(_small(spark, d, "PROMO"), [], tile=16)
     return s.select("row", "col", "reached", r6("distance_sum").alias("distance_sum"))
 
 
 @query(sql.SENSITIVITY_LCP_QUALITY)
 def sensitivity_lcp_quality(spark, d):
-    return connectivity.sensitivity(_small(spark, d, "PROMO"), [], "lcp_quality", HOPS, tile=16).select("row", "col", r6("sensitivity").alias("sensitivity"))
+    return connectivity.sensitivity(_small(spark, d, "PROMO"), [], "lcp_quality", tile=16).select("row", "col", r6("sensitivity").alias("sensitivity"))
 
 
 @query(sql.SENSITIVITY_LCP_PERMEABILITY)
 def sensitivity_lcp_permeability(spark, d):
-    return connectivity.sensitivity(_small(spark, d, "PROMO"), [], "lcp_permeability", HOPS, tile=16).select("row", "col", r6("sensitivity").alias("sensitivity"))
+    return connectivity.sensitivity(_small(spark, d, "PROMO"), [], "lcp_permeability", tile=16).select("row", "col", r6("sensitivity").alias("sensitivity"))
 
 
 def _full(spark, d) -> DataFrame:
     """Every group's and habitat's mean raster on the whole frame."""
     m = _means(spark, d).select(*KEYS, "row", "col", F.col("mean_suitability").alias("value"))
-    return m.select(*KEYS).distinct().crossJoin(mapalgebra.cells(spark, FRAME)).join(m, [*KEYS, "row", "col"], "left")
+    return mapalgebra.pad(spark, m, FRAME, keys=KEYS)
 
 
 def _paths(spark, d) -> DataFrame:
@@ -441,12 +442,14 @@ def combined_mean(spark, d):
     return pipelines.combined(pipelines.importance(_summed(spark, d), "mean"), "mean").select("row", "col", r6("value").alias("value"))
 
 
+def _suitability(spark, d) -> DataFrame:
+    masks = mask_aquatic(spark, d).withColumn("habitat", F.lit("aquatic")).unionByName(mask_terrestrial(spark, d).withColumn("habitat", F.lit("terrestrial")))
+    return pipelines.group_suitability(adapters.suitability_pixels(spark, d), traits.dispersal_stats(adapters.species(spark, d)), masks, _edges(spark, "country"))
+
+
 @query(sql.GROUP_SUITABILITY)
 def group_suitability(spark, d):
-    pixels = adapters.suitability_pixels(spark, d).where((F.col("row") * adapters.SIDE + F.col("col")) % 7 != 0)
-    masks = {"aquatic": mask_aquatic(spark, d), "terrestrial": mask_terrestrial(spark, d)}
-    out = pipelines.group_suitability(spark, pixels, masks, spatial.polygon_buffer(_edges(spark, "country"), FRAME, 60.0))
-    return out.select(*KEYS, "row", "col", r6("mean_suitability").alias("mean_suitability"), r6("std_suitability").alias("std_suitability"))
+    return _suitability(spark, d).select(*KEYS, "row", "col", r6("mean_suitability").alias("mean_suitability"), r6("std_suitability").alias("std_suitability"))
 
 
 @query(sql.GROUP_ELASTICITY)
@@ -462,8 +465,18 @@ def group_elasticity(spark, d):
     return out.where("elasticity is not null").select(*KEYS, "sens", "row", "col", r6("elasticity").alias("elasticity"))
 
 
+def _elasticity(spark, d) -> DataFrame:
+    """Elasticities of all groups' suitability rasters, with every sensitivity that their distance has."""
+    suitability = cut(_suitability(spark, d).select(*KEYS, "row", "col", F.col("mean_suitability").alias("value")))
+    return pipelines.group_elasticity(suitability, traits.dispersal_stats(adapters.species(spark, d)), adapters.group_distance(spark, d), _border(spark))
+
+
 @whole("group_elasticity")
 def group_elasticity_whole(spark, d):
-    """All groups with every sensitivity that their distance has."""
-    out = pipelines.group_elasticity(_full(spark, d), traits.dispersal_stats(adapters.species(spark, d)), adapters.group_distance(spark, d), _border(spark))
-    return out.where("elasticity is not null").select(*KEYS, "sens", "row", "col", r6("elasticity").alias("elasticity"))
+    return _elasticity(spark, d).where("elasticity is not null").select(*KEYS, "sens", "row", "col", r6("elasticity").alias("elasticity"))
+
+
+@whole("importance_scores")
+def importance_scores(spark, d):
+    """Pixels to scores: suitability, elasticities, each habitat's score and the combined one."""
+    return pipelines.importance_scores(cut(_elasticity(spark, d)), "max").select("habitat", "row", "col", r6("value").alias("value"))

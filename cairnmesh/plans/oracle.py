@@ -13,9 +13,6 @@ PIXELS = f"{SPECIES}, {OBS}, pixels as (select habitat, grp, species_id, row, co
 MEANS = f"""{PIXELS}, means as (select habitat, grp, row, col, avg(value) as mean_suitability,
   sqrt(greatest(avg(value * value) - avg(value) * avg(value), 0)) as std_suitability, count(value) as valid_count from pixels group by all)"""
 FRAME = "frame as (select cast(r as int) as row, cast(c as int) as col from range(32) a(r), range(32) b(c))"
-HOLED = f"""{MEANS}, {FRAME}, holed as (select k.habitat, k.grp, f.row, f.col, m.mean_suitability as value
-  from (select distinct habitat, grp from means) k cross join frame f
-  left join (select * from means where (row * 32 + col) % 7 <> 0) m on m.habitat = k.habitat and m.grp = k.grp and m.row = f.row and m.col = f.col)"""
 DENSE = """dense as (select cast(vec_id as int) as row, cast(generate_subscripts(embedding, 1) - 1 as int) as col, cast(unnest(embedding) as double) + 0.6 as value from embeddings)"""
 
 
@@ -45,6 +42,10 @@ lake_box as (select min(least(x1, x2)) as minx, min(least(y1, y2)) as miny, max(
 terrestrial as (select row, col from points, lake_box where px between minx and maxx and py between miny and maxy
   except select row, col from filled where layer = 'lake'),
 border as (select row, col from filled where layer = 'country')"""
+_PLUS = f"{MEANS}, {POINTS}"
+#: Mean rasters on the whole frame, missing beyond the border.
+CLIPPED = f"""{_PLUS}, clipped as (select k.habitat, k.grp, f.row, f.col, m.mean_suitability as value from (select distinct habitat, grp from means) k cross join frame f
+  left join (select * from means semi join border using (row, col)) m on m.habitat = k.habitat and m.grp = k.grp and m.row = f.row and m.col = f.col)"""
 
 TRAITS_CLEAN = f"""with {SPECIES} select species_id, replace(species, '/', '_') as species, replace(grp, '/', '_') as grp, replace(habitat, '/', '_') as habitat, dispersal_km,
   coalesce(case when species_id % 5 <> 0 then concat(grp, '_', habitat) end, 'nan') as note from species"""
@@ -57,7 +58,7 @@ SPECIES_FILE_MATCH = f"""with {SPECIES}, files as (select concat('reg_', replace
 select species_id, species, count(file) as n_files, case when count(file) = 1 then min(file) end as file
 from species left join files on ends_with(file, concat(replace(species, ' ', '.'), '_reg_covariate_ensemble.tif')) group by all"""
 AVAILABLE_SPECIES = """with files as (select concat('p', cast(p_partkey as varchar), '_', replace(p_name, ' ', '.'), '_reg_covariate_ensemble.tif') as file from part),
-wanted as (select p_partkey as species_id, p_name as species from part where p_partkey % 3 = 0
+wanted as (select p_partkey as species_id, p_name as species from part
   union all select p_partkey, concat('p', cast(p_partkey as varchar), '_', p_name) from part)
 select species_id, species, min(file) as file from wanted join files on ends_with(file, concat(replace(species, ' ', '.'), '_reg_covariate_ensemble.tif'))
 group by all having count(*) = 1"""
@@ -67,6 +68,14 @@ METADATA_REPORT = f"""with {SPECIES}, {DISTANCE} select grp, habitat, count(*) a
   round(stddev_samp(dispersal_km) * 1000 / 1000, 2) as std_dispersal_km from species join group_distance using (grp) group by grp, habitat, distance"""
 
 
+AVAILABLE_REPORT = f"""with {SPECIES}, files as (select concat('reg_', replace(species, ' ', '.'), '_reg_covariate_ensemble.tif') as file from species where species_id in (select l_partkey from lineitem))
+select habitat, grp, species, dispersal_km as dispersal_range_km from species join files on ends_with(file, concat(replace(species, ' ', '.'), '_reg_covariate_ensemble.tif')) group by all having count(*) = 1"""
+
+
+def display_values(names: dict[str, str]) -> str:
+    return "select * from (values " + ", ".join(f"('{g}', '{n}')" for g, n in names.items()) + ") v(grp, display_name)"
+
+
 def group_values(groups: dict[str, str]) -> str:
     return "select * from (values " + ", ".join(f"('{g}', '{d}')" for g, d in groups.items()) + ") v(grp, distance)"
 
@@ -74,9 +83,9 @@ def group_values(groups: dict[str, str]) -> str:
 JOB_MATRIX = "select grp, distance, habitat from ({groups}), (values ('aquatic'), ('terrestrial')) h(habitat)"
 TASK_FILTER = f"select grp, distance, habitat, sens from ({JOB_MATRIX}), (values ('permeability'), ('quality')) s(sens) where not (distance = 'EuclideanDistance' and sens = 'permeability')"
 
-RASTER_LOAD_SCALED = f"with {OBS} select species_id, row, col, round(pct / 100, 6) as value from obs where species_id in (select species_id from obs group by 1 having max(pct) > 1 and min(pct) < 100)"
+RASTER_LOAD_SCALED = f"with {OBS}, span as (select species_id, max(pct) > 1 and min(pct) < 100 as ok from obs group by 1) select species_id, row, col, case when ok then round(pct / 100, 6) end as value from obs join span using (species_id)"
 SUITABILITY = f"with {PIXELS} select habitat, grp, row, col, {{what}} from pixels group by habitat, grp, row, col"
-QUALITY_FLOOR = f"with {HOLED} select habitat, grp, row, col, round(case when coalesce(value, 0) = 0 then 1e-5 else value end, 6) as quality from holed"
+QUALITY_FLOOR = f"with {CLIPPED} select habitat, grp, row, col, round(case when coalesce(value, 0) = 0 then 1e-5 else value end, 6) as quality from clipped"
 SIZE = "size as (select max(row) + 1 as h, 64 as w from dense)"
 COARSEN = f"""with {DENSE}, {SIZE} select cast(floor(row / {{f}}.0) as int) as row, cast(floor(col / {{f}}.0) as int) as col, round(avg(value), 6) as value
 from dense, size where row < h - h % {{f}} and col < w - w % {{f}} group by 1, 2"""
@@ -84,37 +93,35 @@ GRID_RESOLUTION = "select cast(25 as double) as lat, cast(25 as double) as lon"
 GRID_ALIGN = f"""with {OBS}, {FRAME}, moved as (select cast(floor((800 - ((31.5 - row) * 25 - 5 + 40)) / 25) as int) as row, cast(floor(((col + 0.5) * 25 + 7 - 60) / 25) as int) as col, pct from obs),
 snapped as (select row, col, avg(pct) as value from moved group by all)
 select row, col, round(value, 6) as value from frame left join snapped using (row, col)"""
-PAD_GRID = f"""with {MEANS}, one as (select row, col, mean_suitability as value from means where habitat = 'aquatic' and grp = 'PROMO'),
-big as (select cast(r - 3 as int) as row, cast(c - 3 as int) as col from range(38) a(r), range(38) b(c))
-select row, col, round(value, 6) as value from big left join one using (row, col)"""
+PAD_GRID = f"""with {MEANS}, big as (select habitat, grp, cast(r - 3 as int) as row, cast(c - 3 as int) as col from (select distinct habitat, grp from means), range(38) a(r), range(38) b(c))
+select habitat, grp, row, col, round(mean_suitability, 6) as value from big left join means using (habitat, grp, row, col)"""
 BAND_UNPIVOT = f"""with {MEANS} select habitat, grp, row, col, 'mean_suitability' as band, round(mean_suitability, 6) as value from means
 union all select habitat, grp, row, col, 'std_suitability', round(std_suitability, 6) from means"""
 BAND_PIVOT = f"with {MEANS} select habitat, grp, row, col, round(mean_suitability, 6) as mean_suitability, round(std_suitability, 6) as std_suitability from means"
 INT16_PACK = f"with {DENSE} select row, col, cast(round(value / 0.001) as int) as packed, round(cast(round(value / 0.001) as int) * 0.001::double, 6) as decoded from dense"
 RESCALE = f"""with {MEANS} select habitat, grp, row, col, round((mean_suitability - min(mean_suitability) over w) / nullif(max(mean_suitability) over w - min(mean_suitability) over w, 0), 6) as value
 from means window w as (partition by habitat, grp)"""
-LCP_ALPHA = f"""with {HOLED}, q as (select habitat, grp, case when coalesce(value, 0) = 0 then 1e-5 else value end as q from holed)
+LCP_ALPHA = f"""with {CLIPPED}, q as (select habitat, grp, case when coalesce(value, 0) = 0 then 1e-5 else value end as q from clipped)
 select habitat, grp, round(1 / avg(q), 6) as mean_step, round(avg(q) * 25, 6) as alpha from q group by all"""
 DOWNSCALE = f"""with {DENSE}, {SIZE}, coarse as (select cast(floor(row / 3.0) as int) as r, cast(floor(col / 3.0) as int) as c, avg(value) as v from dense, size where row < h - h % 3 and col < w - w % 3 group by 1, 2)
-select row, col, round(v, 6) as value from dense left join coarse on r = cast(floor(row / 3.0) as int) and c = cast(floor(col / 3.0) as int)"""
+select row, col, round(v, 6) as value from dense join size on true left join coarse on r = cast(floor(row / 3.0) as int) and c = cast(floor(col / 3.0) as int)
+  and row between 1 and h - h % 3 - 2 and col between 1 and w - w % 3 - 2"""
 FILLED = f"""filled_cells as (select h.habitat, h.grp, h.row, h.col, coalesce(h.value,
   (arg_min(k.value, power(k.row - h.row, 2) * 1000000 + k.row * 1000 + k.col + power(k.col - h.col, 2) * 1000000))) as value
-  from holed h join holed k on k.habitat = h.habitat and k.grp = h.grp and k.value is not null group by h.habitat, h.grp, h.row, h.col, h.value)"""
-FILL_NEAREST = f"with {HOLED}, {FILLED} select habitat, grp, row, col, round(value, 6) as value from filled_cells"
+  from clipped h join clipped k on k.habitat = h.habitat and k.grp = h.grp and k.value is not null group by h.habitat, h.grp, h.row, h.col, h.value)"""
+FILL_NEAREST = f"with {CLIPPED}, {FILLED} select habitat, grp, row, col, round(value, 6) as value from filled_cells"
 
 BORDER_FILTER = f"with {EDGES} select cast(geom_id as int) as geom_id, x1, y1, x2, y2 from edges where layer = 'country'"
 CANTON_FILTER = f"with {POINTS} select 'A' as name, row, col from border where (col + 0.5) * 25 < {adapters.CANTON_SPLIT}"
 TOTAL_BOUNDS = f"with {POINTS} select minx, miny, maxx, maxy from lake_box"
 MASK_AQUATIC = f"with {POINTS} select row, col from aquatic"
 MASK_TERRESTRIAL = f"with {POINTS} select row, col from terrestrial"
-_PLUS = MEANS + ", " + POINTS.replace(f"{FRAME}, ", FRAME + ", ", 1)
 MASK_SEMI = f"with {_PLUS} select habitat, grp, row, col, round(mean_suitability, 6) as value from means semi join (select row, col from filled where layer = 'lake') using (row, col)"
 MASK_ALL_TOUCHED = f"with {POINTS} select row, col from lake_touched"
 CROP_BORDER = f"with {_PLUS} select habitat, grp, row, col, round(mean_suitability, 6) as value from means semi join border using (row, col)"
-BUFFER = f"with {POINTS} select row, col from filled where layer = '{{layer}}' union select row, col from distances where layer = '{{layer}}' and d2 <= {{r}} * {{r}}"
-_HOLED_POINTS = HOLED + ", " + POINTS.replace(f"{FRAME}, ", "", 1)
-MASK_FILL = f"""with {_HOLED_POINTS}, {FILLED} select h.habitat, h.grp, h.row, h.col, round(coalesce(h.value, case when a.row is not null then f.value end), 6) as value
-from holed h left join filled_cells f on f.habitat = h.habitat and f.grp = h.grp and f.row = h.row and f.col = h.col left join aquatic a on a.row = h.row and a.col = h.col"""
+BUFFER = f"with {POINTS} select row, col from filled where layer in ({{layers}}) union select row, col from distances where layer in ({{layers}}) and d2 <= {{r}} * {{r}}"
+MASK_FILL = f"""with {CLIPPED}, {FILLED} select h.habitat, h.grp, h.row, h.col, round(coalesce(h.value, case when a.row is not null then f.value end), 6) as value
+from clipped h left join filled_cells f on f.habitat = h.habitat and f.grp = h.grp and f.row = h.row and f.col = h.col left join aquatic a on a.row = h.row and a.col = h.col"""
 
 PROXIMITY = f"""with {SPECIES}, stats as (select habitat, grp, median(dispersal_km) * 1000 as d_m from species group by all)
 select habitat, grp, cast(d as int) as distance, round(exp(-d * 25.0::double / d_m), 6) as proximity from stats, range(16) r(d)"""
@@ -122,22 +129,27 @@ ANALYSIS_PARAMS = f"""with {SPECIES}, stats as (select habitat, grp, median(disp
 select habitat, grp, round(res, 6) as coarse_resolution, cast(ceil(res / 25) as int) as factor, cast(ceil(3.0::double * d_m / res) as int) as radius from p"""
 SENSITIVITY_EUCLID = f"""with {DENSE}, offsets as (select a - 15 as dr, b - 15 as dc, exp(-sqrt(power(a - 15, 2) + power(b - 15, 2)) * 25.0 / 125.0) as k from range(31) x(a), range(31) y(b))
 select s.row, s.col, round(2 * sum(k * t.value), 6) as sensitivity from dense s cross join offsets join dense t on t.row = s.row + dr and t.col = s.col + dc group by 1, 2"""
-LCP = f"""{MEANS}, q as (select row, col, mean_suitability as q from means where habitat = 'aquatic' and grp = 'PROMO'),
-steps as (select a.row as ur, a.col as uc, b.row as vr, b.col as vc, sqrt(power(a.row - b.row, 2) + power(a.col - b.col, 2)) as len, a.q + b.q as pp
+#: Relaxations of the least-cost SQL: enough for every path inside a window of 7 x 7 cells to settle.
+ROUNDS = 14
+_RELAXED = ",\n".join(
+    f"d{k} as materialized (select sr, sc, tr, tc, min(d) as d from (select * from d{k - 1} union all select sr, sc, vr, vc, d + len * 2 / pp from d{k - 1} join steps on ur = tr and uc = tc where abs(vr - sr) <= 3 and abs(vc - sc) <= 3) group by all)"
+    for k in range(1, ROUNDS + 1)
+)
+LCP = f"""{MEANS}, q as materialized (select row, col, mean_suitability as q from means where habitat = 'aquatic' and grp = 'PROMO'),
+steps as materialized (select a.row as ur, a.col as uc, b.row as vr, b.col as vc, sqrt(power(a.row - b.row, 2) + power(a.col - b.col, 2)) as len, a.q + b.q as pp
   from q a join q b on abs(a.row - b.row) <= 1 and abs(a.col - b.col) <= 1 and not (a.row = b.row and a.col = b.col)),
-d0 as (select row as sr, col as sc, row as tr, col as tc, 0.0::double as d from q),
-d1 as (select sr, sc, tr, tc, min(d) as d from (select * from d0 union all select sr, sc, vr, vc, d + len * 2 / pp from d0 join steps on ur = tr and uc = tc) group by all),
-d2 as (select sr, sc, tr, tc, min(d) as d from (select * from d1 union all select sr, sc, vr, vc, d + len * 2 / pp from d1 join steps on ur = tr and uc = tc) group by all),
-d3 as (select sr, sc, tr, tc, min(d) as d from (select * from d2 union all select sr, sc, vr, vc, d + len * 2 / pp from d2 join steps on ur = tr and uc = tc) group by all)"""
-LCP_DISTANCE = f"with {LCP} select sr as row, sc as col, count(*) as reached, round(sum(d), 6) as distance_sum from d3 group by 1, 2"
-SENSITIVITY_LCP_QUALITY = f"with {LCP} select sr as row, sc as col, round(2 * sum(exp(-d * 0.2::double) * q), 6) as sensitivity from d3 join q on q.row = tr and q.col = tc group by 1, 2"
-SENSITIVITY_LCP_PERMEABILITY = f"""with {LCP}, pairs as (select d3.*, a.q * b.q * exp(-d * 0.2::double) * 0.2::double as w from d3 join q a on a.row = sr and a.col = sc join q b on b.row = tr and b.col = tc where d > 0),
-used as (select s.ur, s.uc, s.vr, s.vc, p.w * 2 * s.len / (s.pp * s.pp) as g from pairs p
-  join d3 su on su.sr = p.sr and su.sc = p.sc join steps s on s.ur = su.tr and s.uc = su.tc
-  join d3 vt on vt.sr = s.vr and vt.sc = s.vc and vt.tr = p.tr and vt.tc = p.tc
-  where abs(s.vr - p.sr) <= 3 and abs(s.vc - p.sc) <= 3 and abs(su.d + s.len * 2 / s.pp + vt.d - p.d) < 1e-9),
-ends as (select ur as row, uc as col, g from used union all select vr, vc, g from used)
-select q.row, q.col, round(coalesce(sum(g), 0), 6) as sensitivity from q left join ends using (row, col) group by 1, 2"""
+d0 as materialized (select row as sr, col as sc, row as tr, col as tc, 0.0::double as d from q),
+{_RELAXED}, far as (select * from d{ROUNDS})"""
+LCP_DISTANCE = f"with {LCP} select sr as row, sc as col, count(*) as reached, round(sum(d), 6) as distance_sum from far group by 1, 2"
+SENSITIVITY_LCP_QUALITY = f"with {LCP} select sr as row, sc as col, round(2 * sum(exp(-d * 0.2::double) * q), 6) as sensitivity from far join q on q.row = tr and q.col = tc group by 1, 2"
+#: Each path is walked back from its end by the step that reached each cell most cheaply.
+SENSITIVITY_LCP_PERMEABILITY = f"""with recursive {LCP}, last_step as materialized (select sr, sc, vr, vc, arg_min({{{{'r': ur, 'c': uc, 'g': 2 * len / (pp * pp)}}}}, d + len * 2 / pp) as u from far join steps on ur = tr and uc = tc
+  where abs(vr - sr) <= 3 and abs(vc - sc) <= 3 and not (vr = sr and vc = sc) group by all),
+pairs as (select sr, sc, tr, tc, a.q * b.q * exp(-d * 0.2::double) * 0.2::double as w from far join q a on a.row = sr and a.col = sc join q b on b.row = tr and b.col = tc where d > 0),
+walk as (select sr, sc, tr as vr, tc as vc, w, 0.0::double as g, null::int as pr, null::int as pc from pairs
+  union all select k.sr, k.sc, u.r, u.c, w, w * u.g, k.vr, k.vc from walk k join last_step l on l.sr = k.sr and l.sc = k.sc and l.vr = k.vr and l.vc = k.vc),
+ends as (select vr as row, vc as col, g from walk where pr is not null union all select pr, pc, g from walk where pr is not null)
+select q.row, q.col, round(coalesce(sum(g), 0), 6) as sensitivity from q left join ends using (row, col) group by 1, 2""".replace("{{", "{").replace("}}", "}")
 
 ELASTICITY_PRODUCT = f"with {_PLUS} select habitat, grp, row, col, round(2 * std_suitability * mean_suitability, 6) as elasticity from means semi join border using (row, col)"
 SUMMED = f"""{MEANS}, summed as (select habitat, grp, row, col, case when grp in ('ECONOMY', 'PROMO') then mean_suitability
@@ -149,17 +161,28 @@ folded as (select habitat, row, col, {{agg}}(v) as v from groups group by all),
 scores as (select habitat, row, col, (v - min(v) over (partition by habitat)) / nullif(max(v) over (partition by habitat) - min(v) over (partition by habitat), 0) as v from folded)"""
 ECIS = f"with {SCORES} select habitat, row, col, round(v, 6) as value from scores"
 COMBINED = f"with {SCORES}, joint as (select row, col, {{agg}}(v) as v from scores group by all) select row, col, round((v - min(v) over ()) / nullif(max(v) over () - min(v) over (), 0), 6) as value from joint"
-GROUP_SUITABILITY = f"""with {_HOLED_POINTS}, dev as (select k.habitat, k.grp, k.row, k.col, m.std_suitability as value from holed k
-  left join (select * from means where (row * 32 + col) % 7 <> 0) m on m.habitat = k.habitat and m.grp = k.grp and m.row = k.row and m.col = k.col),
-{FILLED}, {FILLED.replace("filled_cells", "filled_dev").replace("holed", "dev")},
-masks as (select 'aquatic' as habitat, row, col from aquatic union all select 'terrestrial', row, col from terrestrial),
-domain as (select row, col from filled where layer = 'country' union select row, col from distances where layer = 'country' and d2 <= 3600)
-select h.habitat, h.grp, h.row, h.col, round(coalesce(h.value, case when m.row is not null then f.value end), 6) as mean_suitability,
-  round(coalesce(d.value, case when m.row is not null then g.value end), 6) as std_suitability
-from holed h join dev d on d.habitat = h.habitat and d.grp = h.grp and d.row = h.row and d.col = h.col
-join filled_cells f on f.habitat = h.habitat and f.grp = h.grp and f.row = h.row and f.col = h.col
-join filled_dev g on g.habitat = h.habitat and g.grp = h.grp and g.row = h.row and g.col = h.col
-join domain o on o.row = h.row and o.col = h.col left join masks m on m.habitat = h.habitat and m.row = h.row and m.col = h.col"""
+#: Closed cells of a wide frame against every edge of the country: where an edge enters a cell the distance is 0.
+NEAR = """wide as (select cast(r - 64 as int) as row, cast(c - 64 as int) as col, (c - 63.5) * 25 as px, 800 - (r - 63.5) * 25 as py from range(160) a(r), range(160) b(c)),
+outer_inside as (select row, col from wide, edges where layer = 'country' and (y1 <= py) <> (y2 <= py) and px < x1 + (py - y1) * (x2 - x1) / (y2 - y1) group by all having count(*) % 2 = 1),
+corner as (select row, col, px + dx * 12.5 as qx, py + dy * 12.5 as qy, px, py from wide, (values (-1, -1), (-1, 1), (1, -1), (1, 1)) v(dx, dy)),
+to_corner as (select row, col, power(qx - x1 - t * (x2 - x1), 2) + power(qy - y1 - t * (y2 - y1), 2) as d2 from
+  (select *, greatest(0, least(1, ((qx - x1) * (x2 - x1) + (qy - y1) * (y2 - y1)) / (power(x2 - x1, 2) + power(y2 - y1, 2)))) as t from corner, edges where layer = 'country')),
+to_end as (select row, col, power(greatest(abs(x1 - px) - 12.5, 0), 2) + power(greatest(abs(y1 - py) - 12.5, 0), 2) as d2 from wide, edges where layer = 'country'),
+entered as (select row, col, 0 as d2 from (select *, least((px - 12.5 - x1) / (x2 - x1), (px + 12.5 - x1) / (x2 - x1)) as ax, greatest((px - 12.5 - x1) / (x2 - x1), (px + 12.5 - x1) / (x2 - x1)) as bx,
+  least((py - 12.5 - y1) / (y2 - y1), (py + 12.5 - y1) / (y2 - y1)) as ay, greatest((py - 12.5 - y1) / (y2 - y1), (py + 12.5 - y1) / (y2 - y1)) as b_y from wide, edges where layer = 'country')
+  where greatest(0, ax, ay) <= least(1, bx, b_y)),
+near as (select row, col, min(d2) as d2 from (select row, col, d2 from to_corner union all select * from to_end union all select * from entered union all select row, col, 0 from outer_inside) group by all)"""
+GROUP_SUITABILITY = f"""with {_PLUS}, {NEAR}, masks as (select 'aquatic' as habitat, row, col from aquatic union all select 'terrestrial', row, col from terrestrial),
+reach as (select habitat, grp, median(dispersal_km) * 1000 * 3.0::double as reach from species semi join means using (habitat, grp) group by all),
+bounds as (select min(least(x1, x2)) as minx, min(least(y1, y2)) as miny, max(greatest(x1, x2)) as maxx, max(greatest(y1, y2)) as maxy from edges where layer = 'country'),
+rect as (select habitat, grp, reach, least(0, floor((800.0::double - maxy - reach) / 25)) as top, greatest(32, ceil((800.0::double - miny + reach) / 25)) as bottom,
+  least(0, floor((minx - reach) / 25)) as west, greatest(32, ceil((maxx + reach) / 25)) as east from reach, bounds),
+padded as (select r.habitat, r.grp, w.row, w.col, mean_suitability as m, std_suitability as s from rect r join wide w on w.row >= top and w.row < bottom and w.col >= west and w.col < east
+  join near n on n.row = w.row and n.col = w.col and d2 <= reach * reach left join means k on k.habitat = r.habitat and k.grp = r.grp and k.row = w.row and k.col = w.col),
+hole as (select p.* from padded p join masks using (habitat, row, col) where m is null),
+filled_hole as (select habitat, grp, row, col, arg_min(mean_suitability, key) as m, arg_min(std_suitability, key) as s
+  from (select h.habitat, h.grp, h.row, h.col, k.mean_suitability, k.std_suitability, power(k.row - h.row, 2) * 1000000 + power(k.col - h.col, 2) * 1000000 + k.row * 1000 + k.col as key from hole h join means k on k.habitat = h.habitat and k.grp = h.grp) group by habitat, grp, row, col)
+select p.habitat, p.grp, p.row, p.col, round(coalesce(p.m, f.m), 6) as mean_suitability, round(coalesce(p.s, f.s), 6) as std_suitability from padded p left join filled_hole f using (habitat, grp, row, col)"""
 GROUP_ELASTICITY = f"""with {_PLUS}, stats as (select habitat, grp, median(dispersal_km) * 1000 as d_m from species where grp in ('ECONOMY', 'PROMO') group by all),
 p as (select habitat, grp, d_m, greatest(25.0::double, d_m * 0.2::double) as res from stats), params as (select *, cast(ceil(res / 25) as int) as f, cast(ceil(3.0::double * d_m / res) as int) as radius from p),
 whole as (select k.habitat, k.grp, fr.row, fr.col, m.mean_suitability as v, k.f from params k cross join frame fr left join means m on m.habitat = k.habitat and m.grp = k.grp and m.row = fr.row and m.col = fr.col),
@@ -168,4 +191,5 @@ coarse as (select habitat, grp, cast(floor(row / f) as int) as row, cast(floor(c
 sens as (select s.habitat, s.grp, s.row, s.col, 2 * sum(t.q * exp(-sqrt(power(t.row - s.row, 2) + power(t.col - s.col, 2)) * res / d_m)) as k
   from coarse s join params using (habitat, grp) join coarse t on t.habitat = s.habitat and t.grp = s.grp and abs(t.row - s.row) <= radius and abs(t.col - s.col) <= radius group by all)
 select w.habitat, w.grp, 'quality' as sens, w.row, w.col, round(k * v, 6) as elasticity from whole w semi join border b on b.row = w.row and b.col = w.col
-join sens on sens.habitat = w.habitat and sens.grp = w.grp and sens.row = cast(floor(w.row / f) as int) and sens.col = cast(floor(w.col / f) as int) where v is not null"""
+join sens on sens.habitat = w.habitat and sens.grp = w.grp and sens.row = cast(floor(w.row / f) as int) and sens.col = cast(floor(w.col / f) as int)
+where v is not null and least(w.row, w.col) >= (f - 1) / 2.0 and greatest(w.row, w.col) <= 32 - 32 % f - 1 - (f - 1) / 2.0"""

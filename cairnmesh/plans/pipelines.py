@@ -2,69 +2,109 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EUCLIDEAN, FRAME, Config, Grid
 from ..functions.columns import log_shift, quality_floor
 from ..operators import connectivity, mapalgebra, spatial, traits
+from ..sources import rasters
+from ..sources.tables import cut
 
 KEYS = ("habitat", "grp")
 
 
-def group_suitability(spark: SparkSession, pixels: DataFrame, masks: dict[str, DataFrame], domain: DataFrame | None = None, grid: Grid = FRAME, config: Config = DEFAULT) -> DataFrame:
-    """Mean and deviation of every group and habitat, holes inside the habitat's mask filled from the nearest cell, clipped to the domain.
+def require_species(species: DataFrame, available: DataFrame, groups: Sequence[str]) -> None:
+    """Raises where a group has no species, or none of its species has a raster. Both tables have a column grp."""
+    named = {r[0] for r in species.where(F.col("grp").isin(*groups)).select("grp").distinct().collect()}  # one row a group
+    found = {r[0] for r in available.where(F.col("grp").isin(*groups)).select("grp").distinct().collect()}
+    for g in groups:
+        if g not in named:
+            raise LookupError(f"no species in group {g}")
+        if g not in found:
+            raise LookupError(f"no rasters of group {g}")
+
+
+def group_suitability(pixels: DataFrame, stats: DataFrame, masks: DataFrame, border: DataFrame | None = None, grid: Grid = FRAME, config: Config = DEFAULT) -> DataFrame:
+    """(habitat, grp, row, col, mean_suitability, std_suitability) of every group and habitat.
 
-    All groups go through one plan; nothing loops over them.
+    Rasters are padded to the border's bounds and `reach` dispersal distances
+    more, holes inside the habitat's mask (habitat, row, col) are filled from
+    the nearest cell, and cells that the border widened by that distance doesn't
+    touch go. stats has each group's and habitat's d_m; without a border rasters
+    stay on the grid. All groups go through one plan; nothing loops over them.
     """
-    stats = mapalgebra.cell_stats(pixels, KEYS)
-    rasters = pixels.select(*KEYS).distinct()
-    frame = rasters.crossJoin(mapalgebra.cells(spark, grid))  # every raster on the whole grid, a product by definition
-    full = frame.join(stats, [*KEYS, "row", "col"], "left")
-    out = full.select(*KEYS, "row", "col", "valid_count")
-    for name in ("mean_suitability", "std_suitability"):
-        band = full.select(*KEYS, "row", "col", F.col(name).alias("value"))
-        filled = mapalgebra.fill_nearest(band, KEYS)
-        parts = [mapalgebra.fill_in_mask(band.where(F.col("habitat") == h), filled.where(F.col("habitat") == h), mask, KEYS) for h, mask in masks.items()]
-        whole = parts[0]
-        for p in parts[1:]:
-            whole = whole.unionByName(p)
-        out = out.join(whole.withColumnRenamed("value", name), [*KEYS, "row", "col"])
-    return spatial.clip(out, domain) if domain is not None else out
+    bands = ["mean_suitability", "std_suitability"]
+    cells = mapalgebra.cell_stats(pixels, KEYS)
+    known = cells.select(*KEYS).distinct().join(stats.select(*KEYS, (F.col("d_m") * config.reach).alias("reach")), list(KEYS))
+    most = 0.0
+    if border is None:
+        rectangles = known.select("*", F.lit(0).alias("top"), F.lit(0).alias("left"), F.lit(grid.height).alias("height"), F.lit(grid.width).alias("width"))
+    else:
+        most = known.agg(F.max("reach")).first()[0] or 0.0
+        at = lambda origin, edge: (F.lit(origin) - F.col(edge)) if edge.endswith("y") else (F.col(edge) - F.lit(origin))
+        boxed = known.crossJoin(F.broadcast(spatial.total_bounds(border)))  # one row
+        side = lambda low, high, size: (
+            F.least(F.lit(0), F.floor((low - F.col("reach")) / grid.resolution)).cast("int"), F.greatest(F.lit(size), F.ceil((high + F.col("reach")) / grid.resolution)).cast("int")
+        )
+        top, bottom = side(at(grid.y0, "maxy"), at(grid.y0, "miny"), grid.height)
+        left, right = side(at(grid.x0, "minx"), at(grid.x0, "maxx"), grid.width)
+        rectangles = boxed.select(*KEYS, "reach", top.alias("top"), left.alias("left"), (bottom - top).alias("height"), (right - left).alias("width"))
+    full = mapalgebra.frames(rectangles, KEYS).join(cells, [*KEYS, "row", "col"], "left")
+    filled = mapalgebra.fill_nearest(full.select(*KEYS, "row", "col", *bands), KEYS, bands)
+    own = full.select(*KEYS, "row", "col", F.col("valid_count").isNotNull().alias("own"))
+    inside = masks.select("habitat", "row", "col").distinct().withColumn("inside", F.lit(True))
+    out = filled.join(own, [*KEYS, "row", "col"]).join(inside, ["habitat", "row", "col"], "left")
+    out = out.select(*KEYS, "row", "col", *[F.when(F.col("own") | F.col("inside"), F.col(b)).alias(b) for b in bands])
+    if border is None:
+        return out
+    near = spatial.distances(border, grid, most)
+    out = out.join(near, ["row", "col"]).join(F.broadcast(known), list(KEYS))  # one row a group and habitat
+    return out.where("d2 <= reach * reach").select(*KEYS, "row", "col", *bands)
 
 
 def prepared(suitability: DataFrame, stats: DataFrame, distances: DataFrame, grid: Grid = FRAME, config: Config = DEFAULT) -> DataFrame:
-    """Coarse quality rasters with their analysis parameters: (habitat, grp, distance, factor, radius, d_m, alpha, row, col, q).
+    """Coarse quality rasters with their analysis parameters: (habitat, grp, distance, factor, top, left, radius, d_m, alpha, row, col, q).
 
-    The mean quality is that of the whole rectangle, floored cells included, so
-    rasters come dense.
+    A raster is its cells' rectangle; the mean quality is that of the whole
+    rectangle, missing and floored cells included. Blocks begin at its corner.
     """
-    params = connectivity.analysis_params(stats.select(*KEYS, "d_m"), config, grid).join(F.broadcast(distances), "grp")  # one row a group
-    coarse = mapalgebra.coarsen_by(suitability.join(params.select(*KEYS, "factor"), list(KEYS)), "factor", grid, KEYS).drop("factor")
+    shape = mapalgebra.extents(suitability, KEYS)
+    params = connectivity.analysis_params(stats.select(*KEYS, "d_m"), config, grid).join(F.broadcast(distances), "grp").join(shape, list(KEYS))  # one row a group
+    dense = mapalgebra.frames(shape, KEYS).join(suitability.select(*KEYS, "row", "col", "value"), [*KEYS, "row", "col"], "left")
+    coarse = mapalgebra.coarsen_by(dense.join(F.broadcast(params.select(*KEYS, "factor", "top", "left", "height", "width")), list(KEYS)), "factor", KEYS)
     coarse = coarse.withColumn("q", quality_floor(F.col("value"), config.floor)).drop("value")
     mean = coarse.groupBy(*KEYS).agg(F.avg("q").alias("mean_q"))
     known = params.join(mean, list(KEYS)).withColumn("alpha", F.when(F.col("distance") == EUCLIDEAN, F.col("coarse_resolution")).otherwise(F.col("coarse_resolution") * F.col("mean_q")))
-    return coarse.join(known.select(*KEYS, "distance", "factor", "radius", "d_m", "alpha"), list(KEYS))
+    return coarse.join(F.broadcast(known.select(*KEYS, "distance", "factor", "top", "left", "height", "width", "radius", "d_m", "alpha")), list(KEYS))
 
 
-def group_elasticity(suitability: DataFrame, stats: DataFrame, distances: DataFrame, border: DataFrame, grid: Grid = FRAME, config: Config = DEFAULT, hops: int | None = None, sens: tuple[str, ...] = ("quality", "permeability")) -> DataFrame:
-    """(habitat, grp, sens, row, col, elasticity) on the fine grid; straight-line groups have no permeability elasticity."""
-    ready = prepared(suitability, stats, distances, grid, config)
+def group_elasticity(suitability: DataFrame, stats: DataFrame, distances: DataFrame, border: DataFrame, grid: Grid = FRAME, config: Config = DEFAULT, sens: tuple[str, ...] = ("quality", "permeability"), kernel: connectivity.Proximity = connectivity.EXPONENTIAL) -> DataFrame:
+    """(habitat, grp, sens, row, col, elasticity) on the fine grid; straight-line groups have no permeability elasticity.
+
+    Fine cells take the sensitivity of the nearest coarse centre; beyond the
+    outermost centres there is none.
+    """
+    ready = cut(prepared(suitability, stats, distances, grid, config))
     straight, paths = ready.where(F.col("distance") == EUCLIDEAN), ready.where(F.col("distance") != EUCLIDEAN)
     parts = []
     if "quality" in sens:
-        parts.append(connectivity.sensitivity(straight, KEYS, "euclid").withColumn("sens", F.lit("quality")))
-        parts.append(connectivity.sensitivity(paths, KEYS, "lcp_quality", hops).withColumn("sens", F.lit("quality")))
+        parts.append(connectivity.sensitivity(straight, KEYS, "euclid", kernel=kernel).withColumn("sens", F.lit("quality")))
+        parts.append(connectivity.sensitivity(paths, KEYS, "lcp_quality", kernel=kernel).withColumn("sens", F.lit("quality")))
     if "permeability" in sens:
-        parts.append(connectivity.sensitivity(paths, KEYS, "lcp_permeability", hops).withColumn("sens", F.lit("permeability")))
+        parts.append(connectivity.sensitivity(paths, KEYS, "lcp_permeability", kernel=kernel).withColumn("sens", F.lit("permeability")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    factor = ready.select(*KEYS, "factor").distinct()
-    fine = spatial.clip(suitability, border).join(factor, list(KEYS))
-    fine = fine.withColumn("__r", F.floor(F.col("row") / F.col("factor")).cast("int")).withColumn("__c", F.floor(F.col("col") / F.col("factor")).cast("int"))
-    out = out.withColumnRenamed("row", "__r").withColumnRenamed("col", "__c")
-    joined = fine.join(out, [*KEYS, "__r", "__c"])
+    at = F.broadcast(ready.select(*KEYS, "factor", "top", "left", "height", "width").distinct())  # one row a group and habitat
+    fine = spatial.clip(suitability, border).join(at, list(KEYS))
+    for c, start, size in (("row", "top", "height"), ("col", "left", "width")):
+        nth, half = F.col(c) - F.col(start), (F.col("factor") - 1) / 2
+        fine = fine.where((nth >= half) & (nth <= F.col(size) - F.col(size) % F.col("factor") - 1 - half)).withColumn(f"__{c}", F.floor(nth / F.col("factor")).cast("int"))
+    out = out.withColumnRenamed("row", "__row").withColumnRenamed("col", "__col")
+    joined = fine.join(out, [*KEYS, "__row", "__col"])
     return joined.select(*KEYS, "sens", "row", "col", (F.col("sensitivity") * F.col("value")).alias("elasticity"))
 
 
@@ -89,6 +129,22 @@ def combined(scores: DataFrame, how: str = "max") -> DataFrame:
     return mapalgebra.rescale(mapalgebra.combine(scores, how))
 
 
+def importance_scores(elasticity: DataFrame, how: str = "max", grid: Grid = FRAME, config: Config = DEFAULT) -> DataFrame:
+    """(habitat, row, col, value) from elasticities: each habitat's score on the grid's cells, and both combined under habitat aquatic_terrestrial."""
+    scores = cut(importance(cut(sum_sensitivities(elasticity)), how, config))
+    scores = scores.where(F.col("row").between(0, grid.height - 1) & F.col("col").between(0, grid.width - 1))
+    both = combined(scores, how).select(F.lit("aquatic_terrestrial").alias("habitat"), "row", "col", "value")
+    return scores.unionByName(both)
+
+
+def run_analysis(spark: SparkSession, suitability: DataFrame, stats: DataFrame, distances: DataFrame, border: DataFrame, path: str, how: str = "max", grid: Grid = FRAME, config: Config = DEFAULT) -> DataFrame:
+    """Every job of an analysis: elasticities are written under the run's name and read back, each habitat's score and the combined one are written; returns the scores as read back."""
+    rasters.write_elasticity(group_elasticity(suitability, stats, distances, border, grid, config), f"{path}/elasticities", config.run_id)
+    scores = importance_scores(rasters.read_elasticity(spark, f"{path}/elasticities", config.run_id), how, grid, config)
+    rasters.write_scores(scores, f"{path}/scores", config.run_id, how)
+    return rasters.read_scores(spark, f"{path}/scores", config.run_id, how)
+
+
 def metadata_report(species: DataFrame, distances: DataFrame) -> DataFrame:
     stats = traits.dispersal_stats(species).join(F.broadcast(distances), "grp")  # one row a group
     return stats.select(

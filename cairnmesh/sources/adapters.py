@@ -65,12 +65,26 @@ POLYGONS = {
     "lake": [[(150, 150), (300, 140), (310, 260), (170, 280)], [(480, 500), (620, 520), (600, 640), (500, 620)]],
 }
 LINES = {"river": [[(0, 700), (200, 520), (380, 430), (560, 300), (800, 120)]]}
-POINTS = {"barrier": [(200, 520), (560, 300)]}
+POINTS = {"barrier": [(200, 520), (560, 300)], "hydropower": [(620, 180)]}
 #: Attribute of each layer's features, in order.
 CODES = {"country": ["CH"], "canton": ["A", "B"]}
 CANTON_SPLIT = 400.0
 
 
+def _part(ring: list[tuple[float, float]], x: float, west: bool) -> list[tuple[float, float]]:
+    """What of a ring lies west or east of x."""
+    out = []
+    for a, b in zip(ring, ring[1:] + ring[:1], strict=True):
+        if (a[0] <= x) == west or a[0] == x:
+            out.append(a)
+        if (a[0] - x) * (b[0] - x) < 0:
+            out.append((x, a[1] + (x - a[0]) * (b[1] - a[1]) / (b[0] - a[0])))
+    return out
+
+
+POLYGONS["canton"] = [_part(POLYGONS["country"][0], CANTON_SPLIT, west) for west in (True, False)]
+
+
 def edge_rows() -> list[tuple[str, int, float, float, float, float]]:
     """(layer, geom_id, x1, y1, x2, y2) of all layers; a point is an edge of no length."""
     out = []

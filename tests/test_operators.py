@@ -10,11 +10,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cairnmesh.config import Grid
+from cairnmesh.config import Config, Grid
 from cairnmesh.functions import columns
 from cairnmesh.operators import connectivity, mapalgebra, spatial, traits
 from cairnmesh.plans import catalog, pipelines
 from cairnmesh.sources import adapters, rasters
+from cairnmesh.sources.tables import cut
 
 SMOKE = "/root/testdata/sf0.001"
 
@@ -43,10 +44,13 @@ def test_fill_nearest_ties_and_empty(spark):
     assert set(grid_of(mapalgebra.fill_nearest(raster(spark, [[None, None]]))).values()) == {None}
 
 
-def test_fill_nearest_against_brute_force(spark):
-    r = np.random.default_rng(3)
-    v = [[float(x) if x < 30 else None for x in row] for row in r.integers(0, 100, (17, 23))]
+@pytest.mark.parametrize(("seed", "share"), [(3, 30), (4, 3), (5, 1), (6, 70)])
+def test_fill_nearest_against_brute_force(spark, seed, share):
+    r = np.random.default_rng(seed)
+    v = [[float(x) if x < share else None for x in row] for row in r.integers(0, 100, (17, 23))]
     got = grid_of(mapalgebra.fill_nearest(raster(spark, v)))
+    both = mapalgebra.fill_nearest(raster(spark, v).withColumn("other", F.col("value") * 2), (), ["value", "other"])
+    assert all(r.other == 2 * r.value == 2 * got[r.row, r.col] for r in both.collect())
     known = [(i, j, x) for i, row in enumerate(v) for j, x in enumerate(row) if x is not None]
     for (i, j), x in got.items():
         want = v[i][j] if v[i][j] is not None else min(((a - i) ** 2 + (b - j) ** 2, a, b, y) for a, b, y in known)[3]
@@ -58,6 +62,7 @@ def test_scale_percent_guards_range(spark):
     assert sorted(r.value for r in mapalgebra.scale_percent(df, ["id"]).collect()) == [0.02, 0.5]
     with pytest.raises(Exception, match="percents"):
         mapalgebra.scale_percent(df.withColumn("pct", F.col("pct") / 100), ["id"]).collect()
+    assert [r.value for r in mapalgebra.scale_percent(df.withColumn("pct", F.col("pct") / 100), ["id"], strict=False).collect()] == [None, None]
 
 
 def test_combine_modes(spark):
@@ -170,11 +175,11 @@ def test_sensitivity_is_the_derivative(how):
     r = np.random.default_rng(5)
     q, p, radius, scale, h = r.uniform(0.2, 1, (5, 5)), r.uniform(0.2, 1, (5, 5)), 4, 0.3, 1e-6
     if how == "euclid":
-        got = connectivity.euclid_sensitivity(q, radius, scale)
+        got = connectivity.euclid_sensitivity(q, radius, 10, 3)
     elif how == "lcp_quality":
-        got = connectivity.lcp_quality(q, p, radius, scale, None)
+        got = connectivity.lcp_quality(q, p, radius, 10, 3)
     else:
-        got = connectivity.lcp_permeability(q, p, radius, scale, None, 1e-9)
+        got = connectivity.lcp_permeability(q, p, radius, 10, 3)
     for x in [(0, 0), (2, 2), (4, 1)]:
         ends = []
         for sign in (1, -1):
@@ -187,10 +192,60 @@ def test_sensitivity_is_the_derivative(how):
 def test_tiles_give_what_one_array_gives(spark):
     r = np.random.default_rng(9)
     q = r.uniform(0.1, 1, (20, 20))
-    df = raster(spark, q.tolist()).select("row", "col", F.col("value").alias("q"), F.lit(2).alias("radius"), F.lit(20.0).alias("alpha"), F.lit(100.0).alias("d_m"))
-    for how, whole in (("euclid", connectivity.euclid_sensitivity(q, 2, 0.2)), ("lcp_quality", connectivity.lcp_quality(q, q, 2, 0.2, 2)), ("lcp_permeability", connectivity.lcp_permeability(q, q, 2, 0.2, 2, 1e-9))):
-        got = grid_of(connectivity.sensitivity(df, [], how, 2, tile=7), "sensitivity")
-        assert max(abs(got[i, j] - whole[i, j]) for i in range(20) for j in range(20)) < 1e-9
+    q[3:5, 4:9] = np.nan
+    df = raster(spark, q.tolist()).where(~F.isnan("value")).select("row", "col", F.col("value").alias("q"), F.lit(3).alias("radius"), F.lit(20.0).alias("alpha"), F.lit(100.0).alias("d_m"))
+    for how, f in (("euclid", connectivity.euclid_sensitivity), ("lcp_quality", lambda q, *a: connectivity.lcp_quality(q, q, *a)), ("lcp_permeability", lambda q, *a: connectivity.lcp_permeability(q, q, *a))):
+        whole = f(q, 3, 100.0, 20.0)
+        got = grid_of(connectivity.sensitivity(df, [], how, tile=7), "sensitivity")
+        assert set(got) == {(i, j) for i in range(20) for j in range(20) if not np.isnan(q[i, j])}
+        assert max(abs(x - whole[at]) for at, x in got.items()) < 1e-9
+
+
+def test_a_kernel_of_ones_own(spark):
+    """1 / (1 + d): sensitivities are the derivatives of that kernel's K, also where its slope is taken by differences."""
+    r = np.random.default_rng(2)
+    q, p, h = r.uniform(0.2, 1, (4, 5)), r.uniform(0.2, 1, (4, 5)), 1e-6
+    own = connectivity.Proximity(lambda d, dispersal, alpha: 1 / (1 + d * alpha / dispersal))
+
+    def total(q, p):
+        return sum(q[s] * q[t] / (1 + 0.5 * d) for (s, t), d in brute_paths({x: p[x] for x in np.ndindex(p.shape)}, 4).items())
+
+    quality, permeability = connectivity.lcp_quality(q, p, 4, 4.0, 2.0, own), connectivity.lcp_permeability(q, p, 4, 4.0, 2.0, own)
+    for x in [(0, 0), (2, 3)]:
+        for got, which in ((quality, 0), (permeability, 1)):
+            ends = []
+            for sign in (1, -1):
+                both = [q.copy(), p.copy()]
+                both[which][x] += sign * h
+                ends.append(total(*both))
+            assert got[x] == pytest.approx((ends[0] - ends[1]) / (2 * h), rel=1e-5)
+    df = raster(spark, p.tolist()).select("row", "col", F.col("value").alias("q"), F.lit(4).alias("radius"), F.lit(2.0).alias("alpha"), F.lit(4.0).alias("d_m"))
+    got = grid_of(connectivity.sensitivity(df, [], "lcp_quality", kernel=own), "sensitivity")
+    want = connectivity.lcp_quality(p, p, 4, 4.0, 2.0, own)
+    assert all(x == pytest.approx(want[at]) for at, x in got.items())
+
+
+def test_tied_paths_share_what_they_carry():
+    """On a plain of equal cells the corners' paths are many; each adds its share, so steps carry whole pairs in total."""
+    p = np.full((3, 3), 0.5)
+    got = connectivity.lcp_permeability(p, p, 2, 1.0, 0.1)
+    assert np.allclose(got, got.T) and np.allclose(got, got[::-1]) and got[1, 1] == got.max()
+    d = {(s, t): x for (s, t), x in brute_paths({x: 0.5 for x in np.ndindex(3, 3)}, 2).items() if s != t}
+    # every step's slope is cost**2 / (2 len) = cost: each pair gives its distance, twice (both ends), whatever way it takes
+    assert got.sum() == pytest.approx(sum(2 * 0.25 * 0.1 * math.exp(-0.1 * x) * x for x in d.values()))
+
+
+def test_window_of_sixteen_cells_in_bounded_memory():
+    """The reference radius on a whole tile: within its window every distance is Dijkstra's, and arrays don't grow with the tile."""
+    r = np.random.default_rng(4)
+    p = r.uniform(0.05, 1, (40, 40))
+    some = np.zeros(p.shape, bool)
+    some[[0, 20, 39], [0, 17, 39]] = True
+    for w, _, d in connectivity.lcp_distances(p, 16, some):
+        assert d.nbytes == len(w.rows) * 33 * 33 * 8
+        for i, s in enumerate(zip(w.rows.tolist(), w.cols.tolist(), strict=True)):
+            for (_, t), x in brute_paths({x: p[x] for x in np.ndindex(p.shape)}, 16, [s]).items():
+                assert d[i, t[0] - s[0] + 16, t[1] - s[1] + 16] == pytest.approx(x, rel=1e-12)
 
 
 def test_elasticity_of_least_cost_groups(spark):
@@ -199,7 +254,7 @@ def test_elasticity_of_least_cost_groups(spark):
     m = m.where("grp = 'STANDARD'")
     full = m.select("habitat", "grp").distinct().crossJoin(mapalgebra.cells(spark, Grid(32, 32))).join(m, ["habitat", "grp", "row", "col"], "left")
     stats = traits.dispersal_stats(adapters.species(spark, sf)).withColumn("d_m", F.lit(25.0))
-    out = pipelines.group_elasticity(full, stats, adapters.group_distance(spark, sf), mapalgebra.cells(spark, Grid(32, 32)), hops=2)
+    out = pipelines.group_elasticity(full, stats, adapters.group_distance(spark, sf), mapalgebra.cells(spark, Grid(32, 32)))
     assert {r.sens for r in out.select("sens").distinct().collect()} == {"quality", "permeability"}
     assert out.where("elasticity < 0").count() == 0
     scores = pipelines.importance(pipelines.sum_sensitivities(out))
@@ -231,21 +286,38 @@ def brute_paths(q, radius, sources=None):
 
 
 def brute_permeability(q, radius, scale):
-    far, total = brute_paths(q, radius), dict.fromkeys(q, 0.0)
-    for u in q:
-        for v in q:
-            if u == v or max(abs(u[0] - v[0]), abs(u[1] - v[1])) > 1:
-                continue
-            cost, slope = math.hypot(u[0] - v[0], u[1] - v[1]) * 2 / (q[u] + q[v]), 2 * math.hypot(u[0] - v[0], u[1] - v[1]) / (q[u] + q[v]) ** 2
-            for s in [s for s in q if (s, u) in far and (s, v) in far]:
-                for t in q:
-                    if s != t and (s, t) in far and (v, t) in far and abs(far[s, u] + cost + far[v, t] - far[s, t]) < 1e-9:
-                        gain = q[s] * q[t] * math.exp(-far[s, t] * scale) * scale * slope
-                        total[u] += gain
-                        total[v] += gain
+    """Each pair's path walked back from its end, by the source's own distances; quality here has no tied paths."""
+    total = dict.fromkeys(q, 0.0)
+    for s in q:
+        far = {t: d for (_, t), d in brute_paths(q, radius, [s]).items()}
+        before = {}
+        for v in far:
+            for a in (-1, 0, 1):
+                for b in (-1, 0, 1):
+                    u = (v[0] + a, v[1] + b)
+                    if u != v and u in far and abs(far[u] + math.hypot(a, b) * 2 / (q[u] + q[v]) - far[v]) < 1e-9:
+                        before.setdefault(v, []).append(u)
+        for t, d in far.items():
+            share = {t: q[s] * q[t] * math.exp(-d * scale) * scale}
+            while t != s and share:
+                v = max(share, key=far.get)
+                carried = share.pop(v)
+                if v == s:
+                    continue
+                paths = {u: count_paths(u, s, before) for u in before[v]}
+                for u in before[v]:
+                    part = carried * paths[u] / sum(paths.values())
+                    gain = part * 2 * math.hypot(u[0] - v[0], u[1] - v[1]) / (q[u] + q[v]) ** 2
+                    total[u] += gain
+                    total[v] += gain
+                    share[u] = share.get(u, 0.0) + part
     return total
 
 
+def count_paths(u, s, before):
+    return 1 if u == s else sum(count_paths(x, s, before) for x in before[u])
+
+
 def test_whole_least_cost_queries_against_brute_force(spark):
     """Every least-cost raster is there, with its own radius and paths of any number of steps."""
     queries = importlib.import_module("__spark_entry__").queries()
@@ -270,37 +342,149 @@ def test_whole_least_cost_queries_against_brute_force(spark):
                 assert got["sensitivity_lcp_permeability"][*key, *s].sensitivity == pytest.approx(v, rel=1e-7, abs=1e-5)
 
 
-@pytest.mark.parametrize("hops", [2, None])
-def test_permeability_by_step_is_that_by_offset(hops, monkeypatch):
-    monkeypatch.setattr(connectivity, "PAIRS", 0)
-    p = np.random.default_rng(3).uniform(0.2, 1, (7, 6))
-    p[2, 3] = np.nan
-    for radius in (3, 5):
-        step = connectivity._permeability_by_step(np.nan_to_num(p), p, connectivity.lcp_distances(p, radius, hops), radius, 0.2, 1e-9)
-        assert np.allclose(step, connectivity.lcp_permeability(p, p, radius, 0.2, hops, 1e-9))
-
-
 def test_whole_group_elasticity(spark):
-    """Every group and sensitivity is there; straight-line groups as SQL has them, a least-cost raster against brute force."""
+    """Every group and sensitivity is there, from padded suitability rasters: one straight-line and one least-cost raster against brute force."""
     whole = importlib.import_module("__spark_entry__").queries()["group_elasticity"](spark, SMOKE).collect()
     kinds = {(r.grp, r.sens) for r in whole}
     assert kinds == {(g, "quality") for g in ("ECONOMY", "PROMO", "LARGE", "MEDIUM", "SMALL", "STANDARD")} | {(g, "permeability") for g in ("LARGE", "MEDIUM", "SMALL", "STANDARD")}
-    assert {tuple(r) for r in whole if r.grp in ("ECONOMY", "PROMO")} == {tuple(r) for r in catalog.QUERIES["group_elasticity"](spark, SMOKE).collect()}
-    rasters = {}
-    for r in catalog._paths(spark, SMOKE).collect():
-        rasters.setdefault((r.habitat, r.grp), (r.radius, r.alpha / r.d_m, {}))[2][r.row, r.col] = r.q
-    key = min(rasters, key=lambda k: len(rasters[k][2]))
-    radius, scale, q = rasters[key]
-    want = {"permeability": brute_permeability(q, radius, scale), "quality": dict.fromkeys(q, 0.0)}
-    for (s, t), x in brute_paths(q, radius).items():
-        want["quality"][s] += 2 * q[t] * math.exp(-x * scale)
-    f = 32 // round(len(q) ** 0.5)
+    pixels = {}
+    for r in catalog._suitability(spark, SMOKE).collect():
+        pixels.setdefault((r.habitat, r.grp), {})[r.row, r.col] = r.mean_suitability
+    stats = {(r.habitat, r.grp): r.d_m for r in traits.dispersal_stats(adapters.species(spark, SMOKE)).collect()}
     border = {(r.row, r.col) for r in catalog._border(spark).collect()}
-    fine = {(r.row, r.col): r.value for r in catalog._full(spark, SMOKE).where((F.col("habitat") == key[0]) & (F.col("grp") == key[1]) & F.col("value").isNotNull()).collect()}
-    for sens, of in want.items():
-        got = {(r.row, r.col): r.elasticity for r in whole if (r.habitat, r.grp, r.sens) == (*key, sens)}
-        expected = {x: v * of[x[0] // f, x[1] // f] for x, v in fine.items() if x in border and (x[0] // f, x[1] // f) in of}
-        assert got == pytest.approx(expected, rel=1e-7, abs=1e-5)
+    size = lambda k: len(pixels[k]) / max(1, math.ceil(stats[k] * 0.2 / 25)) ** 2
+    for key, straight in ((min((k for k in pixels if k[1] == "PROMO"), key=size), True), (min((k for k in pixels if k[1] == "SMALL"), key=size), False)):
+        cells, d_m = pixels[key], stats[key]
+        resolution = max(25.0, d_m * 0.2)
+        f, radius = math.ceil(resolution / 25), math.ceil(3.0 * d_m / resolution)
+        top, left = min(r for r, _ in cells), min(c for _, c in cells)
+        height, width = max(r for r, _ in cells) - top + 1, max(c for _, c in cells) - left + 1
+        q = {}
+        for i in range(height // f):
+            for j in range(width // f):
+                some = [v for a in range(f) for b in range(f) if (v := cells.get((top + i * f + a, left + j * f + b))) is not None]
+                q[i, j] = sum(some) / len(some) if some and sum(some) else 1e-5
+        alpha = resolution if straight else resolution * sum(q.values()) / len(q)
+        some = sorted(q)[:: 1 if straight else 29]
+        far = {(s, t): math.hypot(s[0] - t[0], s[1] - t[1]) for s in some for t in q if max(abs(s[0] - t[0]), abs(s[1] - t[1])) <= radius} if straight else brute_paths(q, radius, some)
+        want = dict.fromkeys(some, 0.0)
+        for (s, t), d in far.items():
+            want[s] += 2 * q[t] * math.exp(-d * alpha / d_m)
+        got = {(r.row, r.col): r.elasticity for r in whole if (r.habitat, r.grp, r.sens) == (*key, "quality")}
+        half, checked = (f - 1) / 2, 0
+        for (r, c), v in cells.items():
+            i, j = r - top, c - left
+            inside = half <= i <= height - height % f - 1 - half and half <= j <= width - width % f - 1 - half
+            if v is None or (r, c) not in border or not inside:
+                assert (r, c) not in got
+            elif (i // f, j // f) in want:
+                assert got[r, c] == pytest.approx(v * want[i // f, j // f], rel=1e-6, abs=1e-5)
+                checked += 1
+        assert checked > 10
+
+
+def test_importance_scores_end_to_end(spark):
+    """Scores are those of the written and re-read elasticities: log, 0-1 by group, maximum, 0-1, then both habitats."""
+    got = importlib.import_module("__spark_entry__").queries()["importance_scores"](spark, SMOKE).collect()
+    summed = {}
+    for r in catalog._elasticity(spark, SMOKE).collect():
+        cell = summed.setdefault((r.habitat, r.grp), {}).setdefault((r.row, r.col), [])
+        cell.append(r.elasticity)
+    least = lambda g: 1 if g in ("ECONOMY", "PROMO") else 2
+    unit = lambda x: {k: (v - min(x.values())) / (max(x.values()) - min(x.values())) for k, v in x.items()}
+    habitats = {}
+    for (h, g), cells in summed.items():
+        logs = {k: math.log(sum(v) + 1e-5) for k, v in cells.items() if len(v) == least(g) and None not in v}
+        for k, v in unit(logs).items():
+            best = habitats.setdefault(h, {})
+            best[k] = max(v, best.get(k, 0.0))
+    habitats = {h: unit(x) for h, x in habitats.items()}
+    both = {}
+    for x in habitats.values():
+        for k, v in x.items():
+            both[k] = max(v, both.get(k, 0.0))
+    want = habitats | {"aquatic_terrestrial": unit(both)}
+    have = {}
+    for r in got:
+        if r.value is not None:
+            have.setdefault(r.habitat, {})[r.row, r.col] = r.value
+    assert {h: len(x) for h, x in have.items()} == {h: len(x) for h, x in want.items()}
+    assert all(have[h][k] == pytest.approx(v, abs=2e-6) for h, x in want.items() for k, v in x.items())
+
+
+def test_an_analysis_run_is_written_and_read_back(spark, tmp_path):
+    """Two groups' rasters through elasticities on disk to scores on disk; metadata beside them."""
+    m = cut(catalog._means(spark, SMOKE).where("grp in ('PROMO', 'SMALL')").select("habitat", "grp", "row", "col", F.col("mean_suitability").alias("value")))
+    stats = traits.dispersal_stats(adapters.species(spark, SMOKE)).withColumn("d_m", F.lit(50.0))
+    distances, border, config = adapters.group_distance(spark, SMOKE), catalog._border(spark), Config(run_id="abc", results_root=str(tmp_path))
+    got = pipelines.run_analysis(spark, m, stats, distances, border, str(tmp_path), config=config)
+    want = pipelines.importance_scores(cut(pipelines.group_elasticity(m, stats, distances, border, config=config)), config=config)
+    values = lambda df: {(r.habitat, r.row, r.col): r.value for r in df.collect()}
+    have, wanted = values(got), values(want)
+    assert set(have) == set(wanted) and {h for h, _, _ in have} == {"aquatic", "terrestrial", "aquatic_terrestrial"}
+    assert all(x == pytest.approx(wanted[k], abs=1e-6) for k, x in have.items())
+    rasters.write_report(pipelines.metadata_report(adapters.species(spark, SMOKE), distances), str(tmp_path / "metadata"))
+    assert spark.read.csv(str(tmp_path / "metadata"), header=True).columns == ["grp", "habitat", "species_number", "distance", "median_dispersal_km", "std_dispersal_km"]
+
+
+def test_scores_are_written_and_read_back(spark, tmp_path):
+    df = spark.createDataFrame([("aquatic", 0, 0, 0.1), ("aquatic", 0, 1, None), ("aquatic_terrestrial", 0, 0, 1.0)], "habitat string, row int, col int, value double")
+    rasters.write_scores(df, str(tmp_path / "s"), "abc", "max")
+    back = {(r.habitat, r.row, r.col): r.value for r in rasters.read_scores(spark, str(tmp_path / "s"), "abc", "max").collect()}
+    assert back["aquatic", 0, 1] is None and back["aquatic", 0, 0] == pytest.approx(0.1, rel=1e-6) and len(back) == 3
+    assert rasters.read_scores(spark, str(tmp_path / "s"), "abc", "mean").count() == 0
+    joined = mapalgebra.elementwise([df.where("habitat = 'aquatic'"), df.where("habitat <> 'aquatic'")], columns.safe_add, how="full")
+    assert grid_of(joined) == {(0, 0): 1.1, (0, 1): None}
+    assert mapalgebra.single_band(df.withColumn("band", F.lit(1))).columns == df.columns
+    assert "band" in mapalgebra.single_band(df.withColumn("band", F.col("col"))).columns
+    report = spark.createDataFrame([("a b", 1.5)], "species string, dispersal_range_km double")
+    rasters.write_report(report, str(tmp_path / "r"))
+    assert spark.read.csv(str(tmp_path / "r"), header=True).collect()[0][:] == ("a b", "1.5")
+
+
+def test_plain_text_grids(spark, tmp_path):
+    (tmp_path / "reg_a.asc").write_text("ncols 3\nnrows 2\nxllcorner 100\nyllcorner 50\ncellsize 25\nNODATA_value -9999\n10 20 -9999\n40 x 60\n\n")
+    got = rasters.read_grids(spark, str(tmp_path), 0.1, 1.0).collect()
+    assert {(r.row, r.col): r.value for r in got} == {(0, 0): 2.0, (0, 1): 3.0, (0, 2): None, (1, 0): 5.0, (1, 1): None, (1, 2): 7.0}
+    assert {(r.file, r.xll, r.yll, r.cellsize) for r in got} == {("reg_a.asc", 100.0, 50.0, 25.0)}
+
+
+def test_cached_rasters_are_checked_by_their_axes(spark, tmp_path):
+    made = []
+
+    def make(n):
+        def f():
+            made.append(n)
+            return raster(spark, [[1.0] * n] * n)
+
+        return f
+
+    path = str(tmp_path / "c")
+    assert rasters.cached(spark, path, Grid(4, 4, 25.0), make(4)).count() == 16
+    assert rasters.cached(spark, path, Grid(4, 4, 25.0), make(4)).count() == 16 and made == [4]
+    assert rasters.cached(spark, path, Grid(2, 2, 50.0), make(2)).count() == 4 and made == [4, 2]
+
+
+def test_guards():
+    with pytest.raises(ValueError, match="square"):
+        Grid(2, 2, 25.0, resolution_y=30.0).square()
+    Grid(2, 2).require("EPSG:2056", 25.0)
+    with pytest.raises(ValueError, match="EPSG"):
+        Grid(2, 2).require("EPSG:4326", 25.0)
+    with pytest.raises(ValueError, match="cells"):
+        Grid(2, 2).require("EPSG:2056", 100.0)
+    assert Config(results_root="/r", run_id="x").path("a", results=True) == "/r/x/a"
+    with pytest.raises(ValueError, match="data_root"):
+        Config().path("a")
+
+
+def test_groups_without_species_or_rasters_stop(spark):
+    species = spark.createDataFrame([("a", "bees"), ("b", "birds")], "species string, grp string")
+    pipelines.require_species(species, species, ["bees", "birds"])
+    with pytest.raises(LookupError, match="no species"):
+        pipelines.require_species(species, species, ["bees", "fishes"])
+    with pytest.raises(LookupError, match="no rasters"):
+        pipelines.require_species(species, species.where("grp = 'bees'"), ["birds"])
 
 
 def test_whole_available_species_against_brute_force(spark, tmp_path):
