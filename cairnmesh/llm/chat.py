@@ -205,13 +205,25 @@ def format_chats(spark: SparkSession, records: DataFrame, record: str = "record"
 
 
 def records_of(rows: DataFrame) -> DataFrame:
-    """(conv_id, record) of rows (conv_id, turn, role, text)."""
+    """(conv_id, record) of rows (conv_id, turn, role, text), in the layout that sets of such conversations are published in.
+
+    A user's turn and its answer are a prompt and a completion, with a system
+    text before them a system, prompt and response; other conversations are
+    lists of turns.
+    """
     rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     turn = F.struct("turn", "role", "text")
     turns = rows.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     turns = turns.unionByName(rows.where("conv_id is null").select("conv_id", F.array(turn).alias("turns")))
     slim = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    return turns.select("conv_id", F.to_json(F.struct(slim.alias("turns"))).alias("record"))
+    roles = F.transform("turns", lambda t: t["role"])
+    said = lambda i, name: F.try_element_at("turns", F.lit(i + 1))["text"].alias(name)
+    listed = F.to_json(F.struct(slim.alias("turns")))
+    pair = F.to_json(F.struct(said(0, "prompt"), said(1, "completion")))
+    led = F.to_json(F.struct(said(0, "system"), said(1, "prompt"), said(2, "response")))
+    is_ = lambda *names: roles == F.array(*[F.lit(n) for n in names])
+    record = F.when(is_("user", "assistant"), pair).when(is_("system", "user", "assistant") & (F.length(F.try_element_at("turns", F.lit(1))["text"]) > 0), led).otherwise(listed)
+    return turns.select("conv_id", record.alias("record"))
 
 
 def _read_back(batches):
