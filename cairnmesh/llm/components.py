@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Scratch
+from .store import Scratch, small
 
 
 def smallest_reachable(scratch: Scratch, edges: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def smallest_reachable(scratch: Scratch, edges: DataFrame) -> DataFrame:
         for _ in range(2):
             nxt = hook.select(F.col("a").alias("m"), F.col("to").alias("far"))
             hook = hook.join(nxt, F.col("to") == F.col("m"), "left").select("a", F.coalesce("far", "to").alias("to"))
-        hook = scratch.keep(hook, "hook")
+        hook = small(scratch.keep(hook, "hook"))
         labels = scratch.keep(labels.join(hook, F.col("label") == F.col("a"), "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
         h1, h2 = hook.toDF("a1", "to1"), hook.toDF("a2", "to2")
         left = left.join(h1, F.col("u") == F.col("a1"), "left").join(h2, F.col("v") == F.col("a2"), "left").select(F.coalesce("to1", "u").alias("x"), F.coalesce("to2", "v").alias("y"))

@@ -290,6 +290,7 @@ def _classed(spark: SparkSession, texts: DataFrame, size: int, scratch: Scratch)
         got = texts.join(small(some), F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth"))).select("text", "node")
         return got.dropDuplicates(["node"]) if repeated else got
 
+    work = Scratch(spark, "jaccard-work")  # tables that are gone when the classes are known
     anchors = texts_of(nodes).mapInArrow(_reordered(size, spark.sparkContext.broadcast(crowded)), "node long, n long, anchors array<long>")
     anchors = anchors.select("node", "n", F.posexplode("anchors").alias("i", "s"))
     # if s is a pair's first common anchor, the set x at place i has n - i shingles left to share, so 3 * n(y) <= 4 * n(x) - 7 * i
@@ -305,26 +306,27 @@ def _classed(spark: SparkSession, texts: DataFrame, size: int, scratch: Scratch)
     pivot = F.min(F.struct("node", "n")).over(Window.partitionBy("s", "band"))
     members = anchors.withColumn("pivot", pivot).where(F.col("node") != F.col("pivot.node"))
     members = members.select(F.col("pivot.node").alias("cell"), F.col("node").alias("member"), "n", F.col("pivot.n").alias("n_pivot")).distinct()
-    members = scratch.keep(members, "members")
+    members = work.keep(members, "members")
     # a cell of one member whose size alone rules the link out has nothing to find
-    more = small(scratch.keep(members.groupBy("cell").agg(F.count("*").alias("others")), "others"))
+    more = small(work.keep(members.groupBy("cell").agg(F.count("*").alias("others")), "others"))
     members = members.join(more, "cell").where(f"others > 1 or {PARTS} * least(n, n_pivot) >= {LEAST} * greatest(n, n_pivot)").select("cell", "member")
-    members = scratch.keep(members, "compared")
+    members = work.keep(members, "compared")
     used = nodes.join(members.select(F.explode(F.array("cell", "member")).alias("node")).distinct(), "node", "left_semi")
-    sets = texts_of(scratch.keep(used.select("node", "rep"), "used")).mapInArrow(_whole(size), "member long, shingles binary")
+    sets = texts_of(work.keep(used.select("node", "rep"), "used")).mapInArrow(_whole(size), "member long, shingles binary")
     # both uses make the sets anew from the texts: cheaper than a table of them, which would be as large as its input
 
-    measured = scratch.keep(_measure(scratch, members, sets), "measured")
+    measured = work.keep(_measure(work, members, sets), "measured")
     direct = F.expr(f"{PARTS} * common >= {LEAST} * (n + n_pivot - common)")
     measured = measured.withColumn("direct", direct)
     edges = measured.where("direct").select(F.col("cell").alias("u"), F.col("member").alias("v"))
-    edges = edges.unionByName(_block_rows(scratch, measured, sets).mapInArrow(_block_pairs, "u long, v long"))
-    labels = smallest_reachable(scratch, edges)
+    edges = edges.unionByName(_block_rows(work, measured, sets).mapInArrow(_block_pairs, "u long, v long"))
+    labels = smallest_reachable(work, edges)
 
     # a component's row is the smallest of its nodes' rows; its smallest doc_id is that row's
     linked = labels.join(nodes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("least"))
-    linked = small(scratch.keep(linked, "linked"))
+    linked = small(work.keep(linked, "linked"))
     labels = scratch.keep(labels.join(linked, "label").select(F.col("node").alias("labelled"), "least"), "named")
+    work.drop()
     named = nodes.join(labels, F.col("node") == F.col("labelled"), "left").withColumn("rep", F.coalesce("least", "rep"))
     return keyed, named.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("rep.doc_id").alias("component_id"), "rep")
 

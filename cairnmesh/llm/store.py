@@ -6,8 +6,10 @@ import atexit
 import io
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,29 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_lock, _writing = threading.Lock(), {}
+
+
+@contextmanager
+def _cleaned(spark: SparkSession):
+    """CLEANUP holds while any table of the session is being written; the session's own setting is back afterwards."""
+    conf, key = spark.conf, id(spark._jsparkSession)
+    with _lock:
+        many, before = _writing.get(key, (0, None))
+        before = before if many else conf.get(CLEANUP, "false")
+        _writing[key] = (many + 1, before)
+        conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            many, before = _writing.pop(key)
+            if many > 1:
+                _writing[key] = (many - 1, before)
+            else:
+                conf.set(CLEANUP, before)
+
+
 class Scratch:
     """Parquet tables in the shared folder.
 
@@ -48,13 +73,8 @@ class Scratch:
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
-        conf = self.spark.conf
-        before = conf.get(CLEANUP, "false")
-        conf.set(CLEANUP, "true")  # the table is all that is needed of this job
-        try:
+        with _cleaned(self.spark):  # the table is all that is needed of this job
             df.write.parquet(path)
-        finally:
-            conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, table: DataFrame | None = None) -> None:
@@ -78,7 +98,7 @@ BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execut
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on executors that don't have it installed, and bound Arrow batches."""
+    """Make this package importable on executors that don't have it installed, and bound the session's Arrow batches."""
     for key, value in BATCHES.items():
         spark.conf.set(key, value)
     app = spark.sparkContext.applicationId

@@ -1,7 +1,6 @@
 import hashlib
 import io
 import json
-import os
 import re
 import zlib
 
@@ -147,12 +146,3 @@ def test_winnowing_matches_brute_force(spark, docs, none):
     assert clean.columns == rows.columns and {r.doc_id for r in clean.collect()} == {i for i, w in want.items() if not w[4]}
     assert winnow.hits(spark, docs, bench.where("item_id < 0")).where("n_hit > 0 or contaminated").count() == 0
     assert winnow.hits(spark, none, bench).count() == 0
-
-
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
-def test_queries_without_sql_run(spark):
-    import corpus_pipeline
-
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    total = out.groupBy("sequence_id").agg(winnow.F.sum("length").alias("n"))
-    assert total.agg(winnow.F.max("n")).first()[0] <= 2048 and out.count() > 0
