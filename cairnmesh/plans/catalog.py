@@ -319,9 +319,9 @@ def barrier_buffer(spark, d):
 
 @query(sql.MASK_FILL)
 def mask_fill(spark, d):
-    holed = _clipped(spark, d)
-    filled = mapalgebra.fill_nearest(holed, KEYS)
-    return mapalgebra.fill_in_mask(holed, filled, mask_aquatic(spark, d), KEYS).select(*KEYS, "row", "col", r6("value").alias("value"))
+    means = _clipped(spark, d)
+    filled = mapalgebra.fill_nearest(means, KEYS)
+    return mapalgebra.fill_in_mask(means, filled, mask_aquatic(spark, d), KEYS).select(*KEYS, "row", "col", r6("value").alias("value"))
 
 
 # --- connectivity ------------------------------------------------------------------------------------
