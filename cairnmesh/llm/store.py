@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import io
 import os
+import shutil
 import tempfile
 import threading
 import uuid
@@ -113,7 +114,9 @@ def ship(spark: SparkSession) -> None:
                 if n.endswith(".py"):
                     full = os.path.join(folder, n)
                     z.write(full, os.path.relpath(full, os.path.dirname(top)))
-    path = os.path.join(tempfile.mkdtemp(prefix="cairnmesh-ship-"), "cairnmesh.zip")
+    folder = tempfile.mkdtemp(prefix="cairnmesh-ship-")  # the driver serves the file from here until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "cairnmesh.zip")
     with open(path, "wb") as f:
         f.write(buffer.getvalue())
     spark.sparkContext.addPyFile(path)
