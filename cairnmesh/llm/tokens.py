@@ -32,7 +32,7 @@ from .text import blocks
 
 LIMIT = 512
 #: Merged pre-tokens or chunks in the newer of the two tables that a worker keeps.
-ROOM = 250_000
+ROOM = 320_000
 #: Characters (of ASCII, Latin, Cyrillic, punctuation and Han blocks) whose class never changed between Unicode versions.
 KNOWN = "\t\n\r\x20-\x7e\xa0-ɏЀ-ӿ‐-‧一-龥"
 #: Texts are worked on in parts of about so many characters.
@@ -199,6 +199,7 @@ class Chunks(dict):
         self.tokenizer = library(path)
         self.older: dict[bytes, bytes] = {}
         self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.raw: set[bytes] = set()  # chunks to come that keep their case
 
     def _has_special(self, low: bytes) -> bool:
         return any(s in low for s in self.special)
@@ -207,7 +208,9 @@ class Chunks(dict):
         low = text.lower()
         if not self._has_special(low):
             return low.split()
-        return [c if self._has_special(c.lower()) else c.lower() for c in text.split()]
+        chunks = [c if self._has_special(c.lower()) else c.lower() for c in text.split()]
+        self.raw.update(c for c in chunks if self._has_special(c.lower()))
+        return chunks
 
     def learn(self, chunks: set[bytes]) -> None:
         import numpy as np
@@ -221,11 +224,12 @@ class Chunks(dict):
             known = [c for c in new if c in older]
             self.update(zip(known, map(older.__getitem__, known), strict=True))
             new.difference_update(known)
+        for c in self.raw & new:
+            self[c] = np.array(ids_of(self.tokenizer, [c.decode("utf-8", "replace")])[0], "<u4").tobytes()
+        new -= self.raw
+        self.raw = set()
         plain, marked = set(), []
         for c in new:
-            if self._has_special(c.lower()):
-                self[c] = np.array(ids_of(self.tokenizer, [c.decode("utf-8", "replace")])[0], "<u4").tobytes()
-                continue
             core = c.rstrip(self.MARKS)
             if len(core) < len(c) and self.BEFORE.search(core):
                 marked.append((c, core, c[len(core) :]))
