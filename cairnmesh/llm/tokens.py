@@ -32,7 +32,7 @@ from .text import blocks
 
 LIMIT = 512
 #: Merged pre-tokens or chunks in the newer of the two tables that a worker keeps.
-ROOM = 320_000
+ROOM = 400_000
 #: Characters (of ASCII, Latin, Cyrillic, punctuation and Han blocks) whose class never changed between Unicode versions.
 KNOWN = "\t\n\r\x20-\x7e\xa0-ɏЀ-ӿ‐-‧一-龥"
 #: Texts are worked on in parts of about so many characters.
