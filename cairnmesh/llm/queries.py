@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, media, toxic, urlmodel, winnow
+from . import chat, importance, jaccard, licenses, media, repair, toxic, urlmodel, winnow
 from .brown import score_documents
 from .packing import pack
 from .quality import quality
@@ -67,6 +67,18 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return winnow.hits(spark, documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op11_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(spark, documents(spark, sf_dir))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(spark, documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(spark, repair.damage(documents(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_media_columns": op2_media_columns,
@@ -78,6 +90,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_url_filters": op9_url_filters,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_license_scans": op11_license_scans,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_structure_repair": op13_structure_repair,
 }
 
-ORACLES: dict[str, str] = {"op5_ngram_jaccard_join": jaccard.ORACLE, "op9_url_filters": urlmodel.ORACLE, "op10_benchmark_decontamination": winnow.ORACLE}
+ORACLES: dict[str, str] = {
+    "op5_ngram_jaccard_join": jaccard.ORACLE,
+    "op9_url_filters": urlmodel.ORACLE,
+    "op10_benchmark_decontamination": winnow.ORACLE,
+    "op11_license_scans": licenses.ORACLE,
+    "op12_importance_resampling": importance.ORACLE,
+    "op13_structure_repair": repair.ORACLE,
+}
