@@ -142,14 +142,20 @@ d0 as materialized (select row as sr, col as sc, row as tr, col as tc, 0.0::doub
 {_RELAXED}, far as (select * from d{ROUNDS})"""
 LCP_DISTANCE = f"with {LCP} select sr as row, sc as col, count(*) as reached, round(sum(d), 6) as distance_sum from far group by 1, 2"
 SENSITIVITY_LCP_QUALITY = f"with {LCP} select sr as row, sc as col, round(2 * sum(exp(-d * 0.2::double) * q), 6) as sensitivity from far join q on q.row = tr and q.col = tc group by 1, 2"
-#: Each path is walked back from its end by the step that reached each cell most cheaply.
-SENSITIVITY_LCP_PERMEABILITY = f"""with recursive {LCP}, last_step as materialized (select sr, sc, vr, vc, arg_min({{{{'r': ur, 'c': uc, 'g': 2 * len / (pp * pp)}}}}, d + len * 2 / pp) as u from far join steps on ur = tr and uc = tc
-  where abs(vr - sr) <= 3 and abs(vc - sc) <= 3 and not (vr = sr and vc = sc) group by all),
+#: Steps on shortest paths (within 1e-9), how many paths lead to each cell, and each pair's weight walked back over all of them by their share of the paths.
+SENSITIVITY_LCP_PERMEABILITY = f"""with recursive {LCP},
+arcs as materialized (select f.sr, f.sc, ur, uc, vr, vc, 2 * len / (pp * pp) as g from far f join steps on ur = f.tr and uc = f.tc
+  join far e on e.sr = f.sr and e.sc = f.sc and e.tr = vr and e.tc = vc where abs(f.d + len * 2 / pp - e.d) < 1e-9),
+ways as (select sr, sc, tr as vr, tc as vc from far where d = 0
+  union all select k.sr, k.sc, a.vr, a.vc from ways k join arcs a on a.sr = k.sr and a.sc = k.sc and a.ur = k.vr and a.uc = k.vc),
+paths as materialized (select sr, sc, vr, vc, count(*) as n from ways group by all),
+shares as materialized (select a.*, p.n / e.n as share from arcs a join paths p on p.sr = a.sr and p.sc = a.sc and p.vr = a.ur and p.vc = a.uc
+  join paths e on e.sr = a.sr and e.sc = a.sc and e.vr = a.vr and e.vc = a.vc),
 pairs as (select sr, sc, tr, tc, a.q * b.q * exp(-d * 0.2::double) * 0.2::double as w from far join q a on a.row = sr and a.col = sc join q b on b.row = tr and b.col = tc where d > 0),
 walk as (select sr, sc, tr as vr, tc as vc, w, 0.0::double as g, null::int as pr, null::int as pc from pairs
-  union all select k.sr, k.sc, u.r, u.c, w, w * u.g, k.vr, k.vc from walk k join last_step l on l.sr = k.sr and l.sc = k.sc and l.vr = k.vr and l.vc = k.vc),
+  union all select k.sr, k.sc, l.ur, l.uc, w * share, w * share * l.g, k.vr, k.vc from walk k join shares l on l.sr = k.sr and l.sc = k.sc and l.vr = k.vr and l.vc = k.vc),
 ends as (select vr as row, vc as col, g from walk where pr is not null union all select pr, pc, g from walk where pr is not null)
-select q.row, q.col, round(coalesce(sum(g), 0), 6) as sensitivity from q left join ends using (row, col) group by 1, 2""".replace("{{", "{").replace("}}", "}")
+select q.row, q.col, round(coalesce(sum(g), 0), 6) as sensitivity from q left join ends using (row, col) group by 1, 2"""
 
 ELASTICITY_PRODUCT = f"with {_PLUS} select habitat, grp, row, col, round(2 * std_suitability * mean_suitability, 6) as elasticity from means semi join border using (row, col)"
 SUMMED = f"""{MEANS}, summed as (select habitat, grp, row, col, case when grp in ('ECONOMY', 'PROMO') then mean_suitability
