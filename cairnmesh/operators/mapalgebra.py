@@ -161,7 +161,7 @@ def _fill_row(keys: list[str], values: list[str]):
         pdf = pdf.sort_values("col")
         out = pdf[[*keys, "row", "col", *values]].copy()
         have = np.flatnonzero(pdf["__at"].notna().to_numpy())
-        holes = np.flatnonzero(pdf[values[0]].isna().to_numpy())
+        holes = np.flatnonzero(pdf[values[0]].isna().to_numpy() & (pdf["__only"].to_numpy(bool) if "__only" in pdf else True))
         if not len(have) or not len(holes):
             return out
         col, at = pdf["col"].to_numpy(float), pdf["__at"].to_numpy()
@@ -181,10 +181,11 @@ def _fill_row(keys: list[str], values: list[str]):
     return run
 
 
-def fill_nearest(df: DataFrame, keys: Sequence[str] = (), values: str | Sequence[str] = "value") -> DataFrame:
+def fill_nearest(df: DataFrame, keys: Sequence[str] = (), values: str | Sequence[str] = "value", only: Column | None = None) -> DataFrame:
     """Missing cells take the value of the nearest cell that has one (ties: smallest row, then column).
 
-    Several bands with the same holes (those of the first) are filled at once.
+    Several bands with the same holes (those of the first) are filled at once;
+    where `only` is given, no other cells than those for which it holds.
     The distance transform in its two passes: down the columns every cell finds
     the nearest value above and below (two windows), then each row takes, for
     its missing cells, the lowest of the columns' parabolas, in one pass along
@@ -196,10 +197,11 @@ def fill_nearest(df: DataFrame, keys: Sequence[str] = (), values: str | Sequence
     column = Window.partitionBy(*keys, "col")
     above = F.last(known, ignorenulls=True).over(column.orderBy("row").rowsBetween(Window.unboundedPreceding, 0))
     below = F.last(known, ignorenulls=True).over(column.orderBy(F.desc("row")).rowsBetween(Window.unboundedPreceding, 0))
-    found = df.select(*keys, "row", "col", *values).withColumn("__a", above).withColumn("__b", below)
+    some = [] if only is None else [F.coalesce(only, F.lit(False)).alias("__only")]
+    found = df.select(*keys, "row", "col", *values, *some).withColumn("__a", above).withColumn("__b", below)
     up = F.col("__b").isNull() | (F.col("row") - F.col("__a.at") <= F.col("__b.at") - F.col("row"))
     best = F.when(F.col("__a").isNotNull() & up, F.col("__a")).otherwise(F.col("__b"))
-    found = found.select(*keys, "row", "col", *values, best["at"].cast("double").alias("__at"), *[best[f"v{n}"].alias(f"__v{n}") for n in range(len(values))])
+    found = found.select(*keys, "row", "col", *values, *(["__only"] if some else []), best["at"].cast("double").alias("__at"), *[best[f"v{n}"].alias(f"__v{n}") for n in range(len(values))])
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys, "row", "col", *values).schema.fields)
     return found.groupBy(*keys, "row").applyInPandas(_fill_row(list(keys), values), schema)
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, DISPLAY_NAMES, FRAME, GROUPS, LEAST_COST, Grid
 from ..functions.columns import NUDGE, quality_floor, r6
-from ..operators import connectivity, mapalgebra, spatial, traits
-from ..sources import adapters
-from ..sources.tables import cut
+from ..operators import connectivity, mapalgebra, regrid, spatial, traits
+from ..sources import adapters, tiles
+from ..sources.tables import cut, scratch
 from . import oracle as sql
 from . import pipelines
 
@@ -253,6 +253,71 @@ def fill_nearest(spark, d):
     return mapalgebra.fill_nearest(_clipped(spark, d), KEYS).select(*KEYS, "row", "col", r6("value").alias("value"))
 
 
+def _placed(spark, d) -> Grid:
+    """The dense raster's grid in the Swiss system, north-west corner at its origin."""
+    g = _dense_grid(spark, d)
+    return Grid(g.height, g.width, 25.0, sql.EAST, sql.NORTH, crs="EPSG:2056")
+
+
+def _on(df, grid: Grid) -> DataFrame:
+    xy = mapalgebra.with_xy(df, grid)
+    return xy.select("x", "y", r6("value").alias("value"))
+
+
+@query(sql.REPROJECT)
+def reproject_nearest(spark, d):
+    source = _placed(spark, d)
+    target = regrid.projected_grid(source, "EPSG:3857", sql.MERCATOR_CELL)
+    return _on(regrid.regrid(adapters.dense(spark, d), source, target), target)
+
+
+@query(sql.GRID_MATCH.format(r=sql.FINE, x0=7.5, y0=-3.5))
+def grid_match_fine(spark, d):
+    source = _placed(spark, d)
+    target = Grid(int(source.height * 25 / sql.FINE), int(source.width * 25 / sql.FINE), sql.FINE, sql.EAST + 7.5, sql.NORTH - 3.5)
+    return _on(regrid.regrid(adapters.dense(spark, d), source, target), target)
+
+
+@query(sql.GRID_MATCH.format(r=sql.COARSE, x0=-100.0, y0=130.0))
+def grid_match_coarse(spark, d):
+    source = _placed(spark, d)
+    target = Grid(int(source.height * 25 / sql.COARSE), int(source.width * 25 / sql.COARSE), sql.COARSE, sql.EAST - 100.0, sql.NORTH + 130.0)
+    return _on(regrid.regrid(adapters.dense(spark, d), source, target), target)
+
+
+@query(sql.GRID_BILINEAR)
+def grid_match_bilinear(spark, d):
+    source = _placed(spark, d)
+    target = Grid(int(source.height * 25 / sql.COARSE), int(source.width * 25 / sql.COARSE), sql.COARSE, sql.EAST + 5.0, sql.NORTH - 5.0)
+    return _on(regrid.regrid(adapters.dense(spark, d), source, target, method="bilinear"), target)
+
+
+@query(sql.LABEL_MATCH)
+def label_match(spark, d):
+    """The dense raster at the nearest labels of two irregular axes (balances of suppliers)."""
+    balance = adapters.table(spark, d, "supplier").select("s_acctbal")
+    x, y = (balance.select((F.abs(F.col("s_acctbal")) % m).alias("label")).distinct() for m in (64, 150))
+    raster = adapters.dense(spark, d).select(F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), "value")
+    return regrid.match_labels(raster, x, y).select(r6("x").alias("x"), r6("y").alias("y"), r6("value").alias("value"))
+
+
+@query(sql.TILED_BOX)
+def tiled_box(spark, d):
+    """The dense raster as 16-bit tiles in two bands (value, its square), and a box of it read back: only tiles that meet the box are read."""
+    path = scratch(spark, "dense")
+    bands = adapters.dense(spark, d).select("row", "col", F.col("value").alias("v"), (F.col("value") * F.col("value")).alias("square"))
+    tiles.write_tiles(bands, path, _placed(spark, d), ["v", "square"], tile=16, block=64, kind="i4", scale=0.0001, nodata=-2147483648)
+    return tiles.read_tiles(spark, path, box=(10, 75, 5, 40)).select("row", "col", "x", "y", F.round("v", 4).alias("v"), F.round("square", 4).alias("square"))
+
+
+@query(sql.DENSE_ALL)
+def tiled_round_trip(spark, d):
+    """The whole dense raster through 32-bit tiles."""
+    path = scratch(spark, "dense")
+    tiles.write_tiles(adapters.dense(spark, d), path, _placed(spark, d), ["value"], tile=32, block=128)
+    return tiles.read_tiles(spark, path).select("row", "col", F.round("value", 5).alias("value"))
+
+
 # --- vector masks ----------------------------------------------------------------------------------
 
 
@@ -442,14 +507,29 @@ def combined_mean(spark, d):
     return pipelines.combined(pipelines.importance(_summed(spark, d), "mean"), "mean").select("row", "col", r6("value").alias("value"))
 
 
-def _suitability(spark, d) -> DataFrame:
+def _suitability(spark, d) -> tuple[DataFrame, DataFrame]:
     masks = mask_aquatic(spark, d).withColumn("habitat", F.lit("aquatic")).unionByName(mask_terrestrial(spark, d).withColumn("habitat", F.lit("terrestrial")))
-    return pipelines.group_suitability(adapters.suitability_pixels(spark, d), traits.dispersal_stats(adapters.species(spark, d)), masks, _edges(spark, "country"))
+    return pipelines.suitability_job(adapters.named_species(spark, d), adapters.named_files(spark, d).select("file"), adapters.file_pixels(spark, d), masks, _edges(spark, "country"))
 
 
 @query(sql.GROUP_SUITABILITY)
 def group_suitability(spark, d):
-    return _suitability(spark, d).select(*KEYS, "row", "col", r6("mean_suitability").alias("mean_suitability"), r6("std_suitability").alias("std_suitability"))
+    return _suitability(spark, d)[0].select(*KEYS, "row", "col", r6("mean_suitability").alias("mean_suitability"), r6("std_suitability").alias("std_suitability"))
+
+
+@query(sql.SUITABILITY_METADATA)
+def suitability_metadata(spark, d):
+    available = pipelines.available_species(adapters.named_species(spark, d), adapters.named_files(spark, d).select("file"))
+    m = pipelines.suitability_metadata(available)
+    return m.select(*KEYS, r6("d_m").alias("d_m"), r6("d_m_std").alias("d_m_std"), "n_species", F.concat_ws("|", "species").alias("species"))
+
+
+@query(sql.SUITABILITY_TILES)
+def suitability_tiles(spark, d):
+    """The job's rasters written as tiled 32-bit files with their metadata, and read back."""
+    path = scratch(spark, "suitability")
+    pipelines.write_suitability(*_suitability(spark, d), path, tile=16, block=64)
+    return pipelines.read_suitability(spark, path).select(*KEYS, "row", "col", F.round("mean_suitability", 5).alias("mean_suitability"))
 
 
 @query(sql.GROUP_ELASTICITY)
@@ -467,8 +547,9 @@ def group_elasticity(spark, d):
 
 def _elasticity(spark, d) -> DataFrame:
     """Elasticities of all groups' suitability rasters, with every sensitivity that their distance has."""
-    suitability = cut(_suitability(spark, d).select(*KEYS, "row", "col", F.col("mean_suitability").alias("value")))
-    return pipelines.group_elasticity(suitability, traits.dispersal_stats(adapters.species(spark, d)), adapters.group_distance(spark, d), _border(spark))
+    suitability, metadata = _suitability(spark, d)
+    suitability = cut(suitability.select(*KEYS, "row", "col", F.col("mean_suitability").alias("value")))
+    return pipelines.group_elasticity(suitability, metadata, adapters.group_distance(spark, d), _border(spark))
 
 
 @whole("group_elasticity")

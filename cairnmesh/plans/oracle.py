@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from ..functions.projections import BESSEL, SWISS_LON, WGS84, SwissOblique
 from ..sources import adapters
 
 SPECIES = """species as (select p_partkey as species_id, concat(p_name, ' ', cast(p_partkey as varchar)) as species, p_type as grp,
@@ -111,6 +114,39 @@ FILLED = f"""filled_cells as (select h.habitat, h.grp, h.row, h.col, coalesce(h.
   from clipped h join clipped k on k.habitat = h.habitat and k.grp = h.grp and k.value is not null group by h.habitat, h.grp, h.row, h.col, h.value)"""
 FILL_NEAREST = f"with {CLIPPED}, {FILLED} select habitat, grp, row, col, round(value, 6) as value from filled_cells"
 
+#: Where the dense raster lies in the Swiss system, cells of the target grids, and where its corner lies on Mercator's map, about.
+EAST, NORTH = 2_600_000.0, 1_200_000.0
+MERCATOR_CELL, FINE, COARSE = 40.0, 10.0, 60.0
+_X, _Y = 828_064.0, 5_934_090.0
+_S = SwissOblique(EAST, NORTH)
+#: The inverse map of every cell of a wide box: sphere, WGS 84 in space, the Bessel ellipsoid, its sphere, the oblique cylinder.
+REPROJECT = f"""with {DENSE}, {SIZE}, box as (select (i + floor({_X} / 40.0) - 100 + 0.5) * 40.0 as x, (j + floor({_Y} / 40.0) + 100 - floor(h * 25 * 1.6 / 40) - 200 + 0.5) * 40.0 as y
+  from size, range(400) a(i), lateral (select unnest(range(cast(floor(h * 25 * 1.6 / 40) + 200 as bigint))) as j)),
+globe as (select x::double as x, y::double as y, x::double / 6378137.0 as lon, 2 * (atan(exp(y::double / 6378137.0)) - pi() / 4) as lat from box),
+normal as (select *, 6378137.0 / sqrt(1 - {WGS84.e2!r} * sin(lat) * sin(lat)) as n from globe),
+space as (select x, y, n * cos(lat) * cos(lon) - 674.374 as gx, n * cos(lat) * sin(lon) - 15.056 as gy, n * (1 - {WGS84.e2!r}) * sin(lat) - 405.346 as gz from normal),
+angle as (select *, sqrt(gx * gx + gy * gy) as p, {BESSEL.a * math.sqrt(1 - BESSEL.e2)!r} as b from space), tilt as (select *, atan2(gz * {BESSEL.a!r}, p * b) as th from angle),
+bessel as (select x, y, atan2(gy, gx) as lon, atan2(gz + {BESSEL.e2 / (1 - BESSEL.e2)!r} * b * power(sin(th), 3), p - {BESSEL.e2 * BESSEL.a!r} * power(cos(th), 3)) as lat from tilt),
+sphere as (select x, y, {_S.alpha!r} * (lon - {SWISS_LON!r}) as l, 2 * (atan(exp({_S.alpha!r} * ln(tan(pi() / 4 + lat / 2)) - {_S.alpha * _S.e / 2!r} * ln((1 + {_S.e!r} * sin(lat)) / (1 - {_S.e!r} * sin(lat))) + {_S.k!r})) - pi() / 4) as bb from bessel),
+turned as (select x, y, atan2(sin(l), sin({_S.b0!r}) * tan(bb) + cos({_S.b0!r}) * cos(l)) as lt, asin(cos({_S.b0!r}) * sin(bb) - sin({_S.b0!r}) * cos(bb) * cos(l)) as bt from sphere),
+cell as (select x, y, cast(floor(-{_S.radius!r} / 2 * ln((1 + sin(bt)) / (1 - sin(bt))) / 25) as int) as row, cast(floor({_S.radius!r} * lt / 25) as int) as col from turned)
+select x, y, round(value, 6) as value from cell join dense using (row, col)"""
+GRID_MATCH = f"""with {DENSE}, {SIZE}, aim as (select {EAST} + {{x0}}::double + (c + 0.5) * {{r}}::double as x, {NORTH} + {{y0}}::double - (r + 0.5) * {{r}}::double as y
+  from size, lateral (select unnest(range(cast(floor(h * 25 / {{r}}) as bigint))) as r), range(cast(floor(64 * 25 / {{r}}) as bigint)) b(c))
+select x, y, round(value, 6) as value from aim join dense on row = cast(floor(({NORTH} - y) / 25) as int) and col = cast(floor((x - {EAST}) / 25) as int)"""
+GRID_BILINEAR = f"""with {DENSE}, {SIZE}, aim as (select {EAST} + 5 + (c + 0.5) * {COARSE}::double as x, {NORTH} - 5 - (r + 0.5) * {COARSE}::double as y
+  from size, lateral (select unnest(range(cast(floor(h * 25 / {COARSE}) as bigint))) as r), range(cast(floor(64 * 25 / {COARSE}) as bigint)) b(c)),
+placed as (select x, y, ({NORTH} - y) / 25 - 0.5 as u, (x - {EAST}) / 25 - 0.5 as v from aim, size where {NORTH} - y < h * 25 and x - {EAST} < 1600)
+select x, y, round(sum(value * (1 - abs(row - u)) * (1 - abs(col - v))) / sum((1 - abs(row - u)) * (1 - abs(col - v))), 6) as value
+from placed join dense on abs(row - u) < 1 and abs(col - v) < 1 group by x, y"""
+LABEL_MATCH = f"""with {DENSE}, xs as (select distinct abs(s_acctbal) % 64 as x from supplier), ys as (select distinct abs(s_acctbal) % 150 as y from supplier),
+rows as (select distinct row from dense), cols as (select distinct col from dense),
+nx as (select x, arg_min(col, (abs(col - x), col)) as col from xs, cols where x between (select min(col) from cols) and (select max(col) from cols) group by x),
+ny as (select y, arg_min(row, (abs(row - y), row)) as row from ys, rows where y between (select min(row) from rows) and (select max(row) from rows) group by y)
+select round(x, 6) as x, round(y, 6) as y, round(value, 6) as value from nx, ny join dense using (row) where dense.col = nx.col"""
+TILED_BOX = f"""with {DENSE} select row, col, {EAST} + (col + 0.5) * 25.0::double as x, {NORTH} - (row + 0.5) * 25.0::double as y, round(value, 4) as v, round(value * value, 4) as square from dense where row between 10 and 74 and col between 5 and 39"""
+DENSE_ALL = f"with {DENSE} select row, col, round(cast(cast(value as float) as double), 5) as value from dense"
+
 BORDER_FILTER = f"with {EDGES} select cast(geom_id as int) as geom_id, x1, y1, x2, y2 from edges where layer = 'country'"
 CANTON_FILTER = f"with {POINTS} select 'A' as name, row, col from border where (col + 0.5) * 25 < {adapters.CANTON_SPLIT}"
 TOTAL_BOUNDS = f"with {POINTS} select minx, miny, maxx, maxy from lake_box"
@@ -178,8 +214,16 @@ entered as (select row, col, 0 as d2 from (select *, least((px - 12.5 - x1) / (x
   least((py - 12.5 - y1) / (y2 - y1), (py + 12.5 - y1) / (y2 - y1)) as ay, greatest((py - 12.5 - y1) / (y2 - y1), (py + 12.5 - y1) / (y2 - y1)) as b_y from wide, edges where layer = 'country')
   where greatest(0, ax, ay) <= least(1, bx, b_y)),
 near as (select row, col, min(d2) as d2 from (select row, col, d2 from to_corner union all select * from to_end union all select * from entered union all select row, col, 0 from outer_inside) group by all)"""
-GROUP_SUITABILITY = f"""with {_PLUS}, {NEAR}, masks as (select 'aquatic' as habitat, row, col from aquatic union all select 'terrestrial', row, col from terrestrial),
-reach as (select habitat, grp, median(dispersal_km) * 1000 * 3.0::double as reach from species semi join means using (habitat, grp) group by all),
+#: Species with exactly one file (files: parts that reach 100 % somewhere), in the habitat and with the dispersal of their name's first row.
+JOB = f"""{OBS}, named as (select p_partkey as id, concat(p_name, ' ', p_brand) as species, p_type as grp, case when p_size <= 25 then 'aquatic' else 'terrestrial' end as habitat, cast(p_size as double) / 100 as dispersal_km from part),
+firsts as (select species, habitat, dispersal_km from named qualify row_number() over (partition by species order by id) = 1),
+files as (select id, concat('p', id, '_', replace(species, ' ', '.'), '_reg_covariate_ensemble.tif') as file from named where id in (select species_id from obs where pct >= 100)),
+counted as (select species, min(id) as id from firsts join files on ends_with(file, concat(replace(species, ' ', '.'), '_reg_covariate_ensemble.tif')) group by species having count(*) = 1),
+job as (select distinct n.grp, f.habitat, species, f.dispersal_km, c.id from named n join firsts f using (species) join counted c using (species)),
+means as (select habitat, grp, row, col, avg(pct / 100) as mean_suitability, sqrt(greatest(avg(pct / 100 * pct / 100) - avg(pct / 100) * avg(pct / 100), 0)) as std_suitability from obs join job on id = species_id group by all)"""
+SUITABILITY_METADATA = f"""with {JOB} select habitat, grp, round(median(dispersal_km) * 1000, 6) as d_m, round(stddev_samp(dispersal_km) * 1000, 6) as d_m_std, count(*) as n_species, string_agg(species, '|' order by species) as species from job group by habitat, grp"""
+_JOB_CELLS = f"""with {JOB}, {POINTS}, {NEAR}, masks as (select 'aquatic' as habitat, row, col from aquatic union all select 'terrestrial', row, col from terrestrial),
+reach as (select habitat, grp, median(dispersal_km) * 1000 * 3.0::double as reach from job group by all),
 bounds as (select min(least(x1, x2)) as minx, min(least(y1, y2)) as miny, max(greatest(x1, x2)) as maxx, max(greatest(y1, y2)) as maxy from edges where layer = 'country'),
 rect as (select habitat, grp, reach, least(0, floor((800.0::double - maxy - reach) / 25)) as top, greatest(32, ceil((800.0::double - miny + reach) / 25)) as bottom,
   least(0, floor((minx - reach) / 25)) as west, greatest(32, ceil((maxx + reach) / 25)) as east from reach, bounds),
@@ -187,8 +231,10 @@ padded as (select r.habitat, r.grp, w.row, w.col, mean_suitability as m, std_sui
   join near n on n.row = w.row and n.col = w.col and d2 <= reach * reach left join means k on k.habitat = r.habitat and k.grp = r.grp and k.row = w.row and k.col = w.col),
 hole as (select p.* from padded p join masks using (habitat, row, col) where m is null),
 filled_hole as (select habitat, grp, row, col, arg_min(mean_suitability, key) as m, arg_min(std_suitability, key) as s
-  from (select h.habitat, h.grp, h.row, h.col, k.mean_suitability, k.std_suitability, power(k.row - h.row, 2) * 1000000 + power(k.col - h.col, 2) * 1000000 + k.row * 1000 + k.col as key from hole h join means k on k.habitat = h.habitat and k.grp = h.grp) group by habitat, grp, row, col)
-select p.habitat, p.grp, p.row, p.col, round(coalesce(p.m, f.m), 6) as mean_suitability, round(coalesce(p.s, f.s), 6) as std_suitability from padded p left join filled_hole f using (habitat, grp, row, col)"""
+  from (select h.habitat, h.grp, h.row, h.col, k.mean_suitability, k.std_suitability, power(k.row - h.row, 2) * 1000000 + power(k.col - h.col, 2) * 1000000 + k.row * 1000 + k.col as key from hole h join means k on k.habitat = h.habitat and k.grp = h.grp) group by habitat, grp, row, col),
+cells as (select p.habitat, p.grp, p.row, p.col, coalesce(p.m, f.m) as m, coalesce(p.s, f.s) as s from padded p left join filled_hole f using (habitat, grp, row, col))"""
+GROUP_SUITABILITY = f"{_JOB_CELLS} select habitat, grp, row, col, round(m, 6) as mean_suitability, round(s, 6) as std_suitability from cells"
+SUITABILITY_TILES = f"{_JOB_CELLS} select habitat, grp, row, col, round(cast(cast(m as float) as double), 5) as mean_suitability from cells where m is not null"
 GROUP_ELASTICITY = f"""with {_PLUS}, stats as (select habitat, grp, median(dispersal_km) * 1000 as d_m from species where grp in ('ECONOMY', 'PROMO') group by all),
 p as (select habitat, grp, d_m, greatest(25.0::double, d_m * 0.2::double) as res from stats), params as (select *, cast(ceil(res / 25) as int) as f, cast(ceil(3.0::double * d_m / res) as int) as radius from p),
 whole as (select k.habitat, k.grp, fr.row, fr.col, m.mean_suitability as v, k.f from params k cross join frame fr left join means m on m.habitat = k.habitat and m.grp = k.grp and m.row = fr.row and m.col = fr.col),

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, EUCLIDEAN, FRAME, Config, Grid
+from ..config import DEFAULT, EUCLIDEAN, FRAME, HABITATS, Config, Grid
 from ..functions.columns import log_shift, quality_floor
-from ..operators import connectivity, mapalgebra, spatial, traits
-from ..sources import rasters
+from ..operators import connectivity, mapalgebra, regrid, spatial, traits
+from ..sources import rasters, tiles
 from ..sources.tables import cut
 
 KEYS = ("habitat", "grp")
@@ -27,42 +27,115 @@ def require_species(species: DataFrame, available: DataFrame, groups: Sequence[s
             raise LookupError(f"no rasters of group {g}")
 
 
-def group_suitability(pixels: DataFrame, stats: DataFrame, masks: DataFrame, border: DataFrame | None = None, grid: Grid = FRAME, config: Config = DEFAULT) -> DataFrame:
-    """(habitat, grp, row, col, mean_suitability, std_suitability) of every group and habitat.
+def available_species(species: DataFrame, files: DataFrame) -> DataFrame:
+    """(habitat, grp, species, dispersal_km, file) of each group's species that have exactly one file; habitat and dispersal are those of the species' first row."""
+    first = traits.first_rows(species).select("species", "habitat", "dispersal_km").where(F.col("habitat").isin(*HABITATS))
+    named = species.select("grp", "species").distinct().join(first, "species")
+    matched = traits.match_files(first.select(F.col("species").alias("species_id"), "species"), files)
+    return named.join(traits.available(matched).select("species", "file"), "species").select(*KEYS, "species", "dispersal_km", "file")
+
+
+def suitability_metadata(available: DataFrame) -> DataFrame:
+    """(habitat, grp, d_m, d_m_std, n_species, species) of the species that go into each raster."""
+    return traits.dispersal_stats(available).join(traits.species_list(available), list(KEYS)).select(*KEYS, "d_m", "d_m_std", "n_species", "species")
+
+
+def guarded_cells(pixels: DataFrame, available: DataFrame) -> DataFrame:
+    """Mean, deviation and count of each group's cells from percents (file, row, col, pct), written to the shared folder in the one pass over the pixels.
+
+    The pass also observes which rasters have a value above 1 and one below 100
+    (two sets of names): an available raster that is missing in either, or has
+    no pixel, stops the job by name before anything is made of the cells.
+    """
+    seen = Observation("rasters")
+    named = lambda when: F.collect_set(F.when(when, F.col("file")))
+    used = pixels.join(available.select(*KEYS, "file"), "file")
+    used = used.observe(seen, named(F.col("pct") > 1).alias("above"), named(F.col("pct") < 100).alias("below"))
+    cells = cut(mapalgebra.cell_stats(used.withColumn("value", F.col("pct") / 100), KEYS))
+    got = seen.get
+    fine = set(got["above"]) & set(got["below"])
+    wrong = sorted(r[0] for r in available.select("file").distinct().collect() if r[0] not in fine)  # a name a raster
+    if wrong:
+        raise ValueError(f"raster values are not percents: {', '.join(wrong[:10])}")
+    return cells
+
+
+def group_suitability(cells: DataFrame, stats: DataFrame, masks: DataFrame, border: DataFrame | None = None, grid: Grid = FRAME, config: Config = DEFAULT) -> DataFrame:
+    """(habitat, grp, row, col, mean_suitability, std_suitability) of every group and habitat of stats, from their cells' mean and deviation.
 
     Rasters are padded to the border's bounds and `reach` dispersal distances
     more, holes inside the habitat's mask (habitat, row, col) are filled from
     the nearest cell, and cells that the border widened by that distance doesn't
-    touch go. stats has each group's and habitat's d_m; without a border rasters
+    touch go. stats has a row with d_m for each raster; without a border rasters
     stay on the grid. All groups go through one plan; nothing loops over them.
+    Only the rectangle of grid and cells is filled: the padding has no holes that
+    a mask names.
     """
     bands = ["mean_suitability", "std_suitability"]
-    cells = mapalgebra.cell_stats(pixels, KEYS)
-    known = cells.select(*KEYS).distinct().join(stats.select(*KEYS, (F.col("d_m") * config.reach).alias("reach")), list(KEYS))
-    most = 0.0
-    if border is None:
-        rectangles = known.select("*", F.lit(0).alias("top"), F.lit(0).alias("left"), F.lit(grid.height).alias("height"), F.lit(grid.width).alias("width"))
-    else:
-        most = known.agg(F.max("reach")).first()[0] or 0.0
-        at = lambda origin, edge: (F.lit(origin) - F.col(edge)) if edge.endswith("y") else (F.col(edge) - F.lit(origin))
-        boxed = known.crossJoin(F.broadcast(spatial.total_bounds(border)))  # one row
-        side = lambda low, high, size: (
-            F.least(F.lit(0), F.floor((low - F.col("reach")) / grid.resolution)).cast("int"), F.greatest(F.lit(size), F.ceil((high + F.col("reach")) / grid.resolution)).cast("int")
-        )
-        top, bottom = side(at(grid.y0, "maxy"), at(grid.y0, "miny"), grid.height)
-        left, right = side(at(grid.x0, "minx"), at(grid.x0, "maxx"), grid.width)
-        rectangles = boxed.select(*KEYS, "reach", top.alias("top"), left.alias("left"), (bottom - top).alias("height"), (right - left).alias("width"))
-    full = mapalgebra.frames(rectangles, KEYS).join(cells, [*KEYS, "row", "col"], "left")
-    filled = mapalgebra.fill_nearest(full.select(*KEYS, "row", "col", *bands), KEYS, bands)
-    own = full.select(*KEYS, "row", "col", F.col("valid_count").isNotNull().alias("own"))
+    known = stats.select(*KEYS, (F.col("d_m") * config.reach).alias("reach"))
+    own = F.broadcast(mapalgebra.extents(cells, KEYS))  # one row a raster
+    low, high = lambda c: F.least(F.lit(0), c), lambda c, size: F.greatest(F.lit(size), c)
+    held = known.join(own, list(KEYS)).select(
+        *KEYS, low(F.col("top")).alias("top"), low(F.col("left")).alias("left"),
+        (high(F.col("top") + F.col("height"), grid.height) - low(F.col("top"))).alias("height"), (high(F.col("left") + F.col("width"), grid.width) - low(F.col("left"))).alias("width"),
+    )
     inside = masks.select("habitat", "row", "col").distinct().withColumn("inside", F.lit(True))
-    out = filled.join(own, [*KEYS, "row", "col"]).join(inside, ["habitat", "row", "col"], "left")
-    out = out.select(*KEYS, "row", "col", *[F.when(F.col("own") | F.col("inside"), F.col(b)).alias(b) for b in bands])
+    full = mapalgebra.frames(held, KEYS).join(cells.select(*KEYS, "row", "col", *bands), [*KEYS, "row", "col"], "left").join(inside, ["habitat", "row", "col"], "left")
+    filled = mapalgebra.fill_nearest(full, KEYS, bands, F.col("inside"))
     if border is None:
-        return out
-    near = spatial.distances(border, grid, most)
-    out = out.join(near, ["row", "col"]).join(F.broadcast(known), list(KEYS))  # one row a group and habitat
-    return out.where("d2 <= reach * reach").select(*KEYS, "row", "col", *bands)
+        return filled
+    most = known.agg(F.max("reach")).first()[0] or 0.0  # of the statistics, not of the pixels
+    at = lambda origin, edge: (F.lit(origin) - F.col(edge)) if edge.endswith("y") else (F.col(edge) - F.lit(origin))
+    boxed = known.crossJoin(F.broadcast(spatial.total_bounds(border)))  # one row
+    side = lambda low, high, size: (
+        F.least(F.lit(0), F.floor((low - F.col("reach")) / grid.resolution)).cast("int"), F.greatest(F.lit(size), F.ceil((high + F.col("reach")) / grid.resolution)).cast("int")
+    )
+    top, bottom = side(at(grid.y0, "maxy"), at(grid.y0, "miny"), grid.height)
+    left, right = side(at(grid.x0, "minx"), at(grid.x0, "maxx"), grid.width)
+    rectangles = boxed.select(*KEYS, "reach", top.alias("top"), left.alias("left"), (bottom - top).alias("height"), (right - left).alias("width"))
+    padded = mapalgebra.frames(rectangles, KEYS).join(spatial.distances(border, grid, most), ["row", "col"]).join(F.broadcast(known), list(KEYS))  # one row a raster
+    return padded.where("d2 <= reach * reach").select(*KEYS, "row", "col").join(filled, [*KEYS, "row", "col"], "left")
+
+
+def suitability_job(species: DataFrame, files: DataFrame, pixels: DataFrame, masks: DataFrame, border: DataFrame | None = None, grid: Grid = FRAME, config: Config = DEFAULT, jobs: Sequence[tuple[str, str]] | None = None, tags: DataFrame | None = None, source: Grid | None = None) -> tuple[DataFrame, DataFrame]:
+    """(suitability, metadata) from traits, file names and percents (file, row, col, pct).
+
+    Pixels of another grid, `source`, are reprojected or matched to the grid's
+    cells first, all rasters by one table.
+
+    A species counts if exactly one file bears its name, in the habitat and with
+    the dispersal of its first row; dispersal statistics are of these species.
+    Guards raise by name before any result is there: `jobs` (habitat, group)
+    without species or rasters, rasters that aren't percents or have no values,
+    and rasters whose `tags` (file, crs, resolution) aren't the grid's.
+    """
+    available = cut(available_species(species, files))
+    if jobs is not None:
+        for habitat in sorted({h for h, _ in jobs}):
+            require_species(species, available.where(F.col("habitat") == habitat), [g for h, g in jobs if h == habitat])
+        wanted = species.sparkSession.createDataFrame([tuple(j) for j in jobs], "habitat string, grp string")
+        available = available.join(F.broadcast(wanted), list(KEYS), "left_semi")  # a row a job
+    if tags is not None:
+        for r in tags.join(available, "file", "left_semi").groupBy("crs", "resolution").agg(F.min("file").alias("file")).collect():  # a row a kind of raster
+            try:
+                (source or grid).require(r.crs, r.resolution)
+            except ValueError as e:
+                raise ValueError(f"{r.file}: {e}") from None
+    metadata = cut(suitability_metadata(available))
+    pixels = pixels if source is None else regrid.regrid(pixels, source, grid, ("file",), ("pct",))
+    return group_suitability(guarded_cells(pixels, available), metadata, masks, border, grid, config), metadata
+
+
+def write_suitability(suitability: DataFrame, metadata: DataFrame, path: str, grid: Grid = FRAME, **options) -> None:
+    """Both bands of every raster as tiled 32-bit files, under the names habitat/group; the metadata goes into the manifest, committed with them."""
+    told = {f"{r.habitat}/{r.grp}": {"D_m": r.d_m, "D_m_std": r.d_m_std, "habitat": r.habitat, "group": r.grp, "species": list(r.species), "N_species": r.n_species} for r in metadata.collect()}  # a row a raster
+    tiles.write_tiles(suitability.where("mean_suitability is not null"), path, grid, ["mean_suitability", "std_suitability"], F.concat_ws("/", *KEYS), parameters=told, **options)
+
+
+def read_suitability(spark: SparkSession, path: str) -> DataFrame:
+    """(habitat, grp, row, col, mean_suitability, std_suitability) of written rasters."""
+    keys = [F.split("raster", "/")[n].alias(k) for n, k in enumerate(KEYS)]
+    return tiles.read_tiles(spark, path).select(*keys, "row", "col", "mean_suitability", "std_suitability")
 
 
 def prepared(suitability: DataFrame, stats: DataFrame, distances: DataFrame, grid: Grid = FRAME, config: Config = DEFAULT) -> DataFrame:
@@ -129,9 +202,13 @@ def combined(scores: DataFrame, how: str = "max") -> DataFrame:
     return mapalgebra.rescale(mapalgebra.combine(scores, how))
 
 
-def importance_scores(elasticity: DataFrame, how: str = "max", grid: Grid = FRAME, config: Config = DEFAULT) -> DataFrame:
-    """(habitat, row, col, value) from elasticities: each habitat's score on the grid's cells, and both combined under habitat aquatic_terrestrial."""
-    scores = cut(importance(cut(sum_sensitivities(elasticity)), how, config))
+def importance_scores(elasticity: DataFrame, how: str = "max", grid: Grid = FRAME, config: Config = DEFAULT, source: Grid | None = None) -> DataFrame:
+    """(habitat, row, col, value) from elasticities: each habitat's score on the grid's cells, and both combined under habitat aquatic_terrestrial.
+
+    Scores of another grid, `source`, are matched to the cells by nearest centre, in whatever system it is.
+    """
+    scores = importance(cut(sum_sensitivities(elasticity)), how, config)
+    scores = cut(scores if source is None else regrid.regrid(scores, source, grid, ("habitat",)))
     scores = scores.where(F.col("row").between(0, grid.height - 1) & F.col("col").between(0, grid.width - 1))
     both = combined(scores, how).select(F.lit("aquatic_terrestrial").alias("habitat"), "row", "col", "value")
     return scores.unionByName(both)

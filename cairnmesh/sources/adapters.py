@@ -59,6 +59,24 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select(F.concat(F.lit("reg_"), F.replace("species", F.lit(" "), F.lit(".")), F.lit("_reg_covariate_ensemble.tif")).alias("file"))
 
 
+def named_species(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trait rows in which names repeat with other groups, habitats and dispersal: parts of one name and brand."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("species_id"), F.concat_ws(" ", "p_name", "p_brand").alias("species"))
+    return p.join(species(spark, sf_dir).drop("species"), "species_id")
+
+
+def named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(species_id, file): parts that reach 100 % somewhere have a raster file, so a name has none, one or several."""
+    whole = observations(spark, sf_dir).where("pct >= 100").select("species_id").distinct()
+    file = F.concat(F.lit("p"), F.col("species_id").cast("string"), F.lit("_"), F.replace("species", F.lit(" "), F.lit(".")), F.lit("_reg_covariate_ensemble.tif"))
+    return named_species(spark, sf_dir).join(whole, "species_id", "left_semi").select("species_id", file.alias("file"))
+
+
+def file_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, row, col, pct) of all raster files."""
+    return observations(spark, sf_dir).join(named_files(spark, sf_dir), "species_id").select("file", "row", "col", "pct")
+
+
 #: Vector layers of the frame (metres): closed rings, and lines.
 POLYGONS = {
     "country": [[(60, 40), (740, 60), (770, 400), (700, 760), (120, 740), (30, 380)]],

@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import Grid
 from ..functions.columns import nans_to_null
-from ..operators.mapalgebra import narrowed, pivot_bands, resolution, unpivot_bands, with_xy
+from ..operators.mapalgebra import narrowed, pivot_bands, unpivot_bands
 
 TRAITS = T.StructType([
     T.StructField("species_id", T.LongType()), T.StructField("species", T.StringType()), T.StructField("Dispersal_km", T.DoubleType()),
@@ -72,14 +71,3 @@ def read_grids(spark: SparkSession, path: str, scale: float = 1.0, offset: float
     raw = F.expr("try_cast(text as double)")
     value = F.when(raw.isNotNull() & ~F.isnan(raw) & (raw != F.col("nodata")), raw * scale + offset)
     return cells.select("file", "row", "col", value.alias("value"), "xll", "yll", "cellsize")
-
-
-def cached(spark: SparkSession, path: str, grid: Grid, make) -> DataFrame:
-    """A written raster (row, col, x, y, ...) if it is there with the grid's resolution on both axes, else made, written and read back."""
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
-        found = spark.read.parquet(path)
-        if all(resolution(found, axis).first()[0] == grid.square() for axis in ("x", "y")):
-            return found
-    with_xy(make(), grid).write.option("compression", "zstd").mode("overwrite").parquet(path)
-    return spark.read.parquet(path)

@@ -348,9 +348,10 @@ def test_whole_group_elasticity(spark):
     kinds = {(r.grp, r.sens) for r in whole}
     assert kinds == {(g, "quality") for g in ("ECONOMY", "PROMO", "LARGE", "MEDIUM", "SMALL", "STANDARD")} | {(g, "permeability") for g in ("LARGE", "MEDIUM", "SMALL", "STANDARD")}
     pixels = {}
-    for r in catalog._suitability(spark, SMOKE).collect():
+    suitability, metadata = catalog._suitability(spark, SMOKE)
+    for r in suitability.collect():
         pixels.setdefault((r.habitat, r.grp), {})[r.row, r.col] = r.mean_suitability
-    stats = {(r.habitat, r.grp): r.d_m for r in traits.dispersal_stats(adapters.species(spark, SMOKE)).collect()}
+    stats = {(r.habitat, r.grp): r.d_m for r in metadata.collect()}
     border = {(r.row, r.col) for r in catalog._border(spark).collect()}
     size = lambda k: len(pixels[k]) / max(1, math.ceil(stats[k] * 0.2 / 25)) ** 2
     for key, straight in ((min((k for k in pixels if k[1] == "PROMO"), key=size), True), (min((k for k in pixels if k[1] == "SMALL"), key=size), False)):
@@ -449,22 +450,6 @@ def test_plain_text_grids(spark, tmp_path):
     assert {(r.file, r.xll, r.yll, r.cellsize) for r in got} == {("reg_a.asc", 100.0, 50.0, 25.0)}
 
 
-def test_cached_rasters_are_checked_by_their_axes(spark, tmp_path):
-    made = []
-
-    def make(n):
-        def f():
-            made.append(n)
-            return raster(spark, [[1.0] * n] * n)
-
-        return f
-
-    path = str(tmp_path / "c")
-    assert rasters.cached(spark, path, Grid(4, 4, 25.0), make(4)).count() == 16
-    assert rasters.cached(spark, path, Grid(4, 4, 25.0), make(4)).count() == 16 and made == [4]
-    assert rasters.cached(spark, path, Grid(2, 2, 50.0), make(2)).count() == 4 and made == [4, 2]
-
-
 def test_guards():
     with pytest.raises(ValueError, match="square"):
         Grid(2, 2, 25.0, resolution_y=30.0).square()
