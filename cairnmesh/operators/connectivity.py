@@ -11,12 +11,13 @@ share. Self-pairs count and the factor 2 is kept. k is exp(-d alpha / D), or any
 `Proximity`. These are choices of this engine.
 
 The raster is cut into tiles; a tile's task gets its cells and a halo of R.
-Distances are found for SOURCES cells at a time, each with its window of
-(2 R + 1) squared cells, by relaxing all windows at once until nothing improves,
-and what paths carry is added up backwards along the shortest-path graphs: the
-memory of a task doesn't depend on the tile. A tile of permeability adds to the
-cells around it, so tiles' sums are added by a shuffle of one row a cell and
-tile. Rows shuffled are cells times (1 + 2 R / tile) squared, not cells times
+Straight-line sums are one convolution by spectra. Least-cost distances are found
+for SOURCES cells at a time, each with its window of (2 R + 1) squared cells, by
+sweeps over all windows at once until nothing improves, and what paths carry is
+added up backwards along the shortest-path graphs in order of distance: the
+memory of a task doesn't depend on the tile. Any `Distance` can take their place.
+A tile of permeability adds to the cells around it, so tiles' sums are added by a
+shuffle of one row a cell and tile. Rows shuffled are cells times (1 + 2 R / tile) squared, not cells times
 (2 R + 1) squared.
 """
 
@@ -25,16 +26,17 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, LEAST_COST, Config, Grid
+from ..config import DEFAULT, EUCLIDEAN, LEAST_COST, SENSITIVITIES, Config, Grid
 from ..functions.columns import Kernel, proximity
 
-TILE = 64
+TILE = 32
 #: Cells whose windows are held at once.
 SOURCES = 128
 _STEPS = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
@@ -121,16 +123,6 @@ def _shift(a: np.ndarray, dr: int, dc: int, fill: float) -> np.ndarray:
     return out
 
 
-def euclid_sensitivity(q: np.ndarray, radius: int, dispersal: float, alpha: float, kernel: Proximity = EXPONENTIAL) -> np.ndarray:
-    """2 * sum of q_j k(d) over the window; NaN cells give nothing."""
-    q0 = np.nan_to_num(q)
-    total = np.zeros_like(q0)
-    for dr in range(-radius, radius + 1):
-        for dc in range(-radius, radius + 1):
-            total += kernel.at(np.array(math.hypot(dr, dc)), dispersal, alpha) * _shift(q0, dr, dc, 0.0)
-    return 2 * total
-
-
 def step_costs(p: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
     """Cost from each cell to its neighbour at (dr, dc); infinite where either is missing."""
     out = {}
@@ -140,12 +132,6 @@ def step_costs(p: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
     return out
 
 
-def _ends(n: tuple[int, int], width: int) -> tuple[tuple, tuple]:
-    """Places, in windows of this width, of the beginnings and the ends of all steps n that stay inside."""
-    spans = [(slice(max(0, -x), width - max(0, x)), slice(max(0, x), width - max(0, -x))) for x in n]
-    return (slice(None), spans[0][0], spans[1][0]), (slice(None), spans[0][1], spans[1][1])
-
-
 class Windows:
     """The windows around some cells of arrays with one shape; what lies beyond the arrays is missing."""
 
@@ -156,18 +142,6 @@ class Windows:
         padded = np.pad(a, self.radius, constant_values=fill)
         return np.lib.stride_tricks.sliding_window_view(padded, (self.width, self.width))[self.rows, self.cols]
 
-    def distances(self, costs: dict, here: np.ndarray) -> np.ndarray:
-        """Least cost from each window's centre to its cells, by any number of steps inside the window."""
-        d = np.full((len(self.rows), self.width, self.width), np.inf)
-        d[:, self.radius, self.radius] = np.where(here[self.rows, self.cols], 0.0, np.inf)
-        while True:
-            before = d.copy()
-            for n, c in costs.items():
-                u, v = _ends(n, self.width)
-                d[v] = np.minimum(d[v], d[u] + c[u])
-            if np.array_equal(before, d):
-                return d
-
     def add(self, total: np.ndarray, gains: np.ndarray) -> None:
         """Add each window's gains to the cells of total that it covers."""
         r = self.radius
@@ -177,6 +151,137 @@ class Windows:
         total += padded[r : r + total.shape[0], r : r + total.shape[1]]
 
 
+class Distance(Protocol):
+    """A distance from cells to those of their windows, on arrays: implement it to analyse landscapes with one of your own.
+
+    `moves`: it depends on permeability, so there is a sensitivity to it. A
+    distance that depends on the offset alone may say so by `offsets`.
+    """
+
+    moves: bool
+
+    def distances(self, p: np.ndarray, w: Windows) -> np.ndarray:
+        """(windows, width, width): from each window's centre to its cells, infinite where there is no way."""
+
+    def spread(self, p: np.ndarray, w: Windows, d: np.ndarray, carried: np.ndarray) -> np.ndarray:
+        """(windows, width, width): the sum over a window's cells t of carried[t] times how much d[t] falls for each unit more of a cell's permeability."""
+
+
+class StraightLine:
+    """Cells in a straight line, whatever lies between."""
+
+    moves = False
+
+    def offsets(self, radius: int) -> np.ndarray:
+        span = np.arange(-radius, radius + 1)
+        return np.hypot(span[:, None], span[None, :])
+
+    def distances(self, p: np.ndarray, w: Windows) -> np.ndarray:
+        return np.broadcast_to(self.offsets(w.radius), (len(w.rows), w.width, w.width))
+
+    def spread(self, p: np.ndarray, w: Windows, d: np.ndarray, carried: np.ndarray) -> np.ndarray:
+        return np.zeros(carried.shape)
+
+
+class LeastCostPath:
+    """The cheapest way by steps to 8 neighbours that stays inside the window; paths equal within eps share what they carry."""
+
+    moves = True
+
+    def __init__(self, eps: float = 1e-9):
+        self.eps = eps
+
+    def distances(self, p: np.ndarray, w: Windows) -> np.ndarray:
+        """Sweeps down, up, right and left over all windows at once; each is a relaxation in order, so straight runs settle in one sweep, and settled windows leave."""
+        costs = step_costs(p)
+        e, s, se, sw = (np.ascontiguousarray(w.of(costs[n], np.inf).transpose(1, 2, 0)) for n in ((0, 1), (1, 0), (1, 1), (1, -1)))
+        d = np.full(e.shape, np.inf)
+        d[w.radius, w.radius] = np.where(np.isnan(p[w.rows, w.cols]), np.inf, 0.0)
+        out, left = np.empty(d.shape), np.arange(len(w.rows))
+        while len(left):
+            before = d.copy()
+            _sweep(d, e, s, se, sw)
+            moved = (before != d).any(axis=(0, 1))
+            if not moved.all():
+                out[:, :, left[~moved]] = d[:, :, ~moved]
+                d, e, s, se, sw = (np.ascontiguousarray(a[:, :, moved]) for a in (d, e, s, se, sw))
+                left = left[moved]
+        return out.transpose(2, 0, 1)
+
+    def spread(self, p: np.ndarray, w: Windows, d: np.ndarray, carried: np.ndarray) -> np.ndarray:
+        """The steps on shortest paths are a graph without circles: its cells are taken in levels, path counts outwards and what is carried inwards, every step once."""
+        many, d = len(w.rows), np.ascontiguousarray(d.transpose(1, 2, 0))
+        at = np.arange(d.size).reshape(d.shape)
+        steps = []
+        for n, cost in step_costs(p).items():
+            begin, end = _ends(n, w.width)
+            c = w.of(cost, np.inf).transpose(1, 2, 0)[begin]
+            with np.errstate(invalid="ignore"):  # no path less no path
+                on = np.isfinite(d[begin]) & (np.abs(d[begin] + c - d[end]) < self.eps)
+            steps.append((at[begin][on], at[end][on], c[on] ** 2 / (2 * math.hypot(*n))))
+        u, v, slope = (np.concatenate(x) for x in zip(*steps, strict=True))
+        by = np.argsort(u, kind="stable")
+        u, v, slope = u[by], v[by], slope[by]
+        out, into = np.bincount(u, minlength=d.size), np.bincount(v, minlength=d.size)
+        first, level, paths = np.cumsum(out) - out, np.zeros(d.size, np.int64), np.zeros(d.size)
+        front = at[w.radius, w.radius][d[w.radius, w.radius] == 0]
+        paths[front] = 1.0
+        depth = 0
+        while len(front):
+            depth, n = depth + 1, out[front]
+            some = np.repeat(first[front] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            np.add.at(paths, v[some], paths[u[some]])
+            np.subtract.at(into, v[some], 1)
+            front = np.unique(v[some][into[v[some]] == 0])
+            level[front] = depth
+        share = paths[u] / paths[v]
+        through = np.ascontiguousarray(carried.transpose(1, 2, 0)).reshape(-1)
+        down = np.argsort(-level[v], kind="stable")
+        ends = np.flatnonzero(np.diff(level[v[down]], prepend=-1))
+        for some in np.split(down, ends[1:]):
+            np.add.at(through, u[some], share[some] * through[v[some]])
+        gain = share * through[v] * slope
+        gains = np.bincount(u, gain, d.size) + np.bincount(v, gain, d.size)
+        return gains.reshape(d.shape).transpose(2, 0, 1)
+
+
+def _ends(n: tuple[int, int], width: int) -> tuple[tuple, tuple]:
+    """Places, in windows of this width, of the beginnings and the ends of all steps n that stay inside."""
+    spans = [(slice(max(0, -x), width - max(0, x)), slice(max(0, x), width - max(0, -x))) for x in n]
+    return (spans[0][0], spans[1][0]), (spans[0][1], spans[1][1])
+
+
+def _sweep(d: np.ndarray, e: np.ndarray, s: np.ndarray, se: np.ndarray, sw: np.ndarray) -> None:
+    """Relax all steps of windows (width, width, windows) in four orders. e, s, se and sw are the costs of each cell's step east, south, south-east and south-west."""
+    last = len(d) - 1
+    row, col = np.empty(d.shape[1:]), np.empty((len(d), d.shape[2]))
+
+    def least(to, start, cost, held):
+        np.minimum(to, np.add(start, cost, out=held[: len(to)]), out=to)
+
+    for i in range(1, last + 1):
+        least(d[i], d[i - 1], s[i - 1], row)
+        least(d[i, 1:], d[i - 1, :-1], se[i - 1, :-1], row)
+        least(d[i, :-1], d[i - 1, 1:], sw[i - 1, 1:], row)
+    for i in range(last - 1, -1, -1):
+        least(d[i], d[i + 1], s[i], row)
+        least(d[i, :-1], d[i + 1, 1:], se[i, :-1], row)
+        least(d[i, 1:], d[i + 1, :-1], sw[i, 1:], row)
+    for j in range(1, last + 1):
+        least(d[:, j], d[:, j - 1], e[:, j - 1], col)
+        least(d[1:, j], d[:-1, j - 1], se[:-1, j - 1], col)
+        least(d[:-1, j], d[1:, j - 1], sw[:-1, j], col)
+    for j in range(last - 1, -1, -1):
+        least(d[:, j], d[:, j + 1], e[:, j], col)
+        least(d[:-1, j], d[1:, j + 1], se[:-1, j], col)
+        least(d[1:, j], d[:-1, j + 1], sw[:-1, j + 1], col)
+
+
+STRAIGHT, PATHS = StraightLine(), LeastCostPath()
+#: By the names that groups are analysed under.
+DISTANCES: dict[str, Distance] = {EUCLIDEAN: STRAIGHT, LEAST_COST: PATHS}
+
+
 def _windows(shape: tuple[int, int], radius: int, sources: np.ndarray | None) -> Iterator[Windows]:
     """Windows of all cells, or of the marked ones, SOURCES at a time. A window no wider than the array needs."""
     rows, cols = np.nonzero(np.ones(shape, bool) if sources is None else sources)
@@ -184,92 +289,67 @@ def _windows(shape: tuple[int, int], radius: int, sources: np.ndarray | None) ->
         yield Windows(min(radius, max(shape) - 1), rows[at : at + SOURCES], cols[at : at + SOURCES])
 
 
-def lcp_distances(p: np.ndarray, radius: int, sources: np.ndarray | None = None) -> Iterator[tuple[Windows, dict, np.ndarray]]:
-    """(windows, their step costs, least costs from their centres), some cells at a time."""
-    costs = step_costs(p)
-    for w in _windows(p.shape, radius, sources):
-        inside = {n: w.of(c, np.inf) for n, c in costs.items()}
-        yield w, inside, w.distances(inside, ~np.isnan(p))
+def convolved(a: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """out[i, j] = the sum over offsets of kernel[r + dr, r + dc] * a[i + dr, j + dc]: one product of spectra, whatever the kernel's width."""
+    n, m = (x + y - 1 for x, y in zip(a.shape, kernel.shape, strict=True))
+    full = np.fft.irfft2(np.fft.rfft2(a, (n, m)) * np.fft.rfft2(kernel[::-1, ::-1], (n, m)), (n, m))
+    r, c = kernel.shape[0] // 2, kernel.shape[1] // 2
+    return full[r : r + a.shape[0], c : c + a.shape[1]]
 
 
-def lcp_quality(q: np.ndarray, p: np.ndarray, radius: int, dispersal: float, alpha: float, kernel: Proximity = EXPONENTIAL, sources: np.ndarray | None = None) -> np.ndarray:
-    out, q0 = np.zeros(q.shape), np.nan_to_num(q)
-    for w, _, d in lcp_distances(p, radius, sources):
-        out[w.rows, w.cols] = 2 * (w.of(q0, 0.0) * kernel.at(d, dispersal, alpha)).sum(axis=(1, 2))
+def quality_sensitivity(q: np.ndarray, p: np.ndarray, radius: int, dispersal: float, alpha: float, distance: Distance, kernel: Proximity = EXPONENTIAL, sources: np.ndarray | None = None) -> np.ndarray:
+    """2 * sum of q_t k(d_st) over each source's window; missing cells give nothing."""
+    q0 = np.nan_to_num(q)
+    if hasattr(distance, "offsets"):
+        return 2 * convolved(q0, kernel.at(distance.offsets(radius), dispersal, alpha))
+    out = np.zeros(q.shape)
+    for w in _windows(q.shape, radius, sources):
+        out[w.rows, w.cols] = 2 * (w.of(q0, 0.0) * kernel.at(distance.distances(p, w), dispersal, alpha)).sum(axis=(1, 2))
     return out
 
 
-def lcp_permeability(q: np.ndarray, p: np.ndarray, radius: int, dispersal: float, alpha: float, kernel: Proximity = EXPONENTIAL, eps: float = 1e-9, sources: np.ndarray | None = None) -> np.ndarray:
-    """What the marked sources' paths give each cell. A step (u, v) is on a shortest path if d_su + cost_uv equals d_sv within eps."""
+def permeability_sensitivity(q: np.ndarray, p: np.ndarray, radius: int, dispersal: float, alpha: float, distance: Distance, kernel: Proximity = EXPONENTIAL, sources: np.ndarray | None = None) -> np.ndarray:
+    """What the marked sources' pairs give each cell."""
     q0, total = np.nan_to_num(q), np.zeros(q.shape)
-    slopes = {n: np.where(np.isfinite(c), c * c / (2 * math.hypot(*n)), 0.0) for n, c in step_costs(p).items()}
-    for w, costs, d in lcp_distances(p, radius, sources):
+    for w in _windows(q.shape, radius, sources):
+        d = distance.distances(p, w)
         carried = w.of(q0, 0.0) * q0[w.rows, w.cols][:, None, None] * kernel.falling(d, dispersal, alpha)
         carried[:, w.radius, w.radius] = 0.0
-        steps = {}
-        for n in _STEPS:
-            u, v = _ends(n, w.width)
-            with np.errstate(invalid="ignore"):  # no path less no path
-                steps[n] = (u, v, (np.isfinite(d[u]) & (np.abs(d[u] + costs[n][u] - d[v]) < eps)).astype(float))
-        paths = _settled(np.where(d == 0, 1.0, 0.0), [(u, v, on) for u, v, on in steps.values()])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            shares = {n: (u, v, np.where(on > 0, paths[u] / paths[v], 0.0)) for n, (u, v, on) in steps.items()}
-        through = _settled(carried, [(v, u, share) for u, v, share in shares.values()])
-        gains = np.zeros_like(d)
-        for n, (u, v, share) in shares.items():
-            gain = share * through[v] * w.of(slopes[n], 0.0)[u]
-            gains[u] += gain
-            gains[v] += gain
-        w.add(total, gains)
+        w.add(total, distance.spread(p, w, d, carried))
     return total
 
 
-def _settled(own: np.ndarray, steps: list[tuple]) -> np.ndarray:
-    """x = own + the sum over steps (from, to, share) of share * x[from] at `to`: passed on until nothing changes, as steps make no circle."""
-    x = own
-    for _ in range(own.shape[1] * own.shape[2]):
-        new = own.copy()
-        for a, b, share in steps:
-            new[b] += share * x[a]
-        if np.array_equal(new, x):
-            break
-        x = new
-    return x
-
-
-def sensitivity(df: DataFrame, keys: Sequence[str], how: str, eps: float = 1e-9, tile: int = TILE, kernel: Proximity = EXPONENTIAL) -> DataFrame:
+def sensitivity(df: DataFrame, keys: Sequence[str], sens: str, distance: Distance = PATHS, tile: int = TILE, kernel: Proximity = EXPONENTIAL) -> DataFrame:
     """(keys..., row, col, sensitivity) of rasters (keys..., row, col, q, radius, alpha, d_m).
 
-    how: euclid, lcp_quality or lcp_permeability; the permeability is q.
+    sens: quality or permeability; the permeability is q.
     """
+    if sens not in SENSITIVITIES or sens == "permeability" and not distance.moves:
+        raise ValueError(f"no sensitivity to {sens} with this distance")
     names = [f.name for f in df.schema.fields if f.name in keys]
     fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in names)
     schema = f"{fields + ', ' if fields else ''}row int, col int, sensitivity double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own = _own(pdf, tile)
-        got = (pdf if how == "lcp_permeability" else own)[[*names, "row", "col"]].copy()
+        got = (pdf if sens == "permeability" else own)[[*names, "row", "col"]].copy()
         if own.empty:  # a tile that is nothing but halo
             return got[:0].assign(sensitivity=0.0)
         radius, dispersal, alpha_ = int(pdf["radius"].iloc[0]), float(pdf["d_m"].iloc[0]), float(pdf["alpha"].iloc[0])
         (q,), r0, c0 = _arrays(pdf, ["q"])
         sources = np.zeros(q.shape, bool)
         sources[own["row"].to_numpy() - r0, own["col"].to_numpy() - c0] = True
-        if how == "euclid":
-            out = euclid_sensitivity(q, radius, dispersal, alpha_, kernel)
-        elif how == "lcp_quality":
-            out = lcp_quality(q, q, radius, dispersal, alpha_, kernel, sources)
-        else:
-            out = lcp_permeability(q, q, radius, dispersal, alpha_, kernel, eps, sources)
+        of = permeability_sensitivity if sens == "permeability" else quality_sensitivity
+        out = of(q, q, radius, dispersal, alpha_, distance, kernel, sources)
         got["sensitivity"] = out[got["row"].to_numpy() - r0, got["col"].to_numpy() - c0]
         return got
 
     out = _by_tile(_tiled(df, "radius", tile), names).applyInPandas(run, schema)
-    return out.groupBy(*names, "row", "col").agg(F.sum("sensitivity").alias("sensitivity")) if how == "lcp_permeability" else out
+    return out.groupBy(*names, "row", "col").agg(F.sum("sensitivity").alias("sensitivity")) if sens == "permeability" else out
 
 
-def lcp_sums(df: DataFrame, keys: Sequence[str], tile: int = TILE) -> DataFrame:
-    """(keys..., row, col, reached, distance_sum): cells in the window that a least-cost path reaches, and their distances."""
+def distance_sums(df: DataFrame, keys: Sequence[str], distance: Distance = PATHS, tile: int = TILE) -> DataFrame:
+    """(keys..., row, col, reached, distance_sum): cells in the window that a way leads to, and their distances."""
     names = list(keys)
     fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in names)
     schema = f"{fields + ', ' if fields else ''}row int, col int, reached long, distance_sum double"
@@ -283,7 +363,8 @@ def lcp_sums(df: DataFrame, keys: Sequence[str], tile: int = TILE) -> DataFrame:
         at = own["row"].to_numpy() - r0, own["col"].to_numpy() - c0
         sources, count, total = np.zeros(p.shape, bool), np.zeros(p.shape, np.int64), np.zeros(p.shape)
         sources[at] = True
-        for w, _, d in lcp_distances(p, int(pdf["radius"].iloc[0]), sources):
+        for w in _windows(p.shape, int(pdf["radius"].iloc[0]), sources):
+            d = distance.distances(p, w)
             count[w.rows, w.cols] = np.isfinite(d).sum(axis=(1, 2))
             total[w.rows, w.cols] = np.where(np.isfinite(d), d, 0.0).sum(axis=(1, 2))
         got["reached"], got["distance_sum"] = count[at], total[at]

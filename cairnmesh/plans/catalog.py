@@ -414,23 +414,23 @@ def _small(spark, d, group: str) -> DataFrame:
 @query(sql.SENSITIVITY_EUCLID)
 def sensitivity_euclid(spark, d):
     q = adapters.dense(spark, d).select("row", "col", F.col("value").alias("q"), F.lit(15).alias("radius"), F.lit(25.0).alias("alpha"), F.lit(125.0).alias("d_m"))
-    return connectivity.sensitivity(q, [], "euclid").select("row", "col", r6("sensitivity").alias("sensitivity"))
+    return connectivity.sensitivity(q, [], "quality", connectivity.STRAIGHT).select("row", "col", r6("sensitivity").alias("sensitivity"))
 
 
 @query(sql.LCP_DISTANCE)
 def lcp_distance(spark, d):
-    s = connectivity.lcp_sums(_small(spark, d, "PROMO"), [], tile=16)
+    s = connectivity.distance_sums(_small(spark, d, "PROMO"), [], tile=16)
     return s.select("row", "col", "reached", r6("distance_sum").alias("distance_sum"))
 
 
 @query(sql.SENSITIVITY_LCP_QUALITY)
 def sensitivity_lcp_quality(spark, d):
-    return connectivity.sensitivity(_small(spark, d, "PROMO"), [], "lcp_quality", tile=16).select("row", "col", r6("sensitivity").alias("sensitivity"))
+    return connectivity.sensitivity(_small(spark, d, "PROMO"), [], "quality", tile=16).select("row", "col", r6("sensitivity").alias("sensitivity"))
 
 
 @query(sql.SENSITIVITY_LCP_PERMEABILITY)
 def sensitivity_lcp_permeability(spark, d):
-    return connectivity.sensitivity(_small(spark, d, "PROMO"), [], "lcp_permeability", tile=16).select("row", "col", r6("sensitivity").alias("sensitivity"))
+    return connectivity.sensitivity(_small(spark, d, "PROMO"), [], "permeability", tile=16).select("row", "col", r6("sensitivity").alias("sensitivity"))
 
 
 def _full(spark, d) -> DataFrame:
@@ -447,18 +447,18 @@ def _paths(spark, d) -> DataFrame:
 
 @whole("lcp_distance")
 def lcp_distance_whole(spark, d):
-    s = connectivity.lcp_sums(_paths(spark, d), KEYS)
+    s = connectivity.distance_sums(_paths(spark, d), KEYS)
     return s.select(*KEYS, "row", "col", "reached", r6("distance_sum").alias("distance_sum"))
 
 
 @whole("sensitivity_lcp_quality")
 def sensitivity_lcp_quality_whole(spark, d):
-    return connectivity.sensitivity(_paths(spark, d), KEYS, "lcp_quality").select(*KEYS, "row", "col", r6("sensitivity").alias("sensitivity"))
+    return connectivity.sensitivity(_paths(spark, d), KEYS, "quality").select(*KEYS, "row", "col", r6("sensitivity").alias("sensitivity"))
 
 
 @whole("sensitivity_lcp_permeability")
 def sensitivity_lcp_permeability_whole(spark, d):
-    return connectivity.sensitivity(_paths(spark, d), KEYS, "lcp_permeability").select(*KEYS, "row", "col", r6("sensitivity").alias("sensitivity"))
+    return connectivity.sensitivity(_paths(spark, d), KEYS, "permeability").select(*KEYS, "row", "col", r6("sensitivity").alias("sensitivity"))
 
 
 # --- composites -----------------------------------------------------------------------------------------

@@ -154,20 +154,20 @@ def prepared(suitability: DataFrame, stats: DataFrame, distances: DataFrame, gri
     return coarse.join(F.broadcast(known.select(*KEYS, "distance", "factor", "top", "left", "height", "width", "radius", "d_m", "alpha")), list(KEYS))
 
 
-def group_elasticity(suitability: DataFrame, stats: DataFrame, distances: DataFrame, border: DataFrame, grid: Grid = FRAME, config: Config = DEFAULT, sens: tuple[str, ...] = ("quality", "permeability"), kernel: connectivity.Proximity = connectivity.EXPONENTIAL) -> DataFrame:
+def group_elasticity(suitability: DataFrame, stats: DataFrame, distances: DataFrame, border: DataFrame, grid: Grid = FRAME, config: Config = DEFAULT, sens: tuple[str, ...] = ("quality", "permeability"), kernel: connectivity.Proximity = connectivity.EXPONENTIAL, metrics: dict[str, connectivity.Distance] | None = None) -> DataFrame:
     """(habitat, grp, sens, row, col, elasticity) on the fine grid; straight-line groups have no permeability elasticity.
 
+    metrics: by the names in `distances`, what each is computed with; a distance of one's own has a name of its own.
+
     Fine cells take the sensitivity of the nearest coarse centre; beyond the
     outermost centres there is none.
     """
     ready = cut(prepared(suitability, stats, distances, grid, config))
-    straight, paths = ready.where(F.col("distance") == EUCLIDEAN), ready.where(F.col("distance") != EUCLIDEAN)
+    metrics = connectivity.DISTANCES if metrics is None else metrics
     parts = []
-    if "quality" in sens:
-        parts.append(connectivity.sensitivity(straight, KEYS, "euclid", kernel=kernel).withColumn("sens", F.lit("quality")))
-        parts.append(connectivity.sensitivity(paths, KEYS, "lcp_quality", kernel=kernel).withColumn("sens", F.lit("quality")))
-    if "permeability" in sens:
-        parts.append(connectivity.sensitivity(paths, KEYS, "lcp_permeability", kernel=kernel).withColumn("sens", F.lit("permeability")))
+    for name, distance in metrics.items():
+        some = ready.where(F.col("distance") == name)
+        parts += [connectivity.sensitivity(some, KEYS, s, distance, kernel=kernel).withColumn("sens", F.lit(s)) for s in sens if s == "quality" or distance.moves]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

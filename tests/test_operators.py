@@ -175,11 +175,11 @@ def test_sensitivity_is_the_derivative(how):
     r = np.random.default_rng(5)
     q, p, radius, scale, h = r.uniform(0.2, 1, (5, 5)), r.uniform(0.2, 1, (5, 5)), 4, 0.3, 1e-6
     if how == "euclid":
-        got = connectivity.euclid_sensitivity(q, radius, 10, 3)
+        got = connectivity.quality_sensitivity(q, p, radius, 10, 3, connectivity.STRAIGHT)
     elif how == "lcp_quality":
-        got = connectivity.lcp_quality(q, p, radius, 10, 3)
+        got = connectivity.quality_sensitivity(q, p, radius, 10, 3, connectivity.PATHS)
     else:
-        got = connectivity.lcp_permeability(q, p, radius, 10, 3)
+        got = connectivity.permeability_sensitivity(q, p, radius, 10, 3, connectivity.PATHS)
     for x in [(0, 0), (2, 2), (4, 1)]:
         ends = []
         for sign in (1, -1):
@@ -194,9 +194,9 @@ def test_tiles_give_what_one_array_gives(spark):
     q = r.uniform(0.1, 1, (20, 20))
     q[3:5, 4:9] = np.nan
     df = raster(spark, q.tolist()).where(~F.isnan("value")).select("row", "col", F.col("value").alias("q"), F.lit(3).alias("radius"), F.lit(20.0).alias("alpha"), F.lit(100.0).alias("d_m"))
-    for how, f in (("euclid", connectivity.euclid_sensitivity), ("lcp_quality", lambda q, *a: connectivity.lcp_quality(q, q, *a)), ("lcp_permeability", lambda q, *a: connectivity.lcp_permeability(q, q, *a))):
-        whole = f(q, 3, 100.0, 20.0)
-        got = grid_of(connectivity.sensitivity(df, [], how, tile=7), "sensitivity")
+    for sens, distance, f in (("quality", connectivity.STRAIGHT, connectivity.quality_sensitivity), ("quality", connectivity.PATHS, connectivity.quality_sensitivity), ("permeability", connectivity.PATHS, connectivity.permeability_sensitivity)):
+        whole = f(q, q, 3, 100.0, 20.0, distance)
+        got = grid_of(connectivity.sensitivity(df, [], sens, distance, tile=7), "sensitivity")
         assert set(got) == {(i, j) for i in range(20) for j in range(20) if not np.isnan(q[i, j])}
         assert max(abs(x - whole[at]) for at, x in got.items()) < 1e-9
 
@@ -210,7 +210,7 @@ def test_a_kernel_of_ones_own(spark):
     def total(q, p):
         return sum(q[s] * q[t] / (1 + 0.5 * d) for (s, t), d in brute_paths({x: p[x] for x in np.ndindex(p.shape)}, 4).items())
 
-    quality, permeability = connectivity.lcp_quality(q, p, 4, 4.0, 2.0, own), connectivity.lcp_permeability(q, p, 4, 4.0, 2.0, own)
+    quality, permeability = connectivity.quality_sensitivity(q, p, 4, 4.0, 2.0, connectivity.PATHS, own), connectivity.permeability_sensitivity(q, p, 4, 4.0, 2.0, connectivity.PATHS, own)
     for x in [(0, 0), (2, 3)]:
         for got, which in ((quality, 0), (permeability, 1)):
             ends = []
@@ -220,15 +220,80 @@ def test_a_kernel_of_ones_own(spark):
                 ends.append(total(*both))
             assert got[x] == pytest.approx((ends[0] - ends[1]) / (2 * h), rel=1e-5)
     df = raster(spark, p.tolist()).select("row", "col", F.col("value").alias("q"), F.lit(4).alias("radius"), F.lit(2.0).alias("alpha"), F.lit(4.0).alias("d_m"))
-    got = grid_of(connectivity.sensitivity(df, [], "lcp_quality", kernel=own), "sensitivity")
-    want = connectivity.lcp_quality(p, p, 4, 4.0, 2.0, own)
+    got = grid_of(connectivity.sensitivity(df, [], "quality", kernel=own), "sensitivity")
+    want = connectivity.quality_sensitivity(p, p, 4, 4.0, 2.0, connectivity.PATHS, own)
     assert all(x == pytest.approx(want[at]) for at, x in got.items())
 
 
+def end_to_end():
+    class EndToEnd:
+        """A distance of one's own: a straight line, the longer the less permeable its two ends are."""
+
+        moves = True
+
+        def distances(self, p, w):
+            ends = w.of(p, np.nan) + p[w.rows, w.cols][:, None, None]
+            return np.where(np.isnan(ends), np.inf, connectivity.STRAIGHT.offsets(w.radius) * 2 / ends)
+
+        def spread(self, p, w, d, carried):
+            ends = w.of(p, np.nan) + p[w.rows, w.cols][:, None, None]
+            falls = np.nan_to_num(carried * connectivity.STRAIGHT.offsets(w.radius) * 2 / ends**2)
+            gains = falls.copy()
+            gains[:, w.radius, w.radius] += falls.sum(axis=(1, 2))
+            return gains
+
+    return EndToEnd()
+
+
+def test_a_distance_of_ones_own(spark):
+    """Both sensitivities of a third distance are the derivatives of its K, on one array and in tiles, and a group can be analysed with it."""
+    r = np.random.default_rng(3)
+    q, p, radius, h = r.uniform(0.2, 1, (6, 5)), r.uniform(0.2, 1, (6, 5)), 3, 1e-6
+
+    def total(q, p):
+        far = lambda s, t: math.hypot(s[0] - t[0], s[1] - t[1]) * 2 / (p[s] + p[t])
+        cells = list(np.ndindex(p.shape))
+        return sum(q[s] * q[t] * math.exp(-far(s, t) * 0.3) for s in cells for t in cells if max(abs(s[0] - t[0]), abs(s[1] - t[1])) <= radius)
+
+    args = (radius, 10.0, 3.0, end_to_end())
+    got = connectivity.quality_sensitivity(q, p, *args), connectivity.permeability_sensitivity(q, p, *args)
+    for x in [(0, 0), (2, 3), (5, 1)]:
+        for which in (0, 1):
+            ends = []
+            for sign in (1, -1):
+                both = [q.copy(), p.copy()]
+                both[which][x] += sign * h
+                ends.append(total(*both))
+            assert got[which][x] == pytest.approx((ends[0] - ends[1]) / (2 * h), rel=1e-5)
+    df = raster(spark, p.tolist()).select("row", "col", F.col("value").alias("q"), F.lit(radius).alias("radius"), F.lit(3.0).alias("alpha"), F.lit(10.0).alias("d_m"))
+    for sens, of in (("quality", connectivity.quality_sensitivity), ("permeability", connectivity.permeability_sensitivity)):
+        tiled = grid_of(connectivity.sensitivity(df, [], sens, end_to_end(), tile=4), "sensitivity")
+        assert all(x == pytest.approx(of(p, p, *args)[at]) for at, x in tiled.items()) and len(tiled) == 30
+    with pytest.raises(ValueError, match="permeability"):
+        connectivity.sensitivity(df, [], "permeability", connectivity.STRAIGHT)
+    own = df.select(F.lit("aquatic").alias("habitat"), F.lit("bees").alias("grp"), "row", "col", F.col("q").alias("value"))
+    stats, named = spark.createDataFrame([("aquatic", "bees", 25.0)], "habitat string, grp string, d_m double"), spark.createDataFrame([("bees", "ends")], "grp string, distance string")
+    out = pipelines.group_elasticity(own, stats, named, mapalgebra.cells(spark, Grid(6, 5)), metrics={"ends": end_to_end()})
+    assert {r.sens: r.n for r in out.groupBy("sens").agg(F.count("*").alias("n")).collect()} == {"quality": 30, "permeability": 30}
+
+
+def test_straight_lines_cost_nothing_more_for_wide_windows():
+    """Sums by spectra are those of shifted copies, also where windows are wider than the array, with a kernel of one's own."""
+    r = np.random.default_rng(6)
+    q = r.uniform(0, 1, (23, 9))
+    q[4:6, 2:7] = np.nan
+    own = connectivity.Proximity(lambda d, dispersal, alpha: 1 / (1 + d * alpha / dispersal) ** 2)
+    for radius in (1, 5, 30):
+        got = connectivity.quality_sensitivity(q, q, radius, 10.0, 3.0, connectivity.STRAIGHT, own)
+        for s in [(0, 0), (11, 4), (22, 8), (5, 3)]:
+            want = 2 * sum(q[t] / (1 + 0.3 * math.hypot(s[0] - t[0], s[1] - t[1])) ** 2 for t in np.ndindex(q.shape) if not np.isnan(q[t]) and max(abs(s[0] - t[0]), abs(s[1] - t[1])) <= radius)
+            assert got[s] == pytest.approx(want, rel=1e-9)
+
+
 def test_tied_paths_share_what_they_carry():
     """On a plain of equal cells the corners' paths are many; each adds its share, so steps carry whole pairs in total."""
     p = np.full((3, 3), 0.5)
-    got = connectivity.lcp_permeability(p, p, 2, 1.0, 0.1)
+    got = connectivity.permeability_sensitivity(p, p, 2, 1.0, 0.1, connectivity.PATHS)
     assert np.allclose(got, got.T) and np.allclose(got, got[::-1]) and got[1, 1] == got.max()
     d = {(s, t): x for (s, t), x in brute_paths({x: 0.5 for x in np.ndindex(3, 3)}, 2).items() if s != t}
     # every step's slope is cost**2 / (2 len) = cost: each pair gives its distance, twice (both ends), whatever way it takes
@@ -241,7 +306,8 @@ def test_window_of_sixteen_cells_in_bounded_memory():
     p = r.uniform(0.05, 1, (40, 40))
     some = np.zeros(p.shape, bool)
     some[[0, 20, 39], [0, 17, 39]] = True
-    for w, _, d in connectivity.lcp_distances(p, 16, some):
+    for w in connectivity._windows(p.shape, 16, some):
+        d = connectivity.PATHS.distances(p, w)
         assert d.nbytes == len(w.rows) * 33 * 33 * 8
         for i, s in enumerate(zip(w.rows.tolist(), w.cols.tolist(), strict=True)):
             for (_, t), x in brute_paths({x: p[x] for x in np.ndindex(p.shape)}, 16, [s]).items():
