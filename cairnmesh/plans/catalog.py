@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, DISPLAY_NAMES, FRAME, GROUPS, LEAST_COST, Grid
+from ..config import DEFAULT, DISPLAY_NAMES, FRAME, LEAST_COST, Grid
 from ..functions.columns import NUDGE, quality_floor, r6
 from ..operators import connectivity, mapalgebra, regrid, spatial, traits
 from ..sources import adapters, tiles
@@ -63,7 +63,7 @@ def _dense_grid(spark, d) -> Grid:
 
 @query(sql.TRAITS_CLEAN)
 def traits_clean(spark, d):
-    raw = adapters.species(spark, d).withColumn("note", F.when(F.col("species_id") % 5 != 0, F.concat(F.col("grp"), F.lit("/"), F.col("habitat"))))
+    raw = adapters.species(spark, d).withColumn("note", F.when(F.col("dispersal_km") >= 0.1, F.concat(F.col("grp"), F.lit("/"), F.col("habitat"))))
     return traits.clean_strings(raw)
 
 
@@ -109,7 +109,9 @@ def available_report(spark, d):
 
 @query(sql.display_values(DISPLAY_NAMES))
 def display_names(spark, d):
-    return traits.display_names(spark)
+    """The tables' groups under the names they are shown with; one without a name of its own keeps its key."""
+    groups = adapters.species(spark, d).select("grp").distinct()
+    return groups.join(F.broadcast(traits.display_names(spark)), "grp", "left").select("grp", F.coalesce("display_name", "grp").alias("display_name"))  # a fixed few rows
 
 
 @query(sql.DISPERSAL_STATS)
@@ -118,19 +120,19 @@ def dispersal_stats(spark, d):
     return s.select(*KEYS, "n_species", r6("d_m").alias("d_m"), r6("d_m_std").alias("d_m_std"))
 
 
-@query(sql.group_values(GROUPS))
+@query(sql.GROUP_DIM)
 def group_dim(spark, d):
-    return traits.group_dimension(spark)
+    return adapters.group_distance(spark, d)
 
 
-@query(sql.JOB_MATRIX.format(groups=sql.group_values(GROUPS)))
+@query(sql.JOB_MATRIX)
 def job_matrix(spark, d):
-    return traits.job_matrix(traits.group_dimension(spark))
+    return traits.job_matrix(adapters.group_distance(spark, d))
 
 
-@query(sql.TASK_FILTER.format(groups=sql.group_values(GROUPS)))
+@query(sql.TASK_FILTER)
 def task_filter(spark, d):
-    return traits.tasks(traits.job_matrix(traits.group_dimension(spark)))
+    return traits.tasks(traits.job_matrix(adapters.group_distance(spark, d)))
 
 
 @query(sql.METADATA_REPORT)
@@ -329,32 +331,49 @@ def _border(spark) -> DataFrame:
     return spatial.cells_of(spatial.fill(_edges(spark, "country"), FRAME))
 
 
-@query(sql.BORDER_FILTER)
+def _observed(spark, d, cells: DataFrame) -> DataFrame:
+    """Mean percent of each observed cell among `cells`."""
+    means = adapters.observations(spark, d).groupBy("row", "col").agg(F.avg("pct").alias("value"))
+    return spatial.clip(means, cells).select("row", "col", r6("value").alias("value"))
+
+
+def _aquatic(spark) -> DataFrame:
+    return spatial.aquatic_mask(_edges(spark, "lake"), _edges(spark, "river"), FRAME)
+
+
+def _terrestrial(spark) -> DataFrame:
+    return spatial.terrestrial_mask(_edges(spark, "lake"), FRAME)
+
+
+@query(sql.within("select row, col from filled where layer = 'country'"))
 def border_filter(spark, d):
     codes = spark.createDataFrame([(g, c) for g, c in enumerate(adapters.CODES["country"])], "geom_id int, icc string")
-    return _edges(spark, "country").join(codes, "geom_id").where("icc = 'CH'").select("geom_id", "x1", "y1", "x2", "y2")
+    one = _edges(spark, "country").join(codes, "geom_id").where("icc = 'CH'").drop("icc")
+    return _observed(spark, d, spatial.fill(one, FRAME))
 
 
-@query(sql.CANTON_FILTER)
+@query(sql.within(f"select row, col from border where (col + 0.5) * 25 < {adapters.CANTON_SPLIT}"))
 def canton_filter(spark, d):
     names = spark.createDataFrame([(g, c) for g, c in enumerate(adapters.CODES["canton"])], "geom_id int, name string")
     one = _edges(spark, "canton").join(F.broadcast(names), "geom_id").where("name = 'A'").drop("name")  # one row a canton
-    return spatial.fill(one, FRAME).select(F.lit("A").alias("name"), "row", "col")
+    return _observed(spark, d, spatial.fill(one, FRAME))
 
 
 @query(sql.TOTAL_BOUNDS)
 def total_bounds(spark, d):
-    return spatial.total_bounds(_edges(spark, "lake"))
+    """The lakes' box and how many pixels lie in it."""
+    xy = mapalgebra.with_xy(adapters.observations(spark, d), FRAME).crossJoin(F.broadcast(spatial.total_bounds(_edges(spark, "lake"))))  # one row
+    return xy.where("x between minx and maxx and y between miny and maxy").groupBy("minx", "miny", "maxx", "maxy").agg(F.count("*").alias("pixels"))
 
 
-@query(sql.MASK_AQUATIC)
+@query(sql.within("select row, col from aquatic"))
 def mask_aquatic(spark, d):
-    return spatial.aquatic_mask(_edges(spark, "lake"), _edges(spark, "river"), FRAME)
+    return _observed(spark, d, _aquatic(spark))
 
 
-@query(sql.MASK_TERRESTRIAL)
+@query(sql.within("select row, col from terrestrial"))
 def mask_terrestrial(spark, d):
-    return spatial.terrestrial_mask(_edges(spark, "lake"), FRAME)
+    return _observed(spark, d, _terrestrial(spark))
 
 
 @query(sql.MASK_SEMI)
@@ -362,9 +381,9 @@ def mask_semi(spark, d):
     return spatial.clip(_means(spark, d), spatial.fill(_edges(spark, "lake"), FRAME)).select(*KEYS, "row", "col", r6("mean_suitability").alias("value"))
 
 
-@query(sql.MASK_ALL_TOUCHED)
+@query(sql.within("select row, col from lake_touched"))
 def mask_all_touched(spark, d):
-    return spatial.polygon_all_touched(_edges(spark, "lake"), FRAME)
+    return _observed(spark, d, spatial.polygon_all_touched(_edges(spark, "lake"), FRAME))
 
 
 @query(sql.CROP_BORDER)
@@ -372,21 +391,21 @@ def crop_border(spark, d):
     return spatial.clip(_means(spark, d), _border(spark)).select(*KEYS, "row", "col", r6("mean_suitability").alias("value"))
 
 
-@query(sql.BUFFER.format(layers="'country'", r=60.0))
+@query(sql.within(sql.BUFFER.format(layers="'country'", r=60.0)))
 def border_buffer(spark, d):
-    return spatial.polygon_buffer(_edges(spark, "country"), FRAME, 60.0)
+    return _observed(spark, d, spatial.polygon_buffer(_edges(spark, "country"), FRAME, 60.0))
 
 
-@query(sql.BUFFER.format(layers="'barrier', 'hydropower'", r=BUFFER))
+@query(sql.within(sql.BUFFER.format(layers="'barrier', 'hydropower'", r=BUFFER)))
 def barrier_buffer(spark, d):
-    return spatial.polygon_buffer(_edges(spark, "barrier", "hydropower"), FRAME, BUFFER)
+    return _observed(spark, d, spatial.polygon_buffer(_edges(spark, "barrier", "hydropower"), FRAME, BUFFER))
 
 
 @query(sql.MASK_FILL)
 def mask_fill(spark, d):
     means = _clipped(spark, d)
     filled = mapalgebra.fill_nearest(means, KEYS)
-    return mapalgebra.fill_in_mask(means, filled, mask_aquatic(spark, d), KEYS).select(*KEYS, "row", "col", r6("value").alias("value"))
+    return mapalgebra.fill_in_mask(means, filled, _aquatic(spark), KEYS).select(*KEYS, "row", "col", r6("value").alias("value"))
 
 
 # --- connectivity ------------------------------------------------------------------------------------
@@ -473,11 +492,11 @@ def elasticity_product(spark, d):
 
 
 def _summed(spark, d) -> DataFrame:
-    """Stand-in elasticities: the mean as quality's, for least-cost groups the deviation (missing in every ninth cell) as permeability's."""
+    """Stand-in elasticities: the mean as quality's, for least-cost groups the deviation (missing where a cell has one species only) as permeability's."""
     m = _means(spark, d)
     lcp = adapters.group_distance(spark, d).where("distance = 'LCPDistance'").select("grp")
     quality = m.select(*KEYS, F.lit("quality").alias("sens"), "row", "col", F.col("mean_suitability").alias("elasticity"))
-    holes = F.when((F.col("row") * adapters.SIDE + F.col("col")) % 9 != 0, F.col("std_suitability"))
+    holes = F.when(F.col("valid_count") > 1, F.col("std_suitability"))
     perm = m.join(F.broadcast(lcp), "grp", "left_semi").select(*KEYS, F.lit("permeability").alias("sens"), "row", "col", holes.alias("elasticity"))  # one row a group
     return pipelines.sum_sensitivities(quality.unionByName(perm))
 
@@ -508,7 +527,7 @@ def combined_mean(spark, d):
 
 
 def _suitability(spark, d) -> tuple[DataFrame, DataFrame]:
-    masks = mask_aquatic(spark, d).withColumn("habitat", F.lit("aquatic")).unionByName(mask_terrestrial(spark, d).withColumn("habitat", F.lit("terrestrial")))
+    masks = _aquatic(spark).withColumn("habitat", F.lit("aquatic")).unionByName(_terrestrial(spark).withColumn("habitat", F.lit("terrestrial")))
     return pipelines.suitability_job(adapters.named_species(spark, d), adapters.named_files(spark, d).select("file"), adapters.file_pixels(spark, d), masks, _edges(spark, "country"))
 
 

@@ -51,7 +51,7 @@ CLIPPED = f"""{_PLUS}, clipped as (select k.habitat, k.grp, f.row, f.col, m.mean
   left join (select * from means semi join border using (row, col)) m on m.habitat = k.habitat and m.grp = k.grp and m.row = f.row and m.col = f.col)"""
 
 TRAITS_CLEAN = f"""with {SPECIES} select species_id, replace(species, '/', '_') as species, replace(grp, '/', '_') as grp, replace(habitat, '/', '_') as habitat, dispersal_km,
-  coalesce(case when species_id % 5 <> 0 then concat(grp, '_', habitat) end, 'nan') as note from species"""
+  coalesce(case when dispersal_km >= 0.1 then concat(grp, '_', habitat) end, 'nan') as note from species"""
 GROUP_SPECIES = f"with {SPECIES} select species_id, species from species where grp = 'PROMO'"
 REPEATED = f"{SPECIES}, repeated as (select species_id, p_name as species, grp, habitat, dispersal_km from species join part on p_partkey = species_id)"
 FIRST = f"{REPEATED}, firsts as (select * from repeated qualify row_number() over (partition by species order by species_id) = 1)"
@@ -76,15 +76,14 @@ select habitat, grp, species, dispersal_km as dispersal_range_km from species jo
 
 
 def display_values(names: dict[str, str]) -> str:
-    return "select * from (values " + ", ".join(f"('{g}', '{n}')" for g, n in names.items()) + ") v(grp, display_name)"
+    rows = ", ".join(f"('{g}', '{n}')" for g, n in names.items())
+    return f"with {SPECIES} select distinct grp, coalesce(display_name, grp) as display_name from species left join (values {rows}) v(grp, display_name) using (grp)"
 
 
-def group_values(groups: dict[str, str]) -> str:
-    return "select * from (values " + ", ".join(f"('{g}', '{d}')" for g, d in groups.items()) + ") v(grp, distance)"
-
-
-JOB_MATRIX = "select grp, distance, habitat from ({groups}), (values ('aquatic'), ('terrestrial')) h(habitat)"
-TASK_FILTER = f"select grp, distance, habitat, sens from ({JOB_MATRIX}), (values ('permeability'), ('quality')) s(sens) where not (distance = 'EuclideanDistance' and sens = 'permeability')"
+GROUP_DIM = f"with {SPECIES}, {DISTANCE} select grp, distance from group_distance"
+_JOBS = "select grp, distance, habitat from group_distance, (values ('aquatic'), ('terrestrial')) h(habitat)"
+JOB_MATRIX = f"with {SPECIES}, {DISTANCE} {_JOBS}"
+TASK_FILTER = f"with {SPECIES}, {DISTANCE} select grp, distance, habitat, sens from ({_JOBS}), (values ('permeability'), ('quality')) s(sens) where not (distance = 'EuclideanDistance' and sens = 'permeability')"
 
 RASTER_LOAD_SCALED = f"with {OBS}, span as (select species_id, max(pct) > 1 and min(pct) < 100 as ok from obs group by 1) select species_id, row, col, case when ok then round(pct / 100, 6) end as value from obs join span using (species_id)"
 SUITABILITY = f"with {PIXELS} select habitat, grp, row, col, {{what}} from pixels group by habitat, grp, row, col"
@@ -147,15 +146,16 @@ select round(x, 6) as x, round(y, 6) as y, round(value, 6) as value from nx, ny
 TILED_BOX = f"""with {DENSE} select row, col, {EAST} + (col + 0.5) * 25.0::double as x, {NORTH} - (row + 0.5) * 25.0::double as y, round(value, 4) as v, round(value * value, 4) as square from dense where row between 10 and 74 and col between 5 and 39"""
 DENSE_ALL = f"with {DENSE} select row, col, round(cast(cast(value as float) as double), 5) as value from dense"
 
-BORDER_FILTER = f"with {EDGES} select cast(geom_id as int) as geom_id, x1, y1, x2, y2 from edges where layer = 'country'"
-CANTON_FILTER = f"with {POINTS} select 'A' as name, row, col from border where (col + 0.5) * 25 < {adapters.CANTON_SPLIT}"
-TOTAL_BOUNDS = f"with {POINTS} select minx, miny, maxx, maxy from lake_box"
-MASK_AQUATIC = f"with {POINTS} select row, col from aquatic"
-MASK_TERRESTRIAL = f"with {POINTS} select row, col from terrestrial"
+
+def within(cells: str) -> str:
+    """Mean percent of the observed cells among those that a query over POINTS selects."""
+    return f"with {OBS}, {POINTS}, wanted as ({cells}) select row, col, round(avg(pct), 6) as value from obs semi join wanted using (row, col) group by row, col"
+
+
+TOTAL_BOUNDS = f"with {OBS}, {POINTS} select minx, miny, maxx, maxy, count(*) as pixels from obs join points using (row, col), lake_box where px between minx and maxx and py between miny and maxy group by all"
 MASK_SEMI = f"with {_PLUS} select habitat, grp, row, col, round(mean_suitability, 6) as value from means semi join (select row, col from filled where layer = 'lake') using (row, col)"
-MASK_ALL_TOUCHED = f"with {POINTS} select row, col from lake_touched"
 CROP_BORDER = f"with {_PLUS} select habitat, grp, row, col, round(mean_suitability, 6) as value from means semi join border using (row, col)"
-BUFFER = f"with {POINTS} select row, col from filled where layer in ({{layers}}) union select row, col from distances where layer in ({{layers}}) and d2 <= {{r}} * {{r}}"
+BUFFER = "select row, col from filled where layer in ({layers}) union select row, col from distances where layer in ({layers}) and d2 <= {r} * {r}"
 MASK_FILL = f"""with {CLIPPED}, {FILLED} select h.habitat, h.grp, h.row, h.col, round(coalesce(h.value, case when a.row is not null then f.value end), 6) as value
 from clipped h left join filled_cells f on f.habitat = h.habitat and f.grp = h.grp and f.row = h.row and f.col = h.col left join aquatic a on a.row = h.row and a.col = h.col"""
 
@@ -195,7 +195,7 @@ select q.row, q.col, round(coalesce(sum(g), 0), 6) as sensitivity from q left jo
 
 ELASTICITY_PRODUCT = f"with {_PLUS} select habitat, grp, row, col, round(2 * std_suitability * mean_suitability, 6) as elasticity from means semi join border using (row, col)"
 SUMMED = f"""{MEANS}, summed as (select habitat, grp, row, col, case when grp in ('ECONOMY', 'PROMO') then mean_suitability
-  when (row * 32 + col) % 9 <> 0 then mean_suitability + std_suitability end as value from means)"""
+  when valid_count > 1 then mean_suitability + std_suitability end as value from means)"""
 GROUP_SUM = f"with {SUMMED} select habitat, grp, row, col, round(value, 6) as value from summed"
 SCORES = f"""{SUMMED}, logs as (select habitat, grp, row, col, ln(value + 1e-5) as v from summed),
 groups as (select habitat, grp, row, col, (v - min(v) over (partition by habitat, grp)) / nullif(max(v) over (partition by habitat, grp) - min(v) over (partition by habitat, grp), 0) as v from logs),
