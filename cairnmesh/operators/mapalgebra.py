@@ -29,6 +29,35 @@ def cell_stats(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
     return pixels.groupBy(*keys, "row", "col").agg(F.avg("value").alias("mean_suitability"), F.stddev_pop("value").alias("std_suitability"), F.count("value").alias("valid_count"))
 
 
+def cell_state(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys..., row, col, n, mean, m2) of each cell: how many values, their mean and the sum of squares around it. States of disjoint pixels merge."""
+    value = F.col("value")
+    return pixels.groupBy(*keys, "row", "col").agg(F.count(value).alias("n"), F.avg(value).alias("mean"), (F.var_pop(value) * F.count(value)).alias("m2"))
+
+
+def merged_states(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The state of both states' pixels together: new rasters are folded into a kept state without reading the others again.
+
+    One join by cell; squares around two means add up around the common one, so
+    nothing cancels however small the deviations are.
+    """
+    at = [*keys, "row", "col"]
+    left, right = (df.select(*at, F.struct("n", "mean", "m2").alias(name)) for df, name in ((a, "__a"), (b, "__b")))
+    get = lambda name, field, plain: F.coalesce(F.col(f"{name}.{field}"), F.lit(plain))
+    na, nb, ma, mb = get("__a", "n", 0), get("__b", "n", 0), get("__a", "mean", 0.0), get("__b", "mean", 0.0)
+    n, apart = na + nb, mb - ma
+    both = left.join(right, at, "full")
+    mean = F.when(n > 0, ma + apart * F.try_divide(nb, n))
+    m2 = F.when(n > 0, get("__a", "m2", 0.0) + get("__b", "m2", 0.0) + apart * apart * F.try_divide(na * nb, n))
+    return both.select(*at, n.alias("n"), mean.alias("mean"), m2.alias("m2"))
+
+
+def state_stats(state: DataFrame) -> DataFrame:
+    """What `cell_stats` of all the state's pixels gives."""
+    rest = [c for c in state.columns if c not in ("n", "mean", "m2")]
+    return state.select(*rest, F.col("mean").alias("mean_suitability"), F.sqrt(F.try_divide("m2", "n")).alias("std_suitability"), F.col("n").alias("valid_count"))
+
+
 def coarsen(df: DataFrame, factor: int, height: int, width: int, keys: Sequence[str] = (), value: str = "value") -> DataFrame:
     """Block mean; rows and columns that don't fill a block are trimmed."""
     kept = df.where((F.col("row") < height - height % factor) & (F.col("col") < width - width % factor))

@@ -169,6 +169,17 @@ def cell_valid_count(spark, d):
     return _means(spark, d).select(*KEYS, "row", "col", "valid_count")
 
 
+@query(sql.SUITABILITY.format(what="round(avg(value), 6) as mean_suitability, round(sqrt(greatest(avg(value * value) - avg(value) * avg(value), 0)), 6) as std_suitability, count(value) as valid_count"))
+def suitability_fold(spark, d):
+    """Cheap parts' rasters as a kept state, into which the dear ones are folded later."""
+    pixels = adapters.suitability_pixels(spark, d)
+    cheap = adapters.table(spark, d, "part").where("p_retailprice < 1500").select(F.col("p_partkey").alias("species_id"))
+    kept = cut(mapalgebra.cell_state(pixels.join(cheap, "species_id", "left_semi"), KEYS))
+    more = mapalgebra.cell_state(pixels.join(cheap, "species_id", "left_anti"), KEYS)
+    out = mapalgebra.state_stats(mapalgebra.merged_states(kept, more, KEYS))
+    return out.select(*KEYS, "row", "col", r6("mean_suitability").alias("mean_suitability"), r6("std_suitability").alias("std_suitability"), "valid_count")
+
+
 @query(sql.QUALITY_FLOOR)
 def quality_floor_(spark, d):
     return _clipped(spark, d).select(*KEYS, "row", "col", r6(quality_floor(F.col("value"), DEFAULT.floor)).alias("quality"))

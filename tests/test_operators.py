@@ -552,3 +552,26 @@ def test_whole_available_species_against_brute_force(spark, tmp_path):
             if len(fits) == 1:
                 want.add((i, name, fits[0]))
     assert got == want and (5, "old tall oak", files[4]) in got and (4, "tall oak") not in {r[:2] for r in got}
+
+
+def test_states_merge(spark):
+    """Halves, in either order, and three parts give what all pixels give; tiny deviations around a large mean are kept; missing values and cells of one part only."""
+    r = np.random.default_rng(8)
+    rows = [(int(i % 3), int(r.integers(0, 4)), int(r.integers(0, 4)), None if r.random() < 0.1 else 1e6 + float(r.normal()) * 1e-3, int(r.integers(0, 3))) for i in range(300)]
+    rows += [(0, 9, 9, None, 0), (0, 9, 9, None, 1), (1, 8, 8, 5.0, 2)]
+    df = spark.createDataFrame(rows, "k int, row int, col int, value double, part int")
+    part = [mapalgebra.cell_state(df.where(f"part = {n}"), ["k"]) for n in range(3)]
+    want = {}
+    for k, i, j, v, _ in rows:
+        want.setdefault((k, i, j), []).extend([] if v is None else [v])
+    for order in ((0, 1, 2), (2, 1, 0)):
+        a, b, c = (part[n] for n in order)
+        got = mapalgebra.state_stats(mapalgebra.merged_states(mapalgebra.merged_states(a, b, ["k"]), c, ["k"])).collect()
+        assert len(got) == len(want)
+        for x in got:
+            some = want[x.k, x.row, x.col]
+            assert x.valid_count == len(some)
+            assert x.mean_suitability == (pytest.approx(np.mean(some), rel=1e-12) if some else None)
+            assert x.std_suitability == (pytest.approx(np.std(some), rel=1e-6, abs=1e-12) if some else None)
+    empty = mapalgebra.cell_state(df.limit(0), ["k"])
+    assert mapalgebra.merged_states(empty, part[0], ["k"]).count() == part[0].count()
