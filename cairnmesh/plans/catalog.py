@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, DISPLAY_NAMES, FRAME, LEAST_COST, Grid
 from ..functions.columns import NUDGE, quality_floor, r6
-from ..operators import connectivity, mapalgebra, regrid, spatial, traits
+from ..operators import connectivity, mapalgebra, overlay, regrid, spatial, traits
 from ..sources import adapters, tiles
 from ..sources.tables import cut, scratch
 from . import oracle as sql
@@ -387,6 +387,14 @@ def mask_terrestrial(spark, d):
     return _observed(spark, d, _terrestrial(spark))
 
 
+@query(sql.within("select row, col from border except select row, col from filled where layer = 'lake'"))
+def mask_overlay(spark, d):
+    """Country and cantons dissolved, lakes taken out as shapes, what is left as cells."""
+    edges = _edges(spark, "country", "canton", "lake")
+    land = overlay.outlines(overlay.overlay(edges, ["country", "canton"], ["lake"]), "land")
+    return _observed(spark, d, spatial.cells_of(spatial.fill(land, FRAME)))
+
+
 @query(sql.MASK_SEMI)
 def mask_semi(spark, d):
     return spatial.clip(_means(spark, d), spatial.fill(_edges(spark, "lake"), FRAME)).select(*KEYS, "row", "col", r6("mean_suitability").alias("value"))
