@@ -1,5 +1,7 @@
 import hashlib
+import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -8,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairnmesh.llm import brown, quality, toxic, urlmodel
+from cairnmesh.llm import brown, quality, text, toxic, urlmodel
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -313,3 +315,81 @@ def test_url_probabilities_sum_to_one():
     for context in ("", "a", "ab", "http", "zzzz", "zab."):
         chars = {c for u in urls for c in u}
         assert sum(brute_prob(urls, context, c) for c in chars) + (urlmodel.SYMBOLS - len(chars)) * brute_prob(urls, context, "☃") == pytest.approx(1)
+
+
+def test_scores_are_those_of_a_direct_convolution():
+    """Tables of responses and joint runs of texts against filters laid on every place of every text, one multiplication at a time."""
+    r = np.random.default_rng(21)
+    net = toxic.ConvNet()
+    net.table = r.normal(0, 1, (30, toxic.WIDTH)).astype(np.float32)
+    net.table[0] = 0
+    net.bias = [r.normal(0, 0.3, toxic.FILTERS).astype(np.float32) for _ in toxic.WIDTHS]
+    net.lookup, net.trained, net.scale, net.offset, net.shift = r.integers(1, 30, toxic.BUCKETS).astype(np.int32), True, 0.7, -0.4, np.float32(0.2)
+    net.lookup[0] = 0
+    texts = [r.integers(1, toxic.BUCKETS, n) for n in (0, 1, 2, 3, 40, 1, 7)]
+    table, want = net.table.astype(float), []
+    for x in texts:
+        rows = [0, 0, *(int(net.lookup[b]) for b in x), 0, 0]
+        total = float(net.shift)
+        for w, k in enumerate(toxic.WIDTHS):
+            for f in range(toxic.FILTERS):
+                best = max(sum(table[rows[i + j], e] * float(net.filters[w][j, e, f]) for j in range(k) for e in range(toxic.WIDTH)) + float(net.bias[w][f]) for i in range(len(rows) - k + 1))
+                total += max(best, 0.0) * float(net.out[w * toxic.FILTERS + f])
+        want.append(1 / (1 + np.exp(-(net.scale * total + net.offset))))
+    first = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    got = net.freeze().scores(np.concatenate(texts), first)
+    assert got == pytest.approx(want, abs=1e-5)
+
+
+def test_class_model_by_the_book(spark, monkeypatch):
+    """Scores against class bigrams and emissions counted in plain Python from the training texts, for the classes that the exchange found."""
+    kept, classes = [], brown._classes
+
+    def watched(spark, train, words, *rest):
+        kept.append((words, classes(spark, train, words, *rest)))
+        return kept[-1][1]
+
+    monkeypatch.setattr(brown, "_classes", watched)
+    r = random.Random(5)
+    subjects, verbs, things = ["dog", "cat", "bird", "cow"], ["sees", "eats", "likes"], ["grass", "milk", "seed", "rain"]
+    texts = [" ".join(x for _ in range(r.randrange(1, 5)) for x in (r.choice(subjects), r.choice(verbs), r.choice(things))) for _ in range(80)]
+    texts += ["", None, "rareword dog", "Dog SEES once", "été 中文 never", "rareword"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x for x in brown.score_documents(spark, docs).collect()}
+    ((vocabulary, (cls, _)),) = kept
+    place = {int(w): i for i, w in enumerate(vocabulary)}
+    tokens = {i: [w.lower() for w in (t or "").split()] for i, t in enumerate(texts)}
+    train = [i for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2]
+    count = Counter(w for i in train for w in tokens[i])
+
+    def item(w):
+        if w is None:
+            return len(vocabulary) + brown.SHAPES
+        h, _, shape = text.words_with_shapes([w.encode()], brown.SHAPES)
+        return place.get(int(h[0]), len(vocabulary) + int(shape[0]))
+
+    end = item(None)
+    own = Counter({end: len(train)})
+    kinds = Counter()
+    for w, n in count.items():
+        own[item(w)] += n
+        kinds[item(w)] += 1
+    size = np.zeros(brown.CLASSES)
+    for i in range(end + 1):
+        size[cls[i]] += own[i] + 1
+    pairs = np.zeros((brown.CLASSES, brown.CLASSES))
+    for i in train:
+        run = [end, *map(item, tokens[i]), end]
+        for a, b in itertools.pairwise(run):
+            pairs[cls[a], cls[b]] += 1
+    for i, some in tokens.items():
+        total, before = 0.0, end
+        for w in [*some, None]:
+            x = item(w)
+            a, b = cls[before], cls[x]
+            p = (pairs[a, b] + brown.KAPPA * size[b] / size.sum()) / (pairs[a].sum() + brown.KAPPA) * (own[x] + 1) / size[b]
+            if len(vocabulary) <= x < end:  # a rare word's part of its shape
+                p *= (count[w] + 1) / (own[x] + kinds[x] + 1)
+            total, before = total + np.log10(p), x
+        assert got[i].score == pytest.approx(total, rel=1e-9), texts[i]
+        assert got[i].perplexity == pytest.approx(10 ** (-total / (len(some) + 1)), rel=1e-9)
