@@ -19,6 +19,7 @@ equal counts; other columns are not read.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -180,23 +181,47 @@ def count_tokens(spark: SparkSession, docs: DataFrame, path: str, limit: int = L
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
+#: The byte-level alphabet writes bytes without a visible character (of those that letters have: 0x80 to 0xA0 and 0xAD) as characters from U+0100 on, in their order.
+_BYTES = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
+
+def plain_parts(tokenizer) -> bool:
+    """Whether a tokenizer only composes, puts spaces together and lower-cases, then cuts into runs of letters and others, then takes bytes."""
+    told = json.loads(tokenizer.to_str())
+    normal, cut = told.get("normalizer") or {}, told.get("pre_tokenizer") or {}
+    steps, parts = [n["type"] for n in normal.get("normalizers", [])], cut.get("pretokenizers", [])
+    if steps != ["NFC", "Replace", "Lowercase"] or [p["type"] for p in parts] != ["Split", "ByteLevel"]:
+        return False
+    pattern = parts[0]["pattern"].get("Regex", "")
+    return normal["normalizers"][1]["pattern"] == {"Regex": r"\s+"} and r"|[\p{L}]+|" in pattern and not (parts[1]["add_prefix_space"] or parts[1]["use_regex"]) and told["model"]["type"] == "BPE"
+
+
 class Chunks(dict):
     """Ids (little-endian unsigned 32-bit) of white-space-free chunks of bytes, A-Z as a-z, by the library.
 
     For a tokenizer that lower-cases and never joins over white space: the ids
     of a text are those of its chunks, one after the other. ASCII marks at a
     chunk's end are a pre-token of their own when a letter or digit (ASCII, or
-    U+00C0 to U+00FF but the signs for times and division) stands before them.
+    U+00C0 to U+00FF but the signs for times and division) stands before them:
+    they are chunks too, so a word is in the table once, whatever follows it.
+    Chunks of nothing but lower-case letters (a-z, U+00DF to U+00FF but the sign
+    for division) are one pre-token that normalisation leaves as it is: the
+    library's model merges their bytes directly (`plain_parts` looks whether the
+    tokenizer's parts are the ones for which this holds).
     The library finds special strings before it lower-cases, so a chunk that
     holds one in any case keeps its case and goes to the library as it is.
     """
 
-    MARKS = b".,!?;:#$%&*|"
-    BEFORE = re.compile(rb"(?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])\Z")
+    #: Such marks; they stand first in the pattern, so that it is tried at few places.
+    MARKS = re.compile(rb"[.,!?;:#$%&*|](?:(?<=[a-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,!?;:#$%&*|]*(?![^ \t\n\r\x0b\x0c])")
+
+    LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = library(path)
+        self.model = self.tokenizer.model if plain_parts(self.tokenizer) else None
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.older: dict[bytes, bytes] = {}
         self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.raw: set[bytes] = set()  # chunks to come that keep their case
@@ -207,7 +232,7 @@ class Chunks(dict):
     def chunks_of(self, text: bytes) -> list[bytes]:
         low = text.lower()
         if not self._has_special(low):
-            return low.split()
+            return self.MARKS.sub(rb" \g<0>", low).split()
         chunks = [c if self._has_special(c.lower()) else c.lower() for c in text.split()]
         self.raw.update(c for c in chunks if self._has_special(c.lower()))
         return chunks
@@ -228,21 +253,12 @@ class Chunks(dict):
             self[c] = np.array(ids_of(self.tokenizer, [c.decode("utf-8", "replace")])[0], "<u4").tobytes()
         new -= self.raw
         self.raw = set()
-        plain, marked = set(), []
-        for c in new:
-            core = c.rstrip(self.MARKS)
-            if len(core) < len(c) and self.BEFORE.search(core):
-                marked.append((c, core, c[len(core) :]))
-                plain.add(core)
-                plain.add(marked[-1][2])
-            else:
-                plain.add(c)
-        ask = []
-        for c in plain.difference(self):
-            if c in older:
-                self[c] = older[c]
-            else:
-                ask.append(c)
+        ask = list(new)
+        if self.model is not None:
+            whole, merge, packed = self.LETTERS.fullmatch, self.model.tokenize, self.packed
+            letters, ask = [c for c in ask if whole(c)], [c for c in ask if not whole(c)]
+            # the model takes bytes as characters; those of letters stand for themselves
+            self.update((c, b"".join([packed[t.id] for t in merge(c.decode("latin-1").translate(_BYTES))])) for c in letters)
         for at in range(0, len(ask), 20_000):
             some = ask[at : at + 20_000]
             e = self.tokenizer.encode([s.decode("utf-8", "replace") for s in some], is_pretokenized=True, add_special_tokens=False)
@@ -251,8 +267,6 @@ class Chunks(dict):
             first = (4 * np.searchsorted(word, np.arange(len(some) + 1))).tolist()
             raw = ids.tobytes()
             self.update((s, raw[a:b]) for s, a, b in zip(some, first, first[1:], strict=False))
-        for c, core, marks in marked:
-            self[c] = self[core] + self[marks]
 
     def of_texts(self, run: list[bytes]) -> list[bytes]:
         """Ids of UTF-8 texts."""
