@@ -54,6 +54,9 @@ LEAST, PARTS = 3, 4
 #: Shingles that are anchors of more than one row by hash order alone come last, by the logarithm of their count; at most
 #: so many, the most crowded: the list that every task gets has a fixed size (9 bytes each).
 CROWDED_MAX = 1 << 21
+#: Anchors whose rows are dealt over all tasks: the SPLIT most frequent in the sets of one hash in SAMPLE, if SPLIT_LEAST of these have them.
+#: An anchor outside the list has about 1 / SPLIT of all rows at most. The list decides where work is done; any list gives the same result.
+SPLIT, SAMPLE, SPLIT_LEAST = 1 << 16, 64, 8
 #: Members and shingles of a block.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 20
 #: Sizes of a band differ by less than this factor, a little above PARTS / LEAST, so rounding can not part linked sizes by two bands.
@@ -291,20 +294,15 @@ def _classed(spark: SparkSession, texts: DataFrame, size: int, scratch: Scratch)
         return got.dropDuplicates(["node"]) if repeated else got
 
     work = Scratch(spark, "jaccard-work")  # tables that are gone when the classes are known
-    anchors = texts_of(nodes).mapInArrow(_reordered(size, spark.sparkContext.broadcast(crowded)), "node long, n long, anchors array<long>")
-    anchors = anchors.select("node", "n", F.posexplode("anchors").alias("i", "s"))
-    # if s is a pair's first common anchor, the set x at place i has n - i shingles left to share, so 3 * n(y) <= 4 * n(x) - 7 * i
-    anchors = anchors.withColumn("room", F.expr(f"{PARTS} * n - {LEAST + PARTS} * i")).repartition("s")
-    region = Window.partitionBy("s")
-    told = {"sharers": F.count("*"), "all_n": F.sum("n"), "all_room": F.sum("room"), "least_n": F.min("n"), "most_room": F.max("room")}
-    anchors = anchors.select("node", "n", "s", "room", *[f.over(region).alias(k) for k, f in told.items()])
-    pair = f"sharers = 2 and {LEAST} * (all_n - n) <= room and {LEAST} * n <= all_room - room"
-    anchors = anchors.where(f"({pair}) or (sharers > 2 and {LEAST} * least_n <= room and {LEAST} * n <= most_room)")
-    # linked sizes differ by one band at most: a region holds two neighbouring bands, each set enters two regions
-    band = F.log(BAND, F.col("n")).cast("int")
-    anchors = anchors.select("node", "n", "s", F.explode(F.array(band, band + 1)).alias("band"))
-    pivot = F.min(F.struct("node", "n")).over(Window.partitionBy("s", "band"))
-    members = anchors.withColumn("pivot", pivot).where(F.col("node") != F.col("pivot.node"))
+    order = spark.sparkContext.broadcast(crowded)
+
+    def anchors_of(some: DataFrame) -> DataFrame:
+        rows = texts_of(some).mapInArrow(_reordered(size, order), "node long, n long, anchors array<long>")
+        return rows.select("node", "n", F.posexplode("anchors").alias("i", "s"))
+
+    split = work.keep(_frequent(anchors_of(nodes.where(f"pmod(xxhash64(node), {SAMPLE}) = 0"))), "split")
+    shared = work.keep(_shared(anchors_of(nodes), split), "shared")
+    members = _with_pivots(work, shared)
     members = members.select(F.col("pivot.node").alias("cell"), F.col("node").alias("member"), "n", F.col("pivot.n").alias("n_pivot")).distinct()
     members = work.keep(members, "members")
     # a cell of one member whose size alone rules the link out has nothing to find
@@ -373,6 +371,55 @@ def _crowded(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return s[order], (1 + np.log2(found["count"].to_numpy())).astype(np.uint8)[order]
 
 
+def _frequent(anchors: DataFrame) -> DataFrame:
+    """(s): the anchors to split, at most SPLIT rows."""
+    counts = anchors.groupBy("s").count().where(f"count >= {SPLIT_LEAST}")
+    return counts.orderBy(F.desc("count"), "s").limit(SPLIT).select("s")
+
+
+def _shared(anchors: DataFrame, split: DataFrame) -> DataFrame:
+    """(node, n, s, room, split) of anchors that another set of their region may link by; all rows of split ones, which are judged when counted."""
+    # if s is a pair's first common anchor, the set x at place i has n - i shingles left to share, so 3 * n(y) <= 4 * n(x) - 7 * i
+    anchors = anchors.withColumn("room", F.expr(f"{PARTS} * n - {LEAST + PARTS} * i"))
+    anchors = anchors.join(F.broadcast(split.withColumn("split", F.lit(True))), "s", "left").withColumn("split", F.coalesce("split", F.lit(False)))
+    anchors = anchors.withColumn("part", F.when(F.col("split"), F.col("node")).otherwise(F.lit(-1).cast("long"))).repartition("s", "part")
+    region = Window.partitionBy("s", "part")
+    anchors = anchors.select("node", "n", "s", "room", "split", *[f.over(region).alias(k) for k, f in _told().items()])
+    return anchors.where(f"split or {_REACHED}").select("node", "n", "s", "room", "split")
+
+
+def _told() -> dict:
+    """What a region's rows say together."""
+    return {"sharers": F.count("*"), "all_n": F.sum("n"), "all_room": F.sum("room"), "least_n": F.min("n"), "most_room": F.max("room")}
+
+
+#: Whether some other row of the region leaves a row room for a link.
+_REACHED = (
+    f"((sharers = 2 and {LEAST} * (all_n - n) <= room and {LEAST} * n <= all_room - room)"
+    f" or (sharers > 2 and {LEAST} * least_n <= room and {LEAST} * n <= most_room))"
+)
+
+
+def _with_pivots(scratch: Scratch, shared: DataFrame) -> DataFrame:
+    """(s, band, node, n, pivot) of the members of each region that aren't its pivot.
+
+    Split regions are pre-aggregated where their rows lie, and what is known of
+    a region (its counts: SPLIT rows at most; its pivots: broadcast where measured
+    to be small) goes to the rows, which never meet in one task.
+    """
+    # linked sizes differ by one band at most: a region holds two neighbouring bands, each set enters two regions
+    band = F.log(BAND, F.col("n")).cast("int")
+    bands = F.explode(F.array(band, band + 1)).alias("band")
+    least = F.min(F.struct("node", "n"))
+    rest = shared.where("not split").select("node", "n", "s", bands)
+    rest = rest.withColumn("pivot", least.over(Window.partitionBy("s", "band")))
+    told = scratch.keep(shared.where("split").groupBy("s").agg(*[f.alias(k) for k, f in _told().items()]), "told")
+    hot = shared.where("split").join(F.broadcast(told), "s").where(_REACHED).select("node", "n", "s", bands)
+    pivots = scratch.keep(hot.groupBy("s", "band").agg(least.alias("pivot")), "pivots")
+    hot = hot.join(small(pivots), ["s", "band"]).select("node", "n", "s", "band", "pivot")
+    return rest.unionByName(hot).where(F.col("node") != F.col("pivot.node"))
+
+
 def _measure(scratch: Scratch, members: DataFrame, sets: DataFrame) -> DataFrame:
     """Common shingles of each member and its cell's pivot. Large cells are dealt over chunks, each with a copy of the pivot."""
     cells = small(scratch.keep(members.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(2 * BLOCK_SETS)).alias("chunks")), "cells"))

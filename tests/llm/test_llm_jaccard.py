@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cairnmesh.llm import jaccard, store
 from cairnmesh.llm.components import smallest_reachable
@@ -62,6 +63,30 @@ def test_dense_group_in_blocks(spark, monkeypatch):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_classes(spark, df).collect()} == want
 
 
+@pytest.mark.parametrize("limit", [32 << 20, 1])
+def test_split_anchors_match_brute_force(spark, docs, monkeypatch, limit):
+    """Every anchor that two sets share is split; the classes are the same."""
+    monkeypatch.setattr(jaccard, "SAMPLE", 1)
+    monkeypatch.setattr(jaccard, "SPLIT_LEAST", 2)
+    monkeypatch.setattr(store, "BROADCAST_BYTES", limit)
+    want = brute([(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(spark, docs).collect() if r.doc_id is not None}
+    assert got == want
+
+
+def test_rows_of_a_frequent_anchor_are_dealt_over_all_tasks(spark):
+    anchors = spark.range(8_000).selectExpr("id as node", "40L as n", "0 as i", "if(id % 4 = 0, id, -7L) as s")
+    split = jaccard._frequent(anchors)
+    assert [r.s for r in split.collect()] == [-7]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt = jaccard._shared(anchors, split).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert sum(r["count"] for r in dealt) == 6_000 and max(r["count"] for r in dealt) < 2 * 6_000 / len(dealt) and len(dealt) > 1
+
+
 def test_one_each_and_empty(spark, docs, none):
     kept = jaccard.one_each(spark, docs)
     assert kept.columns == docs.columns
