@@ -48,6 +48,7 @@ from pyspark.sql.window import Window
 from .components import smallest_reachable
 from .store import Scratch, packed, ship, small
 from .text import blocks, shingle_sets
+from .workers import lean
 
 #: A pair links when PARTS * common >= LEAST * union.
 LEAST, PARTS = 3, 4
@@ -276,7 +277,7 @@ def _texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *mor
 
 def _classed(spark: SparkSession, texts: DataFrame, size: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(keyed, named): (doc_id, th, n, k1, k2) of each row, and (c1, c2, component_id, rep) of each distinct set; rep is the one row that stands for its component."""
-    first = scratch.keep(texts.mapInArrow(_keyed(size), "doc_id long, th long, n long, k1 long, k2 long, anchors array<long>"), "first")
+    first = scratch.keep(texts.mapInArrow(lean(_keyed(size)), "doc_id long, th long, n long, k1 long, k2 long, anchors array<long>"), "first")
     keyed = scratch.keep(first.drop("anchors"), "keyed")
     counts = first.select(F.explode("anchors").alias("s")).groupBy("s").count().where("count > 1")
     crowded = _crowded(scratch.keep(counts, "counts"))
@@ -297,7 +298,7 @@ def _classed(spark: SparkSession, texts: DataFrame, size: int, scratch: Scratch)
     order = spark.sparkContext.broadcast(crowded)
 
     def anchors_of(some: DataFrame) -> DataFrame:
-        rows = texts_of(some).mapInArrow(_reordered(size, order), "node long, n long, anchors array<long>")
+        rows = texts_of(some).mapInArrow(lean(_reordered(size, order)), "node long, n long, anchors array<long>")
         return rows.select("node", "n", F.posexplode("anchors").alias("i", "s"))
 
     split = work.keep(_frequent(anchors_of(nodes.where(f"pmod(xxhash64(node), {SAMPLE}) = 0"))), "split")
@@ -310,14 +311,14 @@ def _classed(spark: SparkSession, texts: DataFrame, size: int, scratch: Scratch)
     members = members.join(more, "cell").where(f"others > 1 or {PARTS} * least(n, n_pivot) >= {LEAST} * greatest(n, n_pivot)").select("cell", "member")
     members = work.keep(members, "compared")
     used = nodes.join(members.select(F.explode(F.array("cell", "member")).alias("node")).distinct(), "node", "left_semi")
-    sets = texts_of(work.keep(used.select("node", "rep"), "used")).mapInArrow(_whole(size), "member long, shingles binary")
+    sets = texts_of(work.keep(used.select("node", "rep"), "used")).mapInArrow(lean(_whole(size)), "member long, shingles binary")
     # both uses make the sets anew from the texts: cheaper than a table of them, which would be as large as its input
 
     measured = work.keep(_measure(work, members, sets), "measured")
     direct = F.expr(f"{PARTS} * common >= {LEAST} * (n + n_pivot - common)")
     measured = measured.withColumn("direct", direct)
     edges = measured.where("direct").select(F.col("cell").alias("u"), F.col("member").alias("v"))
-    edges = edges.unionByName(_block_rows(work, measured, sets).mapInArrow(_block_pairs, "u long, v long"))
+    edges = edges.unionByName(_block_rows(work, measured, sets).mapInArrow(lean(_block_pairs), "u long, v long"))
     labels = smallest_reachable(work, edges)
 
     # a component's row is the smallest of its nodes' rows; its smallest doc_id is that row's
@@ -427,7 +428,7 @@ def _measure(scratch: Scratch, members: DataFrame, sets: DataFrame) -> DataFrame
     pivots = cells.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("is_member"), F.col("cell").alias("member"))
     rows = rows.unionByName(pivots).join(sets, "member").select("cell", "chunk", "is_member", "member", "shingles")
     rows = rows.repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", "is_member")
-    return rows.mapInArrow(_to_pivot, "cell long, member long, n_pivot long, n long, common long")
+    return rows.mapInArrow(lean(_to_pivot), "cell long, member long, n_pivot long, n long, common long")
 
 
 def _block_rows(scratch: Scratch, measured: DataFrame, sets: DataFrame) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql.window import Window
 from .store import Scratch, ship
 from .text import blocks
 from .tokens import chunk_table
+from .workers import lean
 
 SIZE, END = 2048, 1
 #: Pieces of a bucket, about.
@@ -133,7 +134,7 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, size: int = SIZE, scra
     ship(spark)
     scratch = scratch or Scratch(spark, "packing")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = scratch.keep(rows.mapInArrow(_cut(path, size), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
+    pieces = scratch.keep(rows.mapInArrow(lean(_cut(path, size), keeps=True), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # `size` rows at most
     table = spark.sparkContext.broadcast(places(shortest_pack_first(histogram, size)))
 
@@ -145,4 +146,4 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, size: int = SIZE, scra
     inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
     ranked = dealt.withColumn("nth", F.row_number().over(inside)).join(counts, ["length", "bucket"])
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("nth") - 1).cast("long").alias("rank"))
-    return ranked.mapInArrow(_place(table), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(_place(table)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -37,6 +37,7 @@ from pyspark.sql.window import Window
 
 from .store import Scratch, packed, ship, small
 from .text import blocks, words
+from .workers import lean
 
 FIT_ROWS = 20_000
 #: Rejected below this posterior probability.
@@ -181,7 +182,7 @@ class Posterior:
         marks = marks.where("doc_id is not null")
         rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("h"), F.col(path).cast("string").alias("p"))
         learn = F.broadcast(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS))  # FIT_ROWS rows of two numbers
-        got = rows.join(learn, "doc_id").select("text", "doc_id", "label").mapInArrow(_measured, "doc_id long, label double, x array<double>")
+        got = rows.join(learn, "doc_id").select("text", "doc_id", "label").mapInArrow(lean(_measured), "doc_id long, label double, x array<double>")
         got = got.groupBy("doc_id", "label").agg(F.min("x").alias("x")).toArrow()  # one row an id, however often it repeats
         x = np.array(got["x"].to_pylist(), float).reshape(-1, MEASURES)
         order = np.lexsort([*x.T, got["doc_id"].to_numpy()])  # rows come in any order: the same sums every time
@@ -191,7 +192,7 @@ class Posterior:
             self.slim = rows.drop("text").withColumn("e", F.lit(0.0))
             return
         self.weights = spark.sparkContext.broadcast(fit(x, y))
-        self.slim = scratch.keep(rows.mapInArrow(_evidence(self.weights), "doc_id long, h string, p string, e double"), "evidence")
+        self.slim = scratch.keep(rows.mapInArrow(lean(_evidence(self.weights)), "doc_id long, h string, p string, e double"), "evidence")
         # what a document says about its site: the label where there is one, else the evidence
         said = self.slim.groupBy("h", "p", "doc_id").agg(F.count("*").alias("k"), F.sum(F.expr("1 / (1 + exp(-e))")).alias("s")).join(marks, "doc_id", "left")
         said = scratch.keep(said, "said")
@@ -233,7 +234,7 @@ class Posterior:
             return self.docs
         held = self.docs.select(packed(self.docs))
         schema = T.StructType([T.StructField("row", held.schema["row"].dataType), T.StructField("e", T.DoubleType())])
-        held = held.mapInArrow(_row_evidence(self.weights, self.docs.columns.index("text")), schema)
+        held = held.mapInArrow(lean(_row_evidence(self.weights, self.docs.columns.index("text"))), schema)
         of = lambda c, kind: F.col("row")[c].cast(kind)
         held = held.select(of("doc_id", "long").alias("doc_id"), of(self.host, "string").alias("h"), of(self.path, "string").alias("p"), "e", "row")
         return self._rated(held).where("kept").select("row.*")

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import workers
 from .store import ship
 from .text import blocks
 
@@ -276,6 +277,5 @@ class Chunks(dict):
         return [b"".join(map(get, some)) for some in lists]
 
 
-@functools.cache
 def chunk_table(path: str) -> Chunks:
-    return Chunks(path)
+    return workers.keep(("chunks", path), lambda: Chunks(path))

@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from .brown import fold
 from .store import packed, ship
 from .text import BLOCK, NOT_ALNUM, blocks, words
+from .workers import lean
 
 #: Learning rows at most (a bounded sample); each is learned from as a whole, like the texts that are scored.
 FIT_ROWS = 12_000
@@ -224,7 +225,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.col("text").cast("string").alias("text")).where(fold(F.col("doc_id"), folds) != held)
     chosen = marks.where(fold(F.col("doc_id"), folds) != held)
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-    got = rows.join(F.broadcast(chosen), "doc_id").mapInArrow(_learning_words, "doc_id long, label int, lang string, words binary")
+    got = rows.join(F.broadcast(chosen), "doc_id").mapInArrow(lean(_learning_words), "doc_id long, label int, lang string, words binary")
     got = got.groupBy("doc_id").agg(F.min(F.struct("words", "lang", "label")).alias("x")).select("doc_id", "x.*").toArrow()  # one row an id, however often it repeats
     got = sorted(zip(got["doc_id"].to_pylist(), got["words"].to_pylist(), got["label"].to_pylist(), got["lang"].to_pylist(), strict=True), key=lambda r: (r[0], r[1]))
     net = ConvNet()
@@ -259,7 +260,7 @@ def filtered(spark: SparkSession, docs: DataFrame, net: ConvNet) -> DataFrame:
     held = docs.select(packed(docs))
     lang = docs.columns.index("lang") if "lang" in docs.columns else None
     run = _below_threshold(spark.sparkContext.broadcast(net), docs.columns.index("text"), lang)
-    return held.mapInArrow(run, T.StructType([T.StructField("row", held.schema["row"].dataType)])).select("row.*")
+    return held.mapInArrow(lean(run), T.StructType([T.StructField("row", held.schema["row"].dataType)])).select("row.*")
 
 
 def _threshold(net: ConvNet, lang: Column) -> Column:
@@ -275,6 +276,6 @@ def score(spark: SparkSession, docs: DataFrame, net: ConvNet, folds: int = 3, he
     ship(spark)
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit("")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(_score(spark.sparkContext.broadcast(net)), "doc_id long, lang string, score double")
+    out = rows.mapInArrow(lean(_score(spark.sparkContext.broadcast(net))), "doc_id long, lang string, score double")
     threshold = _threshold(net, F.col("lang"))
     return out.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "score", F.when(F.col("score") >= CUT, 1).otherwise(0).alias("predicted"), threshold.alias("threshold"), (F.col("score") >= threshold).alias("flagged"))

@@ -111,3 +111,19 @@ def test_short_texts_end(spark, text):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     r = pack(spark, df, vocabulary("word_bpe_49k.json")).first()
     assert (r.start, r.offset, r.doc_tokens) == (0, 0, 1 + len(text))
+
+
+def test_a_worker_keeps_one_table_and_lets_it_go_for_other_operators():
+    from cairnmesh.llm import workers
+
+    built = []
+    make = lambda key: workers.keep(key, lambda: built.append(key) or [key])
+    assert make("a") is make("a") and built == ["a"]
+    make("b"), make("a")
+    assert built == ["a", "b", "a"]
+    same = lambda batches: (b + 1 for b in batches)
+    assert list(workers.lean(same, keeps=True)([1, 2])) == [2, 3] and make("a") and built == ["a", "b", "a"]
+    assert list(workers.lean(same)([1, 2])) == [2, 3]
+    make("a")
+    assert built == ["a", "b", "a", "a"]
+    workers.forget()
