@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EUCLIDEAN, FRAME, HABITATS, Config, Grid
@@ -41,23 +41,20 @@ def suitability_metadata(available: DataFrame) -> DataFrame:
 
 
 def guarded_cells(pixels: DataFrame, available: DataFrame) -> DataFrame:
-    """Mean, deviation and count of each group's cells from percents (file, row, col, pct), written to the shared folder in the one pass over the pixels.
+    """Mean, deviation and count of each group's cells from percents (file, row, col, pct), written to the shared folder.
 
-    The pass also observes which rasters have a value above 1 and one below 100
-    (two sets of names): an available raster that is missing in either, or has
-    no pixel, stops the job by name before anything is made of the cells.
+    The available rasters' pixels are computed once, into the shared folder. Each
+    raster's range is one row of an aggregate over them: an available raster that
+    has no value above 1 or none below 100, or no pixel, stops the job by name
+    before anything is made of the cells. At most ten names come to the driver,
+    and without any available raster there are no cells.
     """
-    seen = Observation("rasters")
-    named = lambda when: F.collect_set(F.when(when, F.col("file")))
-    used = pixels.join(available.select(*KEYS, "file"), "file")
-    used = used.observe(seen, named(F.col("pct") > 1).alias("above"), named(F.col("pct") < 100).alias("below"))
-    cells = cut(mapalgebra.cell_stats(used.withColumn("value", F.col("pct") / 100), KEYS))
-    got = seen.get
-    fine = set(got["above"]) & set(got["below"])
-    wrong = sorted(r[0] for r in available.select("file").distinct().collect() if r[0] not in fine)  # a name a raster
+    used = cut(pixels.join(available.select(*KEYS, "file"), "file"))
+    fine = used.groupBy("file").agg(F.max("pct").alias("high"), F.min("pct").alias("low")).where("high > 1 and low < 100")
+    wrong = available.select("file").distinct().join(fine, "file", "left_anti").orderBy("file").limit(10).collect()
     if wrong:
-        raise ValueError(f"raster values are not percents: {', '.join(wrong[:10])}")
-    return cells
+        raise ValueError(f"raster values are not percents: {', '.join(r[0] for r in wrong)}")
+    return cut(mapalgebra.cell_stats(used.withColumn("value", F.col("pct") / 100), KEYS))
 
 
 def group_suitability(cells: DataFrame, stats: DataFrame, masks: DataFrame, border: DataFrame | None = None, grid: Grid = FRAME, config: Config = DEFAULT) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EUCLIDEAN, LEAST_COST
@@ -15,16 +15,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def species(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trait rows: (species_id, species, grp, habitat, dispersal_km)."""
-    p = table(spark, sf_dir, "part")
-    return p.select(
+def _traits() -> list[Column]:
+    """What a part has as a species, besides its name."""
+    return [
         F.col("p_partkey").alias("species_id"),
-        F.concat(F.col("p_name"), F.lit(" "), F.col("p_partkey").cast("string")).alias("species"),
         F.col("p_type").alias("grp"),
         F.when(F.col("p_size") <= 25, "aquatic").otherwise("terrestrial").alias("habitat"),
         (F.col("p_size").cast("double") / 100).alias("dispersal_km"),
-    )
+    ]
+
+
+def species(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trait rows: (species_id, species, grp, habitat, dispersal_km)."""
+    p = table(spark, sf_dir, "part").select("*", *_traits())
+    return p.select("species_id", F.concat(F.col("p_name"), F.lit(" "), F.col("p_partkey").cast("string")).alias("species"), "grp", "habitat", "dispersal_km")
 
 
 def group_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,20 +65,20 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def named_species(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trait rows in which names repeat with other groups, habitats and dispersal: parts of one name and brand."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("species_id"), F.concat_ws(" ", "p_name", "p_brand").alias("species"))
-    return p.join(species(spark, sf_dir).drop("species"), "species_id")
+    p = table(spark, sf_dir, "part").select("*", *_traits())
+    return p.select("species_id", F.concat_ws(" ", "p_name", "p_brand").alias("species"), "grp", "habitat", "dispersal_km")
 
 
 def named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(species_id, file): parts that reach 100 % somewhere have a raster file, so a name has none, one or several."""
     whole = observations(spark, sf_dir).where("pct >= 100").select("species_id").distinct()
     file = F.concat(F.lit("p"), F.col("species_id").cast("string"), F.lit("_"), F.replace("species", F.lit(" "), F.lit(".")), F.lit("_reg_covariate_ensemble.tif"))
-    return named_species(spark, sf_dir).join(whole, "species_id", "left_semi").select("species_id", file.alias("file"))
+    return named_species(spark, sf_dir).join(whole.hint("merge"), "species_id", "left_semi").select("species_id", file.alias("file"))
 
 
 def file_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, row, col, pct) of all raster files."""
-    return observations(spark, sf_dir).join(named_files(spark, sf_dir), "species_id").select("file", "row", "col", "pct")
+    return observations(spark, sf_dir).join(named_files(spark, sf_dir).hint("merge"), "species_id").select("file", "row", "col", "pct")
 
 
 #: Vector layers of the frame (metres): closed rings, and lines.
