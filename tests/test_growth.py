@@ -21,6 +21,6 @@ def twice(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["group_elasticity", "group_suitability", "importance_scores"])
+@pytest.mark.parametrize("name", ["group_elasticity", "group_suitability", "importance_scores", "suitability_tiles"])
 def test_no_raster_is_available(spark, twice, name):
     assert (catalog.QUERIES | catalog.WHOLE)[name](spark, twice).count() == 0
