@@ -47,19 +47,20 @@ def species_in_habitat(traits: DataFrame) -> DataFrame:
 def match_files(traits: DataFrame, files: DataFrame, name: str = "species", suffix: str = "_reg_covariate_ensemble.tif") -> DataFrame:
     """(species_id, species, n_files, file) where file is set only if exactly one file name ends in the dotted species name.
 
-    The suffix match is an equi-join: every ending of a file's stem that begins
-    after a separator or at its start is generated, so no pair of a species and
-    a file is tested that doesn't match.
+    The suffix match is an equi-join: every ending of a file's stem that is as
+    long as some wanted name is made, so no pair of a species and a file is
+    tested that doesn't match. Files are dealt over all tasks before, as a small
+    file of names makes many endings, and the join is a merge: what names and
+    endings take in memory can't be told from the size of the tables' files.
     """
-    stems = files.where(F.col("file").endswith(suffix)).withColumn("stem", F.expr(f"left(file, length(file) - {len(suffix)})"))
-    endings = stems.select("file", F.explode(F.expr("transform(sequence(1, length(stem)), i -> substring(stem, i))")).alias("ending"))
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stems = files.where(F.col("file").endswith(suffix)).withColumn("stem", F.expr(f"left(file, length(file) - {len(suffix)})")).repartition(tasks, "file")
     wanted = traits.select("species_id", "species", F.replace(F.col(name), F.lit(" "), F.lit(".")).alias("ending"))
-    # only endings as long as a wanted name's can match: names go first, lengths prune the explode
-    lengths = wanted.select(F.length("ending").alias("size")).distinct()
-    endings = endings.withColumn("size", F.length("ending")).join(F.broadcast(lengths), "size", "left_semi").drop("size")
+    sizes = F.broadcast(wanted.agg(F.collect_set(F.length("ending")).alias("sizes")))  # one row: the few lengths that names have
+    endings = stems.crossJoin(sizes).select("file", F.explode(F.expr("transform(filter(sizes, n -> n <= length(stem)), n -> right(stem, n))")).alias("ending"))
     # files are counted by ending before they meet names: a name that repeats in both makes no pairs
     endings = endings.groupBy("ending").agg(F.count("*").alias("n"), F.min("file").alias("file"))
-    found = wanted.join(endings, "ending", "left").groupBy("species_id", "species").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_files"), F.min("file").alias("file"))
+    found = wanted.join(endings.hint("merge"), "ending", "left").groupBy("species_id", "species").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_files"), F.min("file").alias("file"))
     return found.withColumn("file", F.when(F.col("n_files") == 1, F.col("file")))
 
 
@@ -71,7 +72,7 @@ def available_report(traits: DataFrame, files: DataFrame) -> DataFrame:
     """(habitat, grp, species, dispersal_range_km) of species with exactly one file; habitat and range are those of the species' first row."""
     first = first_rows(traits).select("species", F.col("habitat").alias("__habitat"), F.col("dispersal_km").alias("dispersal_range_km"))
     found = available(match_files(traits, files)).select("species_id").distinct()
-    rows = traits.join(found, "species_id", "left_semi").join(first, "species")
+    rows = traits.join(found.hint("merge"), "species_id", "left_semi").join(first.hint("merge"), "species")  # as many rows as species
     return rows.select(F.col("__habitat").alias("habitat"), "grp", "species", "dispersal_range_km")
 
 

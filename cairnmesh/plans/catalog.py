@@ -75,7 +75,7 @@ def group_species(spark, d):
 def _repeated(spark, d) -> DataFrame:
     """Traits in which names repeat with other values (the name without its number)."""
     p = adapters.table(spark, d, "part").select(F.col("p_partkey").alias("species_id"), F.col("p_name").alias("species"))
-    return p.join(adapters.species(spark, d).drop("species"), "species_id")
+    return p.join(adapters.species(spark, d).drop("species").hint("merge"), "species_id")
 
 
 @query(sql.TRAIT_FIRST_VALUE)

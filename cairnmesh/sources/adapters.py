@@ -59,7 +59,7 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One raster file for each species that has pixels."""
     seen = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("species_id")).distinct()
-    named = species(spark, sf_dir).join(seen, "species_id", "left_semi")
+    named = species(spark, sf_dir).join(seen.hint("merge"), "species_id", "left_semi")
     return named.select(F.concat(F.lit("reg_"), F.replace("species", F.lit(" "), F.lit(".")), F.lit("_reg_covariate_ensemble.tif")).alias("file"))
 
 

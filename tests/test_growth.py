@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from cairnmesh.operators import traits
 from cairnmesh.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -24,3 +25,22 @@ def twice(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["group_elasticity", "group_suitability", "importance_scores", "suitability_tiles"])
 def test_no_raster_is_available(spark, twice, name):
     assert (catalog.QUERIES | catalog.WHOLE)[name](spark, twice).count() == 0
+
+
+def broadcast_joins(df) -> int:
+    """Joins by broadcast of a table of keys in the plan as it ran."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+
+
+@pytest.mark.parametrize("name", ["available_report"])
+def test_tables_that_grow_are_not_broadcast(spark, name):
+    """Sizes of files say nothing of the rows that are made of them, so a join that fits at first fills the driver later."""
+    assert broadcast_joins(catalog.QUERIES[name](spark, SF)) == 0
+
+
+def test_an_empty_name_ends_every_file(spark):
+    names = spark.createDataFrame([(1, ""), (2, "fern"), (3, None)], "species_id long, species string")
+    files = spark.createDataFrame([("_reg_covariate_ensemble.tif",), ("old.fern",), ("a_fern_reg_covariate_ensemble.tif",), ("b_moss_reg_covariate_ensemble.tif",)], "file string")
+    got = {r.species_id: (r.n_files, r.file) for r in traits.match_files(names, files).collect()}
+    assert got == {1: (3, None), 2: (1, "a_fern_reg_covariate_ensemble.tif"), 3: (0, None)}
