@@ -69,15 +69,16 @@ def regrid(df: DataFrame, source: Grid, target: Grid, keys: Sequence[str] = (),
 
     nearest: the source cell that holds the target cell's centre. bilinear: the
     weighted mean of the four cells around it, of those that have a value. Cells
-    without a value in the source are no rows.
+    without a value in the source are no rows. The joins are merges: rows and
+    arrays that are exploded into cells look small before, and neither side is.
     """
     spark = df.sparkSession
     held = df.select(*keys, F.col("row").alias("srow"), F.col("col").alias("scol"), *values)
     if method == "nearest":
-        return held.join(matched(spark, target, source), ["srow", "scol"]).select(*keys, "row", "col", *values)
+        return held.join(matched(spark, target, source).hint("merge"), ["srow", "scol"]).select(*keys, "row", "col", *values)
     if method != "bilinear":
         raise ValueError(f"no resampling {method}")
-    joined = held.join(weights(spark, target, source), ["srow", "scol"])
+    joined = held.join(weights(spark, target, source).hint("merge"), ["srow", "scol"])
     mean = [(F.sum(F.col(v) * F.col("weight")) / F.sum(F.when(F.col(v).isNotNull(), F.col("weight")))).alias(v) for v in values]
     return joined.groupBy(*keys, "row", "col").agg(*mean)
 
