@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from ..config import Grid
 from ..functions.projections import convert, converted
+from ..sources.tables import cut
 from .mapalgebra import cells
 
 #: Points along each side of a grid's outline whose images bound the projected grid.
@@ -86,12 +87,20 @@ def regrid(df: DataFrame, source: Grid, target: Grid, keys: Sequence[str] = (),
 def nearest_labels(source: DataFrame, target: DataFrame) -> DataFrame:
     """(label, nearest) of axes (label): each target label within the source's range with its nearest source label (of two equally near ones the smaller).
 
-    One sort of both axes' labels: an axis has as many rows as a raster has rows or columns, never as many as it has cells.
+    The labels of both axes are dealt over tasks by ranges, into the shared
+    folder. Within a range two windows, one up and one down, find the source
+    labels around each label in one pass; beyond its ends a range sees the
+    nearest source label of the ranges before and after, one row a range.
     """
     both = source.select("label").distinct().withColumn("own", F.lit(True)).unionByName(target.select("label").distinct().withColumn("own", F.lit(False)))
+    dealt = cut(both.repartitionByRange("label").withColumn("range", F.spark_partition_id()))
     own = F.when(F.col("own"), F.col("label"))
-    up, down = Window.orderBy("label").rangeBetween(Window.unboundedPreceding, 0), Window.orderBy("label").rangeBetween(0, Window.unboundedFollowing)
-    near = both.withColumn("below", F.last(own, ignorenulls=True).over(up)).withColumn("above", F.first(own, ignorenulls=True).over(down)).where(~F.col("own") & F.col("below").isNotNull() & F.col("above").isNotNull())
+    last = lambda order: F.last(own, ignorenulls=True).over(Window.partitionBy("range").orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    ends = dealt.groupBy("range").agg(F.min(own).alias("low"), F.max(own).alias("high"))  # one row a range
+    before, after = (Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1) for order in (F.col("range"), F.desc("range")))
+    around = ends.select("range", F.last("high", ignorenulls=True).over(before).alias("before"), F.last("low", ignorenulls=True).over(after).alias("after"))
+    near = dealt.withColumn("below", last(F.col("label"))).withColumn("above", last(F.desc("label"))).where(~F.col("own")).join(F.broadcast(around), "range")
+    near = near.select("label", F.coalesce("below", "before").alias("below"), F.coalesce("above", "after").alias("above")).where(F.col("below").isNotNull() & F.col("above").isNotNull())
     return near.select("label", F.when(F.col("label") - F.col("below") <= F.col("above") - F.col("label"), F.col("below")).otherwise(F.col("above")).alias("nearest"))
 
 

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from cairnmesh.operators import traits
+from cairnmesh.operators import regrid, traits
 from cairnmesh.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +44,21 @@ def test_an_empty_name_ends_every_file(spark):
     files = spark.createDataFrame([("_reg_covariate_ensemble.tif",), ("old.fern",), ("a_fern_reg_covariate_ensemble.tif",), ("b_moss_reg_covariate_ensemble.tif",)], "file string")
     got = {r.species_id: (r.n_files, r.file) for r in traits.match_files(names, files).collect()}
     assert got == {1: (3, None), 2: (1, "a_fern_reg_covariate_ensemble.tif"), 3: (0, None)}
+
+
+def test_labels_over_many_ranges(spark):
+    """Labels are found in ranges of their axis, with one pass up and one down, whatever range their neighbours lie in."""
+    own = sorted({(i * 7919 % 5000) / 7 for i in range(40)} | {1.0, 3.0})
+    wanted = sorted({(i * 104729 % 6000) / 7 - 40 for i in range(400)} | {2.0, 3.0, own[0], own[-1]})
+    axis = lambda some: spark.createDataFrame([(v,) for v in some], "label double")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "60")  # more ranges than some have source labels
+        found = regrid.nearest_labels(axis(own), axis(wanted))
+        got = {r.label: r.nearest for r in found.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {v: min(own, key=lambda o: (abs(o - v), o)) for v in wanted if own[0] <= v <= own[-1]}
+    assert "unboundedfollowing" not in found._jdf.queryExecution().executedPlan().toString().lower()
