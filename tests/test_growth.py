@@ -33,7 +33,7 @@ def broadcast_joins(df) -> int:
     return df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
 
 
-@pytest.mark.parametrize("name", ["available_report", "grid_match_fine", "grid_match_bilinear"])
+@pytest.mark.parametrize("name", ["available_report", "grid_match_fine", "grid_match_bilinear", "species_file_match"])
 def test_tables_that_grow_are_not_broadcast(spark, name):
     """Sizes of files say nothing of the rows that are made of them, so a join that fits at first fills the driver later."""
     assert broadcast_joins(catalog.QUERIES[name](spark, SF)) == 0
