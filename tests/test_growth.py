@@ -62,3 +62,9 @@ def test_labels_over_many_ranges(spark):
             spark.conf.set(k, v)
     assert got == {v: min(own, key=lambda o: (abs(o - v), o)) for v in wanted if own[0] <= v <= own[-1]}
     assert "unboundedfollowing" not in found._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_file_names_are_dealt_before_endings_are_made(spark):
+    """A file of names is read by a task or two, and each name makes many endings."""
+    plan = catalog.QUERIES["available_species"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
