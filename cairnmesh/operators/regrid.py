@@ -10,7 +10,7 @@ the same table, and no raster meets a cell that it doesn't hold.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +23,8 @@ from .mapalgebra import cells
 
 #: Points along each side of a grid's outline whose images bound the projected grid.
 OUTLINE = 65
+#: Labels of an axis that a row carries at most; a cell with a run of each axis makes at most their product of rows at once.
+RUN = 64
 
 
 def projected_grid(grid: Grid, crs: str, resolution: float) -> Grid:
@@ -84,6 +86,22 @@ def regrid(df: DataFrame, source: Grid, target: Grid, keys: Sequence[str] = (),
     return joined.groupBy(*keys, "row", "col").agg(*mean)
 
 
+def _nearest(source: DataFrame, target: DataFrame) -> DataFrame:
+    """(label, nearest, range, n): nearest_labels with the range of the axis that a label lies in and its number there."""
+    both = source.select("label").distinct().withColumn("own", F.lit(True)).unionByName(target.select("label").distinct().withColumn("own", F.lit(False)))
+    dealt = cut(both.repartitionByRange("label").withColumn("range", F.spark_partition_id()))
+    own = F.when(F.col("own"), F.col("label"))
+    last = lambda order: F.last(own, ignorenulls=True).over(Window.partitionBy("range").orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    ends = dealt.groupBy("range").agg(F.min(own).alias("low"), F.max(own).alias("high"))  # one row a range
+    before, after = (Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1) for order in (F.col("range"), F.desc("range")))
+    around = ends.select("range", F.last("high", ignorenulls=True).over(before).alias("before"), F.last("low", ignorenulls=True).over(after).alias("after"))
+    n = F.row_number().over(Window.partitionBy("range").orderBy("label"))
+    near = dealt.withColumn("below", last(F.col("label"))).withColumn("n", n).withColumn("above", last(F.desc("label"))).where(~F.col("own")).join(F.broadcast(around), "range")
+    near = near.select("label", F.coalesce("below", "before").alias("below"), F.coalesce("above", "after").alias("above"), "range", "n").where(F.col("below").isNotNull() & F.col("above").isNotNull())
+    nearest = F.when(F.col("label") - F.col("below") <= F.col("above") - F.col("label"), F.col("below")).otherwise(F.col("above"))
+    return near.select("label", nearest.alias("nearest"), "range", "n")
+
+
 def nearest_labels(source: DataFrame, target: DataFrame) -> DataFrame:
     """(label, nearest) of axes (label): each target label within the source's range with its nearest source label (of two equally near ones the smaller).
 
@@ -92,23 +110,28 @@ def nearest_labels(source: DataFrame, target: DataFrame) -> DataFrame:
     labels around each label in one pass; beyond its ends a range sees the
     nearest source label of the ranges before and after, one row a range.
     """
-    both = source.select("label").distinct().withColumn("own", F.lit(True)).unionByName(target.select("label").distinct().withColumn("own", F.lit(False)))
-    dealt = cut(both.repartitionByRange("label").withColumn("range", F.spark_partition_id()))
-    own = F.when(F.col("own"), F.col("label"))
-    last = lambda order: F.last(own, ignorenulls=True).over(Window.partitionBy("range").orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
-    ends = dealt.groupBy("range").agg(F.min(own).alias("low"), F.max(own).alias("high"))  # one row a range
-    before, after = (Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1) for order in (F.col("range"), F.desc("range")))
-    around = ends.select("range", F.last("high", ignorenulls=True).over(before).alias("before"), F.last("low", ignorenulls=True).over(after).alias("after"))
-    near = dealt.withColumn("below", last(F.col("label"))).withColumn("above", last(F.desc("label"))).where(~F.col("own")).join(F.broadcast(around), "range")
-    near = near.select("label", F.coalesce("below", "before").alias("below"), F.coalesce("above", "after").alias("above")).where(F.col("below").isNotNull() & F.col("above").isNotNull())
-    return near.select("label", F.when(F.col("label") - F.col("below") <= F.col("above") - F.col("label"), F.col("below")).otherwise(F.col("above")).alias("nearest"))
+    return _nearest(source, target).select("label", "nearest")
 
 
-def match_labels(df: DataFrame, x: DataFrame, y: DataFrame, keys: Sequence[str] = (), values: Sequence[str] = ("value",)) -> DataFrame:
+def match_labels(df: DataFrame, x: DataFrame, y: DataFrame, keys: Sequence[str] = (), values: Sequence[str] = ("value",), shown: Callable[[Column], Column] = lambda label: label) -> DataFrame:
     """(keys..., x, y, values...) of rasters (keys..., x, y, values...) at the nearest labels of other axes, tables x and y with a column label.
 
-    As a lookup by nearest label has it: beyond the outermost labels there is nothing. Axes may be irregular.
+    As a lookup by nearest label has it: beyond the outermost labels there is
+    nothing. Axes may be irregular. `shown` is what stands for a label in the
+    result (never null); it is made once a label.
+
+    The result has the product of both axes' labels, far more rows than any
+    table before it. So a cell meets runs of labels, not labels; cells with their
+    runs are dealt over all tasks, however few bytes they are, and only then
+    become rows, which nothing shuffles or joins any more.
     """
-    rows = nearest_labels(df.select(F.col("y").alias("label")), y).toDF("ty", "y")
-    cols = nearest_labels(df.select(F.col("x").alias("label")), x).toDF("tx", "x")
-    return df.join(rows, "y").join(cols, "x").select(*keys, F.col("tx").alias("x"), F.col("ty").alias("y"), *values)
+
+    def runs(at: str) -> DataFrame:
+        near = _nearest(df.select(F.col(at).alias("label")), {"x": x, "y": y}[at])
+        grouped = near.groupBy("range", "nearest", F.floor(F.col("n") / RUN).alias("run")).agg(F.collect_list(shown(F.col("label"))).alias(f"t{at}"))
+        return grouped.select(F.col("nearest").alias(at), f"t{at}").hint("merge")
+
+    met = df.select(*keys, "x", "y", *values).join(runs("y"), "y").join(runs("x"), "x").select(*keys, "tx", "ty", *values)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = met.repartition(tasks, *keys, F.element_at("tx", 1), F.element_at("ty", 1))  # with a number, so that tasks aren't joined for their few bytes
+    return dealt.select(*keys, "tx", F.explode("ty").alias("y"), *values).select(*keys, F.explode("tx").alias("x"), "y", *values)

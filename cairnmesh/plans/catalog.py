@@ -310,8 +310,8 @@ def label_match(spark, d):
     """The dense raster at the nearest labels of two irregular axes (balances of suppliers)."""
     balance = adapters.table(spark, d, "supplier").select("s_acctbal")
     x, y = (balance.select((F.abs(F.col("s_acctbal")) % m).alias("label")).distinct() for m in (64, 150))
-    raster = adapters.dense(spark, d).select(F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), "value")
-    return regrid.match_labels(raster, x, y).select(r6("x").alias("x"), r6("y").alias("y"), r6("value").alias("value"))
+    raster = adapters.dense(spark, d).select(F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), r6("value").alias("value"))
+    return regrid.match_labels(raster, x, y, shown=r6)  # rounded by label and cell: the rows are their product
 
 
 @query(sql.TILED_BOX)

@@ -2,7 +2,9 @@
 
 import os
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from cairnmesh.operators import regrid, traits
 from cairnmesh.plans import catalog
@@ -64,6 +66,33 @@ def test_labels_over_many_ranges(spark):
     assert "unboundedfollowing" not in found._jdf.queryExecution().executedPlan().toString().lower()
 
 
+def test_labels_make_rows_in_all_tasks(spark):
+    """A few cells and two long axes are few bytes and many rows: no task makes most of them, and a label's runs are whole."""
+    xs, ys = [0.0, 10.0, 11.0], [0.0, 50.0]
+    df = spark.createDataFrame([(k, x, y, k * 10000 + x * 100 + y) for k in (1, 2) for x in xs for y in ys], "k long, x double, y double, value double").coalesce(1)  # as one file is read
+    tx, ty = [i / 25 for i in range(-10, 280)], [i / 3 for i in range(160)]
+    axis = lambda some: spark.createDataFrame([(v,) for v in some], "label double")
+    found = regrid.match_labels(df, axis(tx), axis(ty), ["k"], shown=lambda label: label + 0.5).withColumn("task", F.spark_partition_id()).collect()
+    near = lambda v, some: min(some, key=lambda s: (abs(s - v), s))
+    want = sorted((k, x + 0.5, y + 0.5, k * 10000 + near(x, xs) * 100 + near(y, ys)) for k in (1, 2) for x in tx for y in ty if 0 <= x <= 11 and 0 <= y <= 50)
+    assert sorted((r.k, r.x, r.y, r.value) for r in found) == want
+    made = [sum(r.task == t for r in found) for t in {r.task for r in found}]
+    assert max(made) < len(found) / 2
+
+
+def test_labels_and_values_are_rounded_as_in_sql_and_once(spark, tmp_path):
+    """Every cell of 150 rows at labels of their own; rounding is below the rows that the axes make."""
+    spark.read.parquet(f"{SF}/embeddings.parquet").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.range(150).select(F.col("id").alias("s_suppkey"), (F.col("id") + 0.0).alias("s_acctbal")).write.parquet(f"{tmp_path}/supplier.parquet")
+    df = catalog.QUERIES["label_match"](spark, str(tmp_path))
+    con = duckdb.connect()
+    for t in ("embeddings", "supplier"):
+        con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    assert sorted(map(tuple, df.collect())) == sorted(con.execute(f"select x, y, value from ({catalog.ORACLES['label_match']})").fetchall())
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" not in plan[: plan.index("Generate")]
+
+
 def test_file_names_are_dealt_before_endings_are_made(spark):
     """A file of names is read by a task or two, and each name makes many endings."""
     plan = catalog.QUERIES["available_species"](spark, SF)._jdf.queryExecution().executedPlan().toString()
